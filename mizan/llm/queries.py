@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from mizan.llm import packing, token_output
+from mizan.llm import line_dedup, packing, token_output
 
 
 def queries() -> dict:
     return {
         "op5_token_output": token_output.op5_token_output,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": line_dedup.ORACLE}
