@@ -51,7 +51,7 @@ def write_file(uri: str, data: bytes) -> None:
     """Write a whole file under a name that no other attempt uses."""
     fs, path = store(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
