@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mizan.llm import fingerprints, line_dedup, packing, token_output, warc
+from mizan.llm import fingerprints, line_dedup, near_dedup, packing, token_output, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_token_output": token_output.op5_token_output,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
