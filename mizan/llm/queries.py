@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mizan.llm import fingerprints, line_dedup, near_dedup, packing, token_output, warc
+from mizan.llm import fingerprints, line_dedup, near_dedup, packing, substring_dedup, token_output, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_zstd": warc.op2_warc_zstd,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_token_output": token_output.op5_token_output,
         "op10_line_dedup": line_dedup.op10_line_dedup,
