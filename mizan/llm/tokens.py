@@ -35,7 +35,7 @@ class Encoder:
     limit bounds each memo; a full one is emptied.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,7 +44,8 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.limit = limit
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
+        self.feed = self.whole("\n")
         self.marks: dict[str, bytes] = {}
         self.letters = _byte_letters()
         plain = self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
@@ -54,29 +55,37 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, memo: dict[str, bytes], key: str, word: str) -> bytes:
         """Ids of one pre-token given in the model's byte letters."""
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+        if len(memo) >= self.limit:
+            memo.clear()
+        memo[key] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece and the space before it (a line feed stands for itself)."""
+        if piece.isascii() and piece.isalpha():
+            return self._word(self.pieces, piece, "Ġ" + piece)
         m = _WORD.fullmatch(piece)
         if m:
-            feed, word, tail = m.groups()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.whole("\n") + self._word(word) if feed else self._word("Ġ" + word)
+            feed, key, tail = m.groups()
+            memo = self.starts if feed else self.pieces
+            ids = memo.get(key)
+            known = ids is not None
+            if not known:
+                word = key if key.isascii() else key.encode().decode("latin-1").translate(self.letters)
+                ids = self._word(memo, key, word if feed else "Ġ" + word)
+            if feed:
+                ids = self.feed + ids
             if tail:
                 if tail not in self.marks:
                     if len(self.marks) >= self.limit:
                         self.marks.clear()
                     self.marks[tail] = self.whole(tail)
                 ids += self.marks[tail]
+            if not known:  # a word with marks is kept from its second time on
+                return ids
         else:
             body = piece[1:] if piece[:1] == "\n" else piece
             if not body or "<|" in body or any(map(str.isspace, body)):
