@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mizan.llm import fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, token_output, warc
+from mizan.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, token_output, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_token_output": token_output.op5_token_output,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_language_id": language_id.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
