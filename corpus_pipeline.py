@@ -1,10 +1,75 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""Corpus pipeline: from documents to packed training sequences.
+
+Each stage takes what the one before kept, written as Parquet and read again.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mizan.llm import common, decontamination, language_id, line_dedup, near_dedup, packing
+
+#: Documents whose best language is less probable than this are rejected.
+LEAST_SCORE = 0.3
+
+#: Language identification, alignment and packing are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or a likely language go."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = language_id.with_language(docs, rest)
+    found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"row.{c}").alias(c) for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go, and documents of which nothing is left."""
+    found = line_dedup.dedup_lines(docs).where("n_removed < n_lines OR n_lines = 0")
+    columns = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast("long")
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest doc_id.
+
+    Rows that repeat a document are one; rows without a doc_id go.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.min("text_key").alias("k_key"))
+    found = docs.join(kept, (F.col("doc_id") == F.col("k_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_key")))
+    return found.dropDuplicates(["k_id", "k_key"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    found = decontamination.leaks(docs, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).distinct()
+    found = common.written(found, "leaks")
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("f_key"))
+    return docs.join(found, same, "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    found = packing.pack(docs)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mizan.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, token_output, warc
+from mizan.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, surrogates, token_output, warc
 
 
 def queries() -> dict:
     return {
+        "op1_pii_surrogates": surrogates.op1_pii_surrogates,
         "op2_warc_zstd": warc.op2_warc_zstd,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
