@@ -73,9 +73,12 @@ def remap_c1(x: Column) -> Column:
 
 
 def decode_bytes(x: Column) -> Column:
-    """Text of HTML bytes: UTF-8 if valid and without U+FFFD, else ISO-8859-9; C1 remapped."""
+    """Text of HTML bytes: UTF-8 if valid and without U+FFFD, else ISO-8859-9; C1 remapped.
+
+    ISO-8859-9 is ISO-8859-1 but for six letters.
+    """
     utf8 = F.try_validate_utf8(x.cast("string"))
-    return remap_c1(F.when(utf8.isNotNull() & ~F.contains(utf8, F.lit("�")), utf8).otherwise(F.decode(x, "ISO-8859-9")))
+    return remap_c1(F.when(utf8.isNotNull() & ~F.contains(utf8, F.lit("�")), utf8).otherwise(F.translate(F.decode(x, "ISO-8859-1"), "ÐÝÞðýþ", "ĞİŞğış")))
 
 
 def strip_dump_header(x: Column) -> Column:

@@ -162,10 +162,10 @@ def fuse(vector: DataFrame, full_text: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def gated(vector: DataFrame, full_text: DataFrame, factor: float = GATE) -> DataFrame:
-    """Vector relevance is lowered for queries without any text hit."""
+    """Vector relevance is lowered for queries without any text hit; halves round up."""
     some = full_text.select("query_id").distinct().withColumn("some", F.lit(True))
     found = vector.join(F.broadcast(some), "query_id", "left")
-    return found.withColumn("relevance", F.when(F.col("some").isNull(), F.round(F.col("relevance") * factor, 4)).otherwise(F.col("relevance"))).drop("some")
+    return found.withColumn("relevance", F.when(F.col("some").isNull(), F.round(F.col("relevance") * factor + 1e-10, 4)).otherwise(F.col("relevance"))).drop("some")
 
 
 def confidence(relevance: Column) -> Column:

@@ -132,7 +132,7 @@ def tool_metrics(spark, sf_dir):
     return evaluation.tool_metrics(e.select(F.col("event_type").alias("tool"), (F.col("value") < 10).alias("error"), F.col("value").alias("latency")))
 
 
-@query("SELECT * FROM (VALUES (0, 'entailment', ''), (1, 'contradiction', 'B'), (2, 'unknown', 'A'), (3, 'neutral', 'A')) t(id, label, letter)")
+@query("SELECT * FROM (VALUES (0, 'entailment', ''), (1, 'contradiction', 'B'), (2, 'unknown', 'C'), (3, 'neutral', 'A')) t(id, label, letter)")
 def parse_answers(spark, sf_dir):
     d = spark.createDataFrame([(0, "Entailment olur"), (1, "b: contradiction"), (2, "cevap yok"), (3, " NEUTRAL")], "id int, x string")
     return d.select("id", evaluation.parse_label(F.col("x")).alias("label"), F.when(F.col("id") == 0, F.lit("")).otherwise(evaluation.parse_letter(F.col("x"))).alias("letter"))

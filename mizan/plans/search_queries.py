@@ -149,7 +149,7 @@ def vector_topk_category(spark, sf_dir):
 
 _FUSED = (
     f"{_NEAR.format('true', 100)}, {fts_sql('(SELECT doc_id, text AS x FROM documents)', 'doc_id')}, ft AS (SELECT query_id, key AS doc_id, rank, position FROM best WHERE position <= 50), "
-    "gv AS (SELECT query_id, doc_id, position, CASE WHEN query_id IN (SELECT query_id FROM ft) THEN relevance ELSE round(relevance * 0.65, 4) END AS relevance FROM vs WHERE position <= 50), "
+    "gv AS (SELECT query_id, doc_id, position, CASE WHEN query_id IN (SELECT query_id FROM ft) THEN relevance ELSE round(relevance * 0.65 + 1e-10, 4) END AS relevance FROM vs WHERE position <= 50), "
     "u AS (SELECT query_id, doc_id, relevance, NULL AS fts_rank, 1.0 / (60 + position) AS part FROM gv UNION ALL SELECT query_id, doc_id, NULL, rank, 1.0 / (60 + position) FROM ft), "
     "fused AS (SELECT query_id, doc_id, coalesce(max(relevance), 0.0) AS relevance, max(fts_rank) AS fts_rank, round(sum(CAST(part AS DOUBLE)), 6) AS rrf_score FROM u GROUP BY 1, 2)"
 )

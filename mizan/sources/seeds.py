@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DOCUMENTS = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType()}
+
+
+def _schema(fields: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in fields.split(", "))])
+
+
+DOCUMENTS = _schema(
     "document_id string, title string, category string, decision_date string, decision_number string, source_url string, markdown_content string, content_hash string, "
     "downloaded_at double, extracted_at double, extraction_method string, total_pages int, file_size int"
 )
-CATALOG = T.StructType.fromDDL("document_id string, title string, content string, decision_date string, decision_number string, category string, source_url string, cached_at double")
-CHUNKS = T.StructType.fromDDL("document_id string, chunk_index int, total_chunks int, content_hash string, chunk_text string")
-NLI = T.StructType.fromDDL("id int, premise string, hypothesis string, label string, source string")
+CATALOG = _schema("document_id string, title string, content string, decision_date string, decision_number string, category string, source_url string, cached_at double")
+CHUNKS = _schema("document_id string, chunk_index int, total_chunks int, content_hash string, chunk_text string")
+NLI = _schema("id int, premise string, hypothesis string, label string, source string")
 #: Columns that seeds leave out.
 HEAVY = ("pdf_blob", "embedding", "tokens")
 
