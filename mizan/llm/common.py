@@ -35,6 +35,21 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch between Spark and a worker; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in small batches: the default of 10,000 rows of text takes hundreds of MB on either side.
+
+    The limits are settings of the session, read when the plan runs; they stay set.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder; cuts the lineage."""
     path = new_folder(df.sparkSession, what)

@@ -128,7 +128,7 @@ def frequencies(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["gram", "n"])
 
     out = np.zeros(len(grams), np.int64)
-    for gram, n in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for gram, n in common.mapped(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[gram] = n
     return out
 
@@ -185,7 +185,7 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, FOUND)
+    return common.mapped(docs.select("doc_id", "text_key", "text"), run, FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block_items: int = 20_000) -> DataFrame:

@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.utf8_length(texts), pa.int64()), pa.array([as_text(x) for x in sketches(texts, fraction)], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return common.mapped(rows, run, "doc_id long, n_chars long, fingerprint string")
 
 
 def in_descending_order(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def with_edited(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
                     names, texts = ([], []) if peek else (names[-1:], texts[-1:])
                     size = sum(map(len, texts))
 
-    return in_descending_order(docs).mapInArrow(run, COMPARED)
+    return common.mapped(in_descending_order(docs), run, COMPARED)
 
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:

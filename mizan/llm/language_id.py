@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mizan.llm import kernels
+from mizan.llm import common, kernels
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -80,9 +80,10 @@ def grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndar
         for j in range(n):
             h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - n + 1 + j]
         h = ((h * np.uint64(0xD1342543DE82EF95)) >> np.uint64(48)).astype(np.int32)
-        end = np.maximum(first_kept, np.minimum(last_kept, len(codes)) - n + 1)
-        total += end - first_kept
-        out.append((h, np.stack([first_kept, end], axis=1)))
+        start = np.minimum(first_kept, len(h))
+        end = np.maximum(start, np.minimum(last_kept - n + 1, len(h)))
+        total += end - start
+        out.append((h, np.stack([start, end], axis=1)))
     return out, total, letters
 
 
@@ -110,7 +111,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["bucket", "n"])
 
     # one row a bucket: bounded by BUCKETS
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = common.mapped(docs.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1, np.int64)
     for bucket, n in rows:
         df[bucket] = n
@@ -130,7 +131,7 @@ def sample_features(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]
                 shares.append((count / max(1, total[i])).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], names=["lang", "turn", "buckets", "shares"])
 
-    rows = docs.select("text", "lang", "turn").mapInArrow(run, "lang string, turn long, buckets binary, shares binary").collect()
+    rows = common.mapped(docs.select("text", "lang", "turn"), run, "lang string, turn long, buckets binary, shares binary").collect()
     rows.sort(key=lambda r: (r["turn"], r["lang"], bytes(r["buckets"])))
     return [(r["lang"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4").astype(float)) for r in rows]
 
@@ -253,7 +254,7 @@ def with_language(docs: DataFrame, extra: list[str] | None = None, fit: Fit | No
                 names, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), texts, batch.column(3)], names=["doc_id", "held_out", "lang_pred", "score", "text", "row"])
 
-    return rows.mapInArrow(run, f"{PREDICTED}, text string, row {rows.schema['row'].dataType.simpleString()}")
+    return common.mapped(rows, run, f"{PREDICTED}, text string, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), column], names=[c.split()[0] for c in SKETCH.split(", ")])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, SKETCH)
+    return common.mapped(docs.select("doc_id", "text_key", "text"), run, SKETCH)
 
 
 def prefix_postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -199,7 +199,7 @@ def links_in_cells(rows: DataFrame, k: int, coordinates: int, matches: int, perc
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select("cell", "part", "rep", "text").repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "rep")
-    return dealt.mapInArrow(run, "a long, b long")
+    return common.mapped(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, coordinates: int = COORDINATES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

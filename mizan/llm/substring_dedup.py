@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 names=[c.split()[0] for c in PIECES.split(", ")],
             )
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text").mapInArrow(run, PIECES)
+    return common.mapped(docs.where("doc_id IS NOT NULL").select("doc_id", "text_key", "text"), run, PIECES)
 
 
 def repeated_pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -161,7 +161,7 @@ def branch_edges(docs: DataFrame, repeated: DataFrame, window: int, anchor: int)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(m[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(pos)], names=[c.split()[0] for c in EDGES.split(", ")])
 
-    edges = common.written(held.mapInArrow(run, EDGES).distinct(), "edges")
+    edges = common.written(common.mapped(held, run, EDGES).distinct(), "edges")
     low = edges.groupBy("m", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("m", "w", "low")
     found = edges.join(common.written(low, "edge-sources"), ["m", "w"]).where(F.col("doc_id") > F.col("low"))
     return found.select("doc_id", "text_key", F.col("pos").alias("a"), (F.col("pos") + window).alias("b"))
@@ -197,7 +197,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in KEPT.split(", ")])
 
-    return held.select("doc_id", "text", "spans").mapInArrow(run, KEPT)
+    return common.mapped(held.select("doc_id", "text", "spans"), run, KEPT)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -221,7 +221,7 @@ def mentions(rows: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], names=["doc_id", "text_key", "kind", "norm"])
 
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, ENTITY)
+    return common.mapped(rows.select("doc_id", "text_key", "text"), run, ENTITY)
 
 
 def resolved(distinct: DataFrame, key: bytes) -> DataFrame:
@@ -233,7 +233,7 @@ def resolved(distinct: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, *x) for x in zip(kinds, norms, attempts, strict=True)], pa.string())], names=["kind", "norm", "attempt", "value"])
 
     schema = "kind string, norm string, attempt int, value string"
-    drawn = common.written(distinct.select("kind", "norm", F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates")
+    drawn = common.written(common.mapped(distinct.select("kind", "norm", F.lit(0).alias("attempt")), draw, schema), "surrogates")
     taken = distinct.select("kind", F.col("norm").alias("value"), F.lit(True).alias("real"))
     while True:
         rank = F.row_number().over(Window.partitionBy("kind", "value").orderBy("attempt", "norm"))
@@ -243,7 +243,7 @@ def resolved(distinct: DataFrame, key: bytes) -> DataFrame:
             return judged.drop("again")
         kept = judged.where("NOT again").drop("again")
         more = judged.where("again").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
-        drawn = common.written(kept.unionByName(more.mapInArrow(draw, schema)), "surrogates")
+        drawn = common.written(kept.unionByName(common.mapped(more, draw, schema)), "surrogates")
 
 
 REPLACED = "doc_id long, text string, n_entities long, entities array<struct<type string, start long, end long, surrogate string>>"
@@ -275,7 +275,7 @@ def with_surrogates(docs: DataFrame, key: bytes = b"change this key", few: int =
                 lists.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, kinds)], names=["doc_id", "text", "n_entities", "entities"])
 
-    return rows.select("doc_id", "text", "retries").mapInArrow(run, REPLACED)
+    return common.mapped(rows.select("doc_id", "text", "retries"), run, REPLACED)
 
 
 def op1_pii_surrogates(spark, sf_dir: str) -> DataFrame:

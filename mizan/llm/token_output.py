@@ -179,7 +179,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = dealt.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return common.written(dealt.mapInArrow(write, MANIFEST), "manifest")
+    return common.written(common.mapped(dealt, write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
 
     spread = shards.repartition(max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "path")
-    return spread.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return common.mapped(spread, docs, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:

@@ -97,7 +97,7 @@ class Writer:
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=dictionary(raw), write_content_size=True, write_checksum=True)
         for data in self.held:
             self._frame(data)
-        self.held = []
+        self.held, self.held_size = [], 0
 
     def _frame(self, data: bytes) -> None:
         self.parts.append(self.compressor.compress(data))
@@ -216,13 +216,13 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, archive_
             for name, url, html, refers in zip(*batch.columns, strict=True):
                 archive.add(record(name.as_py(), url.as_py(), html.as_py().encode(), refers.as_py(), date))
                 n += 1
-                if archive.size >= archive_bytes:
+                if archive.size + archive.held_size >= archive_bytes:
                     flush()
         if n:
             flush()
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return common.written(found.mapInArrow(write, MANIFEST), "archives")
+    return common.written(common.mapped(found, write, MANIFEST), "archives")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("path").repartition(n, "path").mapInArrow(read, RECORDS)
+    return common.mapped(manifest.select("path").repartition(n, "path"), read, RECORDS)
 
 
 def op2_warc_zstd(spark, sf_dir: str) -> DataFrame:
