@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mizan.plans import evaluation_queries, page_queries, search_queries, series_queries, store_queries, text_queries  # noqa: F401
+from mizan.plans import evaluation_queries, page_queries, search_queries, series_queries, store_queries, text_queries, upkeep_queries  # noqa: F401
 from mizan.plans.registry import QUERIES, SQL
 
 
