@@ -10,7 +10,7 @@ edited ones too, from chance.
 The benchmark is the query set: it goes to the tasks in blocks of at most
 `block_items` items, and all documents are read for each block.
 
-Defined results: A-Z are compared in lower case; null and wordless texts hold
+Defined results: words are runs of letters and digits, A-Z in lower case; null and wordless texts hold
 nothing; items that are null or have fewer than MIN_WORDS words can't be told
 from chance and are never found; items that repeat are found each; repeated
 document rows give their rows each; null doc_ids are searched as well; empty
@@ -29,6 +29,8 @@ from mizan.llm import common, kernels
 N = 3
 MIN_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, 1
+#: Words are runs of letters and digits, so that marks put between or after words don't hide a copy.
+WORDS = kernels.LETTERS
 #: Share of a full match from which a passage counts as a copy.
 SCORE = 0.5
 
@@ -71,7 +73,7 @@ class Block:
         hashed = []
         for name, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             buf, offsets = kernels.text_bytes(pa.array([text], pa.large_string()))
-            h = kernels.word_hashes(buf, *kernels.words(buf, offsets)[:2], lower=True)
+            h = kernels.word_hashes(buf, *kernels.words(buf, offsets, WORDS)[:2], WORDS)
             if len(h) >= MIN_WORDS:
                 self.ids.append(name)
                 self.words.append(h)
@@ -117,8 +119,8 @@ def frequencies(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
         lookup, df = Lookup(grams), np.zeros(len(grams), np.int64)
         for batch in kernels.text_batches(batches):
             buf, offsets = kernels.text_bytes(batch.column(0))
-            starts, ends, first = kernels.words(buf, offsets)
-            seq = kernels.sequence_hashes(kernels.word_hashes(buf, starts, ends, lower=True), N)
+            starts, ends, first = kernels.words(buf, offsets, WORDS)
+            seq = kernels.sequence_hashes(kernels.word_hashes(buf, starts, ends, WORDS), N)
             owner, inside = kernels.window_owner(first, N, len(starts))
             at, key = lookup.hits(seq)
             at, key = at[inside[at]], key[inside[at]]
@@ -171,8 +173,8 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
         lookup = Lookup(keys)
         for batch in kernels.text_batches(batches):
             buf, offsets = kernels.text_bytes(batch.column(2))
-            starts, ends, first = kernels.words(buf, offsets)
-            h = kernels.word_hashes(buf, starts, ends, lower=True)
+            starts, ends, first = kernels.words(buf, offsets, WORDS)
+            h = kernels.word_hashes(buf, starts, ends, WORDS)
             owner, inside = kernels.window_owner(first, N, len(h))
             at, key = lookup.hits(kernels.sequence_hashes(h, N))
             at, key = at[inside[at]], key[inside[at]]

@@ -39,7 +39,7 @@ def sketches(column, fraction: float = FRACTION, k: int = K) -> list[np.ndarray]
     """For each text the kept shingle hashes, distinct and ascending, as 40-bit integers."""
     buf, offsets = kernels.text_bytes(column)
     starts, ends, first = kernels.words(buf, offsets)
-    h = kernels.word_hashes(buf, starts, ends, lower=True)
+    h = kernels.word_hashes(buf, starts, ends, kernels.LOWER)
     seq = kernels.sequence_hashes(h, k)
     limit = int(fraction * 2**64)
     owner, inside = kernels.window_owner(first, k, len(h))

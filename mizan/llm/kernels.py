@@ -26,18 +26,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(BYTE_SEED)
-    table = rng.integers(0, 2**64, 256, dtype=U64)
-    table[list(_SEPARATORS)] = 0
-    lowered = table.copy()
-    lowered[65:91] = table[97:123]
+class Alphabet:
+    """Which bytes make words, and a random number for each, 0 for the others."""
+
+    def __init__(self, is_word: np.ndarray, lower: bool):
+        self.is_word = is_word
+        self.table = np.random.default_rng(BYTE_SEED).integers(0, 2**64, 256, dtype=U64)
+        self.table[~is_word] = 0
+        if lower:
+            self.table[65:91] = self.table[97:123]
+
+
+def _without(separators) -> np.ndarray:
     is_word = np.ones(256, bool)
-    is_word[list(_SEPARATORS)] = False
-    return table, lowered, is_word
+    is_word[list(separators)] = False
+    return is_word
 
 
-TABLE, LOWERED, IS_WORD = _byte_tables()
+EXACT = Alphabet(_without(_SEPARATORS), lower=False)
+LOWER = Alphabet(_without(_SEPARATORS), lower=True)
+#: Runs of letters and digits, whatever marks stand between them; A-Z lower-cased.
+LETTERS = Alphabet(_without(b for b in range(128) if not chr(b).isalnum()), lower=True)
 _powers = np.ones(1, U64)
 
 
@@ -67,10 +76,10 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = EXACT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and first word of every document (len + 1)."""
     inside = np.zeros(len(buf) + 2, bool)
-    inside[1:-1] = IS_WORD[buf]
+    inside[1:-1] = alphabet.is_word[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
@@ -78,13 +87,13 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of every word's bytes (A-Z lower-cased if asked for)."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, alphabet: Alphabet = EXACT) -> np.ndarray:
+    """A 64-bit hash of every word's bytes, case as the alphabet has it."""
     if not len(starts):
         return np.zeros(0, U64)
     span = np.diff(np.append(starts, ends[-1]))
     at = np.arange(starts[0], ends[-1], dtype=np.int64) - np.repeat(starts, span)
-    values = (LOWERED if lower else TABLE)[buf[starts[0] : ends[-1]]]
+    values = alphabet.table[buf[starts[0] : ends[-1]]]
     values *= powers(int(span.max()) + 1)[at]
     sums = np.add.reduceat(values, starts - starts[0])
     return mix(sums + (ends - starts).astype(U64) * U64(SEQ_BASE))
@@ -116,7 +125,7 @@ def window_owner(first_word: np.ndarray, k: int, n_words: int) -> tuple[np.ndarr
     return owner[:n], owner[:n] == owner[k - 1 : k - 1 + n]
 
 
-def shingle_sets(column, k: int = 5, lower: bool = True) -> list[np.ndarray]:
+def shingle_sets(column, k: int = 5, alphabet: Alphabet = LOWER) -> list[np.ndarray]:
     """Distinct k-word shingle hashes of each text, sorted.
 
     A text with fewer than k words has its whole word sequence as one shingle;
@@ -124,7 +133,7 @@ def shingle_sets(column, k: int = 5, lower: bool = True) -> list[np.ndarray]:
     """
     buf, offsets = text_bytes(column)
     starts, ends, first = words(buf, offsets)
-    h = word_hashes(buf, starts, ends, lower)
+    h = word_hashes(buf, starts, ends, alphabet)
     seq = sequence_hashes(h, k)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):

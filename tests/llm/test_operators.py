@@ -328,7 +328,7 @@ def test_leaks(spark, small):
     exact = {(i, k) for i, t in rows.items() for k, x in items.items() if x in t}
     edited = {(i, k) for i, _, k in extra}
     assert exact <= found and edited <= found
-    assert all(decontamination.align(*[kernels.word_hashes(b, *kernels.words(b, o)[:2], lower=True) for b, o in (kernels.text_bytes(pa.array([x])) for x in (rows.get(i) or dict(x[:2] for x in extra)[i], items[k]))])[0] > 0 for i, k in found)
+    assert all(decontamination.align(*[kernels.word_hashes(b, *kernels.words(b, o, kernels.LETTERS)[:2], kernels.LETTERS) for b, o in (kernels.text_bytes(pa.array([x])) for x in (rows.get(i) or dict(x[:2] for x in extra)[i], items[k]))])[0] > 0 for i, k in found)
     assert len(found) <= len(exact) + len(edited) + 3
 
 
