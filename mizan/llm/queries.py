@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE}
+    return {
+        "op2_warc_zstd": warc.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
+        "op7_minhash_near_dedup": near_dedup.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+    }

@@ -202,3 +202,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(common.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+k AS (SELECT doc_id, unnest(range(len(ws) - 49)) AS p, unnest(list_transform(range(len(ws) - 49), lambda i: array_to_string(ws[i + 1:i + 50], ' '))) AS key FROM w WHERE len(ws) >= 50),
+m AS (SELECT key, min(doc_id) AS low FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT k.doc_id, k.p + o AS pos FROM k JOIN m USING (key), range(50) t(o) WHERE k.doc_id > m.low),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM words x ANTI JOIN c USING (doc_id, pos) GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -254,3 +254,14 @@ def op2_warc_zstd(spark, sf_dir: str) -> DataFrame:
     """Each page through an archive: columns as read back."""
     manifest = write_archives(common.read(spark, sf_dir, "pages"), common.new_folder(spark, "warc"))
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, url, CAST(octet_length(encode(body)) AS BIGINT) AS n, hex, list_transform(range(32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16
+  + greatest(strpos('0123456789abcdef', substr(hex || '0', CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1, 0)) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) AS BIGINT), 1)) AS chars FROM p),
+f AS (SELECT hex, n, min(page_id) AS first_id FROM d GROUP BY 1, 2)
+SELECT d.page_id, d.n AS payload_bytes, array_to_string(chars, '') AS payload_digest, CASE WHEN d.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN d.page_id <> first_id THEN first_id END AS refers_to, d.url FROM d JOIN f USING (hex, n)
+"""

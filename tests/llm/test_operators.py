@@ -439,3 +439,20 @@ def test_pipeline(spark, tmp_path):
     assert got <= clean and len(clean - got) <= 2
     e = tokens.encoder(tokens.default_path())
     assert {r.doc_id: 0 for r in found}.keys() == got and sum(r.length for r in found) == sum(len(e.ids(left[i], 0)) for i in got)
+
+
+@pytest.mark.parametrize("name", ["op2_warc_zstd", "op3_substring_dedup", "op7_minhash_near_dedup", "op10_line_dedup"])
+def test_matches_sql(spark, small, name):
+    import duckdb
+
+    from mizan.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = queries.queries()[name](spark, small)
+    other = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in other.description]
+    assert sorted(df.columns) == sorted(columns)
+    order = sorted(columns)
+    assert sorted(repr([r[c] for c in order]) for r in df.collect()) == sorted(repr([r[columns.index(c)] for c in order]) for r in other.fetchall())
