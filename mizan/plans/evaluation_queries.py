@@ -37,7 +37,7 @@ def nli_macro(spark, sf_dir):
 
 _RANKED = (
     "r AS (SELECT user_id % 40 AS query_id, user_id AS doc_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY sum(value) DESC, user_id) AS position FROM events GROUP BY user_id), "
-    "g AS (SELECT DISTINCT user_id % 40 AS query_id, user_id AS doc_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0)"
+    "g AS (SELECT DISTINCT user_id % 40 AS query_id, user_id AS doc_id FROM events WHERE event_type = 'purchase' AND value > 50)"
 )
 
 
@@ -45,7 +45,7 @@ def _ranked(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     r = e.groupBy("user_id").agg(F.sum("value").alias("v")).select((F.col("user_id") % 40).alias("query_id"), F.col("user_id").alias("doc_id"), "v")
     r = r.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("v"), "doc_id"))).drop("v")
-    return r, e.where("event_type = 'purchase' AND user_id % 3 = 0").select((F.col("user_id") % 40).alias("query_id"), F.col("user_id").alias("doc_id")).distinct()
+    return r, e.where("event_type = 'purchase' AND value > 50").select((F.col("user_id") % 40).alias("query_id"), F.col("user_id").alias("doc_id")).distinct()
 
 
 @query(

@@ -101,14 +101,14 @@ def fts_match(spark, sf_dir):
 
 
 _CHUNK_FTS = (
-    f"{DOCS}, cut AS (SELECT doc_id, CASE WHEN length(markdown_content) <= 1000 THEN [markdown_content] ELSE list_transform(range(0, length(markdown_content), 800), lambda s: substring(markdown_content, s + 1, 1000)) END AS parts FROM docs WHERE doc_id < 400), "
+    f"{DOCS}, cut AS (SELECT doc_id, CASE WHEN length(markdown_content) <= 1000 THEN [markdown_content] ELSE list_transform(range(0, length(markdown_content), 800), lambda s: substring(markdown_content, s + 1, 1000)) END AS parts FROM docs), "
     "ch AS (SELECT CAST(doc_id * 10000 AS BIGINT) + unnest(range(len(parts))) AS chunk, unnest(parts) AS x FROM cut)"
 )
 
 
 @query(f"WITH {_CHUNK_FTS}, {fts_sql('ch', 'chunk')}, l AS (SELECT *, key // 10000 AS doc_id FROM best WHERE position <= 50), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY position) AS rn FROM l) SELECT query_id, doc_id, round(rank, 6) AS rank FROM o WHERE rn = 1")
 def fts_chunk_search(spark, sf_dir):
-    d = documents(spark, sf_dir).where("doc_id < 400")
+    d = documents(spark, sf_dir)
     c = store.chunk_table(d).select((F.col("document_id").cast("long") * 10000 + F.col("chunk_index")).alias("chunk"), text.tokens(F.col("chunk_text")).alias("tokens"))
     found = search.fts(c, _asked(spark), "chunk", threshold=None, clean=False).withColumn("doc_id", F.floor(F.col("chunk") / 10000))
     from mizan.operators.evaluation import first_of

@@ -98,17 +98,17 @@ def digest_top_categories(spark, sf_dir):
     return series.top_categories(_recent(spark, sf_dir).withColumn("pos", F.col("o_orderkey")))
 
 
-@query("WITH k AS (SELECT url FROM pages WHERE page_id % 3 <> 0), c AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '' ELSE url END AS url FROM pages) SELECT page_id, url FROM c WHERE url <> '' AND url NOT IN (SELECT url FROM k)")
+@query("WITH k AS (SELECT url FROM pages WHERE url LIKE 'https%'), c AS (SELECT page_id, CASE WHEN url LIKE '%#top' THEN '' ELSE url END AS url FROM pages) SELECT page_id, url FROM c WHERE url <> '' AND url NOT IN (SELECT url FROM k)")
 def update_detection(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
-    current = p.select("page_id", F.when(F.col("page_id") % 10 == 0, "").otherwise(F.col("url")).alias("url"))
-    return series.new_items(p.where("page_id % 3 <> 0").select("url"), current)
+    current = p.select("page_id", F.when(F.col("url").endswith("#top"), "").otherwise(F.col("url")).alias("url"))
+    return series.new_items(p.where("url LIKE 'https%'").select("url"), current)
 
 
-@query("WITH k AS (SELECT url FROM pages WHERE page_id % 3 <> 0), n AS (SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM k) ORDER BY url LIMIT 10) SELECT url FROM k UNION SELECT url FROM n")
+@query("WITH k AS (SELECT url FROM pages WHERE url LIKE 'https%'), n AS (SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM k) ORDER BY url LIMIT 10) SELECT url FROM k UNION SELECT url FROM n")
 def update_baseline(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("url", "page_id")
-    return series.baseline(p.where("page_id % 3 <> 0"), p, only_first=10)
+    return series.baseline(p.where("url LIKE 'https%'"), p, only_first=10)
 
 
 @query(

@@ -12,6 +12,10 @@ from mizan.sources.tables import DOCS, documents, read
 NOW = 1.71e9
 LEN_TRIM = "regexp_replace(markdown_content, '[\\s\\p{Z}]+', '', 'g')"
 
+def _labelled(spark, sf_dir, where="true"):
+    return read(spark, sf_dir, "labels").where(where).select(F.col("doc_id").cast("string").alias("document_id"))
+
+
 #: SQL of the chunk table over docs.
 CHUNKS = (
     f"{DOCS}, cut AS (SELECT document_id, category, sha256(markdown_content) AS content_hash, "
@@ -129,19 +133,19 @@ def docs_without_chunks(spark, sf_dir):
     return store.without_chunks(documents(spark, sf_dir), have).select("document_id")
 
 
-@query(f"WITH {CHUNKS}, few AS (SELECT document_id, count(*) AS cnt FROM chunks WHERE chunk_index % 2 = 0 GROUP BY 1) SELECT d.document_id, coalesce(cnt, 0) AS cnt FROM docs d LEFT JOIN few USING (document_id) WHERE length(markdown_content) > 1000 AND coalesce(cnt, 0) <= 1")
+@query(f"WITH {CHUNKS}, few AS (SELECT document_id, count(*) AS cnt FROM chunks WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) GROUP BY 1) SELECT d.document_id, coalesce(cnt, 0) AS cnt FROM docs d LEFT JOIN few USING (document_id) WHERE length(markdown_content) > 1000 AND coalesce(cnt, 0) <= 1")
 def thin_chunks(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return store.thin_chunks(d, store.chunk_table(d).where("chunk_index % 2 = 0"))
+    return store.thin_chunks(d, store.chunk_table(d).join(_labelled(spark, sf_dir), "document_id", "left_anti"))
 
 
-_HASHED = f"{DOCS}, a AS (SELECT document_id, sha256(markdown_content) AS content_hash, doc_id FROM docs), b AS (SELECT document_id, CASE WHEN doc_id % 7 = 0 THEN 'x' WHEN doc_id % 11 = 0 THEN NULL ELSE content_hash END AS content_hash FROM a WHERE doc_id % 13 <> 0)"
+_HASHED = f"{DOCS}, a AS (SELECT document_id, sha256(markdown_content) AS content_hash, doc_id FROM docs), b AS (SELECT document_id, CASE WHEN doc_id % 7 = 0 THEN 'x' WHEN doc_id % 11 = 0 THEN NULL ELSE content_hash END AS content_hash FROM a WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 
 
 def _hashed(spark, sf_dir):
     a = documents(spark, sf_dir).select("document_id", text.content_hash(F.col("markdown_content")).alias("content_hash"), "doc_id", "markdown_content")
     changed = F.when(F.col("doc_id") % 7 == 0, "x").when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("content_hash"))
-    return a, a.where("doc_id % 13 <> 0").withColumn("content_hash", changed)
+    return a, a.join(_labelled(spark, sf_dir, "toxic = 1"), "document_id", "left_anti").withColumn("content_hash", changed)
 
 
 @query(f"WITH {_HASHED} SELECT a.document_id FROM a LEFT JOIN b USING (document_id) WHERE b.document_id IS NULL OR coalesce(a.content_hash, '') <> coalesce(b.content_hash, '')")
@@ -189,13 +193,13 @@ def archive_versions(spark, sf_dir):
     return store.archived(b, a, versions, NOW).select("document_id", "version", "content_hash")
 
 
-_TWO = f"{DOCS}, old AS (SELECT document_id, title, CASE WHEN doc_id % 2 = 0 THEN category END AS blob FROM docs WHERE doc_id % 3 <> 0), new AS (SELECT document_id, 'new ' || title AS title, CASE WHEN doc_id % 5 = 0 THEN 'b' END AS blob FROM docs WHERE doc_id % 4 = 0)"
+_TWO = f"{DOCS}, old AS (SELECT document_id, title, CASE WHEN doc_id % 2 = 0 THEN category END AS blob FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), new AS (SELECT document_id, 'new ' || title AS title, CASE WHEN doc_id % 5 = 0 THEN 'b' END AS blob FROM docs WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
 def _two(spark, sf_dir):
     d = documents(spark, sf_dir)
-    old = d.where("doc_id % 3 <> 0").select("document_id", "title", F.when(F.col("doc_id") % 2 == 0, F.col("category")).alias("blob"))
-    new = d.where("doc_id % 4 = 0").select("document_id", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit("b")).alias("blob"))
+    old = d.join(_labelled(spark, sf_dir, "toxic = 1"), "document_id", "left_anti").select("document_id", "title", F.when(F.col("doc_id") % 2 == 0, F.col("category")).alias("blob"))
+    new = d.join(_labelled(spark, sf_dir), "document_id", "left_semi").select("document_id", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit("b")).alias("blob"))
     return old, new
 
 
@@ -210,11 +214,11 @@ def insert_if_absent(spark, sf_dir):
     return store.insert_absent(*_two(spark, sf_dir))
 
 
-@query(f"WITH {CHUNKS}, own AS (SELECT document_id, chunk_index, chunk_text FROM chunks), n AS (SELECT document_id, CAST(0 AS BIGINT) AS chunk_index, 'new ' || title AS chunk_text FROM docs WHERE doc_id % 10 = 0) SELECT * FROM own WHERE document_id NOT IN (SELECT document_id FROM n) UNION ALL SELECT * FROM n")
+@query(f"WITH {CHUNKS}, own AS (SELECT document_id, chunk_index, chunk_text FROM chunks), n AS (SELECT document_id, CAST(0 AS BIGINT) AS chunk_index, 'new ' || title AS chunk_text FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT * FROM own WHERE document_id NOT IN (SELECT document_id FROM n) UNION ALL SELECT * FROM n")
 def replace_chunks(spark, sf_dir):
     d = documents(spark, sf_dir)
     own = store.chunk_table(d).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
-    new = d.where("doc_id % 10 = 0").select("document_id", F.lit(0).cast("long").alias("chunk_index"), F.concat(F.lit("new "), "title").alias("chunk_text"))
+    new = d.join(_labelled(spark, sf_dir, "toxic = 1"), "document_id", "left_semi").select("document_id", F.lit(0).cast("long").alias("chunk_index"), F.concat(F.lit("new "), "title").alias("chunk_text"))
     return store.replace_children(own, new)
 
 
@@ -230,9 +234,9 @@ def migration_candidates(spark, sf_dir):
     return store.missing_for_migration(documents(spark, sf_dir), have)
 
 
-@query(f"WITH {DOCS} SELECT document_id FROM docs WHERE doc_id < 100 UNION SELECT CAST(doc_id AS VARCHAR) FROM labels")
+@query(f"WITH {DOCS} SELECT document_id FROM docs UNION SELECT CAST(doc_id AS VARCHAR) FROM labels")
 def all_ids_union(spark, sf_dir):
-    a = documents(spark, sf_dir).where("doc_id < 100").select("document_id")
+    a = documents(spark, sf_dir).select("document_id")
     return a.union(read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string"))).distinct()
 
 

@@ -21,11 +21,11 @@ def quoted(values) -> str:
 
 
 @query(
-    f"WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{{L}}]+')) AS word FROM documents WHERE doc_id < 200 UNION SELECT * FROM (VALUES {quoted(WORDS)}) t(word)) "
+    f"WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^\\p{{L}}]+')) AS word FROM documents UNION SELECT * FROM (VALUES {quoted(WORDS)}) t(word)) "
     f"SELECT word, {FOLD.format('word')} AS folded, {STEM.format(FOLD.format('word'))} AS stem FROM w WHERE word <> ''"
 )
 def turkish_fold_stem(spark, sf_dir):
-    own = read(spark, sf_dir, "documents").where("doc_id < 200").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
+    own = read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
     w = own.union(spark.createDataFrame([(x,) for x in WORDS], "word string")).distinct().where("word <> ''")
     folded = text.lower_tr(F.col("word"))
     return w.select("word", folded.alias("folded"), text.stem_tr(folded).alias("stem"))
@@ -246,9 +246,9 @@ def content_gate(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", ((F.length(x) >= 200) & ~x.rlike(r"(?i)<form>\s*</form>")).alias("accepted"))
 
 
-@query(f"WITH x AS (SELECT doc_id, text || ' ÇİZGİ' AS t FROM documents WHERE doc_id < 300) SELECT doc_id, list_filter(string_split_regex(lower(translate(t, '{ACCENTS[0]}', '{ACCENTS[1]}')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS tokens FROM x")
+@query(f"WITH x AS (SELECT doc_id, text || ' ÇİZGİ' AS t FROM documents) SELECT doc_id, list_filter(string_split_regex(lower(translate(t, '{ACCENTS[0]}', '{ACCENTS[1]}')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS tokens FROM x")
 def fts_tokens(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id < 300")
+    d = read(spark, sf_dir, "documents")
     return d.select("doc_id", text.tokens(F.concat("text", F.lit(" ÇİZGİ"))).alias("tokens"))
 
 

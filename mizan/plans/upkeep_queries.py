@@ -11,6 +11,15 @@ from mizan.plans.registry import query
 from mizan.plans.store_queries import _FAILURES, CHUNKS, _failures
 from mizan.sources.tables import DOCS, documents, read
 
+def _labelled(spark, sf_dir, where="true"):
+    return read(spark, sf_dir, "labels").where(where).select(F.col("doc_id").cast("string").alias("document_id"))
+
+
+def _unlabelled_chunks(spark, sf_dir, docs):
+    """Chunks of a store that misses the labelled documents."""
+    return store.chunk_table(docs).join(_labelled(spark, sf_dir), "document_id", "left_anti")
+
+
 _PDF = b"%PDF-" + b"x" * 600
 
 
@@ -47,28 +56,28 @@ def formula_methods(spark, sf_dir):
 _HEALTH = (
     ", e AS (SELECT document_id, count(*) AS cnt FROM chunks WHERE doc_id_even GROUP BY 1) SELECT count(*) AS documents, count(*) FILTER (WHERE length(markdown_content) < 100) AS too_short, 0 AS corrupted, round(count(*) / 2000.0 * 100, 1) AS coverage, "
     "(SELECT count(*) FROM docs d LEFT JOIN e USING (document_id) WHERE length(markdown_content) > 1000 AND coalesce(cnt, 0) <= 1) AS missing_chunks, (SELECT count(*) FROM failures) AS failures, (SELECT count(*) FROM failures WHERE retryable) AS retryable FROM docs"
-).replace("doc_id_even", "chunk_index % 2 = 0")
+).replace("doc_id_even", "document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")
 
 
 @query(_FAILURES + f", {CHUNKS}" + _HEALTH.replace("round(count(*) / 2000.0 * 100, 1)", "round(CAST(count(*) AS DOUBLE) / 2000 * 100, 1)").replace("0 AS corrupted", "CAST(0 AS BIGINT) AS corrupted"))
 def document_health(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return reports.document_health(d, store.chunk_table(d).where("chunk_index % 2 = 0"), _failures(spark, sf_dir), 2000)
+    return reports.document_health(d, _unlabelled_chunks(spark, sf_dir, d), _failures(spark, sf_dir), 2000)
 
 
 @query(
-    f"WITH {CHUNKS}, some_chunks AS (SELECT * FROM chunks WHERE chunk_index % 2 = 1) SELECT 'short_content' AS signal, count(*) AS n FROM docs WHERE length(markdown_content) < 500 UNION ALL "
+    f"WITH {CHUNKS}, some_chunks AS (SELECT * FROM chunks WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)) SELECT 'short_content' AS signal, count(*) AS n FROM docs WHERE length(markdown_content) < 500 UNION ALL "
     "SELECT 'docs_without_chunks', count(*) FROM docs WHERE length(markdown_content) > 500 AND document_id NOT IN (SELECT document_id FROM some_chunks) UNION ALL SELECT 'orphan_chunks', count(*) FROM some_chunks WHERE document_id NOT IN (SELECT document_id FROM docs)"
 )
 def quality_report(spark, sf_dir):
     d = documents(spark, sf_dir)
-    return reports.quality_report(d, store.chunk_table(d).where("chunk_index % 2 = 1")).where("signal IN ('short_content', 'docs_without_chunks', 'orphan_chunks')")
+    return reports.quality_report(d, _unlabelled_chunks(spark, sf_dir, d)).where("signal IN ('short_content', 'docs_without_chunks', 'orphan_chunks')")
 
 
-@query(f"WITH {DOCS} SELECT document_id, CASE WHEN doc_id % 3 <> 0 THEN 'old' END AS method_before, extraction_method AS method_after, CAST(length(markdown_content) - CASE WHEN doc_id % 3 <> 0 THEN length(title) ELSE 0 END AS INT) AS chars_delta FROM docs")
+@query(f"WITH {DOCS} SELECT document_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'old' END AS method_before, extraction_method AS method_after, CAST(length(markdown_content) - CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN length(title) ELSE 0 END AS INT) AS chars_delta FROM docs")
 def before_after_compare(spark, sf_dir):
     d = documents(spark, sf_dir)
-    before = d.where("doc_id % 3 <> 0").select("document_id", F.col("title").alias("markdown_content"), F.lit("old").alias("extraction_method"))
+    before = d.join(_labelled(spark, sf_dir), "document_id", "left_semi").select("document_id", F.col("title").alias("markdown_content"), F.lit("old").alias("extraction_method"))
     return reports.before_after(before, d).select("document_id", "method_before", "method_after", "chars_delta")
 
 
@@ -103,18 +112,18 @@ def edit_script(spark, sf_dir):
     return maintenance.edited(docs, spark.createDataFrame(edits, "document_id string, step int, kind string, anchor string, new string"))
 
 
-@query(f"WITH {DOCS} SELECT document_id, CASE WHEN doc_id % 50 = 0 THEN sha256('yeni ' || document_id) ELSE sha256(markdown_content) END AS content_hash FROM docs")
+@query(f"WITH {DOCS} SELECT document_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN sha256('yeni ' || document_id) ELSE sha256(markdown_content) END AS content_hash FROM docs")
 def patch_documents(spark, sf_dir):
     d = documents(spark, sf_dir).select("document_id", "category", "markdown_content").withColumn("content_hash", text.content_hash(F.col("markdown_content")))
-    new = documents(spark, sf_dir).where("doc_id % 50 = 0 OR doc_id % 51 = 0")
-    content = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("başlık\n---\n yeni "), "document_id")).otherwise(F.lit("$$ kapanmadı"))
-    docs, _, _ = maintenance.patched(d, store.chunk_table(d), new.select("document_id", content.alias("content")))
+    good = _labelled(spark, sf_dir, "toxic = 1").withColumn("content", F.concat(F.lit("başlık\n---\n yeni "), "document_id"))
+    broken = _labelled(spark, sf_dir, "toxic = 0").withColumn("content", F.lit("$$ kapanmadı"))
+    docs, _, _ = maintenance.patched(d, store.chunk_table(d), good.union(broken))
     return docs.select("document_id", "content_hash")
 
 
-@query(f"WITH {CHUNKS} SELECT document_id, chunk_index, true AS unit FROM chunks WHERE document_id IN ('1', '2', '3')")
+@query(f"WITH {CHUNKS} SELECT document_id, chunk_index, true AS unit FROM chunks")
 def fill_embeddings(spark, sf_dir):
-    c = store.chunk_table(documents(spark, sf_dir).where("document_id IN ('1', '2', '3')")).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text", F.lit(None).cast("array<float>").alias("embedding"))
+    c = store.chunk_table(documents(spark, sf_dir)).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text", F.lit(None).cast("array<float>").alias("embedding"))
     done = maintenance.with_embeddings(c, maintenance.embedder(maintenance.hashed_embedding))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     return done.select("document_id", "chunk_index", (F.abs(norm - 1) < 1e-4).alias("unit"))
