@@ -1,8 +1,9 @@
 """Surrogates for personal data (operator 1).
 
 Detected: e-mail addresses, telephone numbers, payment cards (with a valid
-check digit), IPv4 addresses, values assigned to passwords, tokens and keys, and names after a
-form of address. Each distinct entity gets a surrogate drawn from a keyed hash
+check digit), bank accounts (IBAN with valid check digits), US social security
+numbers, IPv4 addresses, values assigned to passwords, tokens and keys, and
+names after a form of address. Each distinct entity gets a surrogate drawn from a keyed hash
 of its normal form: of the same type, length, separators, letter case and
 script, with a valid check digit for cards, and for names of the gender that
 the form of address tells. The same entity, also written with other separators
@@ -53,6 +54,8 @@ _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25
 _CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|\.\d)")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)")
 _SECRET = re.compile(r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s?[=:]\s?(\"[^\"\s]{8,}\"|'[^'\s]{8,}'|[^\s\"',;]{8,})")
+_SSN = re.compile(r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DIGITS = re.compile(r"\D+")
 
 
@@ -65,6 +68,11 @@ def check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def account_remainder(country: str, check: str, body: str) -> int:
+    """The account number modulo 97, letters as 10 to 35; 1 if its check digits are right."""
+    return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
+
+
 def script_of(word: str) -> str:
     c = word[-1].lower()
     return "cyrillic" if "а" <= c <= "ё" else "greek" if "ά" <= c <= "ώ" else "latin"
@@ -89,6 +97,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             digits = _DIGITS.sub("", m[0])
             if digits[-1] == check_digit(digits[:-1]) and len(set(digits)) > 1:
                 found.append((m.start(), m.end(), "card", digits))
+        found += [(m.start(), m.end(), "ssn", _DIGITS.sub("", m[0])) for m in _SSN.finditer(text)]
+        for m in _IBAN.finditer(text):
+            plain = m[0].replace(" ", "")
+            if account_remainder(plain[:2], plain[2:4], plain[4:]) == 1:
+                found.append((m.start(), m.end(), "iban", plain))
         found += [(m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "") + _DIGITS.sub("", m[0])) for m in _PHONE.finditer(text)]
     if any(x in text for x in MALE) or any(x in text for x in FEMALE):
         for m in _NAME.finditer(text):
@@ -98,8 +111,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 kind = "surname" if i == len(words) - 1 else f"name-{gender}"
                 found.append((at, at + len(word), kind, word.lower()))
                 at += len(word) + 1
-    order = {"secret": 0, "email": 1, "ipv4": 2, "card": 3, "phone": 4}
-    found.sort(key=lambda x: (x[0], order.get(x[2], 5), -x[1]))
+    order = {"secret": 0, "email": 1, "iban": 2, "ipv4": 3, "card": 4, "ssn": 5, "phone": 6}
+    found.sort(key=lambda x: (x[0], order.get(x[2], 7), -x[1]))
     out, end = [], -1
     for x in found:
         if x[0] >= end:
@@ -126,8 +139,8 @@ class Draw:
         return choices[self.below(len(choices))]
 
     def like(self, text: str) -> str:
-        """Letters for letters, digits for digits, the rest as it is."""
-        hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None
+        """Letters for letters, digits for digits, the rest as it is; long hexadecimal numbers stay such."""
+        hexadecimal = re.fullmatch(r"(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]{8,}|[0-9A-F]{8,})", text) is not None
         out = []
         for c in text:
             if hexadecimal:
@@ -173,6 +186,11 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     if kind == "card":
         body = norm[0] + "".join(draw.pick("0123456789") for _ in norm[1:-1])
         return body + check_digit(body)
+    if kind == "iban":
+        body = draw.like(norm[4:])
+        return norm[:2] + f"{98 - account_remainder(norm[:2], '00', body):02d}" + body
+    if kind == "ssn":
+        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
     if kind == "phone":
         kept = min(3, max(1, len(norm) - 11)) + 1 if norm[0] == "+" else 0
         rest = norm[kept:]
@@ -184,11 +202,11 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
 
 def render(mention: str, kind: str, value: str) -> str:
     """A surrogate's normal form in the mention's separators and case."""
-    if kind in ("card", "phone"):
-        digits, out = iter(value.lstrip("+")), []
+    if kind in ("card", "iban", "phone", "ssn"):
+        signs, out = iter(value.lstrip("+")), []
         for c in mention:
-            out.append(next(digits, "") if c.isdigit() else c)
-        return "".join(out) + "".join(digits)
+            out.append(next(signs, "") if c.isalnum() else c)
+        return "".join(out) + "".join(signs)
     if kind == "email" and mention != mention.lower():
         return value.upper() if mention == mention.upper() else "".join(v.upper() if i < len(mention) and mention[i].isupper() else v for i, v in enumerate(value))
     if kind == "surname" or kind.startswith("name-"):

@@ -382,6 +382,7 @@ MENTIONS = [
     (2, "ali.can42@mail.example.com again; +1-415-555-0132; 4111-1111-1111-1111 and 85.12.3.204"),
     (3, "Mr. John Smith met Mrs. Jane Smith. Mr. Smith left. Господин Иван Петров."),
     (4, 'token = "0a1b2c3d4e5f60718293" password=hunter2hunter2'),
+    (6, "IBAN DE89 3704 0044 0532 0130 00, wrong DE88 3704 0044 0532 0130 00, SSN 123-45-6789 and 000-12-3456"),
     (5, "No data: 1234 5678 9012 3456, version 1.2.3.4.5, Mr and 12:30."),
 ]
 
@@ -389,8 +390,11 @@ MENTIONS = [
 def test_surrogates(spark):
     out = {r.doc_id: r for r in surrogates.with_surrogates(spark.createDataFrame(MENTIONS, "doc_id long, text string"), b"k1").collect()}
     kinds = {i: [e.type for e in r.entities] for i, r in out.items()}
-    assert kinds == {1: ["email", "phone", "card", "ipv4"], 2: ["email", "phone", "card", "ipv4"], 3: ["name-m", "surname", "name-f", "surname", "surname", "name-m", "surname"], 4: ["secret", "secret"], 5: []}
-    assert out[5].text == MENTIONS[4][1]
+    assert kinds == {1: ["email", "phone", "card", "ipv4"], 2: ["email", "phone", "card", "ipv4"], 3: ["name-m", "surname", "name-f", "surname", "surname", "name-m", "surname"], 4: ["secret", "secret"], 5: [], 6: ["iban", "ssn"]}
+    assert out[5].text == MENTIONS[5][1]
+    account = out[6].entities[0].surrogate
+    assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", account) and surrogates.account_remainder("DE", account[2:4], account[4:].replace(" ", "")) == 1
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", out[6].entities[1].surrogate) and "DE88 3704 0044 0532 0130 00" in out[6].text and "000-12-3456" in out[6].text
     one, two = ({e.type: e.surrogate for e in out[i].entities} for i in (1, 2))
     assert one["email"].lower() == two["email"] and one["ipv4"] == two["ipv4"]
     assert re.sub(r"\D", "", one["card"]) == re.sub(r"\D", "", two["card"]) and re.sub(r"\D", "", one["phone"]) == re.sub(r"\D", "", two["phone"])
@@ -399,7 +403,7 @@ def test_surrogates(spark):
     assert digits[-1] == surrogates.check_digit(digits[:-1])
     names = [e.surrogate for e in out[3].entities]
     assert names[1] == names[3] == names[4] and names[0] != names[2] and re.fullmatch("[А-Я][а-я]+", names[5])
-    for _, text in MENTIONS[:4]:
+    for _, text in MENTIONS[:5]:
         for part in ("Can42", "can42", "555-0132", "1111 1111", "85.12.3.204", "Smith", "John", "Петров", "hunter2", "0a1b2c"):
             assert not any(part in r.text for r in out.values()) or part not in text
     other = {r.doc_id: r.text for r in surrogates.with_surrogates(spark.createDataFrame(MENTIONS, "doc_id long, text string"), b"k2").collect()}
