@@ -12,8 +12,16 @@ LATEX_MARKERS = (r"_\{[^}]+\}", r"\^\{[^}]+\}", r"\\frac", r"\\sum", r"\\Delta",
 FORMULA_INTROS = ("aşağıdaki formül", "formül ile hesaplanır", "formülü ile hesaplanır", "aşağıdaki formüle göre", "aşağıdaki formül yoluyla", "aşağıda yer alan korelasyon formülü")
 SIGNAL_WEIGHTS = {"S1": 1, "S2": 3, "S3": 5, "S4": 1, "S5": 3}
 
+# Shapes of formulas, broken image references, dangling definitions, the definition word and a bullet after it.
 _BLOCK = r"\$\$[^$]{1,600}\$\$"
 _INLINE = r"(?<!\$)\$[^$\n]{1,200}\$(?!\$)"
+_BROKEN_IMAGE = r"_dosyalar/image\d+\.(?:gif|png)"
+_DANGLING = r"(?m)^\s{5,}:\s+\S"
+_DEFINITION = r"Formülde[,;:]"
+_DEFINED_BULLET = r"Formülde[,:]\s*\n+\s*[-•]\s"
+# Empty form blocks and image references.
+EMPTY_FORM = r"(?i)<form>\s*</form>"
+IMAGE_REFERENCES = (r"!\[[^\]]*\]\([^)]+\)", r"(?i)<img\s+[^>]*src=[^>]+>")
 
 
 def _count(x: Column, pattern: str) -> Column:
@@ -44,9 +52,9 @@ def text_metrics(x: Column) -> Column:
     """Struct of form_drops, latex_markers and image_refs."""
     x = F.coalesce(x, F.lit(""))
     return F.struct(
-        _count(x, r"(?i)<form>\s*</form>").alias("form_drops"),
+        _count(x, EMPTY_FORM).alias("form_drops"),
         _count(x, "|".join(LATEX_MARKERS)).alias("latex_markers"),
-        (_count(x, r"!\[[^\]]*\]\([^)]+\)") + _count(x, r"(?i)<img\s+[^>]*src=[^>]+>")).alias("image_refs"),
+        (_count(x, IMAGE_REFERENCES[0]) + _count(x, IMAGE_REFERENCES[1])).alias("image_refs"),
     )
 
 
@@ -68,14 +76,13 @@ def formula_signals(x: Column, method: Column) -> Column:
     """
     # the look-ahead keeps the gap in the match, so that adjacent introductions count each
     intro = rf"(?iu)(?:{'|'.join(FORMULA_INTROS)})(?=([\s\S]{{0,250}}))"
-    gaps = F.transform(F.regexp_extract_all(x, F.lit(intro), F.lit(1)), lambda g: F.regexp_extract(g, r"(?iu)^([\s\S]*?)Formülde[,;:]", 0))
+    gaps = F.transform(F.regexp_extract_all(x, F.lit(intro), F.lit(1)), lambda g: F.regexp_extract(g, rf"(?iu)^([\s\S]*?){_DEFINITION}", 0))
     s2 = F.size(F.filter(gaps, lambda g: (g != "") & ~g.rlike(_BLOCK) & ~g.rlike(_INLINE)))
     # text before each marker: pieces of the split, of which the last 200 characters count
-    marker = r"Formülde[,:]\s*\n+\s*[-•]\s"
-    pieces = F.split(x, marker, -1)
+    pieces = F.split(x, _DEFINED_BULLET, -1)
     before = F.slice(pieces, 1, F.size(pieces) - 1)
     s5 = F.size(F.filter(before, lambda p: ~F.substring(p, F.greatest(F.length(p) - 199, F.lit(1)), F.lit(200)).rlike(_BLOCK)))
-    s3, s4 = _count(x, r"_dosyalar/image\d+\.(?:gif|png)"), _count(x, r"(?m)^\s{5,}:\s+\S")
+    s3, s4 = _count(x, _BROKEN_IMAGE), _count(x, _DANGLING)
     some = (s2 + s3 + s4 + s5) > 0
     s1 = F.when(some & ~F.contains(F.coalesce(method, F.lit("")), F.lit("manual_latex")), 1).otherwise(0)
     signals = {"S1": s1, "S2": s2, "S3": s3, "S4": s4, "S5": s5}

@@ -21,12 +21,13 @@ C1_TO_PRINTABLE = {
 # Texts that only error and navigation pages hold.
 ERROR_PAGE_TEXTS = ("Mevzuat TürüKanunlar", "Mevzuat TuruKanunlar", "404 - Sayfa Bulunamadı", "404 - Sayfa Bulunamadi", "Sayfa Bulunamadı")
 
-#: Accented letters and what full-text search folds them to, before lower-casing.
-ACCENTS = ("çğıöşüÇĞİÖŞÜâîûÂÎÛéèêëáàäóòôñíìúùÉÈÊËÁÀÄÓÒÔÑÍÌÚÙ", "cgiosuCGIOSUaiuAIUeeeeaaaoooniiuuEEEEAAAOOONIIUU")
-
+# Sizes of pages and chunks, in characters.
 PAGE_CHARS = 5000
 CHUNK_CHARS, CHUNK_OVERLAP = 1000, 200
 
+#: Accented letters and what full-text search folds them to, before lower-casing.
+ACCENTS = ("çğıöşüÇĞİÖŞÜâîûÂÎÛéèêëáàäóòôñíìúùÉÈÊËÁÀÄÓÒÔÑÍÌÚÙ", "cgiosuCGIOSUaiuAIUeeeeaaaoooniiuuEEEEAAAOOONIIUU")
+
 
 def lower_tr(x: Column) -> Column:
     """Lower case by Turkish rules."""
@@ -101,13 +102,16 @@ def collapse_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, "[ \\t\\r\\n​  ]+", " "))
 
 
+# Repairs of bold marks next to white space, in order, groups as $1.
+EMPHASIS_REPAIRS = ((r"(^|\s)\*\*(\s+)", "$1$2**"), (r"(\s+)\*\*(\s|$)", "**$1$2"), (r"\*\*\s+\*\*", " "))
+
+
 def fix_emphasis(x: Column) -> Column:
     """Collapse doubled bold marks and move white space out of them."""
-    x = F.regexp_replace(x, r"\*\*\*\*", "")
-    x = collapse_space(x)
-    x = F.regexp_replace(x, r"(^|\s)\*\*(\s+)", "$1$2**")
-    x = F.regexp_replace(x, r"(\s+)\*\*(\s|$)", "**$1$2")
-    return collapse_space(F.regexp_replace(x, r"\*\*\s+\*\*", " "))
+    x = collapse_space(F.regexp_replace(x, r"\*\*\*\*", ""))
+    for pattern, new in EMPHASIS_REPAIRS:
+        x = F.regexp_replace(x, pattern, new)
+    return collapse_space(x)
 
 
 # Ordinals of section headings.

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from mizan.functions import markdown, text, urls
 
+# Addresses of documents, decisions and announcements, and the title of a dated decision.
+DOCUMENT_LINK, DECISION_LINK, DETAIL_LINK, NEWS_LINK = r"/DokumanGetir/(\d+)", r"/Mevzuat/DokumanGetir/(\d+)", "/Mevzuat/Detay/", r"/Duyuru/Detay/\d+"
+DATED_TITLE = r"^\((\d{2}[./]\d{2}[./]\d{4})\s*[-–—]\s*(\d+)\)\s*(.*)"
+
 _ANCHOR = r"(?is)<a\b[^>]*?\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
 
 
@@ -31,10 +35,10 @@ def links(found: DataFrame, base: str, category: Column, key: str = "page_id") -
     The id is the number in the path, else that of a known external address;
     others drop.
     """
-    some = found.where((F.col("text") != "") & ~F.contains("href", F.lit("/Mevzuat/Detay/")))
+    some = found.where((F.col("text") != "") & ~F.contains("href", F.lit(DETAIL_LINK)))
     first = F.row_number().over(Window.partitionBy(key, "href").orderBy("pos"))
     some = some.withColumn("rn", first).where("rn = 1")
-    number = F.regexp_extract("href", r"/DokumanGetir/(\d+)", 1)
+    number = F.regexp_extract("href", DOCUMENT_LINK, 1)
     outside = F.when(F.col("href").startswith("http"), urls.external_id(F.col("href")))
     some = some.withColumn("document_id", F.when(number != "", number).otherwise(outside)).where(F.col("document_id").isNotNull())
     source = F.when(F.col("href").startswith("/"), F.concat(F.lit(base), F.col("href"))).otherwise(F.col("href"))
@@ -59,8 +63,8 @@ def accordion_pages(pages: DataFrame, base: str, categories: dict[str, str]) ->
 
 def decisions(found: DataFrame, category: str, template: str, key: str = "page_id") -> DataFrame:
     """Decision anchors: (date - number) title, or the whole text as the title."""
-    shape = r"^\((\d{2}[./]\d{2}[./]\d{4})\s*[-–—]\s*(\d+)\)\s*(.*)"
-    number = F.regexp_extract("href", r"/Mevzuat/DokumanGetir/(\d+)", 1)
+    shape = DATED_TITLE
+    number = F.regexp_extract("href", DECISION_LINK, 1)
     some = found.where((number != "") & (F.col("text") != ""))
     before, after = template.split("{}")
     dated = F.col("text").rlike(shape)
@@ -75,7 +79,7 @@ def announcements(pages: DataFrame, base: str, key: str = "page_id") -> DataFram
     """Announcement anchors: date span, title span (else the whole text) without the date, whole address; empty titles go."""
     hrefs, inner = (F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(i)) for i in (1, 2))
     found = pages.select(key, F.posexplode(F.arrays_zip(hrefs.alias("href"), inner.alias("inner"))).alias("pos", "a")).select(key, "pos", "a.*")
-    found = found.where(F.col("href").rlike(r"/Duyuru/Detay/\d+"))
+    found = found.where(F.col("href").rlike(NEWS_LINK))
     span = lambda cls: plain(F.regexp_extract("inner", rf"(?is)<span\b[^>]*class=[\"'][^\"']*\b{cls}\b[^\"']*[\"'][^>]*>(.*?)</span>", 1))
     found = found.withColumn("date", span("gorunenTarih")).withColumn("titled", span("text"))
     title = F.when(F.col("titled") != "", F.col("titled")).otherwise(plain(F.col("inner")))
