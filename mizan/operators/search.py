@@ -109,11 +109,9 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
     """
     term = text.clean_query(F.col("query")) if clean else F.col("query")
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(term))).alias("term"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
     at = docs.select(F.col(key).alias("key"), F.posexplode("tokens").alias("pos", "term"))
-    hits = at.join(F.broadcast(terms), "term").select("query_id", "key", "pos", "term")
-    full = hits.groupBy("query_id", "key").agg(F.count_distinct("term").alias("n")).join(F.broadcast(need), "query_id").where("n = need")
-    ranked = cover_density(hits.join(full.select("query_id", "key"), ["query_id", "key"]), terms)
+    # a document that lacks a term has no cover, and so no rank
+    ranked = cover_density(at.join(F.broadcast(terms), "term").select("query_id", "key", "pos", "term"), terms)
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "key")
     best = ranked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
     if threshold is not None:
@@ -129,11 +127,18 @@ def headline(tokens: Column, terms: list[str], before: int = 10, words: int = 30
     return F.array_join(F.transform(cut, lambda t: F.when(t.isin(*terms), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t)), " ")
 
 
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double precision."""
-    double = lambda x: F.transform(x, lambda v: v.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(double(x), double(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    a, b = a.cast("array<double>"), b.cast("array<double>")
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, category: str | None = None) -> DataFrame:
@@ -143,8 +148,10 @@ def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, category: s
     document, then the limit.
     """
     some = chunks if category is None else chunks.where(F.col("category") == category)
-    near = some.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q"))))
-    near = near.withColumn("distance", F.round(1 - cosine(F.col("embedding"), F.col("q")), 12))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).withColumn("q_norm", norm(F.col("q")))
+    own = some.select("doc_id", "chunk_index", "category", F.col("embedding").cast("array<double>").alias("e"))
+    near = own.crossJoin(F.broadcast(asked))
+    near = near.withColumn("distance", F.round(1 - F.try_divide(dot(F.col("e"), F.col("q")), norm(F.col("e")) * F.col("q_norm")), 12))
     fetch = min(VECTOR_FETCH_FACTOR * limit, VECTOR_FETCH_MAX)
     order = Window.partitionBy("query_id").orderBy("distance", "doc_id", "chunk_index")
     near = near.select("query_id", "doc_id", "chunk_index", "category", "distance").withColumn("at", F.row_number().over(order)).where(F.col("at") <= fetch)
