@@ -32,7 +32,7 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 #: Words are runs of letters and digits, so that marks put between or after words don't hide a copy.
 WORDS = kernels.LETTERS
 #: Share of a full match from which a passage counts as a copy.
-SCORE = 0.5
+SCORE = 0.35
 
 
 def _rows_of(passage: np.ndarray, item: np.ndarray):
