@@ -37,6 +37,8 @@ from mizan.llm import common, kernels
 COORDINATES = 64
 #: Probability that a pair exactly at the threshold isn't a candidate.
 MISS = 1e-7
+#: So many of the likeliest candidates of a document are confirmed one by one.
+FIRST = 4
 #: A task of the confirming stage holds about so many bytes of shingle hashes.
 BLOCK_BYTES = 8 << 20
 
@@ -112,20 +114,21 @@ def prefix_postings(classes: DataFrame, coordinates: int, matches: int) -> DataF
     return found.where(F.col("rank") <= room).select("rep", "post")
 
 
-class Forest:
-    """Union-find over 0..n-1."""
+class Overlaps:
+    """Intersections of one set with all others, by an inverted list of their values."""
 
-    def __init__(self, n: int):
-        self.root = list(range(n))
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.root[self.find(j)] = self.find(i)
+    def of(self, x: int) -> np.ndarray:
+        first = np.searchsorted(self.values, self.sets[x], "left")
+        n = np.searchsorted(self.values, self.sets[x], "right") - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sets))
 
 
 def common_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -162,17 +165,29 @@ def confirmed(sets: list[np.ndarray], coordinates: int, matches: int, percent: i
     turn = np.argsort(-np.diff(bounds)[lists].sum(axis=1), kind="stable")
     place = np.empty(n, np.int64)
     place[turn] = np.arange(n)
-    forest, links = Forest(n), []
+    label, links, overlaps = np.arange(n), [], None
+
+    def join(x: int, y: int) -> None:
+        links.append((x, y))
+        label[label == label[y]] = label[x]
+
     for x in turn.tolist():
         merged = np.concatenate([members[bounds[i] : bounds[i + 1]] for i in lists[x] if bounds[i + 1] - bounds[i] > 1] or [members[:0]])
         if not len(merged):
             continue
         hits = np.bincount(merged, minlength=n)
         near = np.flatnonzero((hits >= matches) & (place < place[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
-        for y in near[np.argsort(-hits[near], kind="stable")].tolist():
-            if forest.find(x) != forest.find(y) and linked(sets[x], sets[y], percent):
-                forest.join(x, y)
-                links.append((x, y))
+        near = near[np.argsort(-hits[near], kind="stable")]
+        for y in near[:FIRST].tolist():
+            if label[x] != label[y] and linked(sets[x], sets[y], percent):
+                join(x, y)
+        near = near[FIRST:][label[near[FIRST:]] != label[x]]
+        if len(near):  # many left: all at once
+            overlaps = overlaps or Overlaps(sets)
+            both = overlaps.of(x)[near]
+            for y in near[100 * both >= percent * (sizes[near] + sizes[x] - both)].tolist():
+                if label[x] != label[y]:
+                    join(x, y)
     return links
 
 
@@ -221,7 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, coordinates:
     cells = cells.select(F.col("node").alias("rep"), F.col("component").alias("cell"))
 
     sized = classes.select("rep", "rep_key", "n_shingles").join(cells, "rep")
-    blocks = F.ceil(F.sum("n_shingles") * 8 / block_bytes).cast("int").alias("blocks")
+    # shingle hashes, and the signature with its inverted lists
+    blocks = F.ceil(F.sum(F.col("n_shingles") * 8 + coordinates * 16) / block_bytes).cast("int").alias("blocks")
     sized = sized.join(common.written(sized.groupBy("cell").agg(blocks, F.count("*").alias("many")), "cell-sizes"), "cell").where("many > 1")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block)

@@ -95,7 +95,7 @@ def components_by_brute_force(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("block_bytes", [near_dedup.BLOCK_BYTES, 40_000])
+@pytest.mark.parametrize("block_bytes", [near_dedup.BLOCK_BYTES, 60_000])
 def test_near_duplicates_by_brute_force(spark, block_bytes):
     df, rows = planted(spark)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, block_bytes=block_bytes).collect()}
