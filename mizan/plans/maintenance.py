@@ -20,6 +20,13 @@ def load_catalog(rows: DataFrame, categories: tuple[str, ...], substrings: tuple
     return kept.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in kept.dtypes]).orderBy("document_id")
 
 
+def with_stale_fallback(fresh: DataFrame, stale: DataFrame) -> DataFrame:
+    """The fresh rows, or the stale ones if a scan brought none."""
+    some = fresh.agg((F.count("*") > 0).alias("some"))
+    old = stale.join(F.broadcast(some), ~F.col("some"), "left_semi")
+    return fresh.unionByName(old.select(*fresh.columns))
+
+
 def catalog_lookup(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog row of each id that has one."""
     return ids.join(catalog, "document_id")
