@@ -93,16 +93,17 @@ def formula_signals(x: Column, method: Column) -> Column:
 def anomalies(x: Column) -> dict[str, Column]:
     """Predicates of the quality scan by name."""
     n = F.length(x)
-    marked = n - F.length(F.regexp_replace(x, "[çğıöşüÇĞİÖŞÜ]", ""))
-    letters = F.length(F.regexp_replace(x, "[^A-Za-zÇĞİÖŞÜçğıöşü]", ""))
+    # whole runs of what doesn't count are dropped at once
+    marked = F.length(F.regexp_replace(x, "[^çğıöşüÇĞİÖŞÜ]+", ""))
+    letters = F.length(F.regexp_replace(x, "[^A-Za-zÇĞİÖŞÜçğıöşü]+", ""))
     return {
         "replacement_char": F.contains(x, F.lit("�")),
         "leaked_img_tag": x.rlike(r"(?i)<img[\s>]"),
         "leaked_html_block": x.rlike(r"(?i)<(div|table|tr|td)[\s>]"),
         "short_content": n < 500,
-        "long_dot_run": x.rlike(r"\.{10,}"),
+        "long_dot_run": F.contains(x, F.lit("." * 10)),
         "camelcase_concat": x.rlike("[a-zçğıöşü][A-ZÇĞİÖŞÜ]"),
-        "formula_ref_without_formula": x.rlike("(?iu)formül") & ~F.contains(x, F.lit("$$")),
+        "formula_ref_without_formula": ~F.contains(x, F.lit("$$")) & F.contains(F.lower(x), F.lit("formül")),
         "diacritic_outlier": (n > 1000) & (F.try_divide(marked, letters) < 0.06),
     }
 

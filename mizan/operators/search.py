@@ -109,7 +109,8 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
     """
     term = text.clean_query(F.col("query")) if clean else F.col("query")
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(term))).alias("term"))
-    at = docs.select(F.col(key).alias("key"), F.posexplode("tokens").alias("pos", "term"))
+    # the inner form would split every text twice, first to test for an empty array
+    at = docs.select(F.col(key).alias("key"), F.posexplode_outer("tokens").alias("pos", "term"))
     # a document that lacks a term has no cover, and so no rank
     ranked = cover_density(at.join(F.broadcast(terms), "term").select("query_id", "key", "pos", "term"), terms)
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "key")

@@ -67,7 +67,9 @@ def version_counts(versions: DataFrame) -> DataFrame:
 def chunk_table(docs: DataFrame) -> DataFrame:
     """document_id, chunk_index, total_chunks, content_hash, chunk_text."""
     cut = docs.select("document_id", "category", text.content_hash(F.col("markdown_content")).alias("content_hash"), text.chunks(F.col("markdown_content")).alias("parts"))
-    return cut.select("document_id", "category", "content_hash", F.size("parts").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "chunk_text"))
+    # the inner form would cut every text twice, first to test for an empty array
+    out = cut.select("document_id", "category", "content_hash", F.size("parts").alias("total_chunks"), F.posexplode_outer("parts").alias("chunk_index", "chunk_text"))
+    return out.where(F.col("chunk_text").isNotNull())
 
 
 def rebuilt(chunks: DataFrame) -> DataFrame:

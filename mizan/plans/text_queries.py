@@ -117,7 +117,9 @@ def anomaly_scan(spark, sf_dir):
     x = _corrupt(spark, sf_dir)
     flags = markup.anomalies(F.col("markdown_content"))
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
-    hits = x.select("document_id", F.explode(names).alias("name"))
+    hits = x.select("document_id", F.explode_outer(names).alias("name")).where("name IS NOT NULL")
+    # flagged ids are dealt once, and both branches read them there: texts are scanned once
+    hits = hits.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name", "document_id")
     counts = hits.groupBy("name").agg(F.count("*").alias("docs_flagged"))
     from pyspark.sql import Window
 
