@@ -93,9 +93,9 @@ def formula_signals(x: Column, method: Column) -> Column:
 def anomalies(x: Column) -> dict[str, Column]:
     """Predicates of the quality scan by name."""
     n = F.length(x)
-    # whole runs of what doesn't count are dropped at once
-    marked = F.length(F.regexp_replace(x, "[^çğıöşüÇĞİÖŞÜ]+", ""))
-    letters = F.length(F.regexp_replace(x, "[^A-Za-zÇĞİÖŞÜçğıöşü]+", ""))
+    # deleting characters is several times faster here than replacing by a pattern
+    marks, latin = "çğıöşüÇĞİÖŞÜ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    marked, letters = n - F.length(F.translate(x, marks, "")), n - F.length(F.translate(x, marks + latin, ""))
     return {
         "replacement_char": F.contains(x, F.lit("�")),
         "leaked_img_tag": x.rlike(r"(?i)<img[\s>]"),
