@@ -11,7 +11,7 @@ and a document whose rare postings nobody shares has no link at all.
 Documents that share prefix postings form cells. Inside a cell collisions are
 counted over the inverted lists, pairs below the match count or already
 connected are skipped (skip merging), and the rest is confirmed on the full
-shingle sets. A cell too large for a task is dealt as pairs of hash blocks.
+shingle sets. A large cell is dealt as pairs of hash blocks.
 Links are a spanning forest of each task's confirmed links: copies are never
 expanded to all pairs, yet no component is lost.
 
@@ -25,7 +25,7 @@ other than doc_id and text are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,9 @@ COORDINATES = 64
 MISS = 1e-7
 #: So many of the likeliest candidates of a document are confirmed one by one.
 FIRST = 4
-#: A task of the confirming stage holds about so many bytes of shingle hashes.
-BLOCK_BYTES = 8 << 20
+#: A block of a cell has at most about the first number of bytes, so that two fit a task.
+#: A cell is cut into smaller ones, down to the second number, while there are idle tasks for their pairs.
+BLOCK_BYTES, LEAST_BLOCK_BYTES = 8 << 20, 1 << 19
 
 
 def least_matches(coordinates: int, similarity: float, miss: float = MISS) -> int:
@@ -237,7 +238,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, coordinates:
 
     sized = classes.select("rep", "rep_key", "n_shingles").join(cells, "rep")
     # shingle hashes, and the signature with its inverted lists
-    blocks = F.ceil(F.sum(F.col("n_shingles") * 8 + coordinates * 16) / block_bytes).cast("int").alias("blocks")
+    size = F.sum(F.col("n_shingles") * 8 + coordinates * 16)
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = F.least(F.ceil(size / min(LEAST_BLOCK_BYTES, block_bytes)), F.lit(ceil((2 * tasks) ** 0.5)))
+    blocks = F.greatest(F.ceil(size / block_bytes), spread).cast("int").alias("blocks")
     sized = sized.join(common.written(sized.groupBy("cell").agg(blocks, F.count("*").alias("many")), "cell-sizes"), "cell").where("many > 1")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block)
