@@ -208,11 +208,12 @@ def train(learn: DataFrame, fit: Fit) -> Model:
     """learn: rows (doc_id, text, lang) without nulls."""
     df, n = frequencies(learn)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # by hash and count first, so that the window sees little more than it keeps
+    # by hash and count first, so that the window sees little more than it keeps; counts has a row
+    # a language, as the model does, and is sent to the tasks lest all rows meet by language
     counts = learn.groupBy("lang").agg(F.count("*").alias("many"))
     share = F.least(F.lit(1.0), F.lit(1.5 * fit.per_language) / F.col("many"))
     some = learn.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "lang", "turn")
-    some = some.join(counts.select("lang", share.alias("share")), "lang").where((F.col("turn") / 2.0**64 + 0.5) <= F.col("share"))
+    some = some.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where((F.col("turn") / 2.0**64 + 0.5) <= F.col("share"))
     by_lang = Window.partitionBy("lang").orderBy("turn", "doc_id")
     some = some.withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= fit.per_language)
     chosen = some.select(F.col("doc_id").alias("s_id"), "turn").distinct()
