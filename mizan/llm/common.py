@@ -90,10 +90,11 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     links = written(links, what)
     while True:
         both = links.union(links.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that either side of the join is a plain exchange and a hot node's rows can be split
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), what)
         large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b"))
-        large = large.where(a != b).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large.where(a != b).distinct(), what)
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), what)
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(b.alias("a"), F.col("m").alias("b")))
         new = written(small.where(a != b).distinct(), what)
