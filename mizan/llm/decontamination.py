@@ -1,11 +1,12 @@
 """Benchmark decontamination (operator 6).
 
-Seeds are the rarest half, by corpus document frequency, of each benchmark
-item's distinct three-word sequences; so every item keeps seeds, also one that
-many documents hold. Where seeds of an item lie close together in a document,
-the words around them are aligned with the item by Smith-Waterman (match 2,
-mismatch and gap -1), and the score as a share of a full match tells copies,
-edited ones too, from chance.
+Seeds are all distinct three-word sequences of each benchmark item, however
+many documents hold them; so a copy is aligned if an edit left any three words
+in a row. Where seeds of an item lie close together in a document, the words
+around them are aligned with the item by Smith-Waterman (match 2, mismatch and
+gap -1), and the score as a share of a full match tells copies, edited ones
+too, from chance. Scores of many passages are computed together; only those
+that reach the share are traced back.
 
 The benchmark is the query set: it goes to the tasks in blocks of at most
 `block_items` items, and all documents are read for each block.
@@ -65,6 +66,35 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, end - back, end
 
 
+#: Cells of the alignment matrices that are computed together, a row of each at a time.
+CELLS = 1 << 16
+
+
+def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """Best local score of each passage with its item, as `align` has it."""
+    out = np.zeros(len(items), np.int32)
+    order = sorted(range(len(items)), key=lambda i: len(passages[i]))
+    wide = max(map(len, items), default=0)
+    step = max(1, CELLS // max(wide, 1))
+    ramp = GAP * np.arange(wide + 1, dtype=np.int32)
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        # the fill of items (0) and that of passages (1) match nothing
+        own, words = np.zeros((len(some), wide), np.uint64), np.ones((len(passages[some[-1]]), len(some)), np.uint64)
+        for k, i in enumerate(some):
+            own[k, : len(items[i])] = items[i]
+            words[: len(passages[i]), k] = passages[i]
+        last, best = np.zeros((len(some), wide + 1), np.int32), np.zeros(len(some), np.int32)
+        for word in words:
+            now = np.zeros_like(last)
+            now[:, 1:] = np.maximum(last[:, :-1] + np.where(own == word[:, None], np.int32(MATCH), np.int32(MISMATCH)), last[:, 1:] - GAP)
+            np.maximum(now, 0, out=now)
+            last = np.maximum.accumulate(now + ramp, axis=1) - ramp
+            np.maximum(best, last.max(axis=1), out=best)
+        out[some] = best
+    return out
+
+
 class Block:
     """Items of one block, their seeds and an index from a sequence's hash to its items."""
 
@@ -79,15 +109,12 @@ class Block:
                 self.words.append(h)
                 hashed.append(np.unique(kernels.sequence_hashes(h, N)))
         self.item_grams = hashed
-        self.grams = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, np.uint64)
 
-    def seeds(self, frequency: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Rare sequences and, for each, the items that have it as a seed."""
+    def seeds(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All sequences and, for each, the items that have it."""
         owners: dict[int, list[int]] = {}
         for i, grams in enumerate(self.item_grams):
-            at = np.searchsorted(self.grams, grams)
-            order = np.lexsort((grams, frequency[at]))
-            for g in grams[order[: (len(grams) + 1) // 2]].tolist():
+            for g in grams.tolist():
                 owners.setdefault(g, []).append(i)
         keys = np.array(sorted(owners), np.uint64)
         return keys, [np.array(owners[int(k)]) for k in keys]
@@ -112,29 +139,6 @@ class Lookup:
         return at[same], key[same]
 
 
-def frequencies(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
-    """Documents that hold each sequence, over all rows; the result is as long as the block's sequences."""
-
-    def run(batches):
-        lookup, df = Lookup(grams), np.zeros(len(grams), np.int64)
-        for batch in kernels.text_batches(batches):
-            buf, offsets = kernels.text_bytes(batch.column(0))
-            starts, ends, first = kernels.words(buf, offsets, WORDS)
-            seq = kernels.sequence_hashes(kernels.word_hashes(buf, starts, ends, WORDS), N)
-            owner, inside = kernels.window_owner(first, N, len(starts))
-            at, key = lookup.hits(seq)
-            at, key = at[inside[at]], key[inside[at]]
-            pairs = np.unique(owner[at] * len(grams) + key)
-            df += np.bincount(pairs % len(grams), minlength=len(grams))
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["gram", "n"])
-
-    out = np.zeros(len(grams), np.int64)
-    for gram, n in common.mapped(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[gram] = n
-    return out
-
-
 def clusters(pos: np.ndarray, reach: int):
     """Slices of the ascending positions that lie within `reach` of each other."""
     cuts = np.flatnonzero(np.diff(pos) > reach) + 1
@@ -149,8 +153,8 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
     counts = np.array([len(o) for o in owners])
     flat, bounds = np.concatenate(owners), np.cumsum([0, *counts])
 
-    def matches(h: np.ndarray, pos: np.ndarray, key: np.ndarray):
-        """Best passage for each item that has seeds at these places of one document."""
+    def candidates(h: np.ndarray, pos: np.ndarray, key: np.ndarray):
+        """(item, first word, passage, seeds) where an item has seeds at these places of one document."""
         n = counts[key]
         at = np.repeat(bounds[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, pos, key = flat[at], np.repeat(pos, n), np.repeat(key, n)
@@ -158,16 +162,22 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
         item, pos, key = item[order], pos[order], key[order]
         for which in np.unique(item).tolist():
             own = slice(*np.searchsorted(item, [which, which + 1]))
-            words, best = items[which], None
-            for a, b in clusters(pos[own], len(words)):
+            for a, b in clusters(pos[own], len(items[which])):
                 near = pos[own][a:b]
-                first = max(0, int(near[0]) - len(words))
-                points, start, end = align(h[first : int(near[-1]) + N + len(words)], words)
-                share = points / (MATCH * len(words))
-                if share >= score and (best is None or share > best[0]):
-                    best = (share, first + start, first + end, len(np.unique(key[own][a:b])))
-            if best:
-                yield (ids[which], *best)
+                first = max(0, int(near[0]) - len(items[which]))
+                yield which, first, h[first : int(near[-1]) + N + len(items[which])], len(np.unique(key[own][a:b]))
+
+    def matches(tried: list[tuple]):
+        """Best passage for each document and item among (document, item, first word, passage, seeds)."""
+        points = best_scores([t[3] for t in tried], [items[t[1]] for t in tried])
+        best: dict[tuple[int, int], tuple] = {}
+        for (doc, which, first, passage, n), p in zip(tried, points.tolist(), strict=True):
+            share = p / (MATCH * len(items[which]))
+            if share >= score and ((doc, which) not in best or share > best[doc, which][0]):
+                best[doc, which] = (share, first, passage, n)
+        for (doc, which), (share, first, passage, n) in best.items():
+            _, start, end = align(passage, items[which])
+            yield doc, (ids[which], share, first + start, first + end, n)
 
     def run(batches):
         lookup = Lookup(keys)
@@ -178,11 +188,11 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
             owner, inside = kernels.window_owner(first, N, len(h))
             at, key = lookup.hits(kernels.sequence_hashes(h, N))
             at, key = at[inside[at]], key[inside[at]]
-            rows = []
+            tried = []
             for i in np.unique(owner[at]).tolist():
                 own = slice(*np.searchsorted(owner[at], [i, i + 1]))
-                for found in matches(h[first[i] : first[i + 1]], at[own] - first[i], key[own]):
-                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *found))
+                tried += [(i, *c) for c in candidates(h[first[i] : first[i + 1]], at[own] - first[i], key[own])]
+            rows = [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *found) for i, found in matches(tried)]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
@@ -202,8 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block_ite
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         block = Block([(r["item_id"], r["text"]) for r in held])
         if block.ids:
-            keys, owners = block.seeds(frequencies(rows, block.grams))
-            found = found.unionByName(search(rows, block, keys, owners, score))
+            found = found.unionByName(search(rows, block, *block.seeds(), score))
     return found
 
 

@@ -332,6 +332,35 @@ def test_leaks(spark, small):
     assert len(found) <= len(exact) + len(edited) + 3
 
 
+def test_leaks_of_much_edited_copies(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(rng.randrange(15, 40)))) for k in range(40)]
+    rows, want = [], set()
+    hashes = lambda x: np.array([hash(w) & (2**63 - 1) for w in x.split()], np.uint64)
+    for k, text in items:
+        for share in (0.2, 0.3, 0.4):
+            for _ in range(12 if k % 2 else 1):  # one copy or many
+                w = text.split()
+                for at in rng.sample(range(len(w)), int(share * len(w))):
+                    w[at] = word()
+                rows.append((len(rows), f"{word()} {word()} " + " ".join(w) + f" {word()}"))
+                kept = {*zip(text.split(), text.split()[1:], text.split()[2:])} & {*zip(w, w[1:], w[2:])}
+                if kept and decontamination.align(hashes(rows[-1][1]), hashes(text))[0] >= decontamination.SCORE * decontamination.MATCH * len(w):
+                    want.add((rows[-1][0], k))
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 0.9 * len(rows)
+
+
+def test_best_scores_equal_single_alignments():
+    rng = np.random.default_rng(3)
+    passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
+    items = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(8, 30, 300)]
+    want = [decontamination.align(p, i)[0] for p, i in zip(passages, items, strict=True)]
+    assert decontamination.best_scores(passages, items).tolist() == want
+    assert decontamination.best_scores([], []).tolist() == []
+
+
 def test_lines_by_brute_force(spark):
     rng = random.Random(8)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " "]) for _ in range(rng.randrange(0, 14)))) for i in range(60)]
