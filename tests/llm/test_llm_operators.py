@@ -352,6 +352,16 @@ def test_leaks_of_much_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 0.9 * len(rows)
 
 
+def test_leaks_in_capitals(spark):
+    items = [
+        (1, "élève très âgé à l'école où ça été écrit déjà"), (2, "größe straße müßig öl äpfel übung grüße fuß schön"), (3, "ñandú señor niño año mañana otoño sueño baño"),
+        (4, "ışık ılık kıyı sığ iğne çığ şiş öğün"), (5, "οδος λογος φως ηλιος δρομος τοπος νομος χρονος"),
+    ]
+    texts = {k: t.upper() for k, t in items} | {6: items[1][1].upper().replace("SS", "ẞ"), 7: items[3][1].replace("i", "İ").upper(), 8: "ganz andere wörter stehen hier in diesem text"}
+    got = decontamination.leaks(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(k, k, 1.0) for k in range(1, 6)} | {(6, 2, 1.0), (7, 4, 1.0)}
+
+
 def test_best_scores_equal_single_alignments():
     rng = np.random.default_rng(3)
     passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
