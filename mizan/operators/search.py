@@ -6,6 +6,8 @@ all rows in one partition.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ VECTOR_FETCH_FACTOR, VECTOR_FETCH_MAX = 5, 100
 RELEVANCE_THRESHOLD, GAP, GATE = 0.50, 0.08, 0.65
 HIGH, MEDIUM = 0.70, 0.50
 COVER_WEIGHT = 0.1
+#: Query vectors that go to the tasks together, and values of rows with queries that are computed at once.
+QUERY_BLOCK, CELLS = 2000, 1 << 19
 
 
 def in_scope(title: Column, category: Column, categories: tuple[str, ...], substrings: tuple[str, ...]) -> Column:
@@ -142,6 +146,81 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def products(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Dot product of each row of e with each of q, summed in order, so that equal rows give equal values."""
+    out = np.zeros((len(e), len(q)))
+    for j in range(e.shape[1]):
+        out += e[:, j, None] * q[:, j]
+    return out
+
+
+def cosine_distances(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        norms = [np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1]) for x in (e, q)]
+        return np.round(1 - products(e, q) / (norms[0][:, None] * norms[1]), 12)
+
+
+def sigmoid_below_zero(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The sigmoid of the dot product, negative, as small values are the best."""
+    return -np.round(1 / (1 + np.exp(-products(e, q))), 4)
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, fetch: int, measure) -> DataFrame:
+    """query_id, doc_id, chunk_index, category, value: for each query the rows with the smallest measure.
+
+    Queries (query_id, embedding) go to the tasks in blocks, and all chunks are
+    read for each block; a task hands on its best `fetch` rows of a query only.
+    Ties by doc_id, chunk_index. Vectors that are null, of another length than
+    most queries or without a value (norm 0) are never found.
+    """
+    spark = chunks.sparkSession
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q IS NOT NULL AND size(q) > 0")
+    size, total = asked.agg(F.mode(F.size("q")), F.count("*")).first()
+    asked = asked.where(F.size("q") == F.lit(size))
+    rows = chunks.select("doc_id", "chunk_index", "category", F.col("embedding").cast("array<double>").alias("e")).where(F.size("e") == F.lit(size))
+    kinds = {c.name: c.dataType.simpleString() for c in [queries.schema["query_id"], *rows.schema[:3]]}
+    schema = ", ".join(f"{name} {kind}" for name, kind in kinds.items()) + ", value double"
+
+    def run_with(ids: pa.Array, q: np.ndarray):
+        def best(table: pa.Table, at: np.ndarray, value: np.ndarray):
+            order = np.lexsort((table["chunk_index"].to_numpy(), table["doc_id"].to_numpy(), value, at))
+            first = np.searchsorted(at[order], at[order])
+            order = order[np.arange(len(order)) - first < fetch]
+            return table.take(pa.array(order)), at[order], value[order]
+
+        def run(batches):
+            held, bound = None, np.full(len(q), np.inf)
+            step = max(1, CELLS // len(q))
+            for batch in batches:
+                for begin in range(0, batch.num_rows, step):
+                    part = batch.slice(begin, step)
+                    values = measure(part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1), q)
+                    values[np.isnan(values)] = np.inf
+                    if part.num_rows >= fetch:
+                        bound = np.minimum(bound, np.partition(values, fetch - 1, axis=0)[fetch - 1])
+                    row, at = np.nonzero((values <= bound) & (values < np.inf))
+                    more = pa.Table.from_batches([part.select([0, 1, 2])]).take(pa.array(row)), at, values[row, at]
+                    held = more if held is None else (pa.concat_tables([held[0], more[0]]), *(np.concatenate(x) for x in zip(held[1:], more[1:], strict=True)))
+                    if len(held[1]) > 2 * fetch * len(q):
+                        held = best(*held)
+            if held is not None:
+                table, at, value = best(*held)
+                out = pa.table([ids.take(pa.array(at)), *table.columns, pa.array(value)], names=[*kinds, "value"])
+                yield from out.to_batches(max_chunksize=10_000)
+
+        return run
+
+    found = spark.createDataFrame([], schema)
+    blocks = -(-total // QUERY_BLOCK)
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if own.num_rows:
+            q = own["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+            found = found.unionByName(rows.mapInArrow(run_with(own["query_id"].combine_chunks(), q), schema))
+    order = Window.partitionBy("query_id").orderBy("value", "doc_id", "chunk_index")
+    return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= fetch).drop("at")
+
+
 def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, category: str | None = None) -> DataFrame:
     """Best documents of each query: distance, relevance. chunks: doc_id, chunk_index, category, embedding.
 
@@ -149,18 +228,20 @@ def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, category: s
     document, then the limit.
     """
     some = chunks if category is None else chunks.where(F.col("category") == category)
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).withColumn("q_norm", norm(F.col("q")))
-    own = some.select("doc_id", "chunk_index", "category", F.col("embedding").cast("array<double>").alias("e"))
-    near = own.crossJoin(F.broadcast(asked))
-    near = near.withColumn("distance", F.round(1 - F.try_divide(dot(F.col("e"), F.col("q")), norm(F.col("e")) * F.col("q_norm")), 12))
     fetch = min(VECTOR_FETCH_FACTOR * limit, VECTOR_FETCH_MAX)
-    order = Window.partitionBy("query_id").orderBy("distance", "doc_id", "chunk_index")
-    near = near.select("query_id", "doc_id", "chunk_index", "category", "distance").withColumn("at", F.row_number().over(order)).where(F.col("at") <= fetch)
+    near = nearest(some, queries, fetch, cosine_distances).withColumnRenamed("value", "distance")
     near = near.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("distance", "chunk_index"))).where("own = 1")
     near = near.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))).where(F.col("position") <= limit)
     return near.select("query_id", "doc_id", "category", "distance", F.round(1 - F.col("distance"), 4).alias("relevance"), "position")
 
 
+def fts_of_texts(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """fts for many queries of which many have the same text: each text is searched once."""
+    texts = queries.groupBy("query").agg(F.min("query_id").alias("text_id"))
+    found = fts(docs, texts.withColumnRenamed("text_id", "query_id"), "doc_id", threshold=None, clean=False).withColumnRenamed("query_id", "text_id")
+    return queries.select("query_id", "query").join(texts, "query").select("query_id", "text_id").join(found, "text_id").drop("text_id")
+
+
 def fuse(vector: DataFrame, full_text: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, position) lists; a text-only hit has relevance 0."""
     v = vector.select("query_id", "doc_id", F.col("relevance"), F.lit(None).cast("double").alias("fts_rank"), (1 / (k + F.col("position"))).alias("part"))
@@ -190,7 +271,7 @@ def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, limit:
     Below the threshold rows go, then those more than the gap behind the best.
     """
     vector = vector_search(chunks, queries, 50)
-    found = fts(docs, queries, "doc_id", threshold=None, clean=False)
+    found = fts_of_texts(docs, queries)
     fused = fuse(gated(vector, found), found).where(F.col("relevance") >= threshold)
     best = F.max("relevance").over(Window.partitionBy("query_id"))
     fused = fused.withColumn("top", best).where(F.col("top") - F.col("relevance") <= GAP).drop("top")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mizan.functions import text
 from mizan.functions.text import ACCENTS
 from mizan.operators import search, store
-from mizan.plans.registry import query
+from mizan.plans.registry import SQL, query
 from mizan.plans.text_queries import FOLD, STEM
 from mizan.sources.tables import DOCS, documents, read
 
@@ -203,3 +203,60 @@ def rerank_sigmoid(spark, sf_dir):
 def fts_headline(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return d.where(F.array_contains("t", "the")).select("doc_id", search.headline(F.col("t"), ["the", "of"]).alias("snippet"))
+
+
+#: The vector searches above ask four rows; those below ask every fiftieth of the table, with the texts of ASKED in turn.
+_EVERY = {
+    "CAST(doc_id // 2 AS INT) AS query_id, e AS q FROM v WHERE doc_id IN (0, 2, 4, 6)": "CAST(doc_id // 50 AS INT) AS query_id, e AS q FROM v WHERE doc_id % 50 = 0",
+    _ASKED: f"(SELECT CAST(vec_id // 50 AS INT), a.query FROM embeddings JOIN {_ASKED.replace('q(query_id', 'a(k')} ON vec_id // 50 % {len(ASKED)} = a.k WHERE vec_id % 50 = 0) q(query_id, query)",
+}
+
+
+def _every_sql(name: str) -> str:
+    sql = SQL[name]
+    for few, every in _EVERY.items():
+        sql = sql.replace(few, every)
+    return sql
+
+
+def _every(spark, sf_dir):
+    chunks, _ = _vectors(spark, sf_dir)
+    rows = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return chunks, rows.select(F.floor(F.col("vec_id") / 50).cast("int").alias("query_id"), "embedding")
+
+
+def _both_every(spark, sf_dir):
+    chunks, vectors = _every(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+    texts = F.broadcast(_asked(spark).withColumnRenamed("query_id", "k"))
+    return chunks, docs, vectors.join(texts, F.col("query_id") % len(ASKED) == F.col("k")).drop("k")
+
+
+@query(_every_sql("vector_topk"))
+def vector_topk_every(spark, sf_dir):
+    return _shown(search.vector_search(*_every(spark, sf_dir), limit=10))
+
+
+@query(_every_sql("vector_topk_category"))
+def vector_topk_category_every(spark, sf_dir):
+    return _shown(search.vector_search(*_every(spark, sf_dir), limit=20, category="3"))
+
+
+@query(_every_sql("rrf_fusion"))
+def rrf_fusion_every(spark, sf_dir):
+    chunks, docs, asked = _both_every(spark, sf_dir)
+    found = search.fts_of_texts(docs, asked)
+    fused = search.fuse(search.gated(search.vector_search(chunks, asked, 50), found), found)
+    return fused.withColumn("fts_rank", F.round("fts_rank", 6))
+
+
+@query(_every_sql("hybrid_search"))
+def hybrid_search_every(spark, sf_dir):
+    found = search.hybrid_search(*_both_every(spark, sf_dir), threshold=0.2)
+    return found.select("query_id", "doc_id", "relevance", "rrf_score", F.col("position").cast("long").alias("position"), "confidence")
+
+
+@query(_every_sql("rerank_sigmoid"))
+def rerank_sigmoid_every(spark, sf_dir):
+    found = search.nearest(*_every(spark, sf_dir), 20, search.sigmoid_below_zero)
+    return found.select("query_id", "doc_id", "chunk_index", (-F.col("value")).alias("score"))

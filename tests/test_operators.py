@@ -212,3 +212,18 @@ def test_ingest_archives_changes(spark, tmp_path):
     assert snapshots.current(spark, f"{folder}/documents").select("markdown_content").collect() == [("yeni metin",)]
     assert [(r.version, r.markdown_content) for r in snapshots.current(spark, f"{folder}/versions").collect()] == [(1, "eski metin")]
     assert snapshots.current(spark, f"{folder}/chunks").count() == 1
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    rng = random.Random(12)
+    vectors = [[float(rng.randrange(-2, 3)) for _ in range(3)] for _ in range(400)]
+    rows = [(i // 2, i % 2, "c", v) for i, v in enumerate(vectors)] + [(900, 0, "c", None), (901, 0, "c", [1.0])]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_index long, category string, embedding array<float>").repartition(6)
+    asked = spark.createDataFrame([(k, vectors[50 * k]) for k in range(8) if any(vectors[50 * k])] + [(99, None)] + [(100 + k, vectors[k]) for k in range(30) if any(vectors[k])], "query_id int, embedding array<float>")
+    want = set()
+    for k, q in ((r.query_id, r.embedding) for r in asked.collect() if r.embedding):
+        norm = lambda v: sum(x * x for x in v) ** 0.5
+        near = sorted((round(1 - sum(x * y for x, y in zip(v, q, strict=True)) / (norm(v) * norm(q)), 12) + 0.0, d, c) for d, c, _, v in rows[:400] if any(v))
+        want |= {(k, d, c) for _, d, c in near[:20]}
+    assert {(r.query_id, r.doc_id, r.chunk_index) for r in search.nearest(chunks, asked, 20, search.cosine_distances).collect()} == want
