@@ -38,11 +38,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id.
 
-    Rows that repeat a document are one; rows without a doc_id go.
+    Rows that repeat a document are one. Documents are told apart by doc_id and
+    text; those without a doc_id are compared like others and come after them.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("k_id")).agg(F.min("text_key").alias("k_key"))
-    found = docs.join(kept, (F.col("doc_id") == F.col("k_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_key")))
-    return found.dropDuplicates(["k_id", "k_key"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(F.col("text").cast("string")).alias("d_key"))
+    rows = rows.dropDuplicates(["d_id", "d_key"]).orderBy(F.col("d_id").asc_nulls_last(), "d_key")
+    rows = common.written(rows.select(F.monotonically_increasing_id().alias("own"), "held"), "documents")
+    kept = near_dedup.near_duplicates(rows.select(F.col("own").alias("doc_id"), F.col("held.text").alias("text"))).where("kept")
+    return rows.join(kept.select(F.col("doc_id").alias("own")), "own").select("held.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

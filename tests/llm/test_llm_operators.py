@@ -362,6 +362,17 @@ def test_leaks_in_capitals(spark):
     assert {(r.doc_id, r.item_id, r.score) for r in got} == {(k, k, 1.0) for k in range(1, 6)} | {(6, 2, 1.0), (7, 4, 1.0)}
 
 
+def test_near_stage_with_shared_and_missing_ids(spark, small):
+    import corpus_pipeline
+
+    text = lambda seed: " ".join(f"w{random.Random(seed).randrange(10**6)}x{i}" for i in range(60))
+    near = text(1) + " more"
+    rows = [(5, text(1)), (5, text(2)), (5, text(2)), (3, text(2) + " more"), (5, near), (None, text(3)), (None, text(4)), (None, text(3) + " more"), (None, near), (7, text(5)), (8, text(5))]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
+    got = sorted((str(r.doc_id), r.text.split()[0]) for r in out)
+    assert got == sorted((str(i), t.split()[0]) for i, t in [(5, text(1)), (3, text(2)), (None, text(3)), (None, text(4)), (7, text(5))])
+
+
 def test_best_scores_equal_single_alignments():
     rng = np.random.default_rng(3)
     passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
