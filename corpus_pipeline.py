@@ -13,6 +13,8 @@ from mizan.llm import common, decontamination, language_id, line_dedup, near_ded
 
 #: Documents whose best language is less probable than this are rejected.
 LEAST_SCORE = 0.3
+#: Documents whose five-word shingle sets are at least so alike, in percent, are near copies.
+SIMILARITY = 80
 
 #: Language identification, alignment and packing are beyond SQL.
 ORACLE_SQL = None
@@ -44,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(F.col("text").cast("string")).alias("d_key"))
     rows = rows.dropDuplicates(["d_id", "d_key"]).orderBy(F.col("d_id").asc_nulls_last(), "d_key")
     rows = common.written(rows.select(F.monotonically_increasing_id().alias("own"), "held"), "documents")
-    kept = near_dedup.near_duplicates(rows.select(F.col("own").alias("doc_id"), F.col("held.text").alias("text"))).where("kept")
+    kept = near_dedup.near_duplicates(rows.select(F.col("own").alias("doc_id"), F.col("held.text").alias("text")), percent=SIMILARITY).where("kept")
     return rows.join(kept.select(F.col("doc_id").alias("own")), "own").select("held.*")
 
 

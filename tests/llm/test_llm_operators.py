@@ -373,6 +373,16 @@ def test_near_stage_with_shared_and_missing_ids(spark, small):
     assert got == sorted((str(i), t.split()[0]) for i, t in [(5, text(1)), (3, text(2)), (None, text(3)), (None, text(4)), (7, text(5))])
 
 
+def test_near_stage_links_from_four_fifths(spark, small):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(104)]  # 100 shingles
+    alike = lambda n: " ".join(w[: 104 - n] + [f"other{i}" for i in range(n)])
+    rows = [(1, " ".join(w)), (2, alike(11)), (3, alike(30))]  # 89 of 111 shingles in common, and 70 of 130
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
+    assert sorted(r.doc_id for r in out) == [1, 3]
+
+
 def test_best_scores_equal_single_alignments():
     rng = np.random.default_rng(3)
     passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
