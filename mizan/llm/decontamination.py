@@ -14,8 +14,9 @@ The benchmark is the query set: it goes to the tasks in blocks of at most
 Defined results: words are runs of letters and digits in lower case, sharp s
 as ss, dotted and dotless i as i (other letters whose capital is several
 letters, such as ligatures, stay as they are); null and wordless texts hold
-nothing; items that are null or have fewer than MIN_WORDS words can't be told
-from chance and are never found; items that repeat are found each; repeated
+nothing; items that have fewer than MIN_WORDS words are found where a document
+has exactly their words in a row (score 1, one seed, the first such place);
+items that are null or wordless are never found; items that repeat are found each; repeated
 document rows give their rows each; null doc_ids are searched as well; empty
 tables give no rows; other columns are ignored.
 """
@@ -105,10 +106,14 @@ def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarr
 
 
 class Block:
-    """Items of one block, their seeds and an index from a sequence's hash to its items."""
+    """Items of one block, their seeds and an index from a sequence's hash to its items.
+
+    `short` has the items of fewer than MIN_WORDS words: by number of words, ids by the hash of all words.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words = [], []
+        self.short: dict[int, dict[int, list]] = {}
         hashed = []
         for name, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
             buf, offsets = kernels.text_bytes(folded(pa.array([text], pa.large_string())))
@@ -117,6 +122,8 @@ class Block:
                 self.ids.append(name)
                 self.words.append(h)
                 hashed.append(np.unique(kernels.sequence_hashes(h, N)))
+            elif len(h):
+                self.short.setdefault(len(h), {}).setdefault(int(kernels.sequence_hashes(h, len(h))[0]), []).append(name)
         self.item_grams = hashed
 
     def seeds(self) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -160,7 +167,8 @@ FOUND = "doc_id long, text_key long, item_id long, score double, first_word long
 def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndarray], score: float) -> DataFrame:
     ids, items = block.ids, block.words
     counts = np.array([len(o) for o in owners])
-    flat, bounds = np.concatenate(owners), np.cumsum([0, *counts])
+    flat, bounds = np.concatenate([np.zeros(0, np.int64), *owners]), np.cumsum([0, *counts])
+    short = block.short
 
     def candidates(h: np.ndarray, pos: np.ndarray, key: np.ndarray):
         """(item, first word, passage, seeds) where an item has seeds at these places of one document."""
@@ -188,8 +196,21 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
             _, start, end = align(passage, items[which])
             yield doc, (ids[which], share, first + start, first + end, n)
 
+    def exact(h: np.ndarray, first: np.ndarray, lookups: dict[int, Lookup]):
+        """First place of each short item in each document."""
+        for n, lookup in lookups.items():
+            owner, inside = kernels.window_owner(first, n, len(h))
+            at, key = lookup.hits(kernels.sequence_hashes(h, n))
+            at, key = at[inside[at]], key[inside[at]]
+            _, places = np.unique(owner[at] * len(lookup.keys) + key, return_index=True)
+            for a, k in zip(at[places].tolist(), key[places].tolist(), strict=True):
+                begin = a - int(first[owner[a]])
+                for name in short[n][int(lookup.keys[k])]:
+                    yield int(owner[a]), (name, 1.0, begin, begin + n, 1)
+
     def run(batches):
         lookup = Lookup(keys)
+        lookups = {n: Lookup(np.array(sorted(own), np.uint64)) for n, own in short.items()}
         for batch in kernels.text_batches(batches):
             buf, offsets = kernels.text_bytes(folded(batch.column(2)))
             starts, ends, first = kernels.words(buf, offsets, WORDS)
@@ -201,7 +222,7 @@ def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndar
             for i in np.unique(owner[at]).tolist():
                 own = slice(*np.searchsorted(owner[at], [i, i + 1]))
                 tried += [(i, *c) for c in candidates(h[first[i] : first[i + 1]], at[own] - first[i], key[own])]
-            rows = [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *found) for i, found in matches(tried)]
+            rows = [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *found) for i, found in (*matches(tried), *exact(h, first, lookups))]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
@@ -220,7 +241,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block_ite
     for b in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         block = Block([(r["item_id"], r["text"]) for r in held])
-        if block.ids:
+        if block.ids or block.short:
             found = found.unionByName(search(rows, block, *block.seeds(), score))
     return found
 

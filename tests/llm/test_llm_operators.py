@@ -383,6 +383,16 @@ def test_near_stage_links_from_four_fifths(spark, small):
     assert sorted(r.doc_id for r in out) == [1, 3]
 
 
+def test_leaks_of_short_items(spark):
+    long = "one two three four five six seven eight nine ten"
+    items = [(1, "Wie alt ist Zoë?"), (2, "今天天气怎么样"), (3, "wie alt ist zoë"), (4, "a b c d e f g"), (5, None), (6, " ?"), (7, long)]
+    rows = [(1, "so: WIE ALT IST ZOË, wie alt ist Zoë"), (2, "a: 今天天气怎么样?"), (3, "wie alt ist"), (4, "Zoë wie alt"), (5, "a b c d e f"), (6, "x a b c d e f g"), (7, "ist zoë"), (8, None), (9, long), (None, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    run = lambda some: {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in decontamination.leaks(docs, spark.createDataFrame(some, "item_id long, text string")).collect()}
+    short = {(1, 1, 1.0, 1, 5), (1, 3, 1.0, 1, 5), (6, 4, 1.0, 1, 8), (None, 4, 1.0, 0, 7), (2, 2, 1.0, 1, 2)}
+    assert run(items[:6]) == short and run(items) == short | {(9, 7, 1.0, 0, 10)}
+
+
 def test_best_scores_equal_single_alignments():
     rng = np.random.default_rng(3)
     passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
