@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +21,60 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (as in tests, where driver and
-    executors are one process) gets a temporary folder.
+    Without that setting a session whose driver and executors are one process
+    gets a temporary folder; on a cluster it is an error, as each machine would
+    write to a folder of its own.
     """
     global _own_folder
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="corpus-")
     return _own_folder
 
 
+#: Folders made inside each open `scratch`.
+_scratch: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    found = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(found)
+    return found
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of the shared folder; those that aren't there are passed over."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, all folders made within but those taken out of the list that it yields.
+
+    What was made from them must be written by then.
+    """
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        remove(spark, *_scratch.pop())
+
+
+def settled(df_of, spark: SparkSession, what: str) -> DataFrame:
+    """The rows of df_of() as a written table, without the tables made on the way there."""
+    with scratch(spark) as made:
+        found = written(df_of(), what)
+        kept = made.pop()  # the table just written
+    if _scratch:
+        _scratch[-1].append(kept)
+    return found
 
 
 #: Rows and bytes of an Arrow batch between Spark and a worker; texts can be long.
@@ -43,10 +85,13 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow in small batches: the default of 10,000 rows of text takes hundreds of MB on either side.
 
     The limits are settings of the session, read when the plan runs; they stay set.
+    Smaller limits that the session has already are left alone.
     """
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}") or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(run, schema)
 
 
@@ -87,8 +132,9 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     links = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    links = written(links, what)
-    while True:
+    spark = edges.sparkSession
+
+    def step(links: DataFrame) -> DataFrame:
         both = links.union(links.select(b.alias("a"), a.alias("b")))
         # written, so that either side of the join is a plain exchange and a hot node's rows can be split
         low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), what)
@@ -97,7 +143,11 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         low = written(large.groupBy("a").agg(F.min("b").alias("m")), what)
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(b.alias("a"), F.col("m").alias("b")))
-        new = written(small.where(a != b).distinct(), what)
+        return small.where(a != b).distinct()
+
+    links = written(links, what)
+    while True:
+        new = settled(lambda links=links: step(links), spark, what)
         # every pair of the old set found again, and no other: a fixed point
         if new.count() == links.count() and new.join(links, ["a", "b"], "left_anti").isEmpty():
             break

@@ -9,8 +9,9 @@ As a string it is the base64 of the kept hashes, ascending, five bytes each.
 
 Defined results: null text counts as empty; a text of one to four words has its
 whole word sequence as one shingle; texts whose shingles all lie above the
-threshold have the empty fingerprint; equal fingerprints, empty ones too, have
-likeness 1, and an empty and a non-empty one 0. Rows that share a doc_id follow
+threshold have the empty fingerprint, which says nothing of them: two such
+texts have likeness 1 if their shingle sets are equal (as those of two texts
+without words) and else 0; an empty and a non-empty fingerprint have 0. Rows that share a doc_id follow
 each other in an order fixed by their text; null doc_ids come last in
 descending order; a table of one row has itself as next; an empty table gives
 no rows; columns other than doc_id and text are ignored.
@@ -25,6 +26,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,16 +86,21 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the two documents' shingles that both have."""
+def likeness(a: np.ndarray, b: np.ndarray, same: bool = False) -> float:
+    """Estimated share of the two documents' shingles that both have; same: whether their sets are known to be equal."""
     both = _shared(a, b)
     union = len(a) + len(b) - both
-    return both / union if union else 1.0
+    return both / union if union else float(same)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has."""
-    return _shared(a, b) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray, same: bool = False) -> float:
+    """Estimated share of a's shingles that b has; same: whether their sets are known to be equal."""
+    return _shared(a, b) / len(a) if len(a) else float(same)
+
+
+def equal_sets(a: str, b: str, k: int = K) -> bool:
+    """Whether two texts have the same shingles."""
+    return bool(np.array_equal(*kernels.shingle_sets(pa.array([a, b], pa.large_string()), k)))
 
 
 def fingerprints(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
@@ -119,16 +126,11 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     points = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    points = sorted({int(x) for x in points})
-
-    def bucket():
-        found = F.lit(0)
-        if points:
-            cuts = F.array(*[F.lit(x).cast("long") for x in points])
-            found = F.aggregate(cuts, F.lit(0), lambda n, x: n + (x <= F.col("doc_id")).cast("int"))
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(found)
-
-    keyed = rows.withColumn("text_key", F.xxhash64("text")).withColumn("bucket", bucket())
+    # a binary search in the JVM; as doubles the ids keep their order, and equal ids stay together
+    splits = [-float("inf"), *sorted({float(x) for x in points} or {0.0}), float("inf")]
+    keyed = rows.withColumn("text_key", F.xxhash64("text")).withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))
+    keyed = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(keyed)
+    keyed = keyed.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range").cast("int"))).drop("place", "range")
     # one row per range
     heads = keyed.groupBy("bucket").agg(F.max(F.struct("doc_id", "text_key")).alias("h")).collect()
     heads = sorted((r["bucket"], r["h"]["doc_id"], r["h"]["text_key"]) for r in heads)
@@ -149,6 +151,9 @@ COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def with_edited(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """Fingerprints of each document and of its text with the last third replaced by the next document's start."""
 
+    def same(a, b, one, other):
+        return not len(a) and not len(b) and equal_sets(one, other)
+
     def rows_of(names, texts):
         """All but the last row, each against the row after it."""
         own = sketches(pa.array(texts, pa.large_string()), fraction)
@@ -161,8 +166,8 @@ def with_edited(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
             [hashlib.sha256(t.encode()).hexdigest() for t in edited],
             [as_text(x) for x in own[:n]],
             [as_text(x) for x in other],
-            [likeness(a, b) for a, b in zip(own[:n], other, strict=True)],
-            [likeness(a, b) for a, b in pairwise(own)],
+            [likeness(a, b, same(a, b, *t)) for a, b, t in zip(own[:n], other, zip(texts[:n], edited, strict=True), strict=True)],
+            [likeness(a, b, same(a, b, *t)) for (a, b), t in zip(pairwise(own), pairwise(texts), strict=True)],
         ]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in COMPARED.split(", ")])

@@ -29,9 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Alphabet:
     """Which bytes make words, and a random number for each, 0 for the others."""
 
-    def __init__(self, is_word: np.ndarray, lower: bool):
+    def __init__(self, is_word: np.ndarray, lower: bool, seed: int = BYTE_SEED):
         self.is_word = is_word
-        self.table = np.random.default_rng(BYTE_SEED).integers(0, 2**64, 256, dtype=U64)
+        self.table = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=U64)
         self.table[~is_word] = 0
         if lower:
             self.table[65:91] = self.table[97:123]

@@ -4,7 +4,8 @@ Features are TF-IDF weights of hashed character n-grams (1 to 3 letters; what
 isn't a letter counts as one space). Document frequencies come from all
 learning documents. A sparse multinomial logistic regression is trained by
 follow-the-regularised-leader (FTRL-Proximal) with elastic-net penalties on a
-bounded sample, `per_language` documents of each language at most, and its
+bounded sample, `per_language` documents of each language at most and
+`documents` in all, of the `languages` languages with the most documents; its
 scores are calibrated by one temperature on a part of the sample that it was
 not trained on.
 
@@ -38,6 +39,8 @@ class Fit:
     """Parameters of the training."""
 
     per_language: int = 1000
+    documents: int = 16_000  # the share of each language falls where there are more than 16
+    languages: int = 400  # those with the most learning documents, the smaller name first among equals
     epochs: int = 4
     alpha: float = 2.0
     beta: float = 0.01
@@ -208,14 +211,15 @@ def train(learn: DataFrame, fit: Fit) -> Model:
     """learn: rows (doc_id, text, lang) without nulls."""
     df, n = frequencies(learn)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # by hash and count first, so that the window sees little more than it keeps; counts has a row
-    # a language, as the model does, and is sent to the tasks lest all rows meet by language
-    counts = learn.groupBy("lang").agg(F.count("*").alias("many"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * fit.per_language) / F.col("many"))
+    # by hash and count first, so that the window sees little more than it keeps; counts has at most
+    # fit.languages rows and is sent to the tasks lest all rows meet by language
+    counts = common.written(learn.groupBy("lang").agg(F.count("*").alias("many")).orderBy(F.desc("many"), "lang").limit(fit.languages), "languages")
+    per_language = max(1, min(fit.per_language, fit.documents // max(1, counts.count())))
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 50) / F.col("many"))
     some = learn.withColumn("turn", F.xxhash64("doc_id")).select("doc_id", "lang", "turn")
     some = some.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where((F.col("turn") / 2.0**64 + 0.5) <= F.col("share"))
     by_lang = Window.partitionBy("lang").orderBy("turn", "doc_id")
-    some = some.withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= fit.per_language)
+    some = some.withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= per_language)
     chosen = some.select(F.col("doc_id").alias("s_id"), "turn").distinct()
     rows = sample_features(learn.join(chosen, F.col("doc_id") == F.col("s_id")).select("text", "lang", "turn"))
     languages = sorted({r[0] for r in rows})

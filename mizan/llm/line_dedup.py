@@ -47,7 +47,9 @@ def covered(docs: DataFrame, width: int = 3) -> DataFrame:
     place = F.struct("doc_id", "text_key", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.where(~F.col("first").eqNullSafe(F.col("last")))
-    later = windows.join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    # written, so that either side of the join is a plain exchange and the rows of a window that very many documents hold can be split
+    repeated = common.written(repeated.select("h1", "h2", "first"), "repeated-windows")
+    later = windows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     later = later.select("doc_id", "text_key", "pos").distinct()
     by_doc = Window.partitionBy("doc_id", "text_key").orderBy("pos")
     apart = F.coalesce((F.col("pos") > F.lag("pos").over(by_doc) + width).cast("int"), F.lit(1))

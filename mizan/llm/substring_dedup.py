@@ -9,8 +9,11 @@ piece with the same minimizer. Then, with Spark joins:
 1. pieces whose minimizer occurs once in the corpus drop out;
 2. repeated equal pieces that always follow one another, in every copy, compact
    into nonbranching paths with the coordinates of their copies; the copy in
-   the smallest document is the source, and a path's copies must agree with it
-   in length and content; later copies are covered;
+   the smallest document is the source. A copy is verified against the text at
+   the source's coordinates: each piece of either carries a 128-bit digest of
+   its words, made by two independent families of hashes, and the digests of
+   all pieces, each with its place in the path, must agree; later copies are
+   covered;
 3. where a minimizer has different pieces the paths branch; there, and only
    there, the single edges are hashed and looked up in smaller documents.
 
@@ -58,11 +61,13 @@ def minimizers(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return kernels.sliding_minimum(kernels.sequence_hashes(h, anchor), window - anchor + 1)
 
 
-PIECES = "doc_id long, text_key long, m long, id long, start int, n int"
+PIECES = "doc_id long, text_key long, m long, id long, proof long, start int, n int"
+#: Hashes words independently of kernels.EXACT.
+PROOF = kernels.Alphabet(kernels.EXACT.is_word, lower=False, seed=kernels.BYTE_SEED + 1)
 
 
 def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Runs of n edges from word `start` on that share minimizer m; id stands for their words."""
+    """Runs of n edges from word `start` on that share minimizer m; id and proof together are the digest of their words."""
 
     def run(batches):
         for batch in kernels.text_batches(batches):
@@ -81,9 +86,10 @@ def pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             # edges up to the next piece, but for those that span two documents
             n = np.add.reduceat(inside.astype(np.int64), at)
             ids = span_hashes(h, at, at + n + window - 1)
+            proof = span_hashes(kernels.word_hashes(buf, starts, ends, PROOF), at, at + n + window - 1)
             rows = owner[at]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(m[at].view(np.int64)), pa.array(ids.view(np.int64)), pa.array((at - first[rows]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(m[at].view(np.int64)), pa.array(ids.view(np.int64)), pa.array(proof.view(np.int64)), pa.array((at - first[rows]).astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=[c.split()[0] for c in PIECES.split(", ")],
             )
 
@@ -95,20 +101,22 @@ def repeated_pieces(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     every = common.written(pieces(docs, window, anchor), "pieces")
     many = common.written(every.groupBy("m").agg(F.count("*").alias("many")).where("many > 1").select("m"), "anchors")
     some = common.written(every.join(many, "m").dropDuplicates(["doc_id", "text_key", "start"]), "shared-pieces")
-    contents = some.groupBy("m", "id").agg(F.min("doc_id").alias("source"), F.count("*").alias("copies"))
+    contents = some.groupBy("m", "id", "proof").agg(F.min("doc_id").alias("source"), F.count("*").alias("copies"))
     contents = common.written(contents, "contents")
     branching = contents.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1").select("m", F.lit(True).alias("branching"))
-    contents = contents.join(common.written(branching, "branching"), "m", "left").select("m", "id", "source", "copies", F.coalesce("branching", F.lit(False)).alias("branching"))
-    return common.written(some.join(common.written(contents, "sources"), ["m", "id"]), "repeated")
+    contents = contents.join(common.written(branching, "branching"), "m", "left").select("m", "id", "proof", "source", "copies", F.coalesce("branching", F.lit(False)).alias("branching"))
+    return common.written(some.join(common.written(contents, "sources"), ["m", "id", "proof"]), "repeated")
 
 
 def paths(repeated: DataFrame, window: int) -> DataFrame:
-    """Copies of nonbranching paths: doc_id, text_key, path, source, a, b (words a <= i < b).
+    """Copies of nonbranching paths: doc_id, text_key, path, source, a, b (words a <= i < b), n, digest.
 
     A link p -> q is nonbranching if q follows p and p precedes q in all copies.
+    Pieces are told apart by their 64-bit id here; a copy that another piece
+    joined to a path by chance has another digest than its source.
     """
     place = Window.partitionBy("doc_id", "text_key").orderBy("start")
-    near = repeated.where("copies > 1").select("doc_id", "text_key", "start", "n", "id", "copies", "source")
+    near = repeated.where("copies > 1").select("doc_id", "text_key", "start", "n", "id", "proof", "copies", "source")
     after, before = F.lead(F.struct("id", "start")).over(place), F.lag(F.struct("id", "start", "n")).over(place)
     near = near.withColumn("after", after).withColumn("before", before)
     near = near.withColumn("next", F.when(F.col("after.start") == F.col("start") + F.col("n"), F.col("after.id")))
@@ -120,20 +128,21 @@ def paths(repeated: DataFrame, window: int) -> DataFrame:
     one_prev = node.where(only("prev")).select(F.col("id").alias("q"), F.col("min_prev").alias("p"))
     inner = common.written(one_next.join(one_prev, ["p", "q"]).select(F.col("q").alias("id"), F.lit(1).alias("inner")), "links")
     walk = near.join(inner, "id", "left")
-    run = F.sum(1 - F.coalesce("inner", F.lit(0))).over(place)
+    run = F.max(F.when(F.col("inner").isNull(), F.col("start"))).over(place)  # a path's copy begins at the last piece without an inner link
     walk = walk.withColumn("run", run)
-    found = walk.groupBy("doc_id", "text_key", "run").agg(
-        F.min_by("id", "start").alias("path"), F.min("source").alias("source"), F.min("start").alias("a"), F.sum("n").alias("n"), F.sum(F.xxhash64("id", "n") % 1_000_003).alias("content")
-    )
-    copy = found.select("doc_id", "text_key", "path", "source", F.col("a").cast("long").alias("a"), (F.col("a") + F.col("n") + window - 1).alias("b"), "n", "content")
+    # sums of 31 bits of a hash of each piece's digest and its place in the path
+    part = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(i), F.col("start") - F.col("run"), "n", "id", "proof"), 33)).alias(f"digest_{i}") for i in range(4)]
+    found = walk.groupBy("doc_id", "text_key", "run").agg(F.min_by("id", "start").alias("path"), F.min("source").alias("source"), F.sum("n").alias("n"), *part)
+    digest = F.struct(*[f"digest_{i}" for i in range(4)]).alias("digest")
+    copy = found.select("doc_id", "text_key", "path", "source", F.col("run").cast("long").alias("a"), (F.col("run") + F.col("n") + window - 1).alias("b"), "n", digest)
     return common.written(copy, "paths")
 
 
 def verified_copies(copies: DataFrame) -> DataFrame:
-    """Copies that lie after their source and agree with it, by source coordinates."""
-    source = copies.where(F.col("doc_id") == F.col("source")).groupBy("path").agg(F.min(F.struct("doc_id", "a", "n", "content")).alias("s"))
+    """Copies that lie after their source and have its length and digest."""
+    source = copies.where(F.col("doc_id") == F.col("source")).groupBy("path").agg(F.min(F.struct("doc_id", "a", "n", "digest")).alias("s"))
     later = copies.where(F.col("doc_id") > F.col("source")).join(common.written(source, "path-sources"), "path")
-    return later.where((F.col("n") == F.col("s.n")) & (F.col("content") == F.col("s.content")) & (F.col("s.doc_id") < F.col("doc_id"))).select("doc_id", "text_key", "a", "b")
+    return later.where((F.col("n") == F.col("s.n")) & (F.col("digest") == F.col("s.digest")) & (F.col("s.doc_id") < F.col("doc_id"))).select("doc_id", "text_key", "a", "b")
 
 
 EDGES = "doc_id long, text_key long, m long, w long, pos long"

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ MAGIC = b"EFIDS01\0"
 HEADER = struct.Struct("<BxxxIQQqQQ")
 #: One sampled position of the high bits for so many values.
 SAMPLE = 128
+#: Values whose low bits are packed at a time.
+BLOCK = 1 << 14
 
 
 class EliasFano:
@@ -53,9 +56,10 @@ class EliasFano:
         high = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         ones = np.zeros(int(high[-1]) + 1, np.uint8)
         ones[high] = 1
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        return cls(n, low_bits, low, np.packbits(ones, bitorder="little"), high[::SAMPLE].astype(np.uint32))
+        places = np.arange(low_bits, dtype=np.uint64)
+        # by blocks of a multiple of eight values, so that each fills whole bytes
+        blocks = [np.packbits(((values[at : at + BLOCK, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for at in range(0, n, BLOCK)]
+        return cls(n, low_bits, np.concatenate(blocks), np.packbits(ones, bitorder="little"), high[::SAMPLE].astype(np.uint32))
 
     def dump(self) -> bytes:
         return self.HEAD.pack(self.n, self.low_bits, len(self.samples), len(self.low), len(self.high)) + self.samples.astype("<u4").tobytes() + self.low.tobytes() + self.high.tobytes()
@@ -93,12 +97,20 @@ class EliasFano:
         pos = 8 * byte + int(np.flatnonzero(bits)[left])
         return ((pos - i) << self.low_bits) | int(self._low(i, i + 1)[0])
 
-    def values(self) -> np.ndarray:
-        """All values, in blocks of the bit arrays."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        return (high << self.low_bits) | self._low(0, self.n).astype(np.int64)
+    def block(self, k: int) -> np.ndarray:
+        """Values k * SAMPLE to (k + 1) * SAMPLE - 1, as far as there are: the select of one sample's reach."""
+        first, last = k * SAMPLE, min((k + 1) * SAMPLE, self.n)
+        begin = int(self.samples[k])
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little")
+        ones = np.flatnonzero(bits[begin % 8 :])[: last - first] + begin
+        high = ones - np.arange(first, last)
+        return (high << self.low_bits) | self._low(first, last).astype(np.int64)
+
+    def __iter__(self):
+        """All values in order; never more than one sample's reach of them as integers."""
+        for k in range(len(self.samples)):
+            yield from self.block(k).tolist()
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
@@ -132,11 +144,10 @@ class Shard:
         return name, self.ids[self.starts.select(i) : end]
 
     def docs(self):
-        """(doc_id, start in the shard, ids) of every document."""
-        starts = np.append(self.starts.values(), self.n_ids)
-        names = [None] * self.nulls + [self.first + int(x) for x in self.names.values()]
-        for name, a, b in zip(names, starts[:-1], starts[1:], strict=True):
-            yield name, int(a), self.ids[a:b]
+        """(doc_id, start in the shard, ids) of every document; boundaries come from the select structure."""
+        names = chain(repeat(None, self.nulls), (self.first + x for x in self.names))
+        for name, (a, b) in zip(names, pairwise(chain(self.starts, [self.n_ids])), strict=True):
+            yield name, a, self.ids[a:b]
 
 
 MANIFEST = "part int, path string, start long, n_docs long, n_ids long"

@@ -169,7 +169,7 @@ def test_elias_fano(values):
     values.sort()
     raw = token_output.EliasFano.build(np.array(values, np.uint64)).dump()
     back = token_output.EliasFano.load(memoryview(raw))
-    assert back.values().tolist() == values
+    assert list(back) == values
     assert [back.select(i) for i in range(len(values))] == values
     if len(values) > 100:
         assert len(raw) * 8 < len(values) * (3.5 + np.log2(max(values) / len(values) + 2)) + 700
