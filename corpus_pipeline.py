@@ -1,7 +1,11 @@
 """Corpus pipeline: from documents to packed training sequences.
 
 Each stage takes what the one before kept, written as Parquet and read again.
-All but the last return the columns of documents.
+All but the last return the columns of documents, whatever those are named.
+
+Defined results of all stages: an empty table gives no rows; repeated rows are
+treated each like the others (near_duplicates keeps one of them); very long
+texts are whole; columns other than doc_id, text and lang pass through.
 """
 
 from __future__ import annotations
@@ -20,21 +24,36 @@ SIMILARITY = 80
 ORACLE_SQL = None
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row (struct `held`, fields by position): no other name can clash."""
+    fields = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.struct(*fields).alias("held"))
+
+
+def restored(rows: DataFrame, columns: list[str], source: str = "held", **changed) -> DataFrame:
+    """The columns that held() put away, but for those that are given anew."""
+    return rows.select(*[changed.get(c, F.col(f"{source}.c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or a likely language go."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = language_id.with_language(docs, rest)
+    """Documents without letters or a likely language go, so those with null or empty text too.
+
+    A null doc_id or lang is no ground for rejection.
+    """
+    rows = held(docs).withColumn("lang", F.col(f"held.c{docs.columns.index('lang')}"))
+    found = language_id.with_language(rows, ["held"])
     found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return restored(found, docs.columns, "row.held")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go, and documents of which nothing is left."""
-    found = line_dedup.dedup_lines(docs).where("n_removed < n_lines OR n_lines = 0")
-    columns = {c: F.col(f"row.{c}") for c in docs.columns} | {"text": F.col("text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length("text").cast("long")
-    return found.select(*[columns[c].alias(c) for c in docs.columns])
+    """Later occurrences of three-line windows go, and documents of which nothing is left.
+
+    Null texts and empty ones stay as they are; n_chars follows the text. Rows
+    with equal doc_id and text are one document given twice.
+    """
+    found = line_dedup.dedup_lines(held(docs)).where("n_removed < n_lines OR n_lines = 0")
+    return restored(found, docs.columns, "row.held", text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,24 +61,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat a document are one. Documents are told apart by doc_id and
     text; those without a doc_id are compared like others and come after them.
+    Null and wordless texts are no copies of each other and stay.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("held"), F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(F.col("text").cast("string")).alias("d_key"))
-    rows = rows.dropDuplicates(["d_id", "d_key"]).orderBy(F.col("d_id").asc_nulls_last(), "d_key")
-    rows = common.written(rows.select(F.monotonically_increasing_id().alias("own"), "held"), "documents")
-    kept = near_dedup.near_duplicates(rows.select(F.col("own").alias("doc_id"), F.col("held.text").alias("text")), percent=SIMILARITY).where("kept")
-    return rows.join(kept.select(F.col("doc_id").alias("own")), "own").select("held.*")
+    rows = held(docs).withColumn("d_key", F.xxhash64("text")).dropDuplicates(["doc_id", "d_key"])
+    rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), "d_key")
+    rows = common.written(rows.select(F.monotonically_increasing_id().alias("own"), "text", "held"), "documents")
+    kept = near_dedup.near_duplicates(rows.select(F.col("own").alias("doc_id"), "text"), percent=SIMILARITY).where("kept")
+    return restored(rows.join(kept.select(F.col("doc_id").alias("own")), "own"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
-    found = decontamination.leaks(docs, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).distinct()
+    """Documents that hold a copy of a benchmark item go.
+
+    Those without a doc_id are searched too; null and wordless texts stay.
+    """
+    rows = held(docs)
+    found = decontamination.leaks(rows, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).distinct()
     found = common.written(found, "leaks")
-    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("f_key"))
-    return docs.join(found, same, "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.xxhash64("text") == F.col("f_key"))
+    return restored(rows.join(found, same, "left_anti"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences.
+
+    Null and empty texts are one piece, the end id alone; a null doc_id stays null.
+    """
     found = packing.pack(docs)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -74,7 +101,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's own tables are removed when its result is written."""
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        docs = common.settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark, name)
     return STAGES[-1][1](spark, docs, sf_dir)
