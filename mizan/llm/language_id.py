@@ -248,7 +248,7 @@ def with_language(docs: DataFrame, extra: list[str] | None = None, fit: Fit | No
     """doc_id, held_out, lang_pred, score of every row; extra columns pass through."""
     model = train(learning_rows(docs), fit or Fit())
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *(extra or [])).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"), F.struct(*[docs[f"`{c}`"] for c in extra or []], *([] if extra else [F.lit(0).alias("_")])).alias("row"))
 
     def run(batches):
         for batch in kernels.text_batches(batches, 2 << 20):
