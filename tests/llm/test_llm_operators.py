@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mizan.llm import common, decontamination, fingerprints, kernels, language_id, line_dedup, near_dedup, packing, substring_dedup, surrogates, token_output, tokens, warc
 
@@ -491,6 +492,53 @@ def test_surrogates_stay_distinct_in_a_crowded_format(spark):
         assert len(set(new)) == len(real) and not set(new) & real
 
 
+NAMED = [
+    (1, "Mr. McDonald met Herr Jean-Pierre Müller. Dr. Anna Bell; John Smith wrote to Jane Doe."),
+    (2, "MR. JOHN SMITH's car. Smith left, and so did O'Brien. Mr. O'Brien, Frau Sokolović, Herr Yılmaz, Mrs. Şahin, Mr. Łukasz Nowak"),
+    (3, "Госпожа Петрова, Господин Петров. Pan Kowalski. Frau Kowalska und Herr Kowalski"),
+    (4, "call 0532 123 45 67 or +44 20 7946 0958 0161 496 0000, 2001:db8::8a2e:370:7334 at 12:30:45 in std::vector"),
+]
+
+
+def test_whole_names_and_local_numbers(spark):
+    out = {r.doc_id: r for r in surrogates.with_surrogates(spark.createDataFrame(NAMED, "doc_id long, text string"), b"k").collect()}
+    texts = dict(NAMED)
+    found = {i: [texts[i][e.start : e.end] for e in r.entities] for i, r in out.items()}
+    assert found[1] == ["McDonald", "Jean-Pierre", "Müller", "Anna", "Bell", "John", "Smith", "Jane", "Doe"]
+    assert found[2] == ["JOHN", "SMITH", "Smith", "O'Brien", "O'Brien", "Sokolović", "Yılmaz", "Şahin", "Łukasz", "Nowak"]
+    assert found[3] == ["Петрова", "Петров", "Kowalski", "Kowalska", "Kowalski"]
+    assert found[4] == ["0532 123 45 67", "+44 20 7946 0958", "0161 496 0000", "2001:db8::8a2e:370:7334"]
+    new = {i: [e.surrogate for e in r.entities] for i, r in out.items()}
+    assert new[2][0] == new[1][5].upper() and new[2][1] == new[1][6].upper() and new[2][2] == new[1][6]
+    assert new[2][3] == new[2][4] and re.fullmatch("[A-Z][a-z]+'[A-Z][a-z]+", new[2][3]) and re.fullmatch("[A-Z][a-z]+-[A-Z][a-z]+", new[1][1])
+    assert new[3][0] == new[3][1] + "а" and new[3][1].endswith("ов") and new[3][2] == new[3][4] and new[3][3] == new[3][2][:-1] + "a"
+    assert re.fullmatch(r"0\d{3} \d{3} \d{2} \d{2}", new[4][0]) and ":" in new[4][3]
+    originals = {w for f in found.values() for w in f}
+    assert not any(w in r.text for r in out.values() for w in originals if len(w) > 3)
+
+
+def test_a_full_network_ends(spark):
+    addresses = [f"192.168.{a}.{b}" for a in range(1, 255) for b in range(1, 255)]
+    d = spark.range(len(addresses)).select(F.col("id").alias("doc_id"), F.concat(F.lit("at 192.168."), (F.col("id") / 254 + 1).cast("int"), F.lit("."), F.col("id") % 254 + 1).alias("text"))
+    out = surrogates.with_surrogates(d).select("entities").collect()
+    new = [r.entities[0].surrogate for r in out]
+    assert len(new) == len(set(new)) == len(addresses) == 64_516 and not set(new) & set(addresses)
+
+
+def test_names_of_all_kinds_stay_distinct_and_agree(spark):
+    letters = "bcdfglmnprst"
+    words = [a.upper() + v + b for a in letters for v in "aeiou" for b in letters]
+    rows = [(i, f"Mr. {w} and Mrs. {w} {words[-i - 1]}") for i, w in enumerate(words)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {}
+    for r in surrogates.with_surrogates(d, b"k").collect():
+        for e in r.entities:
+            every.setdefault((e.type, rows[r.doc_id][1][e.start : e.end]), set()).add(e.surrogate)
+    assert all(len(x) == 1 for x in every.values())
+    values = [next(iter(x)) for x in every.values()]
+    assert len(values) == len(set(values)) >= len(words) and not set(values) & set(words)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
