@@ -3,26 +3,34 @@
 Seeds are all distinct three-word sequences of each benchmark item, however
 many documents hold them; so a copy is aligned if an edit left any three words
 in a row. Where seeds of an item lie close together in a document, the words
-around them are aligned with the item by Smith-Waterman (match 2, mismatch and
-gap -1), and the score as a share of a full match tells copies, edited ones
-too, from chance. Scores of many passages are computed together; only those
-that reach the share are traced back.
+around them are a candidate passage, unless they have too few of the item's words
+to reach the score in any order. Passages join the items they are held against
+and are aligned by Smith-Waterman (match 2, mismatch and gap -1); the score as
+a share of a full match tells copies, edited ones too, from chance. Scores of
+many passages are computed together; only those that reach the share are traced
+back.
 
-The benchmark is the query set: it goes to the tasks in blocks of at most
-`block_items` items, and all documents are read for each block.
+Frequent seeds aren't dropped, as an edited copy may have no other left: those
+that no document holds cost nothing, and the test of words keeps passages of
+chance from the alignment.
+
+The benchmark is the query set: its seeds go to the tasks in blocks of about
+`block_bytes` bytes of hashed words, and all documents are read for each block.
 
 Defined results: words are runs of letters and digits in lower case, sharp s
 as ss, dotted and dotless i as i (other letters whose capital is several
 letters, such as ligatures, stay as they are); null and wordless texts hold
 nothing; items that have fewer than MIN_WORDS words are found where a document
 has exactly their words in a row (score 1, one seed, the first such place);
-items that are null or wordless are never found; items that repeat are found each; repeated
-document rows give their rows each; null doc_ids are searched as well; empty
+items that are null or wordless are never found; very long items are aligned
+whole; items that repeat are found each; repeated document rows give their rows each; null doc_ids are searched as well; empty
 tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -105,37 +113,6 @@ def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarr
     return out
 
 
-class Block:
-    """Items of one block, their seeds and an index from a sequence's hash to its items.
-
-    `short` has the items of fewer than MIN_WORDS words: by number of words, ids by the hash of all words.
-    """
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words = [], []
-        self.short: dict[int, dict[int, list]] = {}
-        hashed = []
-        for name, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
-            buf, offsets = kernels.text_bytes(folded(pa.array([text], pa.large_string())))
-            h = kernels.word_hashes(buf, *kernels.words(buf, offsets, WORDS)[:2], WORDS)
-            if len(h) >= MIN_WORDS:
-                self.ids.append(name)
-                self.words.append(h)
-                hashed.append(np.unique(kernels.sequence_hashes(h, N)))
-            elif len(h):
-                self.short.setdefault(len(h), {}).setdefault(int(kernels.sequence_hashes(h, len(h))[0]), []).append(name)
-        self.item_grams = hashed
-
-    def seeds(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """All sequences and, for each, the items that have it."""
-        owners: dict[int, list[int]] = {}
-        for i, grams in enumerate(self.item_grams):
-            for g in grams.tolist():
-                owners.setdefault(g, []).append(i)
-        keys = np.array(sorted(owners), np.uint64)
-        return keys, [np.array(owners[int(k)]) for k in keys]
-
-
 class Lookup:
     """Which hashes are among the keys: a bit map first, then a search."""
 
@@ -161,89 +138,151 @@ def clusters(pos: np.ndarray, reach: int):
     return zip([0, *cuts.tolist()], [*cuts.tolist(), len(pos)], strict=True)
 
 
-FOUND = "doc_id long, text_key long, item_id long, score double, first_word long, last_word long, n_seeds long"
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the first of each text (len + 1)."""
+    buf, offsets = kernels.text_bytes(folded(texts))
+    starts, ends, first = kernels.words(buf, offsets, WORDS)
+    return kernels.word_hashes(buf, starts, ends, WORDS), first
+
 
+class Block:
+    """Items of one block: their words, and an index from a seed's hash to the items that have it.
 
-def search(docs: DataFrame, block: Block, keys: np.ndarray, owners: list[np.ndarray], score: float) -> DataFrame:
-    ids, items = block.ids, block.words
-    counts = np.array([len(o) for o in owners])
-    flat, bounds = np.concatenate([np.zeros(0, np.int64), *owners]), np.cumsum([0, *counts])
-    short = block.short
+    `short` has the items of fewer than MIN_WORDS words: by number of words, items by the hash of all words.
+    """
 
-    def candidates(h: np.ndarray, pos: np.ndarray, key: np.ndarray):
-        """(item, first word, passage, seeds) where an item has seeds at these places of one document."""
-        n = counts[key]
-        at = np.repeat(bounds[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, pos, key = flat[at], np.repeat(pos, n), np.repeat(key, n)
+    def __init__(self, keys: list[int], words: list[np.ndarray]):
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for key, h in zip(keys, words, strict=True):
+            if 0 < len(h) < MIN_WORDS:
+                self.short.setdefault(len(h), {}).setdefault(int(kernels.sequence_hashes(h, len(h))[0]), []).append(key)
+        long = [(k, h) for k, h in zip(keys, words, strict=True) if len(h) >= MIN_WORDS]
+        self.items, self.words = [k for k, _ in long], [h for _, h in long]
+        grams = [np.unique(kernels.sequence_hashes(h, N)) for h in self.words]
+        every = np.concatenate([np.zeros(0, np.uint64), *grams])
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.argsort(every, kind="stable")
+        self.seeds, first = np.unique(every[order], return_index=True)
+        self.owners, self.bounds = owner[order], np.append(first, len(every))
+
+    def candidates(self, h: np.ndarray, pos: np.ndarray, seed: np.ndarray, score: float):
+        """(item's place, first word, passage, seeds) where an item has seeds at these places of one document.
+
+        A passage that has too few of the item's words for the score, however they stand, is left out.
+        """
+        n = self.bounds[seed + 1] - self.bounds[seed]
+        at = np.repeat(self.bounds[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, pos, seed = self.owners[at], np.repeat(pos, n), np.repeat(seed, n)
         order = np.lexsort((pos, item))
-        item, pos, key = item[order], pos[order], key[order]
-        for which in np.unique(item).tolist():
-            own = slice(*np.searchsorted(item, [which, which + 1]))
-            for a, b in clusters(pos[own], len(items[which])):
-                near = pos[own][a:b]
-                first = max(0, int(near[0]) - len(items[which]))
-                yield which, first, h[first : int(near[-1]) + N + len(items[which])], len(np.unique(key[own][a:b]))
-
-    def matches(tried: list[tuple]):
-        """Best passage for each document and item among (document, item, first word, passage, seeds)."""
-        points = best_scores([t[3] for t in tried], [items[t[1]] for t in tried])
-        best: dict[tuple[int, int], tuple] = {}
-        for (doc, which, first, passage, n), p in zip(tried, points.tolist(), strict=True):
-            share = p / (MATCH * len(items[which]))
-            if share >= score and ((doc, which) not in best or share > best[doc, which][0]):
-                best[doc, which] = (share, first, passage, n)
-        for (doc, which), (share, first, passage, n) in best.items():
-            _, start, end = align(passage, items[which])
-            yield doc, (ids[which], share, first + start, first + end, n)
-
-    def exact(h: np.ndarray, first: np.ndarray, lookups: dict[int, Lookup]):
-        """First place of each short item in each document."""
+        item, pos, seed = item[order], pos[order], seed[order]
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(item)], strict=True):
+            which = int(item[a]) if b > a else 0
+            own, near = self.words[which] if b > a else None, pos[a:b]
+            for c, d in clusters(near, len(own)) if b > a else ():
+                first = max(0, int(near[c]) - len(own))
+                passage = h[first : int(near[d - 1]) + N + len(own)]
+                if np.isin(own, passage).sum() >= score * len(own):
+                    yield which, first, passage, len(np.unique(seed[a + c : a + d]))
+
+    def exact(self, h: np.ndarray, first: np.ndarray, lookups: dict[int, Lookup]):
+        """(document, item, first word) of each short item's first place in each document."""
         for n, lookup in lookups.items():
             owner, inside = kernels.window_owner(first, n, len(h))
             at, key = lookup.hits(kernels.sequence_hashes(h, n))
             at, key = at[inside[at]], key[inside[at]]
             _, places = np.unique(owner[at] * len(lookup.keys) + key, return_index=True)
             for a, k in zip(at[places].tolist(), key[places].tolist(), strict=True):
-                begin = a - int(first[owner[a]])
-                for name in short[n][int(lookup.keys[k])]:
-                    yield int(owner[a]), (name, 1.0, begin, begin + n, 1)
+                for item in self.short[n][int(lookup.keys[k])]:
+                    yield int(owner[a]), item, a - int(first[owner[a]])
+
+
+ITEMS = "item_key long, words binary"
+PASSAGES = "row long, doc_id long, text_key long, item_key long, first_word long, n_seeds long, passage binary"
+FOUND = "row long, doc_id long, text_key long, item_key long, score double, first_word long, last_word long, n_seeds long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+
+def passages(docs: DataFrame, block: Block, score: float) -> DataFrame:
+    """Passages of all documents that hold seeds of an item; without words where a short item stands exactly."""
 
     def run(batches):
-        lookup = Lookup(keys)
-        lookups = {n: Lookup(np.array(sorted(own), np.uint64)) for n, own in short.items()}
+        lookup = Lookup(block.seeds)
+        lookups = {n: Lookup(np.array(sorted(own), np.uint64)) for n, own in block.short.items()}
         for batch in kernels.text_batches(batches):
-            buf, offsets = kernels.text_bytes(folded(batch.column(2)))
-            starts, ends, first = kernels.words(buf, offsets, WORDS)
-            h = kernels.word_hashes(buf, starts, ends, WORDS)
+            h, first = hashed_words(batch.column(3))
             owner, inside = kernels.window_owner(first, N, len(h))
-            at, key = lookup.hits(kernels.sequence_hashes(h, N))
-            at, key = at[inside[at]], key[inside[at]]
-            tried = []
+            at, seed = lookup.hits(kernels.sequence_hashes(h, N))
+            at, seed = at[inside[at]], seed[inside[at]]
+            found = []
             for i in np.unique(owner[at]).tolist():
                 own = slice(*np.searchsorted(owner[at], [i, i + 1]))
-                tried += [(i, *c) for c in candidates(h[first[i] : first[i + 1]], at[own] - first[i], key[own])]
-            rows = [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), *found) for i, found in (*matches(tried), *exact(h, first, lookups))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
+                found += [(i, block.items[which], a, n, p.tobytes()) for which, a, p, n in block.candidates(h[first[i] : first[i + 1]], at[own] - first[i], seed[own], score)]
+            found += [(i, item, a, 1, None) for i, item, a in block.exact(h, first, lookups)]
+            names = [c.to_pylist() for c in batch.columns[:3]]
+            yield _batch([(*(c[i] for c in names), *rest) for i, *rest in found], PASSAGES)
 
-    return common.mapped(docs.select("doc_id", "text_key", "text"), run, FOUND)
+    return common.mapped(docs.select("row", "doc_id", "text_key", "text"), run, PASSAGES)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block_items: int = 20_000) -> DataFrame:
-    """One row for each document and item of which it holds a copy: the best passage."""
+def aligned(held: DataFrame, score: float) -> DataFrame:
+    """Passages, each with its item's words, that reach the score."""
+
+    def run(batches):
+        for batch in kernels.text_batches(batches):
+            rows, out, tried = batch.to_pylist(), [], []
+            for r in rows:
+                r["words"] = np.frombuffer(r["words"], np.uint64)
+                if r["passage"] is None:
+                    out.append((r, 1.0, r["first_word"], r["first_word"] + len(r["words"])))
+                else:
+                    r["passage"] = np.frombuffer(r["passage"], np.uint64)
+                    tried.append(r)
+            for r, p in zip(tried, best_scores([r["passage"] for r in tried], [r["words"] for r in tried]).tolist(), strict=True):
+                if (share := p / (MATCH * len(r["words"]))) >= score:
+                    _, a, b = align(r["passage"], r["words"])
+                    out.append((r, share, r["first_word"] + a, r["first_word"] + b))
+            yield _batch([(r["row"], r["doc_id"], r["text_key"], r["item_key"], share, a, b, r["n_seeds"]) for r, share, a, b in out], FOUND)
+
+    return common.mapped(held.select(*[f.split()[0] for f in PASSAGES.split(", ")], "words"), run, FOUND)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, block_bytes: int = 4 << 20) -> DataFrame:
+    """One row for each document and item of which it holds a copy: the best passage, the first of equal ones."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = -(-items.count() // block_items)
-    found = spark.createDataFrame([], FOUND)
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("many")).withColumn("item_key", F.monotonically_increasing_id())
+    items = common.written(items, "items")
+
+    def words(batches):
+        for batch in kernels.text_batches(batches):
+            h, first = hashed_words(batch.column(1))
+            yield _batch([(k, h[a:b].tobytes()) for k, a, b in zip(batch.column(0).to_pylist(), first[:-1], first[1:], strict=True)], ITEMS)
+
+    own = common.written(common.mapped(items.select("item_key", "text"), words, ITEMS).where(F.length("words") > 0), "item-words")
+    size = own.agg(F.sum(F.length("words"))).first()[0] or 0
+    blocks, found = -(-size // block_bytes), []
     for b in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = Block([(r["item_id"], r["text"]) for r in held])
-        if block.ids or block.short:
-            found = found.unionByName(search(rows, block, *block.seeds(), score))
-    return found
+        # one block of the query set, about block_bytes of hashed words
+        held = own.where(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == b).collect()
+        found.append(passages(rows, Block([r["item_key"] for r in held], [np.frombuffer(r["words"], np.uint64) for r in held]), score))
+    if not found:
+        return spark.createDataFrame([], "doc_id long, text_key long, item_id long, score double, first_word long, last_word long, n_seeds long")
+    # dealt anew, so that a document with very many passages isn't aligned by one task
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = reduce(DataFrame.union, found).repartition(n, "row", "item_key", "first_word")
+    best = aligned(dealt.join(own, "item_key"), score).groupBy("row", "doc_id", "text_key", "item_key")
+    best = best.agg(F.min(F.struct(-F.col("score"), "first_word", "last_word", "n_seeds")).alias("b"))
+    best = best.join(items.select("item_key", "item_id", "many"), "item_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("many"))))
+    return best.select("doc_id", "text_key", "item_id", (-F.col("b.col1")).alias("score"), "b.first_word", "b.last_word", "b.n_seeds")
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

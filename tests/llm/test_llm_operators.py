@@ -325,7 +325,7 @@ def test_leaks(spark, small):
             w[rng.randrange(len(w))] = "edited"
         extra.append((10_000 + k, "before this " + " ".join(w) + " and after", name))
     more = spark.createDataFrame([x[:2] for x in extra], "doc_id long, text string")
-    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(d.select("doc_id", "text").union(more), bench, block_items=15).collect()}
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(d.select("doc_id", "text").union(more), bench, block_bytes=4000).collect()}
     exact = {(i, k) for i, t in rows.items() for k, x in items.items() if x in t}
     edited = {(i, k) for i, _, k in extra}
     assert exact <= found and edited <= found
@@ -353,6 +353,30 @@ def test_leaks_of_much_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 0.9 * len(rows)
 
 
+def test_recall_of_lone_edited_copies(spark):
+    """Against Smith-Waterman of all pairs: one copy of each item, and no other document that holds any of it."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    hashes = lambda x: np.array([hash(w) & (2**63 - 1) for w in x.split()], np.uint64)
+    items = [(k, " ".join(word() for _ in range(rng.randrange(15, 60)))) for k in range(60)]
+    rows, rate = [], {}
+    for share in (0.1, 0.2, 0.3, 0.4):
+        for _, text in items:
+            w = text.split()
+            for at in rng.sample(range(len(w)), round(share * len(w))):
+                w[at] = word()
+            rate[len(rows)] = share
+            rows.append((len(rows), " ".join([word() for _ in range(40)] + w + [word() for _ in range(40)])))
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    for share in (0.1, 0.2, 0.3, 0.4):
+        own = [r for r in rows if rate[r[0]] == share]
+        pairs = [(i, k, hashes(t), hashes(x)) for i, t in own for k, x in items]
+        scores = decontamination.best_scores([p[2] for p in pairs], [p[3] for p in pairs])
+        want = {p[:2] for p, s in zip(pairs, scores.tolist(), strict=True) if s >= decontamination.SCORE * decontamination.MATCH * len(p[3])}
+        got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(own, "doc_id long, text string"), bench).collect()}
+        assert len(want) >= 50 and got <= want and len(got) >= 0.95 * len(want), (share, len(want), len(got))
+
+
 def test_leaks_in_capitals(spark):
     items = [
         (1, "élève très âgé à l'école où ça été écrit déjà"), (2, "größe straße müßig öl äpfel übung grüße fuß schön"), (3, "ñandú señor niño año mañana otoño sueño baño"),
