@@ -96,14 +96,20 @@ def components_by_brute_force(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("block_bytes", [near_dedup.BLOCK_BYTES, 60_000])
-def test_near_duplicates_by_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 60_000, "minor": 0}, {"minor": 1}, {"minor": 0}, {"exact": True}, {"exact": True, "minor": 0}])
+def test_near_duplicates_by_brute_force(spark, how):
     df, rows = planted(spark)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, **how).collect()}
     want = components_by_brute_force(rows)
     assert got == want and sum(k for _, _, k in want.values()) < len(want) - 20
 
 
+def test_blocks_have_a_task_each(spark):
+    keys = near_dedup.task_keys(spark, 23)
+    d = spark.createDataFrame([(i, keys[i]) for i in range(23)], "task int, key int").repartition(23, "key")
+    assert sorted(r.p for r in d.select(F.spark_partition_id().alias("p")).collect()) == list(range(23))
+
+
 def test_near_duplicates_of_driver_rows(spark, small):
     d = documents(spark, small)
     rows = {r.doc_id: r.text for r in d.collect()}
