@@ -1,71 +1,125 @@
-"""HTML to markdown, and rows out of list pages, as Arrow UDFs over the tree.
+"""HTML to markdown as an Arrow UDF over the tree.
 
-Only what needs a tree is here; flat anchors are read by expressions in
-mizan.operators.pages.
+A line of markdown is made from the flat stream of events below an element:
+texts become runs with a weight and a slant, and the marks are set where these
+change from one run to the next, so they are balanced whatever the markup.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mizan.functions.text import EMPHASIS_REPAIRS, ORDINALS
+from mizan.functions.text import ORDINALS
 from mizan.functions.tree import Node, parse
 
-# White space, headings, containers, and the length of a long table cell.
-SPACE = re.compile("[ \\t\\r\\n​  ]+")
+# White space, headings, containers, bold and slanted elements and styles, and the length of a long table cell.
+SPACE = re.compile("[ \t\r\n\u200b\u202f\u00a0]+")
 HEADING = re.compile(rf"^(?:{'|'.join(ORDINALS)})\s+BÖLÜM\b|^EK[-–—]?\s*\d+", re.IGNORECASE)
 CONTAINERS = {"div", "section", "article", "body", "main", "header", "footer"}
+BOLD, BOLD_STYLES = ("b", "strong"), ("font-weight:700", "font-weight:bold")
+SLANTED, SLANTED_STYLES = ("i", "em"), ("font-style:italic",)
 LONG_CELL = 200
+SILENT = ("script", "style")
 
 
-def _styled(node: Node, names: tuple[str, ...], *styles: str) -> bool:
-    style = node.attrs.get("style", "").lower().replace(" ", "")
-    return node.name in names or any(s in style for s in styles)
-
-
-def inline(node: Node | str, bold: bool = False, italic: bool = False) -> str:
-    """One line of markdown; emphasis marks each run of text."""
-    if isinstance(node, str):
-        run = SPACE.sub(" ", node)
-        if not run.strip():
-            return " " if run else ""
-        mark = "*" * (2 * bold + italic)
-        return f"{mark}{run}{mark}"
-    if node.name == "br":
-        return " "
-    if node.name == "img":
-        source = node.attrs.get("src", "")
-        return f"![{node.attrs.get('alt', '')}]({source})" if source else ""
-    bold = bold or _styled(node, ("b", "strong"), "font-weight:700", "font-weight:bold")
-    italic = italic or _styled(node, ("i", "em"), "font-style:italic")
-    out, after_tag = "", False
-    for child in node.children:
-        piece = inline(child, bold, italic)
-        if not piece:
+def events(top: Node | str) -> Iterator[tuple[str, Node | str]]:
+    """("open", element), ("text", string) and ("close", element) in document order."""
+    todo: list[tuple[str, Node | str]] = [("open" if isinstance(top, Node) else "text", top)]
+    while todo:
+        kind, x = todo.pop()
+        if kind == "open" and x.name in SILENT:
             continue
-        tag = isinstance(child, Node) and child.name != "br"
-        if out and after_tag and tag and not out[-1].isspace() and not piece[0].isspace():
-            out += " "
-        out, after_tag = out + piece, tag
-    if node.name == "a" and node.attrs.get("href") and out.strip():
-        return f"[{out.strip()}]({node.attrs['href']})"
-    return out
-
-
-def paragraph(node: Node) -> str:
-    line = SPACE.sub(" ", inline(node).replace("****", "")).strip()
-    for pattern, new in EMPHASIS_REPAIRS:
-        line = re.sub(pattern, new.replace("$", "\\"), line)
-    return SPACE.sub(" ", line).strip()
+        yield kind, x
+        if kind == "open":
+            todo.append(("close", x))
+            todo.extend(("open" if isinstance(c, Node) else "text", c) for c in reversed(x.children))
+
+
+def marked(runs: list[tuple[str, bool, bool]]) -> str:
+    """Runs (text, bold, slanted) as markdown, white space outside the marks and single.
+
+    Bold goes on over white space between two bold runs, slant doesn't; slant is inside bold.
+    """
+    out, bold, slanted, space = [], False, False, False
+    for text, b, s in [*runs, ("", False, False)]:
+        core = SPACE.sub(" ", text)
+        end = text == ""
+        space = space or core[:1] == " "
+        if not core.strip() and not end:
+            continue
+        if slanted and (space or not s or b != bold):
+            out.append("*")
+            slanted = False
+        if bold and not b:
+            out.append("**")
+        if space and out and not end:
+            out.append(" ")
+        out.append("**" * (b and not bold) + "*" * (s and not slanted) + core.strip())
+        bold, slanted, space = b, s, core[-1:] == " "
+    return "".join(out).strip()
+
+
+class Line:
+    """The runs of one line while its events come in."""
+
+    def __init__(self):
+        self.runs: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[bool, bool, int]] = [(False, False, 0)]  # bold, slanted, runs at the opening
+        self.after_element, self.entered = False, 0
+
+    def put(self, text: str, styled: bool = True) -> None:
+        # what two neighbouring elements hold doesn't run together
+        if self.after_element and self.entered:
+            self.runs.append((" ", False, False))
+        self.runs.append((text, *(self.open[-1][:2] if styled else (False, False))))
+        self.after_element, self.entered = False, 0
+
+    def opened(self, node: Node) -> None:
+        style = node.attrs.get("style", "").lower().replace(" ", "")
+        bold, slanted, _ = self.open[-1]
+        bold = bold or node.name in BOLD or any(x in style for x in BOLD_STYLES)
+        slanted = slanted or node.name in SLANTED or any(x in style for x in SLANTED_STYLES)
+        self.open.append((bold, slanted, len(self.runs)))
+        self.entered += self.after_element
+        if node.name == "img" and node.attrs.get("src"):
+            self.put(f"![{node.attrs.get('alt', '')}]({node.attrs['src']})", styled=False)
+
+    def closed(self, node: Node) -> None:
+        first = self.open.pop()[2]
+        if len(self.runs) == first:
+            self.entered = max(0, self.entered - 1)
+            return
+        if node.name == "a" and node.attrs.get("href") and (shown := marked(self.runs[first:])):
+            glue = [self.runs[first]] if first and not self.runs[first][0].strip() else []
+            self.runs[first:] = [*glue, (f"[{shown}]({node.attrs['href']})", False, False)]
+        self.after_element, self.entered = True, 0
+
+    def read(self, top: Node | str) -> str:
+        for kind, x in events(top):
+            if kind == "text":
+                if x:
+                    self.put(x)
+            elif x.name == "br":
+                if kind == "open":
+                    self.after_element = False
+                    self.put(" ")
+            else:
+                (self.opened if kind == "open" else self.closed)(x)
+        return marked(self.runs)
+
+
+def line(top: Node | str) -> str:
+    return Line().read(top)
 
 
 def cell(node: Node) -> str:
-    parts = [(SPACE.sub(" ", c).strip() if isinstance(c, str) else paragraph(c) if c.name in ("p", "div") else inline(c)) for c in node.children]
-    return SPACE.sub(" ", " ".join(p for p in parts if p.strip())).strip().replace("|", "\\|")
+    """Each child by itself, a space between them."""
+    return " ".join(filter(None, map(line, node.children))).replace("|", "\\|")
 
 
 def _span(node: Node, name: str) -> int:
@@ -73,141 +127,85 @@ def _span(node: Node, name: str) -> int:
     return int(value) if value.isdigit() and int(value) else 1
 
 
-def table(node: Node, seen: set[str]) -> str:
-    """A GFM table with spans flattened; long cells that the document had before are blank."""
-    lines = node.find_all("tr")
-    grid: list[dict[int, str]] = [{} for _ in lines]
-    for r, line in enumerate(lines):
+def grid(lines: list[Node]) -> list[list[str]]:
+    """The cells of table rows, spans laid out; the first place of a span across has its text."""
+    places: list[dict[int, str]] = [{} for _ in lines]
+    for r, own in enumerate(lines):
         c = 0
-        for x in line.find_all("td", "th"):
-            while c in grid[r]:
+        for x in own.find_all("td", "th"):
+            while c in places[r]:
                 c += 1
             body = cell(x)
             for down in range(min(_span(x, "rowspan"), len(lines) - r)):
                 for right in range(_span(x, "colspan")):
-                    grid[r + down][c + right] = "" if right else body
+                    places[r + down][c + right] = "" if right else body
             c += _span(x, "colspan")
-    width = max((max(row) + 1 for row in grid if row), default=0)
-    if not width:
-        return ""
-    rows = [[row.get(i, "") for i in range(width)] for row in grid]
-    for row in rows:
-        for i, body in enumerate(row):
-            letters = "".join(filter(str.isalnum, body)) if len(body) >= LONG_CELL else ""
-            if len(letters) >= LONG_CELL:
-                if letters in seen:
-                    row[i] = ""
-                seen.add(letters)
-    if not any(body.strip() for row in rows for body in row):
-        return ""
-    head = next((r for r, line in enumerate(lines) if line.find("th", "b", "strong")), 0)
-    top = [" / ".join(filter(None, (rows[r][i] for r in range(head + 1)))) for i in range(width)] if head else rows[0]
-    shown = [top, ["---"] * width, *rows[head + 1 :]]
-    return "\n".join("|" + "|".join(row) + "|" if n == 1 else "| " + " | ".join(row) + " |" for n, row in enumerate(shown))
+    width = max((max(row) + 1 for row in places if row), default=0)
+    return [[row.get(i, "") for i in range(width)] for row in places]
 
 
-def _blocks(node: Node, seen: set[str]):
-    for child in node.children:
-        if isinstance(child, str):
-            yield child.strip()
-        elif child.name in ("script", "style"):
-            continue
-        elif child.name == "table":
-            yield table(child, seen)
-        elif re.fullmatch("h[1-6]", child.name):
-            line = paragraph(child)
-            yield line and f"{'#' * int(child.name[1])} {line}"
-        elif child.name == "p":
-            line = paragraph(child)
-            plain = re.sub("[*_]", "", line).strip()
-            yield f"## {plain}" if HEADING.match(plain) else line
-        elif child.name in ("li", "ul", "ol"):
-            items = [child] if child.name == "li" else [x for x in child.children if isinstance(x, Node) and x.name == "li"]
-            yield from (f"- {line}" for line in map(paragraph, items) if line)
-        elif child.name in CONTAINERS:
-            yield from _blocks(child, seen)
+def first_time(body: str, seen: set[str]) -> bool:
+    """False for a long cell of which the letters and digits are in seen; adds those of long cells."""
+    key = "".join(filter(str.isalnum, body))
+    if min(len(body), len(key)) < LONG_CELL:
+        return True
+    known = len(seen)
+    seen.add(key)
+    return len(seen) > known
+
+
+def table(node: Node, seen: set[str]) -> str:
+    """A table with spans laid out; long cells that the document had before are blank.
+
+    The header ends with the first row that has a header cell or bold element,
+    and joins what stands above one another.
+    """
+    lines = node.find_all("tr")
+    rows = [[x if first_time(x, seen) else "" for x in row] for row in grid(lines)]
+    if not any(any(row) for row in rows):
+        return ""
+    heads = [i for i, own in enumerate(lines) if own.find("th", *BOLD)] or [0]
+    top = [" / ".join(filter(None, column[: heads[0] + 1])) for column in zip(*rows, strict=True)]
+    written = ["| " + " | ".join(row) + " |" for row in (top, *rows[heads[0] + 1 :])]
+    return "\n".join([written[0], "|" + "---|" * len(top), *written[1:]])
+
+
+def units(top: Node) -> Iterator[Node | str]:
+    """What stands below containers, each a block of its own, in document order."""
+    todo = list(reversed(top.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and x.name in CONTAINERS:
+            todo.extend(reversed(x.children))
         else:
-            yield SPACE.sub(" ", inline(child)).strip()
+            yield x
+
+
+def block(x: Node | str, seen: set[str]) -> list[str]:
+    """The blocks of markdown that one unit makes; empty ones are left to the caller."""
+    if isinstance(x, str):
+        return [x.strip()]
+    if x.name == "table":
+        return [table(x, seen)]
+    if x.name in ("ul", "ol"):
+        return [b for c in x.children if isinstance(c, Node) and c.name == "li" for b in block(c, seen)]
+    body = line(x)
+    plain = re.sub("[*_]", "", body).strip()
+    marks = {"li": "- ", "p": "## " if HEADING.match(plain) else ""} | {f"h{n}": "#" * n + " " for n in range(1, 7)}
+    if x.name == "p" and marks["p"]:
+        body = plain
+    return [marks.get(x.name, "") + body] if body else []
 
 
 def to_markdown(html: str | None) -> str:
     """Blocks of the body, a blank line between them; "" for nothing."""
     if not html or not html.strip():
         return ""
-    root = parse(html)
-    for node in [root, *root.walk()]:
-        node.children = [c for c in node.children if isinstance(c, str) or c.name not in ("script", "style")]
-    blocks = (b.strip() for b in _blocks(root.find("body") or root, set()))
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(b for b in blocks if b)).strip()
+    root, seen = parse(html), set()
+    blocks = [b.strip() for x in units(root.find("body") or root) for b in block(x, seen)]
+    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(filter(None, blocks))).strip()
 
 
 @F.pandas_udf(T.StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(to_markdown)
-
-
-CARD_LINK = T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("header", "href", "text")), T.StructField("pos", T.IntegerType())]))
-
-
-def card_links(html: str | None) -> list[dict]:
-    """Links of each card's body with the card's header, without its trailing count."""
-    out = []
-    for card in parse(html or "").find_all("div", cls="card"):
-        head, body = card.find("h5"), card.find("div", cls="card-body") or card.find("div", cls="collapse")
-        if head is None or body is None:
-            continue
-        name = re.sub(r"\s*\(\d+\)\s*$", "", head.text()).strip()
-        for i, a in enumerate(x for x in body.find_all("a") if "href" in x.attrs):
-            out.append({"header": name, "href": a.attrs["href"].strip(), "text": a.text(), "pos": i})
-    return out
-
-
-@F.pandas_udf(CARD_LINK)
-def html_card_links(html: pd.Series) -> pd.Series:
-    return html.map(card_links)
-
-
-INSTITUTION = T.ArrayType(T.StructType([*(T.StructField(c, T.StringType()) for c in ("name", "website", "subcategory", "status")), T.StructField("digital", T.BooleanType())]))
-ACTIVE, CANCELLED = "Aktif", "İptal Edilmiş"
-
-
-def _outside(node: Node) -> Node | None:
-    return next((a for a in node.find_all("a") if a.attrs.get("href", "").startswith("http")), None)
-
-
-def _numberless(name: str) -> str:
-    return re.sub(r"^\d+\.\s*", "", name).strip()
-
-
-def institutions(html: str | None, kind: str) -> list[dict]:
-    """Entries of a directory page, of cards or of tab panes, whichever it has."""
-    out, root = [], parse(html or "")
-    for card in root.find_all("div", cls="card"):
-        head, body = card.find("h5"), card.find("div", cls="card-body") or card.find("div", cls="collapse")
-        if head is None or body is None:
-            continue
-        group = re.sub(r"\s*\(\d+\)\s*$", "", head.text()).strip()
-        status = CANCELLED if any(w in group.lower() for w in ("iptal", "mülga", "tmsf")) else ACTIVE
-        for li in body.find_all("li"):
-            raw, link = li.text(), _outside(li)
-            if len(raw) < 5:
-                continue
-            name = raw.replace(link.text(), "") if link and link.text() else raw
-            name = _numberless(re.sub(r"\s*Detay\s*$", "", name).strip())
-            digital = "Dijital Banka" in name
-            name = name.replace("Dijital Banka", "").strip()
-            if len(name) >= 3:
-                out.append({"name": name, "website": link.attrs["href"] if link else "", "subcategory": group, "status": status, "digital": digital})
-    for pane in root.find_all("div", cls="tab-pane"):
-        status = ACTIVE if pane.attrs.get("id") == "faaliyette" else CANCELLED
-        for li in pane.find_all("li", cls="row"):
-            title, web = li.find("div", cls="baslikContainer"), li.find("div", cls="webAdresiContainer")
-            name, link = _numberless(title.text()) if title else "", _outside(web) if web else None
-            if len(name) >= 3:
-                out.append({"name": name, "website": link.attrs["href"] if link else "", "subcategory": kind, "status": status, "digital": False})
-    return out
-
-
-@F.pandas_udf(INSTITUTION)
-def html_institutions(html: pd.Series, kind: pd.Series) -> pd.Series:
-    return pd.Series([institutions(h, k) for h, k in zip(html, kind, strict=True)])

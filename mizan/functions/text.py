@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # Suffixes that one stemming step may strip, the first match counts.
 SUFFIXES = (
-    "ları leri ların lerin lara lere lardan lerden larla lerle lar ler ının inin unun ünün ına ine una üne ında inde unda ünde "
-    "ından inden undan ünden ıyla iyle uyla üyle nın nin nun nün dan den tan ten ya ye da de ta te ın in un ün na ne "
-    "dır dir dur dür tır tir tur tür"
-).split()
+    "ları", "leri", "ların", "lerin", "lara", "lere", "lardan", "lerden", "larla", "lerle", "lar", "ler", "ının", "inin", "unun", "ünün", "ına",
+    "ine", "una", "üne", "ında", "inde", "unda", "ünde", "ından", "inden", "undan", "ünden", "ıyla", "iyle", "uyla", "üyle", "nın", "nin", "nun",
+    "nün", "dan", "den", "tan", "ten", "ya", "ye", "da", "de", "ta", "te", "ın", "in", "un", "ün", "na", "ne", "dır", "dir", "dur", "dür", "tır",
+    "tir", "tur", "tür",
+)
 
 # Printable characters of Windows-1252 at the C1 code points.
 C1_TO_PRINTABLE = {
@@ -102,20 +103,24 @@ def collapse_space(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, "[ \\t\\r\\n​  ]+", " "))
 
 
-# Repairs of bold marks next to white space, in order, groups as $1.
-EMPHASIS_REPAIRS = ((r"(^|\s)\*\*(\s+)", "$1$2**"), (r"(\s+)\*\*(\s|$)", "**$1$2"), (r"\*\*\s+\*\*", " "))
+def fix_emphasis(x: Column) -> Column:
+    """Bold runs without white space at their ends, and one for two with nothing but white space between."""
+    parts = F.split(collapse_space(x), r"\*\*")  # those at odd places are bold, but for a last one that nothing closes
 
+    def shown(part: Column, i: Column) -> Column:
+        edge = lambda pattern: F.when(part.rlike(pattern), " ").otherwise("")
+        bold = F.concat(edge("^ "), F.lit("**"), F.trim(part), F.lit("**"), edge(" $"))
+        inside, last = i % 2 == 1, i == F.size(parts) - 1
+        return F.when(inside & last, F.concat(F.lit("**"), part)).when(inside & (F.trim(part) != ""), bold).otherwise(part)
 
-def fix_emphasis(x: Column) -> Column:
-    """Collapse doubled bold marks and move white space out of them."""
-    x = collapse_space(F.regexp_replace(x, r"\*\*\*\*", ""))
-    for pattern, new in EMPHASIS_REPAIRS:
-        x = F.regexp_replace(x, pattern, new)
-    return collapse_space(x)
+    joined = F.array_join(F.transform(parts, shown), "")
+    for between, instead in (("****", ""), ("** **", " ")):
+        joined = F.replace(joined, F.lit(between), F.lit(instead))
+    return collapse_space(joined)
 
 
 # Ordinals of section headings.
-ORDINALS = "BİRİNCİ İKİNCİ ÜÇÜNCÜ DÖRDÜNCÜ BEŞİNCİ ALTINCI YEDİNCİ SEKİZİNCİ DOKUZUNCU ONUNCU".split()
+ORDINALS = ("BİRİNCİ", "İKİNCİ", "ÜÇÜNCÜ", "DÖRDÜNCÜ", "BEŞİNCİ", "ALTINCI", "YEDİNCİ", "SEKİZİNCİ", "DOKUZUNCU", "ONUNCU")
 
 
 def promote_heading(x: Column) -> Column:

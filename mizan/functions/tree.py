@@ -33,6 +33,15 @@ class Node:
     def find(self, *names: str, cls: str | None = None) -> Node | None:
         return next(iter(self.find_all(*names, cls=cls)), None)
 
+    def select(self, selector: str) -> list[Node]:
+        """All elements below that match `tag`, `.class` or `tag.class`."""
+        tag, _, cls = selector.partition(".")
+        return self.find_all(*([tag] if tag else []), cls=cls or None)
+
+    def first(self, selectors: str) -> Node | None:
+        """The first match of the first of the selectors, between commas, that has one."""
+        return next((found[0] for s in selectors.split(", ") if (found := self.select(s))), None)
+
     def strings(self):
         todo = list(reversed(self.children))
         while todo:

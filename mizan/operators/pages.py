@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mizan.functions import markdown, text, urls
+from mizan.functions import directory, text, urls
 
 # Addresses of documents, decisions and announcements, and the title of a dated decision.
 DOCUMENT_LINK, DECISION_LINK, DETAIL_LINK, NEWS_LINK = r"/DokumanGetir/(\d+)", r"/Mevzuat/DokumanGetir/(\d+)", "/Mevzuat/Detay/", r"/Duyuru/Detay/\d+"
@@ -54,7 +54,7 @@ def flat_pages(pages: DataFrame, base: str, categories: dict[int, str]) -> DataF
 
 def accordion_pages(pages: DataFrame, base: str, categories: dict[str, str]) -> DataFrame:
     """Links of cards; the category by the header, else the header itself."""
-    found = pages.select("page_id", F.explode(markdown.html_card_links("html")).alias("a")).select("page_id", "a.*")
+    found = pages.select("page_id", F.explode(directory.html_card_links("html")).alias("a")).select("page_id", "a.*")
     cards = found.withColumn("key", F.struct("page_id", "header"))
     table = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair]) if categories else F.create_map().cast("map<string,string>")
     out = links(cards, base, F.coalesce(F.try_element_at(table, F.col("key.header")), F.col("key.header")), "key")

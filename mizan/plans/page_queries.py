@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mizan.functions import markdown
+from mizan.functions import directory, markdown
 from mizan.operators import pages
 from mizan.plans.registry import query
 from mizan.sources.tables import read
@@ -70,7 +70,7 @@ _BANKS = '<div class="card"><h5>Mevduat Bankaları (2)</h5><div class="card-body
 @query("SELECT * FROM (VALUES ('Birinci Banka A.Ş.', 'https://b.example', 'Mevduat Bankaları', 'Aktif', false), ('Yeni', '', 'Mevduat Bankaları', 'Aktif', true), ('Eski Banka', '', 'TMSF Bankaları', 'İptal Edilmiş', false)) t(name, website, subcategory, status, digital)")
 def institution_pages(spark, sf_dir):
     p = spark.createDataFrame([(_BANKS, "Banka")], "html string, kind string")
-    return p.select(F.explode(markdown.html_institutions("html", "kind")).alias("i")).select("i.*")
+    return p.select(F.explode(directory.html_institutions("html", "kind")).alias("i")).select("i.*")
 
 
 _NEWS = '<a href="/Duyuru/Detay/1"><span class="gorunenTarih">01.02.2024</span><span class="text">Yeni duyuru 01.02.2024</span></a><a href="/Duyuru/Detay/2">Başlık</a><a href="/x">Yok</a>'

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mizan.functions import markup
-from mizan.functions.markdown import institutions, to_markdown
+from mizan.functions.directory import institutions
+from mizan.functions.markdown import to_markdown
 from mizan.operators import evaluation, search, series, store
 from mizan.plans.cache import ResultCache, catalog_status, health
 from mizan.sources import seeds, snapshots, validation, web

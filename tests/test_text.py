@@ -67,3 +67,9 @@ def test_decode(spark):
 def test_dates(spark):
     assert str(one(spark, "1.3.2024", text.parse_date)) == "2024-03-01"
     assert one(spark, "31.02.2024", text.parse_date) is None and one(spark, None, text.parse_date) is None
+
+
+def test_emphasis(spark):
+    cases = {"** a** b": "**a** b", "**a **b": "**a** b", "**a** **b**": "**a b**", "x **a****b** y": "x **ab** y", "a ** b": "a ** b", "**a** ** ** b": "**a** b", "  düz   metin ": "düz metin"}
+    d = spark.createDataFrame(list(cases.items()), "x string, want string").select("x", "want", text.fix_emphasis(F.col("x")).alias("got")).collect()
+    assert [(r.x, r.got) for r in d if r.got != r.want] == []
