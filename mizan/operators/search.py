@@ -6,7 +6,10 @@ all rows in one partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,10 @@ VECTOR_FETCH_FACTOR, VECTOR_FETCH_MAX = 5, 100
 RELEVANCE_THRESHOLD, GAP, GATE = 0.50, 0.08, 0.65
 HIGH, MEDIUM = 0.70, 0.50
 COVER_WEIGHT = 0.1
+#: Characters of a snippet, candidates that a model ranks anew.
+SNIPPET_CHARS, RERANK_FIRST = 800, 20
+#: Distinct terms of all queries together that are looked up inside the token arrays; more join the tokens.
+INSIDE_TERMS = 256
 #: Query vectors that go to the tasks together, and values of rows with queries that are computed at once.
 QUERY_BLOCK, CELLS = 2000, 1 << 19
 
@@ -70,7 +77,7 @@ def keyword_score(keywords: str, title: Column, *fields: Column) -> Column:
 
 def page_of(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
     """One page of the ordered rows, with the number of all."""
-    total = rows.agg(F.count("*").alias("total_results"))
+    total = rows.agg(F.count("*").alias("total_results"))  # one row
     return rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
@@ -94,29 +101,44 @@ def cover_density(hits: DataFrame, terms: DataFrame) -> DataFrame:
     own = Window.partitionBy("query_id", "key").orderBy("pos")
     hits = hits.withColumn("k", F.row_number().over(own))
     # for every hit and query term, the last hit of that term so far
-    spread = hits.join(F.broadcast(terms.withColumnRenamed("term", "q")), "query_id")
+    spread = hits.join(terms.withColumnRenamed("term", "q"), "query_id")
     last = Window.partitionBy("query_id", "key", "q").orderBy("pos")
     at = F.when(F.col("term") == F.col("q"), F.struct("pos", "k"))
     spread = spread.withColumn("last", F.max(at).over(last))
     ends = spread.groupBy("query_id", "key", "pos", "k").agg(F.min("last").alias("begin"), F.count("last").alias("seen"))
-    ends = ends.join(F.broadcast(need), "query_id").where(F.col("seen") == F.col("need"))
+    ends = ends.join(need, "query_id").where(F.col("seen") == F.col("need"))
     ends = ends.withColumn("before", F.lag("begin.pos").over(own))
     minimal = ends.where(F.col("before").isNull() | (F.col("begin.pos") > F.col("before")))
     noise = (F.col("pos") - F.col("begin.pos")) - (F.col("k") - F.col("begin.k"))
     return minimal.groupBy("query_id", "key").agg(F.sum(F.lit(COVER_WEIGHT) / (1 + noise)).alias("rank"))
 
 
-def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, threshold: float | None = FTS_THRESHOLD, clean: bool = True) -> DataFrame:
-    """query_id, key, rank of the best rows of each query; docs hold `key` and `tokens`.
+def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """query_id, key, pos, term wherever a query's term stands.
+
+    Few terms are looked up inside the arrays, so that no other token becomes a row.
+    """
+    asked = [r["term"] for r in terms.select("term").distinct().limit(INSIDE_TERMS + 1).collect()]
+    place = lambda t, i: F.struct(i.alias("pos"), t.alias("term"))
+    found = F.transform("tokens", place)
+    if len(asked) <= INSIDE_TERMS:
+        wanted = F.array(*[F.lit(t) for t in sorted(asked)]) if asked else F.array().cast("array<string>")
+        found = F.filter(found, lambda x: F.array_contains(wanted, x["term"]))
+    # the inner form would split every text twice, first to test for an empty array
+    at = docs.select(F.col(key).alias("key"), F.explode_outer(found).alias("at")).select("key", "at.pos", "at.term")
+    return at.where("term IS NOT NULL").join(terms, "term").select("query_id", "key", "pos", "term")
+
+
+def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, threshold: float | None = FTS_THRESHOLD, clean: bool = True, category: str | None = None) -> DataFrame:
+    """query_id, key, rank of the best rows of each query; docs hold `key` and `tokens`, and `category` if one is asked.
 
     Rows below the threshold go after the limit, as it may shorten a full list.
     """
     term = text.clean_query(F.col("query")) if clean else F.col("query")
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(term))).alias("term"))
-    # the inner form would split every text twice, first to test for an empty array
-    at = docs.select(F.col(key).alias("key"), F.posexplode_outer("tokens").alias("pos", "term"))
+    some = docs if category is None else docs.where(F.col("category") == category)
     # a document that lacks a term has no cover, and so no rank
-    ranked = cover_density(at.join(F.broadcast(terms), "term").select("query_id", "key", "pos", "term"), terms)
+    ranked = cover_density(hits_of(some, terms, key), terms)
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "key")
     best = ranked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
     if threshold is not None:
@@ -124,12 +146,13 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
     return best.select("query_id", F.col("key").alias(key), "rank", "position")
 
 
-def headline(tokens: Column, terms: list[str], before: int = 10, words: int = 30) -> Column:
+def headline(tokens: Column, terms: list[str] | Column, before: int = 10, words: int = 30) -> Column:
     """Words around the first hit, hits between >>> and <<<."""
-    marks = F.transform(tokens, lambda t, i: F.when(t.isin(*terms), i))
-    first = F.coalesce(F.array_min(marks), F.lit(0))
-    cut = F.slice(tokens, F.greatest(first - before, F.lit(0)) + 1, words)
-    return F.array_join(F.transform(cut, lambda t: F.when(t.isin(*terms), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t)), " ")
+    wanted = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms])
+    first = F.array_min(F.filter(F.transform(wanted, lambda t: F.array_position(tokens, t)), lambda p: p > 0))
+    start = F.greatest(F.coalesce(first, F.lit(1)) - before, F.lit(1)).cast("int")
+    cut = F.slice(tokens, start, words)
+    return F.array_join(F.transform(cut, lambda t: F.when(F.array_contains(wanted, t), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t)), " ")
 
 
 def norm(a: Column) -> Column:
@@ -235,28 +258,27 @@ def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, category: s
     return near.select("query_id", "doc_id", "category", "distance", F.round(1 - F.col("distance"), 4).alias("relevance"), "position")
 
 
-def fts_of_texts(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def fts_of_texts(docs: DataFrame, queries: DataFrame, category: str | None = None) -> DataFrame:
     """fts for many queries of which many have the same text: each text is searched once."""
     texts = queries.groupBy("query").agg(F.min("query_id").alias("text_id"))
-    found = fts(docs, texts.withColumnRenamed("text_id", "query_id"), "doc_id", threshold=None, clean=False).withColumnRenamed("query_id", "text_id")
+    found = fts(docs, texts.withColumnRenamed("text_id", "query_id"), "doc_id", threshold=None, clean=False, category=category).withColumnRenamed("query_id", "text_id")
     return queries.select("query_id", "query").join(texts, "query").select("query_id", "text_id").join(found, "text_id").drop("text_id")
 
 
-def fuse(vector: DataFrame, full_text: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, doc_id, position) lists; a text-only hit has relevance 0."""
+def fuse(vector: DataFrame, full_text: DataFrame, k: int = RRF_K, gate: float = GATE) -> DataFrame:
+    """Reciprocal rank fusion of (query_id, doc_id, position) lists; a text-only hit has relevance 0.
+
+    Relevance is lowered by the gate for queries without any text hit; halves round up.
+    """
     v = vector.select("query_id", "doc_id", F.col("relevance"), F.lit(None).cast("double").alias("fts_rank"), (1 / (k + F.col("position"))).alias("part"))
     t = full_text.select("query_id", "doc_id", F.lit(None).cast("double").alias("relevance"), F.col("rank").alias("fts_rank"), (1 / (k + F.col("position"))).alias("part"))
-    both = v.unionByName(t).groupBy("query_id", "doc_id")
+    some = F.max(F.col("fts_rank").isNotNull()).over(Window.partitionBy("query_id"))
+    low = F.round(F.col("relevance") * gate + 1e-10, 4)
+    both = v.unionByName(t).withColumn("some", some).withColumn("relevance", F.when(F.col("some"), F.col("relevance")).otherwise(low))
+    both = both.groupBy("query_id", "doc_id")
     return both.agg(F.coalesce(F.max("relevance"), F.lit(0.0)).alias("relevance"), F.max("fts_rank").alias("fts_rank"), F.round(F.sum("part"), 6).alias("rrf_score"))
 
 
-def gated(vector: DataFrame, full_text: DataFrame, factor: float = GATE) -> DataFrame:
-    """Vector relevance is lowered for queries without any text hit; halves round up."""
-    some = full_text.select("query_id").distinct().withColumn("some", F.lit(True))
-    found = vector.join(F.broadcast(some), "query_id", "left")
-    return found.withColumn("relevance", F.when(F.col("some").isNull(), F.round(F.col("relevance") * factor + 1e-10, 4)).otherwise(F.col("relevance"))).drop("some")
-
-
 def confidence(relevance: Column) -> Column:
     return F.when(relevance >= HIGH, "high").when(relevance >= MEDIUM, "medium").otherwise("low")
 
@@ -265,19 +287,84 @@ def sigmoid(x: Column) -> Column:
     return F.round(1 / (1 + F.exp(-x)), 4)
 
 
-def hybrid_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = RELEVANCE_THRESHOLD) -> DataFrame:
-    """Vector and full-text search fused; queries: query_id, query, embedding.
+def scorer(predict: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32) -> Callable:
+    """A model that scores (query, text) pairs as an Arrow UDF; it sees `batch` pairs at a time."""
 
-    Below the threshold rows go, then those more than the gap behind the best.
+    @F.pandas_udf("double")
+    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        pairs = list(zip(queries, texts, strict=True))
+        return pd.Series([float(x) for at in range(0, len(pairs), batch) for x in predict(pairs[at : at + batch])], dtype="float64")
+
+    return run
+
+
+def reranked(fused: DataFrame, queries: DataFrame, texts: DataFrame, score, first: int = RERANK_FIRST) -> DataFrame:
+    """The first rows of each query by rrf_score get the model's score, and its sigmoid as relevance.
+
+    score: a column function of query and snippet; texts: doc_id, snippet.
     """
-    vector = vector_search(chunks, queries, 50)
-    found = fts_of_texts(docs, queries)
-    fused = fuse(gated(vector, found), found).where(F.col("relevance") >= threshold)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "doc_id")
+    placed = fused.withColumn("place", F.row_number().over(order))
+    # only the rows that the model sees meet their texts
+    seen = placed.where(F.col("place") <= first).join(texts, "doc_id").join(queries.select("query_id", "query"), "query_id")
+    scored = seen.select("query_id", "doc_id", score(F.col("query"), F.coalesce("snippet", F.lit(""))).alias("rerank_score"))
+    out = placed.join(scored, ["query_id", "doc_id"], "left")
+    return out.withColumn("relevance", F.coalesce(sigmoid(F.col("rerank_score")), F.col("relevance"))).drop("place")
+
+
+def within_gap(found: DataFrame, gap: float = GAP) -> DataFrame:
+    """Rows of each query that are not more than the gap behind its best, with their confidence."""
     best = F.max("relevance").over(Window.partitionBy("query_id"))
-    fused = fused.withColumn("top", best).where(F.col("top") - F.col("relevance") <= GAP).drop("top")
+    some = found.withColumn("top", best).where(F.col("top") - F.col("relevance") <= gap).drop("top")
+    return some.withColumn("confidence", confidence(F.col("relevance")))
+
+
+def hybrid_search(
+    chunks: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = RELEVANCE_THRESHOLD, category: str | None = None, score=None, texts: DataFrame | None = None
+) -> DataFrame:
+    """Vector and full-text search fused; queries: query_id, query, embedding; score and texts as in reranked.
+
+    Below the threshold rows go, then those more than the gap behind the best.
+    """
+    fused = fuse(vector_search(chunks, queries, 50, category), fts_of_texts(docs, queries, category))
+    if score is not None:
+        fused = reranked(fused, queries, texts, score)
+    fused = within_gap(fused.where(F.col("relevance") >= threshold))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.desc("rrf_score"), "doc_id")
-    ranked = fused.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
-    return ranked.withColumn("confidence", confidence(F.col("relevance")))
+    return fused.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+
+
+def with_snippets(found: DataFrame, texts: DataFrame, keys: list[str], chars: int = SNIPPET_CHARS) -> DataFrame:
+    """Results with the beginning of their text; texts: keys and text."""
+    own = texts.select(*keys, F.substring("text", 1, chars).alias("snippet"))
+    return found.join(own, keys, "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+
+
+def with_versions(found: DataFrame, versions: DataFrame) -> DataFrame:
+    """Results with how many earlier versions of the document there are and the latest's number."""
+    own = versions.join(found.select("document_id").distinct(), "document_id", "left_semi")
+    counts = own.groupBy("document_id").agg(F.count("*").alias("versions"), F.max("version").alias("latest"))
+    return found.join(counts, "document_id", "left").withColumn("versions", F.coalesce("versions", F.lit(0)))
+
+
+def document_tokens(docs: DataFrame) -> DataFrame:
+    """document_id, category and the tokens of title, content and category, positions running on.
+
+    The table to store: a search then reads tokens instead of splitting texts.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "markdown_content", "category")]
+    return docs.select("document_id", "category", text.tokens(F.concat_ws(" ", *parts)).alias("tokens"))
+
+
+def document_search(docs: DataFrame, tokens: DataFrame, queries: DataFrame, limit: int = FTS_LIMIT, category: str | None = None) -> DataFrame:
+    """Best documents of each query with title, date, category and a headline of the content.
+
+    tokens: as document_tokens makes them. Only the found documents' texts are read for headlines.
+    """
+    found = fts(tokens, queries, "document_id", limit, category=category)
+    asked = queries.select("query_id", F.array_distinct(text.tokens(text.clean_query(F.col("query")))).alias("terms"))
+    own = docs.select("document_id", "title", "category", "markdown_content").join(found, "document_id").join(asked, "query_id")
+    return own.select("query_id", "document_id", "title", "category", "rank", "position", headline(text.tokens(F.col("markdown_content")), F.col("terms")).alias("snippet"))
 
 
 def resolve_aliases(requests: DataFrame, sources: list[DataFrame], prefixes: tuple[str, ...]) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from mizan.functions import text
 from mizan.functions.text import ACCENTS
-from mizan.operators import search, store
-from mizan.plans.registry import SQL, query
+from mizan.operators import reading, search, store
+from mizan.plans.registry import query
 from mizan.plans.text_queries import FOLD, STEM
 from mizan.sources.tables import DOCS, documents, read
 
@@ -69,11 +69,15 @@ def _asked(spark):
 _ASKED = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ") q(query_id, query)"
 
 
-def fts_sql(source: str, key: str) -> str:
-    """SQL of the cover-density ranking of ASKED over a table (key, x)."""
+#: A text for every vector that is asked: those of ASKED in turn.
+_ASKED_EVERY = f"(SELECT CAST(vec_id // 50 AS INT), a.query FROM embeddings JOIN {_ASKED.replace('q(query_id', 'a(k')} ON vec_id // 50 % {len(ASKED)} = a.k WHERE vec_id % 50 = 0) q(query_id, query)"
+
+
+def fts_sql(source: str, key: str, asked: str = _ASKED) -> str:
+    """SQL of the cover-density ranking of the asked searches over a table (key, x)."""
     return (
         f"tok AS (SELECT {key} AS key, {_TOKENS.format('x')} AS tokens FROM {source}), places AS (SELECT key, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM tok), "
-        f"terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('query')}) AS term FROM {_ASKED}), need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY 1), "
+        f"terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('query')}) AS term FROM {asked}), need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY 1), "
         "h0 AS (SELECT query_id, key, pos, term FROM places JOIN terms USING (term)), ok AS (SELECT query_id, key FROM h0 GROUP BY 1, 2 HAVING count(DISTINCT term) = (SELECT need FROM need n WHERE n.query_id = h0.query_id)), "
         "h AS (SELECT h0.*, row_number() OVER (PARTITION BY query_id, key ORDER BY pos) AS k FROM h0 JOIN ok USING (query_id, key)), "
         "s AS (SELECT h.query_id, h.key, h.pos, h.k, max(CASE WHEN h.term = t.term THEN h.pos END) OVER w AS lp, max(CASE WHEN h.term = t.term THEN h.k END) OVER w AS lk FROM h JOIN terms t USING (query_id) WINDOW w AS (PARTITION BY h.query_id, h.key, t.term ORDER BY h.pos)), "
@@ -117,7 +121,7 @@ def fts_chunk_search(spark, sf_dir):
     return _ranked(best).select("query_id", "doc_id", "rank")
 
 
-_VECTORS = "v AS (SELECT vec_id AS doc_id, vec_id % 3 AS chunk_index, CAST(label AS VARCHAR) AS category, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT CAST(doc_id // 2 AS INT) AS query_id, e AS q FROM v WHERE doc_id IN (0, 2, 4, 6)), ch AS (SELECT doc_id // 2 AS doc_id, doc_id % 2 AS chunk_index, category, e FROM v)"
+_VECTORS = "v AS (SELECT vec_id AS doc_id, vec_id % 3 AS chunk_index, CAST(label AS VARCHAR) AS category, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT CAST(doc_id // 50 AS INT) AS query_id, e AS q FROM v WHERE doc_id % 50 = 0), ch AS (SELECT doc_id // 2 AS doc_id, doc_id % 2 AS chunk_index, category, e FROM v)"
 _NEAR = (
     f"{_VECTORS}, d AS (SELECT query_id, doc_id, chunk_index, category, round(1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 12) AS distance FROM ch, qv WHERE {{}}), "
     "f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id, chunk_index) AS nth FROM d), "
@@ -129,7 +133,7 @@ _NEAR = (
 def _vectors(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
     chunks = v.select(F.floor(F.col("vec_id") / 2).alias("doc_id"), (F.col("vec_id") % 2).alias("chunk_index"), F.col("label").cast("string").alias("category"), "embedding")
-    asked = v.where("vec_id IN (0, 2, 4, 6)").select((F.col("vec_id") / 2).cast("int").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 50 = 0").select(F.floor(F.col("vec_id") / 50).cast("int").alias("query_id"), "embedding")
     return chunks, asked
 
 
@@ -148,7 +152,7 @@ def vector_topk_category(spark, sf_dir):
 
 
 _FUSED = (
-    f"{_NEAR.format('true', 100)}, {fts_sql('(SELECT doc_id, text AS x FROM documents)', 'doc_id')}, ft AS (SELECT query_id, key AS doc_id, rank, position FROM best WHERE position <= 50), "
+    f"{_NEAR.format('true', 100)}, {fts_sql('(SELECT doc_id, text AS x FROM documents)', 'doc_id', _ASKED_EVERY)}, ft AS (SELECT query_id, key AS doc_id, rank, position FROM best WHERE position <= 50), "
     "gv AS (SELECT query_id, doc_id, position, CASE WHEN query_id IN (SELECT query_id FROM ft) THEN relevance ELSE round(relevance * 0.65 + 1e-10, 4) END AS relevance FROM vs WHERE position <= 50), "
     "u AS (SELECT query_id, doc_id, relevance, NULL AS fts_rank, 1.0 / (60 + position) AS part FROM gv UNION ALL SELECT query_id, doc_id, NULL, rank, 1.0 / (60 + position) FROM ft), "
     "fused AS (SELECT query_id, doc_id, coalesce(max(relevance), 0.0) AS relevance, max(fts_rank) AS fts_rank, round(sum(CAST(part AS DOUBLE)), 6) AS rrf_score FROM u GROUP BY 1, 2)"
@@ -158,105 +162,157 @@ _FUSED = (
 def _both(spark, sf_dir):
     chunks, vectors = _vectors(spark, sf_dir)
     docs = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
-    return chunks, docs, _asked(spark).join(vectors, "query_id")
+    texts = _asked(spark).withColumnRenamed("query_id", "k")
+    return chunks, docs, vectors.join(texts, F.col("query_id") % len(ASKED) == F.col("k")).drop("k")
 
 
 @query(f"WITH {_FUSED} SELECT query_id, doc_id, relevance, round(fts_rank, 6) AS fts_rank, rrf_score FROM fused")
 def rrf_fusion(spark, sf_dir):
     chunks, docs, asked = _both(spark, sf_dir)
-    found = search.fts(docs, asked, "doc_id", threshold=None, clean=False)
-    fused = search.fuse(search.gated(search.vector_search(chunks, asked, 50), found), found)
+    fused = search.fuse(search.vector_search(chunks, asked, 50), search.fts_of_texts(docs, asked))
     return fused.withColumn("fts_rank", F.round("fts_rank", 6))
 
 
 @query(
-    f"WITH {_FUSED}, b AS (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS top FROM fused WHERE relevance >= 0.2), "
+    f"WITH {_FUSED}, b AS (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS top FROM fused WHERE relevance >= 0.5), "
     "z AS (SELECT query_id, doc_id, relevance, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rrf_score DESC, doc_id) AS position FROM b WHERE top - relevance <= 0.08) "
     "SELECT query_id, doc_id, relevance, rrf_score, position, CASE WHEN relevance >= 0.7 THEN 'high' WHEN relevance >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM z WHERE position <= 10"
 )
 def hybrid_search(spark, sf_dir):
-    found = search.hybrid_search(*_both(spark, sf_dir), threshold=0.2)
+    found = search.hybrid_search(*_both(spark, sf_dir))
     return found.select("query_id", "doc_id", "relevance", "rrf_score", F.col("position").cast("long").alias("position"), "confidence")
 
 
 @query("SELECT doc_id, relevance::DOUBLE AS relevance, confidence FROM (VALUES (1, 0.9, 'high'), (2, 0.83, 'high'), (4, 0.65, 'medium')) t(doc_id, relevance, confidence)")
 def score_gap(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = spark.createDataFrame([(0, 1, 0.90), (0, 2, 0.83), (0, 3, 0.82), (1, 4, 0.65)], "q int, doc_id int, relevance double")
-    top = F.max("relevance").over(Window.partitionBy("q"))
-    return d.withColumn("top", top).where(F.col("top") - F.col("relevance") <= search.GAP).select("doc_id", "relevance", search.confidence(F.col("relevance")).alias("confidence"))
+    d = spark.createDataFrame([(0, 1, 0.90), (0, 2, 0.83), (0, 3, 0.82), (1, 4, 0.65)], "query_id int, doc_id int, relevance double")
+    return search.within_gap(d).select("doc_id", "relevance", "confidence")
 
 
 @query(f"WITH {_VECTORS}, s AS (SELECT query_id, doc_id, chunk_index, round(1 / (1 + exp(-list_dot_product(e, q))), 4) AS score FROM ch, qv) SELECT query_id, doc_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rn FROM s) WHERE rn <= 20")
 def rerank_sigmoid(spark, sf_dir):
-    from pyspark.sql import Window
+    found = search.nearest(*_vectors(spark, sf_dir), 20, search.sigmoid_below_zero)
+    return found.select("query_id", "doc_id", "chunk_index", (-F.col("value")).alias("score"))
 
-    chunks, asked = _vectors(spark, sf_dir)
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    s = chunks.crossJoin(F.broadcast(asked.select("query_id", F.col("embedding").alias("q")))).select("query_id", "doc_id", "chunk_index", search.sigmoid(dot).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_index")
-    return s.withColumn("rn", F.row_number().over(order)).where("rn <= 20").drop("rn")
 
+def headline_sql(tokens: str, terms: str) -> str:
+    """SQL of headline over two list expressions."""
+    first = f"coalesce(list_min(list_filter(list_transform({terms}, lambda wanted: list_position({tokens}, wanted)), lambda p: p > 0)), 1)"
+    shown = f"list_transform({tokens}[greatest({first} - 10, 1):greatest({first} - 10, 1) + 29], lambda word: CASE WHEN list_contains({terms}, word) THEN '>>>' || word || '<<<' ELSE word END)"
+    return f"array_to_string({shown}, ' ')"
 
-@query()
+
+@query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents), q AS (SELECT query_id, list_distinct({_TOKENS.format('query')}) AS terms FROM {_ASKED}) SELECT query_id, doc_id, {headline_sql('tokens', 'terms')} AS snippet FROM t JOIN q ON len(list_filter(terms, lambda x: list_contains(tokens, x))) > 0")
 def fts_headline(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
-    return d.where(F.array_contains("t", "the")).select("doc_id", search.headline(F.col("t"), ["the", "of"]).alias("snippet"))
+    d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+    q = _asked(spark).select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
+    return d.join(F.broadcast(q), F.arrays_overlap("terms", "tokens")).select("query_id", "doc_id", search.headline(F.col("tokens"), F.col("terms")).alias("snippet"))
 
 
-#: The vector searches above ask four rows; those below ask every fiftieth of the table, with the texts of ASKED in turn.
-_EVERY = {
-    "CAST(doc_id // 2 AS INT) AS query_id, e AS q FROM v WHERE doc_id IN (0, 2, 4, 6)": "CAST(doc_id // 50 AS INT) AS query_id, e AS q FROM v WHERE doc_id % 50 = 0",
-    _ASKED: f"(SELECT CAST(vec_id // 50 AS INT), a.query FROM embeddings JOIN {_ASKED.replace('q(query_id', 'a(k')} ON vec_id // 50 % {len(ASKED)} = a.k WHERE vec_id % 50 = 0) q(query_id, query)",
-}
+_DOCUMENT_TEXT = "(SELECT document_id, coalesce(title, '') || ' ' || coalesce(markdown_content, '') || ' ' || coalesce(category, '') AS x FROM docs{})"
 
 
-def _every_sql(name: str) -> str:
-    sql = SQL[name]
-    for few, every in _EVERY.items():
-        sql = sql.replace(few, every)
-    return sql
+_FTS_TEXT = "coalesce(markdown_content, '')"
 
 
-def _every(spark, sf_dir):
-    chunks, _ = _vectors(spark, sf_dir)
-    rows = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
-    return chunks, rows.select(F.floor(F.col("vec_id") / 50).cast("int").alias("query_id"), "embedding")
+def document_search_sql(where: str = "") -> str:
+    return (
+        f"WITH {DOCS}, {fts_sql(_DOCUMENT_TEXT.format(where), 'document_id')}, q AS (SELECT query_id, list_distinct({_TOKENS.format('query')}) AS terms FROM {_ASKED}), "
+        f"shown AS (SELECT best.*, docs.title, docs.category, {_TOKENS.format(_FTS_TEXT)} AS t, terms FROM best JOIN docs ON docs.document_id = best.key JOIN q USING (query_id) WHERE position <= 50 AND rank >= 0.01) "
+        f"SELECT query_id, key AS document_id, title, category, round(rank, 6) AS rank, position, {headline_sql('t', 'terms')} AS snippet FROM shown"
+    )
 
 
-def _both_every(spark, sf_dir):
-    chunks, vectors = _every(spark, sf_dir)
-    docs = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
-    texts = F.broadcast(_asked(spark).withColumnRenamed("query_id", "k"))
-    return chunks, docs, vectors.join(texts, F.col("query_id") % len(ASKED) == F.col("k")).drop("k")
+def _document_search(spark, sf_dir, category=None):
+    docs = documents(spark, sf_dir)
+    found = search.document_search(docs, search.document_tokens(docs), _asked(spark), category=category)
+    return _ranked(found).withColumn("position", F.col("position").cast("long"))
 
 
-@query(_every_sql("vector_topk"))
-def vector_topk_every(spark, sf_dir):
-    return _shown(search.vector_search(*_every(spark, sf_dir), limit=10))
+@query(document_search_sql())
+def document_search(spark, sf_dir):
+    return _document_search(spark, sf_dir)
 
 
-@query(_every_sql("vector_topk_category"))
-def vector_topk_category_every(spark, sf_dir):
-    return _shown(search.vector_search(*_every(spark, sf_dir), limit=20, category="3"))
+@query(document_search_sql(" WHERE category = 'src3'"))
+def document_search_category(spark, sf_dir):
+    return _document_search(spark, sf_dir, "src3")
 
 
-@query(_every_sql("rrf_fusion"))
-def rrf_fusion_every(spark, sf_dir):
-    chunks, docs, asked = _both_every(spark, sf_dir)
-    found = search.fts_of_texts(docs, asked)
-    fused = search.fuse(search.gated(search.vector_search(chunks, asked, 50), found), found)
-    return fused.withColumn("fts_rank", F.round("fts_rank", 6))
+_SCOPE = (("src1",), ("xyz",))
 
 
-@query(_every_sql("hybrid_search"))
-def hybrid_search_every(spark, sf_dir):
-    found = search.hybrid_search(*_both_every(spark, sf_dir), threshold=0.2)
-    return found.select("query_id", "doc_id", "relevance", "rrf_score", F.col("position").cast("long").alias("position"), "confidence")
+@query(
+    f"WITH {DOCS}, c AS (SELECT document_id, title, category, '' AS decision_date, document_id AS decision_number FROM docs WHERE category NOT IN ('src1') AND NOT contains(lower(coalesce(title, '')), 'xyz')), {keyword_sql(['en'], 'c')}, "
+    "p AS (SELECT document_id, title, CAST(score AS INT) AS score, (SELECT count(*) FROM scored WHERE score IS NOT NULL) AS total_results FROM scored WHERE score IS NOT NULL ORDER BY score DESC, document_id LIMIT 10), "
+    "n AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, count(*) AS versions, CAST(max(quality) + 1 AS INT) AS latest FROM labels GROUP BY 1) SELECT p.*, coalesce(versions, 0) AS versions, latest FROM p LEFT JOIN n USING (document_id)"
+)
+def decision_search(spark, sf_dir):
+    d = documents(spark, sf_dir).where(search.in_scope(F.col("title"), F.col("category"), *_SCOPE))
+    catalog = d.select("document_id", "title", "category", F.lit("").alias("decision_date"), F.col("document_id").alias("decision_number"))
+    versions = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("document_id"), (F.col("quality") + 1).cast("int").alias("version"))
+    found = search.keyword_search(catalog, "en").select("document_id", "title", "score", "total_results")
+    return search.with_versions(found, versions)
 
 
-@query(_every_sql("rerank_sigmoid"))
-def rerank_sigmoid_every(spark, sf_dir):
-    found = search.nearest(*_every(spark, sf_dir), 20, search.sigmoid_below_zero)
-    return found.select("query_id", "doc_id", "chunk_index", (-F.col("value")).alias("score"))
+@query(f"WITH {_NEAR.format('true', 50)} SELECT query_id, vs.doc_id, relevance, position, coalesce(substring(text, 1, 800), '') AS snippet FROM vs LEFT JOIN documents USING (doc_id) WHERE position <= 10")
+def vector_snippets(spark, sf_dir):
+    found = search.vector_search(*_vectors(spark, sf_dir), limit=10).select("query_id", "doc_id", "relevance", F.col("position").cast("long").alias("position"))
+    return search.with_snippets(found, read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def shared_words(pairs):
+    """A stand-in for a rerank model: how many words of the query the text has, less one."""
+    return [len(set(q.split()) & set(t.split())) - 1.0 for q, t in pairs]
+
+
+_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"WITH {_FUSED}, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS place FROM fused), "
+    f"model AS (SELECT query_id, doc_id, len(list_intersect(list_distinct({_WORDS.format('query')}), list_distinct({_WORDS.format('substring(text, 1, 800)')}))) - 1 AS s FROM pl JOIN documents USING (doc_id) JOIN {_ASKED_EVERY} USING (query_id) WHERE place <= 20), "
+    "rr AS (SELECT query_id, doc_id, rrf_score, s, CASE WHEN s IS NULL THEN relevance ELSE round(1 / (1 + exp(-s)), 4) END AS relevance FROM pl LEFT JOIN model USING (query_id, doc_id)), "
+    "near_top AS (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS top FROM rr WHERE relevance >= 0.5), "
+    "z AS (SELECT query_id, doc_id, relevance, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rrf_score DESC, doc_id) AS position FROM near_top WHERE top - relevance <= 0.08) SELECT * FROM z WHERE position <= 10"
+)
+def reranked_search(spark, sf_dir):
+    texts = search.with_snippets(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    found = search.hybrid_search(*_both(spark, sf_dir), score=search.scorer(shared_words), texts=texts)
+    return found.select("query_id", "doc_id", "relevance", "rrf_score", F.col("position").cast("long").alias("position"))
+
+
+_READ = (
+    f"WITH {DOCS}, st AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN document_id WHEN doc_id % 3 = 1 THEN 'a_' || document_id ELSE 'b_' || document_id END AS id, title, category, extraction_method AS lang, markdown_content AS x, "
+    "CAST(greatest(1, ceil(length(markdown_content) / 5000.0)) AS INT) AS n FROM docs), "
+    "r AS (SELECT document_id AS requested, CAST(doc_id % 3 + 1 AS INT) AS page, doc_id FROM docs) "
+)
+
+
+@query(
+    _READ + "SELECT requested, r.page, CASE WHEN r.page <= n AND x <> '' THEN id END AS document_id, CASE WHEN r.page <= n AND x <> '' THEN CASE WHEN r.doc_id % 2 = 0 AND trim(regexp_replace(x, '[\\s\\p{Z}]+', '', 'g')) <> '' THEN 0 ELSE 1 END END AS source, "
+    "CASE WHEN r.page <= n AND x <> '' THEN n END AS total_pages, CASE WHEN r.page <= n AND x <> '' THEN substring(x, (r.page - 1) * 5000 + 1, 5000) END AS content, "
+    "CASE WHEN r.page <= n AND x <> '' THEN CASE WHEN r.doc_id % 5 = 0 THEN id ELSE title END END AS title, CASE WHEN r.page <= n AND x <> '' THEN lang <> 'de' END AS warned FROM r JOIN st USING (doc_id)"
+)
+def document_pages(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    prefix = F.element_at(F.array(F.lit(""), F.lit("a_"), F.lit("b_")), (F.col("doc_id") % 3 + 1).cast("int"))
+    method = F.when(F.col("extraction_method") == "de", "chandra2_de").otherwise(F.col("extraction_method"))
+    stored = d.withColumn("requested", F.col("document_id")).withColumn("document_id", F.concat(prefix, "document_id")).withColumn("extraction_method", method)
+    catalog = stored.where("doc_id % 5 <> 0").select("document_id", "title", "category")
+    requests = stored.select("requested", (F.col("doc_id") % 3 + 1).cast("int").alias("page"))
+    found = reading.read_pages(requests, store.chunk_table(stored.where("doc_id % 2 = 0")), stored, catalog, ("a_", "b_"))
+    warned = F.when(F.col("document_id").isNotNull(), F.col("warning").isNotNull())
+    return found.select("requested", "page", "document_id", "source", "total_pages", "content", "title", warned.alias("warned"))
+
+
+@query(
+    f"WITH {DOCS}, r AS (SELECT document_id, markdown_content AS x, doc_id, CAST(doc_id % 2 + 1 AS INT) AS page, CAST(greatest(1, ceil(length(markdown_content) / 5000.0)) AS INT) AS n FROM docs) "
+    "SELECT document_id AS requested, page, CASE WHEN doc_id % 2 = 1 OR x = '' OR page > n THEN 1 ELSE 0 END AS source, n AS total_pages, "
+    "CASE WHEN page > n THEN 'Invalid page ' || page || ', document has ' || n || ' pages' ELSE substring(x, (page - 1) * 5000 + 1, 5000) END AS content FROM r"
+)
+def document_pages_fetched(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    requests = d.select(F.col("document_id").alias("requested"), (F.col("doc_id") % 2 + 1).cast("int").alias("page"))
+    pages, _ = reading.read_or_fetch(requests, d.where("doc_id % 2 = 0"), lambda ids: d.select("document_id", F.col("markdown_content").alias("content")).join(ids, "document_id", "left_semi"))
+    return pages.select("requested", "page", "source", "total_pages", "content")
