@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +28,20 @@ ERROR_PAGE_TEXTS = ("Mevzuat TürüKanunlar", "Mevzuat TuruKanunlar", "404 - Say
 PAGE_CHARS = 5000
 CHUNK_CHARS, CHUNK_OVERLAP = 1000, 200
 
+
+
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks and their plain letters, by decomposition, and those that have none: ı, ł, ø, đ, ħ, ŧ."""
+    letters = {"ı": "i", "ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T"}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = unicodedata.normalize("NFD", chr(code))[0]
+        if plain != chr(code) and plain.isascii() and plain.isalpha():
+            letters[chr(code)] = plain
+    return "".join(letters), "".join(letters.values())
+
+
 #: Accented letters and what full-text search folds them to, before lower-casing.
-ACCENTS = ("çğıöşüÇĞİÖŞÜâîûÂÎÛéèêëáàäóòôñíìúùÉÈÊËÁÀÄÓÒÔÑÍÌÚÙ", "cgiosuCGIOSUaiuAIUeeeeaaaoooniiuuEEEEAAAOOONIIUU")
+ACCENTS = _accents()
 
 
 def lower_tr(x: Column) -> Column:
@@ -77,7 +91,8 @@ def remap_c1(x: Column) -> Column:
 def decode_bytes(x: Column) -> Column:
     """Text of HTML bytes: UTF-8 if valid and without U+FFFD, else ISO-8859-9; C1 remapped.
 
-    ISO-8859-9 is ISO-8859-1 but for six letters.
+    ISO-8859-9 is ISO-8859-1 but for six letters. It has a letter for every
+    byte, so no further encoding and no lossy step can come after it.
     """
     utf8 = F.try_validate_utf8(x.cast("string"))
     return remap_c1(F.when(utf8.isNotNull() & ~F.contains(utf8, F.lit("�")), utf8).otherwise(F.translate(F.decode(x, "ISO-8859-1"), "ÐÝÞðýþ", "ĞİŞğış")))
@@ -89,10 +104,29 @@ def strip_dump_header(x: Column) -> Column:
     return F.when(at > 0, F.regexp_replace(F.substring(x, at + 5, F.length(x)), r"^\s+", "")).otherwise(x)
 
 
+#: Named entities that are decoded; numeric ones all are.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "uuml": "ü", "Uuml": "Ü", "ouml": "ö", "Ouml": "Ö", "ccedil": "ç", "Ccedil": "Ç", "imath": "ı", "inodot": "ı", "scedil": "ş", "Scedil": "Ş", "gbreve": "ğ", "Gbreve": "Ğ", "Idot": "İ"}
+
+
+def unescaped(x: Column) -> Column:
+    """Text with its entities decoded, an ampersand's last; a text without any isn't touched."""
+
+    def letter(entity: Column) -> Column:
+        code = F.regexp_extract(entity, "(?i)^&#x?([0-9a-f]+);", 1)
+        number = F.when(entity.rlike("^&#[xX]"), F.conv(code, 16, 10)).otherwise(code).cast("int")
+        whole = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), whole).otherwise("")
+
+    numeric = F.array_distinct(F.regexp_extract_all(x, F.lit("&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    out = F.aggregate(numeric, x, lambda text, e: F.replace(text, e, letter(e)))
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.when(F.contains(x, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(x)
+
+
 def is_error_page(x: Column) -> Column:
     """Any error-page text, with numeric and common named entities decoded."""
-    decoded = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "&#(?:[xX]131|305);", "ı"), "&#(?:[xX][fF][cC]|252);|&uuml;", "ü"), "&nbsp;", " ")
-    found = F.lit(False)
+    decoded, found = unescaped(x), F.lit(False)
     for text in ERROR_PAGE_TEXTS:
         found = found | F.contains(decoded, F.lit(text))
     return found

@@ -92,6 +92,14 @@ def tool_metrics(calls: DataFrame) -> DataFrame:
     )
 
 
+def metrics_summary(calls: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: requests, errors, cache hits and misses, and the hit rate in percent (0 without lookups); cache: hit."""
+    totals = calls.agg(F.count("*").alias("total_requests"), F.count_if("error").alias("total_errors"))
+    lookups = cache.agg(F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"))
+    rate = F.try_divide(F.col("cache_hits") * 100, F.col("cache_hits") + F.col("cache_misses"))
+    return totals.crossJoin(lookups).withColumn("cache_hit_rate", F.round(F.coalesce(rate, F.lit(0.0)), 1))
+
+
 def parse_label(answer: Column, labels: tuple[str, ...] = ("entailment", "contradiction", "neutral")) -> Column:
     """First label that the answer holds, else unknown."""
     low, out = F.lower(F.trim(answer)), None

@@ -55,6 +55,11 @@ def content_problem(content: Column, least: int) -> Column:
     return F.when(F.length(content) < least, F.format_string("output too short (%d < %d)", F.length(content), F.lit(least))).when(content.rlike(r"(?i)<form>\s*</form>"), "contains empty form block")
 
 
+def accepted(content: Column, least: int = LEAST_CONTENT) -> Column:
+    """Whether a backend's output counts."""
+    return content_problem(content, least).isNull()
+
+
 def choose_backend(attempts: DataFrame, least: int = LEAST_CONTENT) -> DataFrame:
     """First acceptable output of each document, else `failed` with the reasons in order.
 

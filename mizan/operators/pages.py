@@ -9,6 +9,7 @@ from mizan.functions import directory, text, urls
 
 # Addresses of documents, decisions and announcements, and the title of a dated decision.
 DOCUMENT_LINK, DECISION_LINK, DETAIL_LINK, NEWS_LINK = r"/DokumanGetir/(\d+)", r"/Mevzuat/DokumanGetir/(\d+)", "/Mevzuat/Detay/", r"/Duyuru/Detay/\d+"
+TOKEN_FIELD, DEFAULT_DATE = "__RequestVerificationToken", r"""["']tarih["']\s*:\s*['"]([^'"]+)['"]"""
 DATED_TITLE = r"^\((\d{2}[./]\d{2}[./]\d{4})\s*[-–—]\s*(\d+)\)\s*(.*)"
 
 _ANCHOR = r"(?is)<a\b[^>]*?\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -88,6 +89,17 @@ def announcements(pages: DataFrame, base: str, key: str = "page_id") -> DataFram
     return found.select(key, "pos", title.alias("title"), "date", address.alias("url")).where(F.col("title") != "")
 
 
+def headings(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The first heading's text and the number of paragraphs."""
+    return pages.select(key, F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)</h1>", 1)).alias("heading"), F.regexp_count("html", F.lit(r"(?i)<p[ >]")).alias("paragraphs"))
+
+
+def bulletin_settings(html: Column) -> Column:
+    """Struct of a bulletin page's request token and default date, empty where there is none."""
+    field = F.regexp_extract(html, rf"(?is)<input\b[^>]*\bname=[\"']{TOKEN_FIELD}[\"'][^>]*>", 0)
+    return F.struct(F.regexp_extract(field, r"(?is)\bvalue=[\"']([^\"']*)", 1).alias("token"), F.regexp_extract(html, DEFAULT_DATE, 1).alias("date"))
+
+
 def snapshot_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Table rows that open a chart and have four cells or more: row_number, name, metric_id, tp, yp as shown."""
     lines = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "tr"))

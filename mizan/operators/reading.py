@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mizan.functions import text
-from mizan.operators import store
+from mizan.functions import markup, text
+from mizan.operators import extraction, store
 
-# Extraction methods that keep formulas, and what is said of a text by another one.
+# Extraction methods of which a page needs no warning, and the warning of others.
 FORMULA_METHODS = ("lightocr", "chandra2", "pp_structure", "manual_latex")
 DEGRADED_WARNING = (
     "Bu belgedeki matematiksel formüller ve bazı görseller çıkartılamamış olabilir. "
@@ -19,15 +19,6 @@ DEGRADED_WARNING = (
 )
 
 
-def degraded(method: Column) -> Column:
-    """Whether a known extraction method may have lost formulas."""
-    low = F.lower(method)
-    kept = F.lit(False)
-    for name in FORMULA_METHODS:
-        kept = kept | F.contains(low, F.lit(name))
-    return F.coalesce((method != "") & ~kept, F.lit(False))
-
-
 def wanted_forms(requests: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """requests (requested, page) with every form of the id, in the order in which they count; only digits get prefixes."""
     plain = F.array(F.col("requested"))
@@ -60,7 +51,7 @@ def read_pages(requests: DataFrame, chunks: DataFrame, docs: DataFrame, catalog:
     found = found.withColumn("rn", best).where("rn = 1").drop("rn", "form")
     found = found.join(docs.select("document_id", "extraction_method"), "document_id", "left").join(catalog, "document_id", "left")
     found = found.withColumn("title", F.coalesce("title", "document_id"))
-    warned = found.withColumn("warning", F.when(degraded(F.col("extraction_method")), F.lit(DEGRADED_WARNING)))
+    warned = found.withColumn("warning", F.when(extraction.degraded(F.col("extraction_method"), FORMULA_METHODS), F.lit(DEGRADED_WARNING)))
     return requests.select("requested", "page").distinct().join(warned, ["requested", "page"], "left")
 
 
@@ -79,3 +70,33 @@ def read_or_fetch(requests: DataFrame, docs: DataFrame, fetch: Callable[[DataFra
     live = missing.join(got, "document_id", "left").select("requested", "form", F.lit(1).alias("source"), "document_id", "page", total.alias("total_pages"), F.coalesce(text.page(F.col("content"), F.col("page")), F.lit("")).alias("content"))
     new = got.where("content <> ''").select("document_id", F.col("content").alias("markdown_content"), text.content_hash(F.col("content")).alias("content_hash"))
     return stored.unionByName(live).drop("form"), new
+
+
+def page_audit(docs: DataFrame) -> DataFrame:
+    """One row for each class of pages: class, pages, documents, images and the documents that have any.
+
+    Every page of every document is read: passed, empty (white space alone) or
+    invalid (the message of a page that there isn't).
+    """
+    number = F.explode(F.sequence(F.lit(1), text.page_count(F.coalesce("markdown_content", F.lit("")))))
+    pages = docs.select("document_id", F.coalesce("markdown_content", F.lit("")).alias("x"), number.alias("page"))
+    pages = pages.select("document_id", text.page(F.col("x"), F.col("page")).alias("body"))
+    blank = F.regexp_replace("body", r"(?U)\s+", "") == ""
+    kind = F.when(blank, "empty").when(F.contains(F.substring("body", 1, 200), F.lit("Invalid page")), "invalid").otherwise("passed")
+    images = F.regexp_count("body", F.lit(markup.IMAGE_REFERENCES[0]))
+    rows = pages.select("document_id", kind.alias("class"), images.cast("long").alias("images"))
+    per = rows.groupBy("class", "document_id").agg(F.count("*").alias("pages"), F.sum("images").alias("images"))
+    return per.groupBy("class").agg(F.sum("pages").alias("pages"), F.count("*").alias("documents"), F.sum("images").alias("images"), F.count_if(F.col("images") > 0).alias("with_images"))
+
+
+def document_audit(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row: of the asked ids how many have text (passed), none (empty) or no document (missing); least, middle and most characters."""
+    both = asked.select("document_id").join(docs.select("document_id", "markdown_content"), "document_id", "left")
+    blank = F.regexp_replace("markdown_content", r"(?U)\s+", "") == ""
+    kind = F.when(F.col("markdown_content").isNull(), "missing").when(blank, "empty").otherwise("passed")
+    some = both.select(kind.alias("class"), F.length("markdown_content").cast("long").alias("n"))
+    size = F.when(F.col("class") == "passed", F.col("n"))
+    counts = [F.count_if(F.col("class") == c).alias(c) for c in ("passed", "empty", "missing")]
+    # of an even number the upper one of the two in the middle
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -CASE WHEN class = 'passed' THEN n END)")
+    return some.agg(*counts, F.min(size).alias("least"), (-middle).cast("long").alias("middle"), F.max(size).alias("most"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mizan.functions import markup, text
@@ -53,6 +53,35 @@ def rescue_report(outcomes: DataFrame, first: int = 20) -> DataFrame:
     return counts.crossJoin(shown).withColumn("more", F.greatest(F.col("failed") - first, F.lit(0)))
 
 
+def formula_inventory(docs: DataFrame, least: int = 1) -> DataFrame:
+    """Documents with signals of dropped formulas, the highest score first; docs: document_id, markdown_content, extraction_method."""
+    signals = markup.formula_signals(F.col("markdown_content"), F.col("extraction_method"))
+    found = docs.select("document_id", signals.alias("s")).select("document_id", "s.*")
+    return found.where(F.col("score") >= least).orderBy(F.desc("score"), "document_id")
+
+
+def apart(places: Column, least: int = 40) -> Column:
+    """Ascending positions without those that lie closer than `least` to one that stays."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(F.array_sort(places), none, lambda kept, p: F.when((F.size(kept) == 0) | (p - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0)) >= least), F.concat(kept, F.array(p))).otherwise(kept))
+
+
+def places_of(x: Column, part: Column, most: int = 1000) -> Column:
+    """Positions, from 0, of a text's occurrences without overlaps, the first `most`."""
+    pieces = F.slice(F.split(x, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1), 1, most + 1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + F.length(part)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found"))
+    # what follows the last occurrence isn't one
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda s: s["found"])
+
+
+def write_results(rows: DataFrame, folder: str, now: str) -> str:
+    """Results as JSON under a folder named by the time; returns it."""
+    target = f"{folder}/results-{now}"
+    rows.write.mode("errorifexists").json(target)
+    return target
+
+
 def console_lines(scores: dict[str, float], gates: dict[str, float]) -> list[str]:
     """A line for each score with a mark below its limit."""
     return [f"{name:<24} {value:>7.1%} {'' if value >= gates.get(name, 0) else '< ' + format(gates[name], '.0%')}".rstrip() for name, value in sorted(scores.items())]

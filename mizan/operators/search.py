@@ -129,6 +129,12 @@ def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     return at.where("term IS NOT NULL").join(terms, "term").select("query_id", "key", "pos", "term")
 
 
+def fts_matches(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """query_id, key of the documents that hold all terms of a query; one without terms matches all."""
+    asked = queries.select("query_id", text.tokens(F.col("query")).alias("terms"))
+    return docs.join(asked, F.size(F.array_except("terms", "tokens")) == 0).select("query_id", key)
+
+
 def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, threshold: float | None = FTS_THRESHOLD, clean: bool = True, category: str | None = None) -> DataFrame:
     """query_id, key, rank of the best rows of each query; docs hold `key` and `tokens`, and `category` if one is asked.
 
@@ -367,6 +373,33 @@ def document_search(docs: DataFrame, tokens: DataFrame, queries: DataFrame, limi
     return own.select("query_id", "document_id", "title", "category", "rank", "position", headline(text.tokens(F.col("markdown_content")), F.col("terms")).alias("snippet"))
 
 
+def institutions(rows: DataFrame, keyword: str | None = None, kind: str | None = None, active_only: bool = True, active: str = "Aktif") -> DataFrame:
+    """Directory rows by status, then by type (all types if none fits), then by a word in name or type."""
+    some = rows.where(F.col("status") == active) if active_only else rows
+    if kind:
+        some = of_type_or_all(some, "type", kind)
+    if keyword:
+        word = text.lower_tr(F.lit(keyword))
+        some = some.where(F.contains(text.lower_tr(F.col("name")), word) | F.contains(text.lower_tr(F.col("type")), word))
+    return some
+
+
+def of_type_or_all(rows: DataFrame, column: str, wanted: str) -> DataFrame:
+    """Rows whose column holds the text; all rows if none does."""
+    hit = F.contains(F.lower(column), F.lit(wanted.lower()))
+    some = rows.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("some"))  # one row
+    return rows.crossJoin(F.broadcast(some)).where(hit | ~F.col("some")).drop("some")
+
+
+def first_contained(x: Column, table: dict[str, str], default: str) -> Column:
+    """The value of the first key that the folded text holds, else the default."""
+    low, out = text.lower_tr(x), None
+    for word, value in table.items():
+        hit = F.contains(low, F.lit(word))
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return F.lit(default) if out is None else out.otherwise(default)
+
+
 def resolve_aliases(requests: DataFrame, sources: list[DataFrame], prefixes: tuple[str, ...]) -> DataFrame:
     """First of the id and its prefixed forms, then first of the sources, that has a document.
 

@@ -133,11 +133,17 @@ def upsert(store: DataFrame, new: DataFrame, key: str = "document_id", keep_if_n
 
 
 def archived(store: DataFrame, new: DataFrame, versions: DataFrame, now: float) -> DataFrame:
-    """Versions to add: the stored content of documents whose hash changes, next number of each."""
+    """Versions to add: the stored content of documents whose hash changes, next number of each.
+
+    Content that is the last version already is not added again: the change was
+    archived before, and the store didn't take it.
+    """
     incoming = new.select("document_id", F.col("content_hash").alias("new_hash"))
-    last = versions.groupBy("document_id").agg(F.max("version").alias("last"))
+    known = F.max_by("content_hash", "version") if "content_hash" in versions.columns else F.lit(None)
+    last = versions.groupBy("document_id").agg(F.max("version").alias("last"), known.cast("string").alias("last_hash"))
     changed = store.join(incoming, "document_id").where((F.col("content_hash") != "") & (F.col("new_hash") != "") & (F.col("content_hash") != F.col("new_hash")))
-    return changed.join(last, "document_id", "left").select("document_id", (F.coalesce("last", F.lit(0)) + 1).alias("version"), "content_hash", "markdown_content", F.lit(now).alias("synced_at"))
+    changed = changed.join(last, "document_id", "left").where(~F.col("content_hash").eqNullSafe(F.col("last_hash")))
+    return changed.select("document_id", (F.coalesce("last", F.lit(0)) + 1).alias("version"), "content_hash", "markdown_content", F.lit(now).alias("synced_at"))
 
 
 def insert_absent(store: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
@@ -192,17 +198,78 @@ def merge_failures(old: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def failure_report(failures: DataFrame, first: int = 5) -> DataFrame:
-    """By category: failures, retryable ones, the first ids and how many more."""
+    """By category: failures, retryable ones, the first ids and how many more.
+
+    Counted apart, so that only the first rows of each task are ranked.
+    """
     order = Window.partitionBy("error_category").orderBy(F.desc("last_failed_at"), "document_id")
-    ranked = failures.withColumn("rn", F.row_number().over(order))
-    return ranked.groupBy("error_category").agg(
-        F.count("*").alias("failures"),
-        F.count_if("retryable").alias("retryable"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= first, F.struct("rn", "document_id")))), lambda x: x["document_id"]).alias("first_ids"),
-        F.greatest(F.count("*") - first, F.lit(0)).alias("more"),
+    ranked = failures.select("error_category", "document_id", "last_failed_at").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= first)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rn", "document_id"))), lambda x: x["document_id"])
+    shown = ranked.groupBy(F.col("error_category").alias("c")).agg(ids.alias("first_ids"))
+    counts = failures.groupBy("error_category").agg(F.count("*").alias("failures"), F.count_if("retryable").alias("retryable"))
+    found = counts.join(shown, F.col("error_category").eqNullSafe(F.col("c"))).drop("c")
+    return found.withColumn("more", F.greatest(F.col("failures") - first, F.lit(0)))
+
+
+def retryable(failures: DataFrame) -> DataFrame:
+    """Failures that may be tried again, the last first."""
+    return failures.where("retryable").orderBy(F.desc("last_failed_at"), "document_id")
+
+
+def sync_report(results: DataFrame, group: str) -> DataFrame:
+    """By group: all results, downloaded, skipped (there already) and failed; results: success, cached."""
+    return results.groupBy(group).agg(
+        F.count("*").alias("total"), F.count_if(F.col("success") & ~F.col("cached")).alias("downloaded"), F.count_if(F.col("success") & F.col("cached")).alias("skipped"), F.count_if(~F.col("success")).alias("failed")
+    )
+
+
+def page_totals(docs: DataFrame) -> DataFrame:
+    """One row: documents, their pages and the most of one."""
+    n = docs.select(text.page_count(F.col("markdown_content")).cast("long").alias("n"))
+    return n.agg(F.count("*").alias("documents"), F.sum("n").alias("pages"), F.max("n").alias("most"))
+
+
+def content_changes(versions: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """Versions with their hash and whether it differs from that of the one before."""
+    hashed = versions.withColumn("content_hash", text.content_hash(F.col(content)))
+    before = F.lag("content_hash").over(Window.partitionBy(key).orderBy(order))
+    return hashed.withColumn("changed", F.coalesce(before != F.col("content_hash"), F.lit(False)))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """By category and, with category null, overall: documents and chunks."""
+    per = chunks.groupBy("document_id", "category").agg(F.count("*").alias("n"))
+    by_category = per.groupBy("category").agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"))
+    return by_category.unionByName(per.agg(F.lit(None).cast("string").alias("category"), F.count_distinct("document_id").alias("documents"), F.sum("n").alias("chunks")))
+
+
+def blob(docs: DataFrame, document_id: str, column: str = "pdf_blob") -> DataFrame:
+    """The stored bytes of a document; no row if there are none."""
+    return docs.where((F.col("document_id") == document_id) & F.col(column).isNotNull()).select("document_id", column)
+
+
+def merge_sync_metadata(old: DataFrame, done: DataFrame) -> DataFrame:
+    """old (document_id, etag, last_modified, last_sync_at, sync_count) after syncs (document_id, etag, last_modified, ts).
+
+    The last sync counts, and each adds one to the counter.
+    """
+    last = F.max(F.struct("ts", "etag", "last_modified")).alias("s")
+    new = done.groupBy("document_id").agg(last, F.count("*").alias("n"))
+    return old.join(new, "document_id", "full_outer").select(
+        "document_id",
+        F.coalesce("s.etag", "etag", F.lit("")).alias("etag"),
+        F.coalesce("s.last_modified", "last_modified", F.lit("")).alias("last_modified"),
+        F.coalesce("s.ts", "last_sync_at").alias("last_sync_at"),
+        (F.coalesce("sync_count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("sync_count"),
     )
 
 
+def candidates(rows: DataFrame, order: list, limit: int = 0) -> DataFrame:
+    """Rows in order, the first `limit` of them; 0 is all."""
+    ordered = rows.orderBy(*order)
+    return ordered.limit(limit) if limit else ordered
+
+
 def missing_for_migration(docs: DataFrame, chunked: DataFrame, cap: int = 2000) -> DataFrame:
     """Documents to move to the chunk store: none if nine tenths are there, else the first `cap` missing ones."""
     have = chunked.select("document_id").distinct()

@@ -132,6 +132,21 @@ def tool_metrics(spark, sf_dir):
     return evaluation.tool_metrics(e.select(F.col("event_type").alias("tool"), (F.col("value") < 10).alias("error"), F.col("value").alias("latency")))
 
 
+@query("WITH c AS (SELECT value < 10 AS error, user_id % 3 = 0 AS hit FROM events) SELECT count(*) AS total_requests, count(*) FILTER (WHERE error) AS total_errors, count(*) FILTER (WHERE hit) AS cache_hits, count(*) FILTER (WHERE NOT hit) AS cache_misses, round(count(*) FILTER (WHERE hit) * 100.0 / count(*), 1) AS cache_hit_rate FROM c")
+def metrics_summary(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return evaluation.metrics_summary(e.select((F.col("value") < 10).alias("error")), e.select((F.col("user_id") % 3 == 0).alias("hit")))
+
+
+_LABEL = "CASE WHEN contains(lower(trim(text)), 'entailment') THEN 'entailment' WHEN contains(lower(trim(text)), 'contradiction') THEN 'contradiction' WHEN contains(lower(trim(text)), 'neutral') THEN 'neutral' ELSE 'unknown' END"
+
+
+@query(f"SELECT conv_id, turn, {_LABEL} AS label, regexp_extract(upper(text), '[ABC]', 0) AS letter FROM conversations")
+def parse_conversation_answers(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", evaluation.parse_label(F.col("text")).alias("label"), evaluation.parse_letter(F.col("text")).alias("letter"))
+
+
 @query("SELECT * FROM (VALUES (0, 'entailment', ''), (1, 'contradiction', 'B'), (2, 'unknown', 'C'), (3, 'neutral', 'A')) t(id, label, letter)")
 def parse_answers(spark, sf_dir):
     d = spark.createDataFrame([(0, "Entailment olur"), (1, "b: contradiction"), (2, "cevap yok"), (3, " NEUTRAL")], "id int, x string")
@@ -144,7 +159,7 @@ def tool_call_extraction(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, m string").select("id", evaluation.tool_call(F.col("m")).alias("c")).select("id", "c.*")
 
 
-@query()
+@query("SELECT item_id, list_transform(list_sort(list_transform(['a ' || item_id, 'b ' || item_id, 'c ' || item_id], lambda o: struct_pack(k := sha256('7' || o), o := o))), lambda s: s.o) AS options FROM benchmark")
 def shuffled_options(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
     return b.select("item_id", evaluation.shuffled_options(F.array(*[F.concat(F.lit(f"{c} "), F.col("item_id").cast("string")) for c in "abc"]), 7).alias("options"))

@@ -122,8 +122,8 @@ def rescue(candidates: DataFrame, fetch: Callable[[str], str], delay: float = 2.
                 time.sleep(delay)
             yield pd.DataFrame({"document_id": batch["document_id"], "ok": ok, "reason": reason})
 
-    # one partition: the pause is a rate limit of the site
-    return candidates.select("document_id").coalesce(1).mapInPandas(run, "document_id string, ok boolean, reason string")
+    # one partition: the pause is a rate limit of the site; dealt anew, so that what makes the candidates runs in its own tasks
+    return candidates.select("document_id").repartition(1).mapInPandas(run, "document_id string, ok boolean, reason string")
 
 
 def start_up(steps: list[tuple[str, Callable[[], object]]], timeout: float = 300.0, clock=time.monotonic) -> list[tuple[str, str]]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mizan.functions import directory, markdown
-from mizan.operators import pages
+from mizan.operators import pages, reading
 from mizan.plans.registry import query
-from mizan.sources.tables import read
+from mizan.sources.tables import DOCS, documents, read
 
 _INNER = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(i, '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[\\s\\x{A0}]+', ' ', 'g'))"
 _ANCHORS = (
@@ -27,8 +27,7 @@ def extract_links(spark, sf_dir):
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)) AS heading, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INT) AS paragraphs FROM pages")
 def html_headings(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    return p.select("page_id", F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>([^<]*)</h1>", 1)).alias("heading"), F.regexp_count("html", F.lit(r"(?i)<p[ >]")).alias("paragraphs"))
+    return pages.headings(read(spark, sf_dir, "pages"))
 
 
 @query()
@@ -36,6 +35,12 @@ def html_to_markdown(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", markdown.html_to_markdown("html").alias("markdown"))
 
 
+def _with_pages(spark, sf_dir, fragments):
+    """The driver's pages, and the fragments under negative ids."""
+    own = read(spark, sf_dir, "pages").select(F.col("page_id").cast("int").alias("page_id"), "html")
+    return own.union(spark.createDataFrame([(-1 - i, html) for i, html in enumerate(fragments)], "page_id int, html string"))
+
+
 _LIST = [
     (56, '<a href="/Mevzuat/DokumanGetir/12">(07.03.2024 - 10823) Karar bir</a><a href="/Mevzuat/DokumanGetir/13">Tarihsiz karar</a><a href="/Mevzuat/DokumanGetir/14"></a>'),
     (49, '<a href="/Mevzuat/DokumanGetir/5">Kanun</a><a href="/Mevzuat/DokumanGetir/5">Tekrar</a><a href="https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=5411">Dış</a><a href="/Mevzuat/Detay/9">Ayrıntı</a><a href="mailto:x">Posta</a>'),
@@ -45,14 +50,14 @@ _LIST = [
 
 @query("SELECT * FROM (VALUES ('12', 'Karar bir', '07.03.2024', '10823', 'https://host/Mevzuat/DokumanGetir/12'), ('13', 'Tarihsiz karar', '', '', 'https://host/Mevzuat/DokumanGetir/13')) t(document_id, title, decision_date, decision_number, source_url)")
 def decision_pages(spark, sf_dir):
-    p = spark.createDataFrame(_LIST[:1], "page_id int, html string")
+    p = _with_pages(spark, sf_dir, [_LIST[0][1]])
     return pages.decisions(pages.anchors(p), "Karar", "https://host/Mevzuat/DokumanGetir/{}").select("document_id", "title", "decision_date", "decision_number", "source_url")
 
 
-@query("SELECT * FROM (VALUES (49, '5', 'Kanun', 'Kanun', 'https://host/Mevzuat/DokumanGetir/5'), (49, 'mevzuat_5411', 'Dış', 'Kanun', 'https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=5411'), (99, '6', 'Başka', 'Sayfa 99', 'https://host/Mevzuat/DokumanGetir/6')) t(page_id, document_id, title, category, source_url)")
+@query("SELECT * FROM (VALUES (-1, '5', 'Kanun', 'Kanun', 'https://host/Mevzuat/DokumanGetir/5'), (-1, 'mevzuat_5411', 'Dış', 'Kanun', 'https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=5411'), (-2, '6', 'Başka', 'Sayfa -2', 'https://host/Mevzuat/DokumanGetir/6')) t(page_id, document_id, title, category, source_url)")
 def flat_pages(spark, sf_dir):
-    p = spark.createDataFrame(_LIST[1:], "page_id int, html string")
-    return pages.flat_pages(p, "https://host", {49: "Kanun"}).select("page_id", "document_id", "title", "category", "source_url")
+    p = _with_pages(spark, sf_dir, [html for _, html in _LIST[1:]])
+    return pages.flat_pages(p, "https://host", {-1: "Kanun"}).select("page_id", "document_id", "title", "category", "source_url")
 
 
 _CARDS = '<div class="card"><h5>Tebliğler (2)</h5><div class="card-body"><ul><li><a href="/Mevzuat/DokumanGetir/1">Bir</a><li><a href="/Mevzuat/DokumanGetir/2">İki</a></ul></div></div><div class="card"><h5>Diğer</h5><div class="collapse"><a href="/Mevzuat/DokumanGetir/3">Üç</a></div></div>'
@@ -60,7 +65,7 @@ _CARDS = '<div class="card"><h5>Tebliğler (2)</h5><div class="card-body"><ul><l
 
 @query("SELECT * FROM (VALUES ('1', 'Bir', 'Tebliğ'), ('2', 'İki', 'Tebliğ'), ('3', 'Üç', 'Diğer')) t(document_id, title, category)")
 def accordion_pages(spark, sf_dir):
-    p = spark.createDataFrame([(50, _CARDS)], "page_id int, html string")
+    p = _with_pages(spark, sf_dir, [_CARDS])
     return pages.accordion_pages(p, "https://host", {"Tebliğler": "Tebliğ"}).select("document_id", "title", "category")
 
 
@@ -69,7 +74,7 @@ _BANKS = '<div class="card"><h5>Mevduat Bankaları (2)</h5><div class="card-body
 
 @query("SELECT * FROM (VALUES ('Birinci Banka A.Ş.', 'https://b.example', 'Mevduat Bankaları', 'Aktif', false), ('Yeni', '', 'Mevduat Bankaları', 'Aktif', true), ('Eski Banka', '', 'TMSF Bankaları', 'İptal Edilmiş', false)) t(name, website, subcategory, status, digital)")
 def institution_pages(spark, sf_dir):
-    p = spark.createDataFrame([(_BANKS, "Banka")], "html string, kind string")
+    p = _with_pages(spark, sf_dir, [_BANKS]).withColumn("kind", F.lit("Banka"))
     return p.select(F.explode(directory.html_institutions("html", "kind")).alias("i")).select("i.*")
 
 
@@ -78,7 +83,7 @@ _NEWS = '<a href="/Duyuru/Detay/1"><span class="gorunenTarih">01.02.2024</span><
 
 @query("SELECT * FROM (VALUES ('Yeni duyuru', '01.02.2024', 'https://host/Duyuru/Detay/1'), ('Başlık', '', 'https://host/Duyuru/Detay/2')) t(title, date, url)")
 def announcement_pages(spark, sf_dir):
-    return pages.announcements(spark.createDataFrame([(1, _NEWS)], "page_id int, html string"), "https://host").select("title", "date", "url")
+    return pages.announcements(_with_pages(spark, sf_dir, [_NEWS]), "https://host").select("title", "date", "url")
 
 
 _TABLE = "<table><tr><td>1</td><td>Krediler <a onclick=\"ShowModalGraph('1.0.1')\">g</a></td><td>10</td><td>20</td></tr><tr><td>2</td><td>Yok</td><td>1</td><td>2</td></tr></table>"
@@ -86,7 +91,7 @@ _TABLE = "<table><tr><td>1</td><td>Krediler <a onclick=\"ShowModalGraph('1.0.1')
 
 @query("SELECT '1' AS row_number, 'Krediler g' AS name, '1.0.1' AS metric_id, '10' AS tp, '20' AS yp")
 def snapshot_page(spark, sf_dir):
-    return pages.snapshot_rows(spark.createDataFrame([(1, _TABLE)], "page_id int, html string")).select("row_number", "name", "metric_id", "tp", "yp")
+    return pages.snapshot_rows(_with_pages(spark, sf_dir, [_TABLE])).select("row_number", "name", "metric_id", "tp", "yp")
 
 
 @query("SELECT 'Nakit' AS name, '1,234' AS tp, '5.50' AS yp, '-' AS total")
@@ -112,8 +117,34 @@ def document_alias_resolution(spark, sf_dir):
     return resolve_aliases(wanted, [chunks, docs], ("a_", "b_"))
 
 
-@query("SELECT category, count(*) AS n FROM (SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 500 THEN 'short' WHEN contains(text, '$$') THEN 'formula' ELSE 'passed' END AS category FROM documents) GROUP BY 1")
+_BLANK = "regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g') = ''"
+_IMAGES = "len(regexp_extract_all(body, '!\\[[^\\]]*\\]\\([^)]+\\)'))"
+
+
+@query(
+    f"WITH {DOCS}, p AS (SELECT document_id, markdown_content AS x, unnest(range(CAST(greatest(1, ceil(length(markdown_content) / 5000.0)) AS INT))) AS k FROM docs), b AS (SELECT document_id, substring(x, k * 5000 + 1, 5000) AS body FROM p), "
+    f"r AS (SELECT CASE WHEN {_BLANK.format('body')} THEN 'empty' WHEN contains(substring(body, 1, 200), 'Invalid page') THEN 'invalid' ELSE 'passed' END AS class, document_id, count(*) AS pages, sum({_IMAGES}) AS images FROM b GROUP BY 1, 2) "
+    "SELECT class, CAST(sum(pages) AS BIGINT) AS pages, count(*) AS documents, CAST(sum(images) AS BIGINT) AS images, count(*) FILTER (WHERE images > 0) AS with_images FROM r GROUP BY 1"
+)
+def audit_pages(spark, sf_dir):
+    return reading.page_audit(documents(spark, sf_dir))
+
+
+@query(
+    f"WITH {DOCS}, a AS (SELECT document_id FROM docs UNION ALL SELECT 'none' || user_id FROM events WHERE event_id < 7), r AS (SELECT CASE WHEN markdown_content IS NULL THEN 'missing' WHEN {_BLANK.format('markdown_content')} THEN 'empty' ELSE 'passed' END AS class, length(markdown_content) AS n FROM a LEFT JOIN docs USING (document_id)), "
+    "s AS (SELECT list_sort(list(n) FILTER (WHERE class = 'passed')) AS l, count(*) FILTER (WHERE class = 'passed') AS passed, count(*) FILTER (WHERE class = 'empty') AS empty, count(*) FILTER (WHERE class = 'missing') AS missing FROM r) "
+    "SELECT passed, empty, missing, l[1] AS least, l[len(l) // 2 + 1] AS middle, l[len(l)] AS most FROM s"
+)
 def audit_documents(spark, sf_dir):
-    t = F.col("text")
-    kind = F.when(F.length(t) == 0, "empty").when(F.length(t) < 500, "short").when(F.contains(t, F.lit("$$")), "formula").otherwise("passed")
-    return read(spark, sf_dir, "documents").groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    d = documents(spark, sf_dir)
+    asked = d.select("document_id").unionByName(read(spark, sf_dir, "events").where("event_id < 7").select(F.concat(F.lit("none"), "user_id").alias("document_id")))
+    return reading.document_audit(d, asked)
+
+
+_SETTINGS = [(-1, """<form><input type="hidden" name="__RequestVerificationToken" value="abc"/></form><script>x = {"tarih": '27.03.2026'}</script>""")]
+
+
+@query("SELECT page_id, '' AS token, '' AS date FROM pages UNION ALL SELECT -1, 'abc', '27.03.2026'")
+def bulletin_settings(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", "html").union(spark.createDataFrame(_SETTINGS, "page_id long, html string"))
+    return p.select("page_id", pages.bulletin_settings(F.col("html")).alias("s")).select("page_id", "s.*")

@@ -56,9 +56,10 @@ def keyword_search_filtered(spark, sf_dir):
 TITLES = ["Bankaların Kredi İşlemleri Yönetmeliği", "Kredi Kartları Tebliği", "IŞIK ve İNŞAAT Genelgesi", "Sermaye Yeterliliği Rehberi"]
 
 
-@query("SELECT * FROM (VALUES (0, 6, NULL), (1, NULL, 9), (2, NULL, NULL), (3, NULL, NULL)) t(id, kredi_banka, kredi_kartlar)")
+@query("SELECT * FROM (VALUES (-1, 6, NULL), (-2, NULL, 9), (-3, NULL, NULL), (-4, NULL, NULL)) t(id, kredi_banka, kredi_kartlar) UNION ALL SELECT p_partkey, NULL, NULL FROM part")
 def keyword_scores(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(TITLES)), "id int, title string")
+    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    d = own.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TITLES)], "id long, title string"))
     return d.select("id", search.keyword_score("KREDİ banka", F.col("title")).alias("kredi_banka"), search.keyword_score("kredi kartlar tebliği", F.col("title")).alias("kredi_kartlar"))
 
 
@@ -100,8 +101,7 @@ def fts_rank(spark, sf_dir):
 @query(f"WITH tok AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents) SELECT query_id, doc_id FROM tok, {_ASKED} WHERE len(list_filter({_TOKENS.format('query')}, lambda t: NOT list_contains(tokens, t))) = 0")
 def fts_match(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
-    q = _asked(spark).select("query_id", text.tokens(F.col("query")).alias("terms"))
-    return d.join(F.broadcast(q), F.size(F.array_except("terms", "tokens")) == 0).select("query_id", "doc_id")
+    return search.fts_matches(d, _asked(spark), "doc_id")
 
 
 _CHUNK_FTS = (

@@ -129,9 +129,7 @@ def daily_windows(spark, sf_dir):
 
 @query("WITH i AS (SELECT s_suppkey, s_name AS name, n_name AS type, r_name AS subcategory, CASE WHEN s_acctbal >= 0 THEN 'Aktif' ELSE 'İptal Edilmiş' END AS status FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT s_suppkey, name, type, subcategory FROM i WHERE status = 'Aktif' AND (contains(lower(translate(name, 'İIŞÇÜÖĞ', 'iışçüöğ')), lower(translate('NA', 'İIŞÇÜÖĞ', 'iışçüöğ'))) OR contains(lower(translate(type, 'İIŞÇÜÖĞ', 'iışçüöğ')), lower(translate('NA', 'İIŞÇÜÖĞ', 'iışçüöğ'))))")
 def institution_search(spark, sf_dir):
-    i = _institutions(spark, sf_dir).where("status = 'Aktif'")
-    word = text.lower_tr(F.lit("NA"))
-    return i.where(F.contains(text.lower_tr(F.col("name")), word) | F.contains(text.lower_tr(F.col("type")), word)).select("s_suppkey", "name", "type", "subcategory")
+    return search.institutions(_institutions(spark, sf_dir), "NA").select("s_suppkey", "name", "type", "subcategory")
 
 
 def _institutions(spark, sf_dir):
@@ -143,10 +141,7 @@ def _institutions(spark, sf_dir):
 
 @query("SELECT s_suppkey, n_name AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(n_name), 'no such type') OR NOT EXISTS (SELECT 1 FROM nation WHERE contains(lower(n_name), 'no such type'))")
 def type_fallback(spark, sf_dir):
-    i = _institutions(spark, sf_dir).select("s_suppkey", "type")
-    hit = F.contains(F.lower("type"), F.lit("no such type"))
-    any_hit = i.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("any_hit"))
-    return i.crossJoin(F.broadcast(any_hit)).where(hit | ~F.col("any_hit")).select("s_suppkey", "type")
+    return search.of_type_or_all(_institutions(spark, sf_dir).select("s_suppkey", "type"), "type", "no such type")
 
 
 @query(
@@ -154,5 +149,4 @@ def type_fallback(spark, sf_dir):
 )
 def keyword_category_map(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    low = text.lower_tr(F.col("event_type"))
-    return e.groupBy("event_type", F.when(F.contains(low, F.lit("pur")), "buy").when(F.contains(low, F.lit("i")), "see").otherwise("other").alias("category")).agg(F.count("*").alias("n"))
+    return e.groupBy("event_type", search.first_contained(F.col("event_type"), {"pur": "buy", "i": "see"}, "other").alias("category")).agg(F.count("*").alias("n"))

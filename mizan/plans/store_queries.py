@@ -95,8 +95,7 @@ def document_page(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT count(*) AS documents, sum(n) AS pages, max(n) AS most FROM (SELECT CAST(greatest(1, ceil(length(markdown_content) / 5000.0)) AS BIGINT) AS n FROM docs)")
 def pages_per_document(spark, sf_dir):
-    d = documents(spark, sf_dir).select(text.page_count(F.col("markdown_content")).cast("long").alias("n"))
-    return d.agg(F.count("*").alias("documents"), F.sum("n").alias("pages"), F.max("n").alias("most"))
+    return store.page_totals(documents(spark, sf_dir))
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, category, content_hash, total_chunks, chunk_index, chunk_text FROM chunks")
@@ -115,10 +114,9 @@ def page_from_chunks(spark, sf_dir):
     return store.page_from_chunks(store.chunk_table(documents(spark, sf_dir)), 2)
 
 
-@query(f"WITH {CHUNKS} SELECT count(DISTINCT document_id) AS documents, count(*) AS chunks, count(DISTINCT category) AS categories FROM chunks")
+@query(f"WITH {CHUNKS} SELECT category, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM chunks GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT document_id), count(*) FROM chunks")
 def chunk_store_stats(spark, sf_dir):
-    c = store.chunk_table(documents(spark, sf_dir))
-    return c.agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("chunks"), F.count_distinct("category").alias("categories"))
+    return store.chunk_counts(store.chunk_table(documents(spark, sf_dir)))
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, count(*) AS n FROM chunks WHERE document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) GROUP BY 1")
@@ -179,11 +177,7 @@ def version_counts(spark, sf_dir):
     "SELECT conv_id, turn, content_hash, before IS NOT NULL AND before <> content_hash AS changed FROM h"
 )
 def content_hash_versions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    h = read(spark, sf_dir, "conversations").withColumn("content_hash", text.content_hash(F.col("text")))
-    before = F.lag("content_hash").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return h.select("conv_id", "turn", "content_hash", F.coalesce(before != F.col("content_hash"), F.lit(False)).alias("changed"))
+    return store.content_changes(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "content_hash", "changed")
 
 
 @query(f"WITH {_HASHED}, m AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, max(quality) + 1 AS last FROM labels GROUP BY 1) SELECT b.document_id, coalesce(m.last, 0) + 1 AS version, b.content_hash FROM b JOIN a USING (document_id) LEFT JOIN m USING (document_id) WHERE b.content_hash <> '' AND a.content_hash <> '' AND b.content_hash <> a.content_hash")
@@ -281,7 +275,7 @@ def failure_upsert(spark, sf_dir):
 
 @query(_FAILURES + "SELECT * FROM failures WHERE retryable ORDER BY last_failed_at DESC, document_id")
 def retryable_failures(spark, sf_dir):
-    return _failures(spark, sf_dir).where("retryable").orderBy(F.desc("last_failed_at"), "document_id")
+    return store.retryable(_failures(spark, sf_dir))
 
 
 @query(
@@ -294,6 +288,30 @@ def failure_report(spark, sf_dir):
 
 @query("SELECT event_type AS category, count(*) AS total, count(*) FILTER (WHERE value > 50 AND user_id % 3 = 0) AS downloaded, count(*) FILTER (WHERE value > 50 AND user_id % 3 <> 0) AS skipped, count(*) FILTER (WHERE NOT value > 50) AS failed FROM events GROUP BY 1")
 def sync_report(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("category"), (F.col("value") > 50).alias("success"), (F.col("user_id") % 3 != 0).alias("cached"))
+    return store.sync_report(e, "category")
+
+
+@query(
+    "WITH o AS (SELECT CAST(user_id AS VARCHAR) AS document_id, 'e' || min(event_id) AS etag, count(*) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1), "
+    "n AS (SELECT CAST(user_id + 5 AS VARCHAR) AS document_id, max(event_id) AS ts, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) "
+    "SELECT coalesce(o.document_id, n.document_id) AS document_id, CASE WHEN n.ts IS NOT NULL THEN 't' || n.ts ELSE etag END AS etag, 'm' AS last_modified, CAST(coalesce(n.ts, 0) AS DOUBLE) AS last_sync_at, coalesce(c, 0) + coalesce(n, 0) AS sync_count FROM o FULL JOIN n USING (document_id)"
+)
+def sync_metadata(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    ok, cached = F.col("value") > 50, F.col("user_id") % 3 != 0
-    return e.groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("total"), F.count_if(ok & ~cached).alias("downloaded"), F.count_if(ok & cached).alias("skipped"), F.count_if(~ok).alias("failed"))
+    old = e.where("event_id % 2 = 0").groupBy(F.col("user_id").cast("string").alias("document_id")).agg(F.concat(F.lit("e"), F.min("event_id")).alias("etag"), F.count("*").alias("sync_count"))
+    old = old.withColumn("last_modified", F.lit("m")).withColumn("last_sync_at", F.lit(0.0))
+    done = e.where("event_id % 2 = 1").select((F.col("user_id") + 5).cast("string").alias("document_id"), F.concat(F.lit("t"), "event_id").alias("etag"), F.lit("m").alias("last_modified"), F.col("event_id").cast("double").alias("ts"))
+    return store.merge_sync_metadata(old, done)
+
+
+@query(f"WITH {DOCS} SELECT document_id, encode(markdown_content) AS pdf_blob FROM docs WHERE document_id = '7'")
+def document_blob(spark, sf_dir):
+    d = documents(spark, sf_dir).select("document_id", F.col("markdown_content").cast("binary").alias("pdf_blob"))
+    return store.blob(d, "7")
+
+
+@query(f"WITH {DOCS} SELECT document_id, length(markdown_content) AS n FROM docs ORDER BY n DESC, document_id LIMIT 25")
+def backfill_candidates(spark, sf_dir):
+    d = documents(spark, sf_dir).select("document_id", F.length("markdown_content").cast("long").alias("n"))
+    return store.candidates(d, [F.desc("n"), "document_id"], 25)

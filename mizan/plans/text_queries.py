@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import markup, text, urls
 from mizan.functions.text import ACCENTS, C1_TO_PRINTABLE, SUFFIXES
-from mizan.operators import search
+from mizan.operators import extraction, reports, search
 from mizan.plans.registry import query
 from mizan.sources import validation
 from mizan.sources.tables import DOCS, documents, read
@@ -63,10 +63,22 @@ DIRTY = ["temiz metin", "Đstanbul ve Đzmir", "sayfa\u000csonu", "tire \u0096 v
 _DIRTY_SQL = "(VALUES " + ", ".join("(" + str(i) + ", '" + v + "')" for i, v in enumerate(DIRTY)) + ") t(i, x)"
 
 
-@query(f"SELECT i, translate(x, 'Đ' || chr(12), 'İ') AS clean, translate(x, '{''.join(map(chr, C1_TO_PRINTABLE))}', '{''.join(C1_TO_PRINTABLE.values())}') AS remapped FROM {_DIRTY_SQL}")
+def texts_sql(values) -> str:
+    """SQL of the relation of _texts, as CTE x."""
+    rows = ", ".join("(" + str(-1 - i) + ", '" + v.replace("'", "''") + "')" for i, v in enumerate(values))
+    return f"x AS (SELECT doc_id AS id, text AS x FROM documents UNION ALL SELECT * FROM (VALUES {rows}) t(id, x))"
+
+
+def _texts(spark, sf_dir, values):
+    """All documents, and the values under negative ids."""
+    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("x"))
+    return own.union(spark.createDataFrame([(-1 - i, v) for i, v in enumerate(values)], "id long, x string"))
+
+
+@query(f"WITH {texts_sql(DIRTY)} SELECT id, translate(x, 'Đ' || chr(12), 'İ') AS clean, translate(x, '{''.join(map(chr, C1_TO_PRINTABLE))}', '{''.join(C1_TO_PRINTABLE.values())}') AS remapped FROM x")
 def sanitize_text(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(DIRTY)), "i int, x string")
-    return d.select("i", text.sanitize(F.col("x")).alias("clean"), text.remap_c1(F.col("x")).alias("remapped"))
+    d = _texts(spark, sf_dir, DIRTY)
+    return d.select("id", text.sanitize(F.col("x")).alias("clean"), text.remap_c1(F.col("x")).alias("remapped"))
 
 
 _CORRUPT = f"{DOCS}, x AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'mevzuat_' ELSE '' END || document_id AS document_id, markdown_content, CASE WHEN doc_id % 17 = 0 THEN 'markitdown_degraded' ELSE extraction_method END AS method FROM docs UNION ALL SELECT 'mevzuat_x' || i, x, 'html' FROM {_DIRTY_SQL} UNION ALL SELECT 'y' || i, x, 'html' FROM {_DIRTY_SQL})"
@@ -129,14 +141,12 @@ def anomaly_scan(spark, sf_dir):
 
 
 LATEX = ["$$a$$ ve $b$", "$$a$$ $$", r"\begin{x}\end{y}\begin{x}", "$a", r"\$5 $a$", "düz metin", r"\frac{a}{b} x_{i} y^{2}"]
-_LATEX_SQL = "(VALUES " + ", ".join(f"({-1 - i}, '{v}')" for i, v in enumerate(LATEX)) + ") t(id, x)"
-_LATEX_ROWS = f"x AS (SELECT doc_id AS id, text AS x FROM documents UNION ALL SELECT * FROM {_LATEX_SQL})"
+_LATEX_ROWS = texts_sql(LATEX)
 _BEGIN, _END = ("list_sort(regexp_extract_all(x, '\\\\" + w + "\\{([^}]+)\\}', 1))" for w in ("begin", "end"))
 
 
 def _latex(spark, sf_dir):
-    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("x"))
-    return own.union(spark.createDataFrame([(-1 - i, v) for i, v in enumerate(LATEX)], "id long, x string"))
+    return _texts(spark, sf_dir, LATEX)
 
 
 @query(
@@ -157,10 +167,26 @@ def text_metrics(spark, sf_dir):
     return _latex(spark, sf_dir).select("id", markup.text_metrics(F.col("x")).alias("m")).select("id", "m.*")
 
 
-@query("SELECT * FROM (VALUES (1, true, false), (2, false, true), (3, true, false), (4, false, false)) t(id, regression, silent_drop)")
+def _drops(x: str) -> str:
+    return f"len(regexp_extract_all(coalesce({x}, ''), '(?i)<form>\\s*</form>'))"
+
+
+def _markers(x: str) -> str:
+    return f"len(regexp_extract_all(coalesce({x}, ''), '{'|'.join(markup.LATEX_MARKERS)}'))"
+
+
+def _references(x: str) -> str:
+    return f"(len(regexp_extract_all(coalesce({x}, ''), '!\\[[^\\]]*\\]\\([^)]+\\)')) + len(regexp_extract_all(coalesce({x}, ''), '(?i)<img\\s+[^>]*src=[^>]+>')))"
+
+
+@query(
+    "WITH r AS (SELECT doc_id + 100 AS id, text AS before, replace(text, '_{', '{') AS after, CAST(doc_id % 3 AS INT) AS images FROM documents UNION ALL SELECT * FROM (VALUES (1, 'x', '<form></form>', 0), (2, 'x', '\\frac', 3), (3, '\\sum \\sum', '\\sum', 1), (4, NULL, '![a](b)', 1)) t(id, before, after, images)) "
+    f"SELECT id, {_drops('after')} > {_drops('before')} OR {_markers('after')} < {_markers('before')} AS regression, images > {_references('after')} + {_markers('after')} AS silent_drop FROM r"
+)
 def regression_compare(spark, sf_dir):
     rows = [(1, "x", "<form></form>", 0), (2, "x", r"\frac", 3), (3, r"\sum \sum", r"\sum", 1), (4, None, "![a](b)", 1)]
-    d = spark.createDataFrame(rows, "id int, before string, after string, images int")
+    own = read(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("text").alias("before"), F.replace("text", F.lit("_{"), F.lit("{")).alias("after"), (F.col("doc_id") % 3).cast("int").alias("images"))
+    d = own.union(spark.createDataFrame(rows, "id long, before string, after string, images int"))
     b, a = markup.text_metrics(F.col("before")), markup.text_metrics(F.col("after"))
     return d.select("id", markup.regressed(b, a).alias("regression"), markup.silent_drop(F.col("images"), a).alias("silent_drop"))
 
@@ -176,10 +202,28 @@ FORMULAS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (0, 1, 1, 0, 0, 0, 4), (1, 0, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 1, 3), (3, 0, 0, 0, 0, 0, 0), (4, 1, 0, 2, 0, 0, 11), (5, 1, 0, 0, 1, 0, 2), (6, 0, 0, 0, 0, 0, 0)) t(id, S1, S2, S3, S4, S5, score)")
+#: Documents: S2 and S5 need the word that no document without it can have; those with it have no SQL here.
+_SIGNALS = (
+    "d AS (SELECT doc_id AS id, CASE WHEN contains(lower(text), 'formül') THEN NULL ELSE 0 END AS w, CAST(len(regexp_extract_all(text, '_dosyalar/image[0-9]+\\.(?:gif|png)')) AS INT) AS S3, CAST(len(regexp_extract_all(text, '(?m)^\\s{5,}:\\s+\\S')) AS INT) AS S4 FROM documents), "
+    "e AS (SELECT id, CAST(S3 + S4 + w > 0 AS INT) AS S1, w AS S2, S3, S4, w AS S5 FROM d), "
+    "f AS (SELECT *, S1 + 3 * S2 + 5 * S3 + S4 + 3 * S5 AS score FROM e UNION ALL SELECT * FROM (VALUES (-1, 1, 1, 0, 0, 0, 4), (-2, 0, 0, 0, 0, 0, 0), (-3, 0, 0, 0, 0, 1, 3), (-4, 0, 0, 0, 0, 0, 0), (-5, 1, 0, 2, 0, 0, 11), (-6, 1, 0, 0, 1, 0, 2), (-7, 0, 0, 0, 0, 0, 0)) t(id, S1, S2, S3, S4, S5, score))"
+)
+
+
+def _formulas(spark, sf_dir):
+    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("x"), F.col("lang").alias("method"))
+    return own.union(spark.createDataFrame([(-1 - i, *r) for i, r in enumerate(FORMULAS)], "id long, x string, method string"))
+
+
+@query(f"WITH {_SIGNALS} SELECT * FROM f")
 def dropped_formulas(spark, sf_dir):
-    d = spark.createDataFrame([(i, *r) for i, r in enumerate(FORMULAS)], "id int, x string, method string")
-    return d.select("id", markup.formula_signals(F.col("x"), F.col("method")).alias("s")).select("id", "s.*")
+    return _formulas(spark, sf_dir).select("id", markup.formula_signals(F.col("x"), F.col("method")).alias("s")).select("id", "s.*")
+
+
+@query(f"WITH {_SIGNALS} SELECT CAST(id AS VARCHAR) AS document_id, * EXCLUDE (id) FROM f WHERE score >= 2 ORDER BY score DESC, document_id")
+def formula_inventory(spark, sf_dir):
+    d = _formulas(spark, sf_dir).select(F.col("id").cast("string").alias("document_id"), F.col("x").alias("markdown_content"), F.col("method").alias("extraction_method"))
+    return reports.formula_inventory(d, 2)
 
 
 ADDRESSES = [
@@ -223,29 +267,31 @@ def resolve_urls(spark, sf_dir):
     return d.select("document_id", urls.resolve(F.col("document_id"), F.col("source_url"), "https://host/get/{}").alias("url"))
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false)) t(id, error_page)")
+_ERRORS = ["<p>404 - Sayfa Bulunamad&#x131;</p>", "Mevzuat T&uuml;r&#252;Kanunlar", "Bankacılık Kanunu", "", "&#52;04 - Sayfa Bulunamadi &amp;"]
+
+
+@query(f"WITH {texts_sql(_ERRORS)} SELECT id, CASE WHEN id < 0 THEN id IN (-1, -2, -5) ELSE " + " OR ".join(f"contains(x, '{t}')" for t in text.ERROR_PAGE_TEXTS) + " END AS error_page FROM x")
 def error_pages(spark, sf_dir):
-    rows = ["<p>404 - Sayfa Bulunamad&#x131;</p>", "Mevzuat T&uuml;r&#252;Kanunlar", "Bankacılık Kanunu", ""]
-    d = spark.createDataFrame(list(enumerate(rows)), "id int, x string")
-    return d.select("id", text.is_error_page(F.col("x")).alias("error_page"))
+    return _texts(spark, sf_dir, _ERRORS).select("id", text.is_error_page(F.col("x")).alias("error_page"))
+
 
+_DUMPS = ["title: x\n---\n  \n gövde", "başlıksız", "a\n---\nson"]
 
-@query("SELECT * FROM (VALUES (0, 'gövde'), (1, 'başlıksız'), (2, 'son')) t(id, body)")
+
+@query(f"WITH {texts_sql(_DUMPS)} SELECT id, CASE WHEN contains(x, chr(10) || '---' || chr(10)) THEN regexp_replace(substring(x, instr(x, chr(10) || '---' || chr(10)) + 5), '^\\s+', '') ELSE x END AS body FROM x")
 def dump_header(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(["title: x\n---\n  \n gövde", "başlıksız", "a\n---\nson"])), "id int, x string")
-    return d.select("id", text.strip_dump_header(F.col("x")).alias("body"))
+    return _texts(spark, sf_dir, _DUMPS).select("id", text.strip_dump_header(F.col("x")).alias("body"))
 
 
 @query(f"WITH {DOCS} SELECT document_id, lower(extraction_method) IN ('de', 'fr') AS formula_aware, extraction_method <> '' AND NOT lower(extraction_method) IN ('de', 'fr') AS degraded FROM docs")
 def method_flags(spark, sf_dir):
-    aware = F.lower("extraction_method").rlike("de|fr")
-    return documents(spark, sf_dir).select("document_id", aware.alias("formula_aware"), ((F.col("extraction_method") != "") & ~aware).alias("degraded"))
+    m = F.col("extraction_method")
+    return documents(spark, sf_dir).select("document_id", extraction.formula_aware(m, ("de", "fr")).alias("formula_aware"), extraction.degraded(m, ("de", "fr")).alias("degraded"))
 
 
 @query(f"WITH {DOCS} SELECT document_id, length(markdown_content) >= 200 AND NOT regexp_matches(markdown_content, '(?i)<form>\\s*</form>') AS accepted FROM docs")
 def content_gate(spark, sf_dir):
-    x = F.col("markdown_content")
-    return documents(spark, sf_dir).select("document_id", ((F.length(x) >= 200) & ~x.rlike(r"(?i)<form>\s*</form>")).alias("accepted"))
+    return documents(spark, sf_dir).select("document_id", extraction.accepted(F.col("markdown_content")).alias("accepted"))
 
 
 @query(f"WITH x AS (SELECT doc_id, text || ' ÇİZGİ' AS t FROM documents) SELECT doc_id, list_filter(string_split_regex(lower(translate(t, '{ACCENTS[0]}', '{ACCENTS[1]}')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS tokens FROM x")
@@ -260,10 +306,18 @@ def fts_sanitize(spark, sf_dir):
     return d.select("id", text.clean_query(F.col("q")).alias("clean"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a X c', true, 1), (1, 'b b', false, 2), (2, 'yok', false, 0)) t(id, text, changed, matches)")
+_EDITED = ["a b c", "b b", "yok"]
+_TIMES = "CAST((length(x) - length(replace(x, 'b', ''))) AS INT)"
+
+
+@query(f"WITH {texts_sql(_EDITED)} SELECT id, CASE WHEN {_TIMES} = 1 THEN replace(x, 'b', 'X') ELSE x END AS text, {_TIMES} = 1 AS changed, {_TIMES} AS matches FROM x")
 def anchor_edits(spark, sf_dir):
-    d = spark.createDataFrame([(0, "a b c"), (1, "b b"), (2, "yok")], "id int, x string")
-    return d.select("id", markup.replace_once(F.col("x"), F.lit("b"), F.lit("X")).alias("e")).select("id", "e.*")
+    return _texts(spark, sf_dir, _EDITED).select("id", markup.replace_once(F.col("x"), F.lit("b"), F.lit("X")).alias("e")).select("id", "e.*")
+
+
+@query("WITH n AS (SELECT doc_id, list_transform(string_split(text, ' the '), lambda p: length(p)) AS n FROM documents) SELECT doc_id, list_transform(range(1, least(len(n), 101)), lambda i: CAST(list_sum(n[1:i]) + 5 * (i - 1) AS INT)) AS places FROM n")
+def anchor_places(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", reports.places_of(F.col("text"), F.lit(" the "), 100).alias("places"))
 
 
 @query("SELECT p_partkey, p_size BETWEEN 1 AND 17 AND p_size % 14 BETWEEN 1 AND 12 AS ok FROM part")

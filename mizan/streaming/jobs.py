@@ -60,8 +60,12 @@ def circuit_breaker(results: DataFrame, key: str = "tool", order: str = "seq", t
 def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float):
     """Upsert documents, archive changed versions and replace chunks, batch by batch.
 
-    incoming: document_id, title, category, markdown_content. A batch that runs
-    again finds its hashes unchanged and archives nothing. Returns the query.
+    incoming: document_id, title, category, markdown_content, and downloaded_at
+    if the last of several rows of a document is to count (else that with the
+    greatest hash). Versions are written first, the documents last: a batch that
+    runs again after a crash in between finds the content that it would archive
+    as the last version, and archives nothing. The tables are kept in parts by
+    document_id, and a batch writes the parts that it touches. Returns the query.
     """
     schema = "document_id string, title string, category string, markdown_content string, content_hash string"
     chunk_schema = "document_id string, category string, content_hash string, total_chunks int, chunk_index int, chunk_text string"
@@ -70,15 +74,19 @@ def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float):
     def one(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         clean = batch.withColumn("markdown_content", text.sanitize(F.col("markdown_content"))).where("markdown_content <> ''")
-        last = clean.dropDuplicates(["document_id"]).withColumn("content_hash", text.content_hash(F.col("markdown_content")))
-        new = last.select(*[c.split()[0] for c in schema.split(", ")]).persist()
-        old = snapshots.current(spark, f"{folder}/documents", schema)
-        versions = snapshots.current(spark, f"{folder}/versions", version_schema)
+        hashed = clean.withColumn("content_hash", text.content_hash(F.col("markdown_content")))
+        columns = [c.split()[0] for c in schema.split(", ")]
+        order = [c for c in ("downloaded_at", "content_hash") if c in hashed.columns]
+        new = hashed.groupBy("document_id").agg(F.max(F.struct(*order, *[F.col(c).alias(f"new_{c}") for c in columns])).alias("r"))
+        new = new.select(*[F.col(f"r.new_{c}").alias(c) for c in columns]).persist()
+        touched = sorted(r[0] for r in new.select(snapshots.part_of("document_id")).distinct().collect())
+        if not touched:
+            return
+        old, versions, chunks = (snapshots.current(spark, f"{folder}/{t}", s, touched) for t, s in (("documents", schema), ("versions", version_schema), ("chunks", chunk_schema)))
         changed = store.archived(old, new, versions, now)
-        snapshots.commit(versions.unionByName(changed.select(*versions.columns)), f"{folder}/versions")
-        chunks = snapshots.current(spark, f"{folder}/chunks", chunk_schema)
-        snapshots.commit(store.replace_children(chunks, store.chunk_table(new)), f"{folder}/chunks")
-        snapshots.commit(store.upsert(old, new), f"{folder}/documents")
+        snapshots.commit_parts(versions.unionByName(changed.select(*versions.columns)), f"{folder}/versions", "document_id", touched)
+        snapshots.commit_parts(store.replace_children(chunks, store.chunk_table(new)), f"{folder}/chunks", "document_id", touched)
+        snapshots.commit_parts(store.upsert(old, new), f"{folder}/documents", "document_id", touched)
         new.unpersist()
 
     return incoming.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mizan.functions import markup
 from mizan.functions.directory import institutions
 from mizan.functions.markdown import to_markdown
-from mizan.operators import evaluation, search, series, store
+from mizan.operators import evaluation, reports, search, series, store
 from mizan.plans.cache import ResultCache, catalog_status, health
 from mizan.sources import seeds, snapshots, validation, web
 from mizan.streaming import jobs
@@ -228,3 +228,38 @@ def test_nearest_in_blocks(spark, monkeypatch):
         near = sorted((round(1 - sum(x * y for x, y in zip(v, q, strict=True)) / (norm(v) * norm(q)), 12) + 0.0, d, c) for d, c, _, v in rows[:400] if any(v))
         want |= {(k, d, c) for _, d, c in near[:20]}
     assert {(r.query_id, r.doc_id, r.chunk_index) for r in search.nearest(chunks, asked, 20, search.cosine_distances).collect()} == want
+
+
+def test_places_and_those_apart(spark):
+    d = spark.createDataFrame([("a.b a.b" + " " * 50 + "a.b", "a.b"), ("yok", "x"), ("", "x")], "x string, part string")
+    places = reports.places_of(F.col("x"), F.col("part"))
+    assert [(r.p, r.q) for r in d.select(places.alias("p"), reports.apart(places).alias("q")).collect()] == [([0, 4, 57], [0, 57]), ([], []), ([], [])]
+
+
+def test_a_replayed_change_is_archived_once(spark, tmp_path, monkeypatch):
+    schema = "document_id string, title string, category string, markdown_content string"
+    folder, source, ck = str(tmp_path / "store"), str(tmp_path / "in"), str(tmp_path / "ck")
+
+    def run(*rows):
+        spark.createDataFrame([(i, "t", "c", x) for i, x in rows], schema).write.mode("append").parquet(source)
+        return jobs.ingest(spark.readStream.schema(schema).parquet(source), folder, ck, 1.0)
+
+    assert run(("a", "bir"), ("b", "iki")).awaitTermination(180)
+    commit = snapshots.commit_parts
+
+    def breaks(df, path, *rest):
+        if path.endswith("/documents"):
+            raise OSError("lost")
+        return commit(df, path, *rest)
+
+    monkeypatch.setattr(snapshots, "commit_parts", breaks)
+    with pytest.raises(Exception, match="lost"):
+        run(("a", "üç")).awaitTermination(180)
+    monkeypatch.setattr(snapshots, "commit_parts", commit)
+    assert run(("b", "iki")).awaitTermination(180)
+    assert sorted((r.document_id, r.markdown_content) for r in snapshots.current(spark, f"{folder}/documents").collect()) == [("a", "üç"), ("b", "iki")]
+    assert [(r.document_id, r.version, r.markdown_content) for r in snapshots.current(spark, f"{folder}/versions").collect()] == [("a", 1, "bir")]
+    assert run(("a", "bir")).awaitTermination(180) and run(("a", "üç")).awaitTermination(180)
+    assert sorted((r.version, r.markdown_content) for r in snapshots.current(spark, f"{folder}/versions").collect()) == [(1, "bir"), (2, "üç"), (3, "bir")]
+    held = snapshots.parts(spark, f"{folder}/documents")
+    assert len(held) == 2 and len(set(held.values())) == 2  # b's part is that of an older snapshot
