@@ -104,9 +104,16 @@ def end_to_end_metrics(spark, sf_dir):
     )
 
 
-@query("SELECT * FROM (VALUES ('a', true, []::VARCHAR[]), ('b', false, ['nli_macro_f1', 'grounding']), ('c', false, ['tool_selection'])) t(model, passed, failures)")
+_SCORES = "m AS (SELECT CAST(user_id AS VARCHAR) AS model, avg(value) / 100 AS t, min(value) / 10 AS n, max(value) / 120 AS m, avg(value) / 80 AS g FROM events GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('a', 0.5::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE, 0.9::DOUBLE), ('b', 0.9, 0.39, 0.6, 0.5), ('c', 0.1, 0.9, NULL, 0.6)) t(model, t, n, m, g))"
+
+
+@query(
+    f"WITH {_SCORES} SELECT model, coalesce(t >= 0.5 AND n >= 0.4 AND m >= 0.6, false) AS passed, list_filter([CASE WHEN t < 0.5 THEN 'tool_selection' END, CASE WHEN n < 0.4 THEN 'nli_macro_f1' END, CASE WHEN m < 0.6 THEN 'terminology' END, CASE WHEN g < 0.6 THEN 'grounding' END], lambda x: x IS NOT NULL) AS failures FROM m"
+)
 def threshold_gate(spark, sf_dir):
     d = spark.createDataFrame([("a", 0.5, 0.4, 0.6, 0.9), ("b", 0.9, 0.39, 0.6, 0.5), ("c", 0.1, 0.9, None, 0.6)], "model string, t double, n double, m double, g double")
+    v = F.col("value")
+    d = d.union(read(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("model")).agg((F.avg(v) / 100).alias("t"), (F.min(v) / 10).alias("n"), (F.max(v) / 120).alias("m"), (F.avg(v) / 80).alias("g")))
     scores = {"tool_selection": F.col("t"), "nli_macro_f1": F.col("n"), "terminology": F.col("m")}
     return d.select("model", evaluation.gate(scores).alias("passed"), evaluation.failed_gates(scores, F.col("g")).alias("failures"))
 
@@ -114,9 +121,16 @@ def threshold_gate(spark, sf_dir):
 _FACTS = [("Oran %12,5 ve 1.234.567,89 TL, tarih 31.12.2024", "1.234.567,89 ve 31.12.2024"), ("rakam yok", "cevap"), ("rakam yok", "  "), ("12 ve 12", "12"), ("45 gün", "")]
 
 
-@query("SELECT id, facts, score::DOUBLE AS score FROM (VALUES (0, ['12,5', '1.234.567,89', '31.12.2024'], 0.666667), (1, []::VARCHAR[], 1.0), (2, []::VARCHAR[], 0.0), (3, ['12', '12'], 1.0), (4, ['45'], 0.0)) t(id, facts, score)")
+@query(
+    "WITH r AS (SELECT doc_id AS id, text AS source, substring(text, 1, 2000) AS answer FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{s}', '{a}')" for i, (s, a) in enumerate(_FACTS)) + ") t(id, source, answer)), "
+    "n AS (SELECT *, regexp_extract_all(source, '(\\d+[.,\\d]*\\d+)', 1) AS numbers, regexp_extract_all(source, '(\\d{2}\\.\\d{2}\\.\\d{4})', 1) AS dates, list_transform(regexp_extract_all(source, '(%\\s*[\\d.,]+|[\\d.,]+\\s*%)', 1), lambda p: regexp_extract(p, '[\\d.,]+', 0)) AS shares FROM r), "
+    "u AS (SELECT *, list_filter(list_concat(dates, shares), lambda f: f <> '' AND NOT list_contains(numbers, f)) AS more FROM n), "
+    "f AS (SELECT id, answer, list_concat(numbers, list_filter(more, lambda x, i: list_position(more, x) = i)) AS facts FROM u) "
+    "SELECT id, facts, CASE WHEN answer = '' THEN 0.0 WHEN len(facts) = 0 THEN CASE WHEN trim(answer) = '' THEN 0.0 ELSE 1.0 END ELSE round(len(list_filter(facts, lambda x: contains(answer, x))) / len(facts), 6) END::DOUBLE AS score FROM f"
+)
 def grounding_score(spark, sf_dir):
-    d = spark.createDataFrame([(i, *x) for i, x in enumerate(_FACTS)], "id int, source string, answer string")
+    d = spark.createDataFrame([(-1 - i, *x) for i, x in enumerate(_FACTS)], "id long, source string, answer string")
+    d = d.union(read(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 2000)))
     return d.select("id", markup.facts(F.col("source")).alias("facts"), F.round(markup.grounding(F.col("source"), F.col("answer")), 6).alias("score"))
 
 

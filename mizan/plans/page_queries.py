@@ -100,10 +100,10 @@ def monthly_json(spark, sf_dir):
     return pages.monthly_rows(spark.createDataFrame([(body,)], "payload string")).select("name", "tp", "yp", "total")
 
 
-@query("SELECT * FROM (VALUES (0, '/frame.htm', NULL), (1, NULL, repeat('x', 120)), (2, NULL, NULL)) t(id, src, content)")
+@query("SELECT * FROM (VALUES (-1, '/frame.htm', NULL), (-2, NULL, repeat('x', 120)), (-3, NULL, NULL)) t(id, src, content) UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE NOT contains(html, '<iframe') AND NOT contains(html, 'icerik')")
 def iframe_layer(spark, sf_dir):
     rows = [(0, '<iframe src="/frame.htm"></iframe>'), (1, f'<div id="icerik">{"x" * 120}</div>'), (2, '<div id="icerik">kısa</div>')]
-    return spark.createDataFrame(rows, "id int, html string").select("id", pages.iframe_or_content(F.col("html")).alias("f")).select("id", "f.*")
+    return _with_pages(spark, sf_dir, [html for _, html in rows]).select(F.col("page_id").alias("id"), pages.iframe_or_content(F.col("html")).alias("f")).select("id", "f.*")
 
 
 @query("WITH r(requested) AS (VALUES ('1'), ('2'), ('x_3'), ('4')) SELECT * FROM (VALUES ('1', '1', 1, 's1'), ('2', 'b_2', 0, 'c2'), ('x_3', 'x_3', 0, 'c3')) t(requested, document_id, source, content)")

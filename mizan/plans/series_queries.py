@@ -60,9 +60,12 @@ def last_ten(spark, sf_dir):
 _WIRE = [(1, '{"Baslik":"Krediler","XEkseni":["01.03.2024","08.03.2024","15.03.2024"],"YEkseni":["10.5","x","12"]}'), (2, '{"Baslik":"Mevduat","XEkseni":["01.03.2024"],"YEkseni":["7"]}')]
 
 
-@query("SELECT * FROM (VALUES (1, 'Krediler', 0, '01.03.2024', 10.5::DOUBLE), (1, 'Krediler', 1, '08.03.2024', 0.0), (1, 'Krediler', 2, '15.03.2024', 12.0), (2, 'Mevduat', 0, '01.03.2024', 7.0)) t(metric_id, title, pos, date, value)")
+@query(f"WITH {WEEKLY} SELECT * FROM (VALUES ('1', 'Krediler', 0, '01.03.2024', 10.5::DOUBLE), ('1', 'Krediler', 1, '08.03.2024', 0.0), ('1', 'Krediler', 2, '15.03.2024', 12.0), ('2', 'Mevduat', 0, '01.03.2024', 7.0)) t(metric_id, title, pos, date, value) UNION ALL SELECT metric_id, 'Seri ' || metric_id, CAST(pos AS INT), date, value FROM series")
 def series_wire_format(spark, sf_dir):
-    return series.from_wire(spark.createDataFrame(_WIRE, "metric_id int, payload string"))
+    points = F.array_sort(F.collect_list(F.struct("pos", "date", F.col("value").cast("string").alias("value"))))
+    own = weekly(spark, sf_dir).groupBy("metric_id").agg(points.alias("p"))
+    wire = F.to_json(F.struct(F.concat(F.lit("Seri "), "metric_id").alias("Baslik"), F.col("p.date").alias("XEkseni"), F.col("p.value").alias("YEkseni")))
+    return series.from_wire(own.select("metric_id", wire.alias("payload")).union(spark.createDataFrame([(str(i), w) for i, w in _WIRE], "metric_id string, payload string")))
 
 
 

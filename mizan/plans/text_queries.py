@@ -109,7 +109,7 @@ def corruption_counts(spark, sf_dir):
     return corruption_signatures(spark, sf_dir).groupBy("signature").agg(F.count("*").alias("n"))
 
 
-_ANOMALIES = {
+ANOMALIES = {
     "replacement_char": "contains(markdown_content, chr(65533))",
     "leaked_img_tag": "regexp_matches(markdown_content, '(?i)<img[\\s>]')",
     "leaked_html_block": "regexp_matches(markdown_content, '(?i)<(div|table|tr|td)[\\s>]')",
@@ -122,7 +122,7 @@ _ANOMALIES = {
 
 
 @query(
-    f"WITH {_CORRUPT} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS docs_flagged, list(document_id ORDER BY document_id)[:5] AS sample_doc_ids FROM x WHERE {p} HAVING count(*) > 0" for n, p in _ANOMALIES.items())
+    f"WITH {_CORRUPT} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS docs_flagged, list(document_id ORDER BY document_id)[:5] AS sample_doc_ids FROM x WHERE {p} HAVING count(*) > 0" for n, p in ANOMALIES.items())
 )
 def anomaly_scan(spark, sf_dir):
     """One pass: each document's anomalies, then counts and the first ids of each."""
@@ -167,11 +167,11 @@ def text_metrics(spark, sf_dir):
     return _latex(spark, sf_dir).select("id", markup.text_metrics(F.col("x")).alias("m")).select("id", "m.*")
 
 
-def _drops(x: str) -> str:
+def drops_sql(x: str) -> str:
     return f"len(regexp_extract_all(coalesce({x}, ''), '(?i)<form>\\s*</form>'))"
 
 
-def _markers(x: str) -> str:
+def markers_sql(x: str) -> str:
     return f"len(regexp_extract_all(coalesce({x}, ''), '{'|'.join(markup.LATEX_MARKERS)}'))"
 
 
@@ -181,7 +181,7 @@ def _references(x: str) -> str:
 
 @query(
     "WITH r AS (SELECT doc_id + 100 AS id, text AS before, replace(text, '_{', '{') AS after, CAST(doc_id % 3 AS INT) AS images FROM documents UNION ALL SELECT * FROM (VALUES (1, 'x', '<form></form>', 0), (2, 'x', '\\frac', 3), (3, '\\sum \\sum', '\\sum', 1), (4, NULL, '![a](b)', 1)) t(id, before, after, images)) "
-    f"SELECT id, {_drops('after')} > {_drops('before')} OR {_markers('after')} < {_markers('before')} AS regression, images > {_references('after')} + {_markers('after')} AS silent_drop FROM r"
+    f"SELECT id, {drops_sql('after')} > {drops_sql('before')} OR {markers_sql('after')} < {markers_sql('before')} AS regression, images > {_references('after')} + {markers_sql('after')} AS silent_drop FROM r"
 )
 def regression_compare(spark, sf_dir):
     rows = [(1, "x", "<form></form>", 0), (2, "x", r"\frac", 3), (3, r"\sum \sum", r"\sum", 1), (4, None, "![a](b)", 1)]
@@ -242,9 +242,13 @@ def url_ids(spark, sf_dir):
     return _addresses(spark).union(more).select("id", urls.external_id(F.col("url")).alias("document_id"))
 
 
-@query("SELECT * FROM (VALUES (0, '5411', '1', '5'), (1, '12345', '7', '5'), (2, '', '7', '5'), (3, '1', '7', '5'), (4, '', '7', '5'), (5, '9', '77', '5')) t(id, number, type, part)")
+def _all_addresses(spark, sf_dir):
+    return _addresses(spark).union(read(spark, sf_dir, "pages").select((F.col("page_id") + 100).cast("int").alias("id"), "url"))
+
+
+@query("SELECT * FROM (VALUES (0, '5411', '1', '5'), (1, '12345', '7', '5'), (2, '', '7', '5'), (3, '1', '7', '5'), (4, '', '7', '5'), (5, '9', '77', '5')) t(id, number, type, part) UNION ALL SELECT CAST(page_id + 100 AS INT), '', '7', '5' FROM pages")
 def url_params(spark, sf_dir):
-    return _addresses(spark).select("id", urls.parameters(F.col("url")).alias("p")).select("id", "p.*")
+    return _all_addresses(spark, sf_dir).select("id", urls.parameters(F.col("url")).alias("p")).select("id", "p.*")
 
 
 _BASE = "https://www.mevzuat.gov.tr"
@@ -253,17 +257,19 @@ _BASE = "https://www.mevzuat.gov.tr"
 @query(
     f"SELECT * FROM (VALUES (0, '{_BASE}/MevzuatMetin/kanun/1.5.5411.pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=5411&mevzuatTur=Kanun&mevzuatTertip=5', '{_BASE}/MevzuatMetin/kanun/1.5.5411.doc'), "
     f"(1, '{_BASE}/MevzuatMetin/yonetmelik/7.5.12345.pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=12345&mevzuatTur=Yonetmelik&mevzuatTertip=5', '{_BASE}/MevzuatMetin/yonetmelik/7.5.12345.doc'), "
-    f"(5, NULL, NULL, '{_BASE}/MevzuatMetin/yonetmelik/77.5.9.doc')) t(id, pdf, generated, doc)"
+    f"(5, NULL, NULL, '{_BASE}/MevzuatMetin/yonetmelik/77.5.9.doc')) t(id, pdf, generated, doc) "
+    f"UNION ALL SELECT CAST(page_id + 100 AS INT), '{_BASE}/MevzuatMetin/yonetmelik/7.5..pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=&mevzuatTur=Yonetmelik&mevzuatTertip=5', '{_BASE}/MevzuatMetin/yonetmelik/7.5..doc' FROM pages"
 )
 def url_builders(spark, sf_dir):
     p = urls.parameters(F.col("url"))
     args = (p["number"], p["type"], p["part"])
-    return _addresses(spark).where("id IN (0, 1, 5)").select("id", urls.pdf_url(*args).alias("pdf"), urls.generated_pdf_url(*args).alias("generated"), urls.doc_url(*args).alias("doc"))
+    return _all_addresses(spark, sf_dir).where("id IN (0, 1, 5) OR id >= 100").select("id", urls.pdf_url(*args).alias("pdf"), urls.generated_pdf_url(*args).alias("generated"), urls.doc_url(*args).alias("doc"))
 
 
-@query(f"SELECT * FROM (VALUES ('12', 'https://host/get/12'), ('mevzuat_5411', '{_BASE}/MevzuatMetin/kanun/1.5.5411.pdf'), ('mevzuat_8', '{_BASE}/MevzuatMetin/yonetmelik/7.5.8.pdf')) t(document_id, url)")
+@query(f"SELECT * FROM (VALUES ('12', 'https://host/get/12'), ('mevzuat_5411', '{_BASE}/MevzuatMetin/kanun/1.5.5411.pdf'), ('mevzuat_8', '{_BASE}/MevzuatMetin/yonetmelik/7.5.8.pdf')) t(document_id, url) UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN 'mevzuat_' ELSE '' END || page_id, CASE WHEN page_id % 2 = 0 THEN '{_BASE}/MevzuatMetin/yonetmelik/7.5.' || page_id || '.pdf' ELSE 'https://host/get/' || page_id END FROM pages")
 def resolve_urls(spark, sf_dir):
     d = spark.createDataFrame([("12", None), ("mevzuat_5411", ADDRESSES[0]), ("mevzuat_8", None)], "document_id string, source_url string")
+    d = d.union(read(spark, sf_dir, "pages").select(F.concat(F.when(F.col("page_id") % 2 == 0, "mevzuat_").otherwise(""), F.col("page_id").cast("string")), "url"))
     return d.select("document_id", urls.resolve(F.col("document_id"), F.col("source_url"), "https://host/get/{}").alias("url"))
 
 
@@ -300,9 +306,16 @@ def fts_tokens(spark, sf_dir):
     return d.select("doc_id", text.tokens(F.concat("text", F.lit(" ÇİZGİ"))).alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES (0, 'kredi faiz'), (1, 'sermaye yeterlilik'), (2, ''), (3, 'a b c')) t(id, clean)")
+_TERMS = ['"kredi" AND faiz*', "sermaye & (yeterlilik)", "or NOT near", "a | b ! c"]
+
+
+@query(
+    "WITH q AS (SELECT conv_id * 100 + turn AS id, text AS q FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '{t}')" for i, t in enumerate(_TERMS)) + ") t(id, q)) "
+    "SELECT id, array_to_string(list_filter(string_split_regex(regexp_replace(q, '[\"*()^+\\-!&|<>:]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')), ' ') AS clean FROM q"
+)
 def fts_sanitize(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(['"kredi" AND faiz*', "sermaye & (yeterlilik)", "or NOT near", "a | b ! c"])), "id int, q string")
+    d = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("q"))
+    d = d.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_TERMS)], "id long, q string"))
     return d.select("id", text.clean_query(F.col("q")).alias("clean"))
 
 
