@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +103,34 @@ def metrics_summary(calls: DataFrame, cache: DataFrame) -> DataFrame:
     return totals.crossJoin(lookups).withColumn("cache_hit_rate", F.round(F.coalesce(rate, F.lit(0.0)), 1))
 
 
+def chat_slot(chat: Callable[[str], str | None]) -> Callable:
+    """A chat model as an Arrow UDF: prompt in, answer or null out; errors give null."""
+
+    @F.pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        def one(prompt):
+            try:
+                return chat(prompt) if prompt is not None else None
+            except (OSError, ValueError, RuntimeError):
+                return None
+
+        return prompts.map(one)
+
+    return run
+
+
+def variant_scores(cases: DataFrame, variants: DataFrame, chat, parse=None) -> DataFrame:
+    """By prompt variant: cases, answers that came, and the share of right ones.
+
+    cases: text, expected; variants: variant, template, of which {} is the text; chat: a column function of the prompt.
+    """
+    parse = parse or parse_label
+    prompt = F.replace(F.col("template"), F.lit("{}"), F.col("text"))
+    asked = cases.crossJoin(F.broadcast(variants)).withColumn("answer", chat(prompt))  # variants are a handful of prompts
+    right = F.coalesce(parse(F.col("answer")) == F.col("expected"), F.lit(False))
+    return asked.groupBy("variant").agg(F.count("*").alias("cases"), F.count("answer").alias("answers"), F.round(F.avg(right.cast("double")), 4).alias("accuracy"))
+
+
 def parse_label(answer: Column, labels: tuple[str, ...] = ("entailment", "contradiction", "neutral")) -> Column:
     """First label that the answer holds, else unknown."""
     low, out = F.lower(F.trim(answer)), None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from mizan.functions import markup, text
 from mizan.operators import search, store
+from mizan.sources import snapshots
 
 
 def load_catalog(rows: DataFrame, categories: tuple[str, ...], substrings: tuple[str, ...]) -> DataFrame:
@@ -27,6 +29,40 @@ def with_stale_fallback(fresh: DataFrame, stale: DataFrame) -> DataFrame:
     return fresh.unionByName(old.select(*fresh.columns))
 
 
+def scanned(found: list[DataFrame], errors: DataFrame, stale: DataFrame, categories: tuple[str, ...], substrings: tuple[str, ...]) -> DataFrame:
+    """The catalog after a scan: rows of all pages (bag union) in scope, or the stale ones if none came and a page failed.
+
+    found: rows by kind of page, of which missing columns are null; errors: a row for each page that failed.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    fresh = rows.where(search.in_scope(F.col("title"), F.col("category"), categories, substrings))
+    failed = errors.agg((F.count("*") > 0).alias("failed"))  # one row
+    old = stale.join(F.broadcast(failed), F.col("failed"), "left_semi")
+    return with_stale_fallback(fresh, old.select(*[F.col(c) if c in old.columns else F.lit(None).alias(c) for c in fresh.columns]))
+
+
+def covers(docs: DataFrame, catalog: DataFrame, least: float = 0.9) -> DataFrame:
+    """One row: documents, catalog rows and whether the store has the least share of them, so that nothing is to be downloaded."""
+    both = docs.agg(F.count("*").alias("documents")).crossJoin(F.broadcast(catalog.agg(F.count("*").alias("catalog_rows"))))
+    return both.withColumn("complete", F.col("documents") >= F.col("catalog_rows") * least)
+
+
+def patch_store(spark, folder: str, patches: DataFrame, dry_run: bool = False) -> DataFrame:
+    """Patches documents and their chunks, both kept in parts under the folder; returns the rejected patches.
+
+    Chunks are committed first and follow from the documents, so a run that
+    broke off in between is made whole by running it again. A dry run writes nothing.
+    """
+    known = patches.persist()
+    touched = sorted(r[0] for r in known.select(snapshots.part_of("document_id")).distinct().collect())
+    docs, chunks = (snapshots.current(spark, f"{folder}/{t}", only=touched) for t in ("documents", "chunks"))
+    new_docs, new_chunks, rejected = patched(docs, chunks, known)
+    if not dry_run:
+        snapshots.commit_parts(new_chunks, f"{folder}/chunks", "document_id", touched)
+        snapshots.commit_parts(new_docs, f"{folder}/documents", "document_id", touched)
+    return rejected
+
+
 def catalog_lookup(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog row of each id that has one."""
     return ids.join(catalog, "document_id")

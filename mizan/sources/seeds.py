@@ -39,6 +39,13 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_array(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array, in the file that read_array reads; for data sets that a person keeps, a few MB."""
+    line = F.to_json(F.struct(*rows.columns))
+    text = rows.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(line)), ",\n"), F.lit("]")).alias("value"))
+    text.coalesce(1).write.mode("overwrite").text(path)
+
+
 def legacy_cache(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an old cache file: an object with items and the time of their scan."""
     item = T.StructType([f for f in CATALOG if f.name != "cached_at"])

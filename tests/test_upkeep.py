@@ -2,9 +2,12 @@
 
 import json
 
-from mizan.operators import extraction, series
+from pyspark.sql import functions as F
+
+from mizan.functions import text
+from mizan.operators import evaluation, extraction, series, store
 from mizan.plans import maintenance
-from mizan.sources import seeds
+from mizan.sources import seeds, snapshots
 
 
 def test_stale_catalog_only_without_fresh_rows(spark):
@@ -69,3 +72,50 @@ def test_patches_are_checked(spark):
 
 def test_periods():
     assert series.PERIODS == {"day": 1, "week": 7, "month": 30, "quarter": 90}
+
+
+def test_a_scan_falls_back_only_after_failures(spark):
+    row = "document_id string, title string, category string"
+    flat = spark.createDataFrame([("1", "Bir", "c"), ("2", "Eski bir", "c")], row)
+    dated = spark.createDataFrame([("3", "Üç", "d", "1.1.2024")], row + ", decision_date string")
+    stale, failed = spark.createDataFrame([("9", "Dokuz", "c")], row), spark.createDataFrame([(49, "HTTPError")], "page_id int, error string")
+    run = lambda found, errors: sorted(r.document_id for r in maintenance.scanned(found, errors, stale, ("x",), ("eski",)).collect())
+    assert run([flat, dated], failed) == ["1", "3"]
+    assert run([flat.limit(0), dated.limit(0)], failed) == ["9"] and run([flat.limit(0), dated.limit(0)], failed.limit(0)) == []
+
+
+def test_coverage_from_nine_tenths(spark):
+    got = [maintenance.covers(spark.range(n), spark.range(10)).first().complete for n in (8, 9, 10)]
+    assert got == [False, True, True]
+
+
+def test_patches_of_a_store_in_parts(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = spark.createDataFrame([(str(i), "c", f"metin {i}") for i in range(6)], "document_id string, category string, markdown_content string").withColumn("content_hash", text.content_hash(F.col("markdown_content")))
+    parts = list(range(snapshots.PARTS))
+    snapshots.commit_parts(docs, f"{folder}/documents", "document_id", parts)
+    snapshots.commit_parts(store.chunk_table(docs), f"{folder}/chunks", "document_id", parts)
+    patches = spark.createDataFrame([("1", "yeni"), ("2", "$$ açık"), ("77", "kim")], "document_id string, content string")
+    for dry in (True, False):
+        assert sorted(r.document_id for r in maintenance.patch_store(spark, folder, patches, dry).collect()) == ["2", "77"]
+        held = {r.document_id: r.markdown_content for r in snapshots.current(spark, f"{folder}/documents").collect()}
+        assert held == {str(i): f"metin {i}" for i in range(6)} | ({} if dry else {"1": "yeni"})
+    assert {r.document_id: r.chunk_text for r in snapshots.current(spark, f"{folder}/chunks").collect()} == held
+
+
+def test_arrays_are_written_as_they_are_read(spark, tmp_path):
+    rows = [(2, "p", "h", "neutral", "s"), (1, "ç", "h", "entailment", "s")]
+    seeds.write_array(spark.createDataFrame(rows, seeds.NLI), str(tmp_path / "a"))
+    assert sorted(tuple(r) for r in seeds.read_array(spark, str(tmp_path / "a"), seeds.NLI).collect()) == sorted(rows)
+
+
+def test_prompt_variants(spark):
+    def chat(prompt):
+        if "boz" in prompt:
+            raise ValueError("yok")
+        return "neutral" if prompt.startswith("A") else "contradiction"
+
+    cases = spark.createDataFrame([("x", "neutral"), ("boz", "neutral"), ("y", "contradiction")], "text string, expected string")
+    variants = spark.createDataFrame([("a", "A: {}"), ("b", "B: {}")], "variant string, template string")
+    got = {r.variant: (r.cases, r.answers, r.accuracy) for r in evaluation.variant_scores(cases, variants, evaluation.chat_slot(chat)).collect()}
+    assert got == {"a": (3, 2, 0.3333), "b": (3, 2, 0.3333)}
