@@ -25,14 +25,15 @@ ORACLE_SQL = None
 
 
 def held(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row (struct `held`, fields by position): no other name can clash."""
-    fields = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    """doc_id, text and the row but for its text (struct `held`, fields by position): no other name can clash."""
+    fields = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.struct(*fields).alias("held"))
 
 
 def restored(rows: DataFrame, columns: list[str], source: str = "held", **changed) -> DataFrame:
-    """The columns that held() put away, but for those that are given anew."""
-    return rows.select(*[changed.get(c, F.col(f"{source}.c{i}")).alias(c) for i, c in enumerate(columns)])
+    """The columns that held() put away, but for those that are given anew, and the text."""
+    text = {"text": F.col("text")}
+    return rows.select(*[(changed | text).get(c, F.col(f"{source}.c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with equal doc_id and text are one document given twice.
     """
     found = line_dedup.dedup_lines(held(docs)).where("n_removed < n_lines OR n_lines = 0")
-    return restored(found, docs.columns, "row.held", text=F.col("text"), n_chars=F.length("text").cast("long"))
+    return restored(found, docs.columns, "row.held", n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
