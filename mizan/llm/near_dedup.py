@@ -254,19 +254,17 @@ def linking(pairs: DataFrame, active: DataFrame, percent: int) -> DataFrame:
     return common.written(common.mapped(held, run, "a long, b long"), "links")
 
 
-def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(rep, label) after more links, each given by the labels before; the smallest rep is the label."""
-    if labels is None:
-        found = common.components(links, "components")
-        return common.written(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-    # the graph of labels has a node for each component so far
-    named = labels.select(F.col("rep"), F.col("label"))
-    edge = links.join(named.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a", "left").join(named.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b", "left")
-    edge = edge.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    more = common.written(common.components(edge, "components").select(F.col("node").alias("label"), "component"), "joined")
-    old = named.join(more, "label", "left").select("rep", F.coalesce("component", "label").alias("label"))
-    new = more.join(named.select(F.col("rep").alias("label")), "label", "left_anti").select(F.col("label").alias("rep"), F.col("component").alias("label"))
-    return common.written(old.union(new), "labels")
+def star_labels(stars: DataFrame) -> DataFrame:
+    """(rep, label) of linked stars (a, b), one b for each a: the hub, or the hub's own hub. Equal labels are connected."""
+    up = stars.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    found = stars.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("label"))
+    return common.written(found.select(F.col("a").alias("rep"), "label"), "labels")
+
+
+def component_labels(links: DataFrame) -> DataFrame:
+    """(rep, label): the smallest rep that links connect."""
+    found = common.components(links, "components")
+    return common.written(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
 
 
 def open_lists(posts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -379,13 +377,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, coordinates:
 
     near = colliding(posts.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), active, enough, percent)
     best = near.groupBy("a").agg(F.max(F.struct("both", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    labels = joined(None, linking(common.written(best, "stars"), active, percent))
-    lists = open_lists(posts, labels)
-    links = linking(common.written(colliding(minor_pairs(lists, minor), active, enough, percent), "candidates").select("a", "b"), active, percent)
-    labels = joined(labels, links)
-    lists = open_lists(lists.where(F.col("minor") > minor), labels)
+    links = linking(common.written(best, "stars"), active, percent)
+    lists = open_lists(posts, star_labels(links))
+    links = links.union(linking(common.written(colliding(minor_pairs(lists, minor), active, enough, percent), "candidates").select("a", "b"), active, percent))
+    lists = lists.where(F.col("minor") > minor)
     if not lists.isEmpty():
-        labels = joined(labels, block_links(lists, active, coordinates, matches, percent, block_bytes))
+        lists = open_lists(lists, component_labels(links))
+        if not lists.isEmpty():
+            links = links.union(block_links(lists, active, coordinates, matches, percent, block_bytes))
+    labels = component_labels(links)
 
     named = classes.select(*key, "rep").join(labels, "rep", "left").select(*key, F.coalesce("label", "rep").alias("component"))
     named = common.written(named, "named")
