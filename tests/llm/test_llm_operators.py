@@ -424,6 +424,17 @@ def test_leaks_of_short_items(spark):
     assert run(items[:6]) == short and run(items) == short | {(9, 7, 1.0, 0, 10)}
 
 
+def test_leaks_of_a_very_long_item(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(1500)]
+    edited = [word() if rng.random() < 0.2 else w for w in item]
+    rows = [(1, " ".join([word(), *edited, word()])), (2, " ".join(item[:300])), (3, " ".join(item[400:1200])), (4, " ".join(word() for _ in range(1500)))]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item)), (9, " ".join(item))], "item_id long, text string"), block_bytes=1000).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 9), (1, 9), (3, 9), (3, 9)]
+    assert {(r.first_word, r.last_word) for r in got if r.doc_id == 3} == {(0, 800)}
+
+
 def test_best_scores_equal_single_alignments():
     rng = np.random.default_rng(3)
     passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
