@@ -25,7 +25,7 @@ HIGH, MEDIUM = 0.70, 0.50
 COVER_WEIGHT = 0.1
 #: Characters of a snippet, candidates that a model ranks anew.
 SNIPPET_CHARS, RERANK_FIRST = 800, 20
-#: Distinct terms of all queries together that are looked up inside the token arrays; more join the tokens.
+#: Distinct terms of all queries together that are looked up and ranked inside the token arrays; more join the tokens.
 INSIDE_TERMS = 256
 #: Query vectors that go to the tasks together, and values of rows with queries that are computed at once.
 QUERY_BLOCK, CELLS = 2000, 1 << 19
@@ -113,20 +113,51 @@ def cover_density(hits: DataFrame, terms: DataFrame) -> DataFrame:
     return minimal.groupBy("query_id", "key").agg(F.sum(F.lit(COVER_WEIGHT) / (1 + noise)).alias("rank"))
 
 
-def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """query_id, key, pos, term wherever a query's term stands.
+def cover_rank(hits: Column, terms: Column) -> Column:
+    """Rank by cover density of one document: hits (pos, term), in order, and the query's distinct terms."""
+    own = F.filter(F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), F.array_position(terms, h["term"]).alias("t"))), lambda h: h["t"] > 0)
+    none = F.transform(terms, lambda t: F.lit(None).cast("struct<pos: int, k: int>"))
+    start = F.struct(none.alias("last"), F.lit(0).alias("k"), F.lit(-1).alias("before"), F.lit(0.0).alias("rank"))
+
+    def seen(state: Column, hit: Column) -> Column:
+        """The last hit of each term, and how many hits there are."""
+        here = F.struct(hit["pos"].alias("pos"), (state["k"] + 1).alias("k"))
+        last = F.transform(state["last"], lambda x, i: F.when(i + 1 == hit["t"], here).otherwise(x))
+        return F.struct(last.alias("last"), (state["k"] + 1).alias("k"), state["before"].alias("before"), state["rank"].alias("rank"), hit["pos"].alias("pos"))
+
+    def judged(state: Column) -> Column:
+        """Adds the cover that ends here, if every term has been there and it begins after the one before."""
+        begin = F.array_min(state["last"])
+        new = F.forall(state["last"], lambda x: x.isNotNull()) & (begin["pos"] > state["before"])
+        noise = (state["pos"] - begin["pos"]) - (state["k"] - begin["k"])
+        return F.struct(
+            state["last"].alias("last"), state["k"].alias("k"), F.when(new, begin["pos"]).otherwise(state["before"]).alias("before"),
+            (state["rank"] + F.when(new, F.lit(COVER_WEIGHT) / (1 + noise)).otherwise(0.0)).alias("rank"),
+        )
+
+    # a one-element array gives the state a name, so that it is made once
+    step = lambda state, hit: F.element_at(F.transform(F.array(seen(state, hit)), judged), 1)
+    return F.aggregate(own, start, step, lambda state: state["rank"])
+
+
+def ranked_inside(docs: DataFrame, terms: DataFrame, asked: list[str], key: str) -> DataFrame:
+    """query_id, key, rank of the documents that hold all terms of a query; asked: the terms of all queries.
 
-    Few terms are looked up inside the arrays, so that no other token becomes a row.
+    Hits are found and ranked inside each document's row, so nothing is shuffled.
     """
-    asked = [r["term"] for r in terms.select("term").distinct().limit(INSIDE_TERMS + 1).collect()]
-    place = lambda t, i: F.struct(i.alias("pos"), t.alias("term"))
-    found = F.transform("tokens", place)
-    if len(asked) <= INSIDE_TERMS:
-        wanted = F.array(*[F.lit(t) for t in sorted(asked)]) if asked else F.array().cast("array<string>")
-        found = F.filter(found, lambda x: F.array_contains(wanted, x["term"]))
-    # the inner form would split every text twice, first to test for an empty array
-    at = docs.select(F.col(key).alias("key"), F.explode_outer(found).alias("at")).select("key", "at.pos", "at.term")
-    return at.where("term IS NOT NULL").join(terms, "term").select("query_id", "key", "pos", "term")
+    wanted = F.array(*[F.lit(t) for t in sorted(asked)]) if asked else F.array().cast("array<string>")
+    found = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: F.array_contains(wanted, x["term"]))
+    queries = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    # at most INSIDE_TERMS terms; explode_outer, as the inner form would split every text twice, first to test for an empty array
+    held = docs.select(F.col(key).alias("key"), F.explode_outer(F.array(found)).alias("hits")).where(F.size("hits") > 0)
+    both = held.crossJoin(F.broadcast(queries))
+    return both.select("query_id", "key", cover_rank(F.col("hits"), F.col("terms")).alias("rank")).where("rank > 0")
+
+
+def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """query_id, key, pos, term wherever a query's term stands."""
+    at = docs.select(F.col(key).alias("key"), F.posexplode_outer("tokens").alias("pos", "term"))
+    return at.join(terms, "term").select("query_id", "key", "pos", "term")
 
 
 def fts_matches(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
@@ -143,8 +174,9 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
     term = text.clean_query(F.col("query")) if clean else F.col("query")
     terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(term))).alias("term"))
     some = docs if category is None else docs.where(F.col("category") == category)
+    asked = [r["term"] for r in terms.select("term").distinct().limit(INSIDE_TERMS + 1).collect()]
     # a document that lacks a term has no cover, and so no rank
-    ranked = cover_density(hits_of(some, terms, key), terms)
+    ranked = ranked_inside(some, terms, asked, key) if len(asked) <= INSIDE_TERMS else cover_density(hits_of(some, terms, key), terms)
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "key")
     best = ranked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
     if threshold is not None:

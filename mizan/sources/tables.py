@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of long texts: work on a row is dear, moving it is cheap.
+TEXTS = ("documents", "pages")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt to all cores if its files have fewer splits than there are; larger tables are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

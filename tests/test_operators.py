@@ -28,7 +28,9 @@ def cover_density(tokens, terms):
     return total
 
 
-def test_cover_density_is_that_of_two_pointers(spark):
+@pytest.mark.parametrize("inside", [search.INSIDE_TERMS, 0])
+def test_cover_density_is_that_of_two_pointers(spark, monkeypatch, inside):
+    monkeypatch.setattr(search, "INSIDE_TERMS", inside)
     rng = random.Random(5)
     docs = [(i, [rng.choice("abcde") for _ in range(rng.randrange(1, 30))]) for i in range(120)]
     asked = [(0, "a"), (1, "a b"), (2, "a b c")]
