@@ -121,12 +121,19 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
+def are_stars(links: DataFrame) -> bool:
+    """Whether every a has one link, and no b is an a."""
+    each = links.groupBy("a").agg(F.count("*").alias("n"))
+    heads = links.select(F.col("b").alias("a")).distinct().withColumn("head", F.lit(True))
+    return each.join(heads, "a", "left").where("n > 1 OR head").isEmpty()
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b).
 
     Component is the smallest node reachable. Alternates large-star and
-    small-star steps, each a grouped minimum and a join on the node, until an
-    iteration changes nothing; the number of steps grows with the logarithm of
+    small-star steps, each a grouped minimum and a join on the node, until every
+    node has one link, to a node without any; the number of steps grows with the logarithm of
     the largest component. Each step is a table in the shared folder, so a lost
     executor costs at most one step, and no task gathers a component.
     """
@@ -146,11 +153,7 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         return small.where(a != b).distinct()
 
     links = written(links, what)
-    while True:
-        new = settled(lambda links=links: step(links), spark, what)
-        # every pair of the old set found again, and no other: a fixed point
-        if new.count() == links.count() and new.join(links, ["a", "b"], "left_anti").isEmpty():
-            break
-        links = new
+    while not are_stars(links):
+        links = settled(lambda links=links: step(links), spark, what)
     roots = links.select(b.alias("a"), b.alias("b")).distinct()
     return links.union(roots).select(a.alias("node"), b.alias("component"))

@@ -261,12 +261,6 @@ def star_labels(stars: DataFrame) -> DataFrame:
     return common.written(found.select(F.col("a").alias("rep"), "label"), "labels")
 
 
-def component_labels(links: DataFrame) -> DataFrame:
-    """(rep, label): the smallest rep that links connect."""
-    found = common.components(links, "components")
-    return common.written(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-
-
 def open_lists(posts: DataFrame, labels: DataFrame) -> DataFrame:
     """(post, rep, label, most, minor): members of lists that aren't all connected.
 
@@ -382,10 +376,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, coordinates:
     links = links.union(linking(common.written(colliding(minor_pairs(lists, minor), active, enough, percent), "candidates").select("a", "b"), active, percent))
     lists = lists.where(F.col("minor") > minor)
     if not lists.isEmpty():
-        lists = open_lists(lists, component_labels(links))
-        if not lists.isEmpty():
-            links = links.union(block_links(lists, active, coordinates, matches, percent, block_bytes))
-    labels = component_labels(links)
+        links = links.union(block_links(lists, active, coordinates, matches, percent, block_bytes))
+    labels = common.components(links, "components").select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
     named = classes.select(*key, "rep").join(labels, "rep", "left").select(*key, F.coalesce("label", "rep").alias("component"))
     named = common.written(named, "named")
