@@ -11,11 +11,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mizan.sources import tables
+
 _own_folder: str | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver's table; texts of fewer splits than cores are dealt anew."""
+    return tables.read(spark, sf_dir, name)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -267,5 +267,4 @@ def with_language(docs: DataFrame, extra: list[str] | None = None, fit: Fit | No
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_language(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return with_language(common.read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
