@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mizan.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, surrogates, token_output, warc
+from mizan.llm import decontamination, filter_audit, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, surrogates, token_output, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
         "op8_language_id": language_id.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substring_dedup.ORACLE,
         "op7_minhash_near_dedup": near_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
     }
