@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mizan.llm import decontamination, erasure, filter_audit, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, surrogates, token_output, warc
+from mizan.llm import byte_network, decontamination, erasure, filter_audit, fingerprints, language_id, line_dedup, near_dedup, packing, substring_dedup, surrogates, token_output, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_quality_classifier": byte_network.op12_quality_classifier,
         "op13_cascading_erasure": erasure.op13_cascading_erasure,
     }
 
