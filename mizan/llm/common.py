@@ -57,6 +57,12 @@ def remove(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def size(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes, at its end, all folders made within but those taken out of the list that it yields.

@@ -14,8 +14,8 @@ task each, which leaves out the rows at the found positions and writes the
 others anew. The files replaced are deleted when all new ones are there.
 
 A file is written by one task, streaming, and its order and bounds are exact;
-so a task's share is a file's (`files` sets their number), while sorting and
-joins are dealt by Spark. Writers name files by attempt; what an attempt that
+so a task's share is a file's (`files` sets their number) or that of several
+small ones, while sorting and joins are dealt by Spark. Writers name files by attempt; what an attempt that
 was lost has left is swept away at the end.
 
 Defined results: null keys link nothing and are never erased by a link; rows
@@ -44,6 +44,8 @@ from mizan.llm import common, kernels
 
 #: Keys of a block of a file's filter, about, and bits for each key.
 BLOCK_KEYS, KEY_BITS, PROBES = 1024, 32, 16
+#: A task writes one file, or as many as hold about so many bytes.
+TASK_BYTES = 32 << 20
 #: Rows and bytes of a row group at most (one row more, if it is longer).
 GROUP_ROWS, GROUP_BYTES = 1 << 17, 32 << 20
 
@@ -158,6 +160,7 @@ class Table:
     link: str
     schema: object  # that of the DataFrame it was written from
     blocks: int
+    tasks: int  # that write or rewrite its files
     files: dict[int, tuple[str, int]]  # path and rows by file_no: as many as were asked for, at most
     filters: DataFrame | None  # file_no, block, bits
 
@@ -190,18 +193,19 @@ def lay_out(spark: SparkSession, folder: str, name: str, rows: DataFrame, column
     counts = sorted(ordered.groupBy(task.alias("task")).count().collect())  # one row a task
     n = sum(r[1] for r in counts)
     if not n:
-        return Table(name, link, schema, 1, {}, None)
+        return Table(name, link, schema, 1, 1, {}, None)
     size, before, starts = 1 + n // files, 0, []
     for t, many in counts:
         starts.append((t, before))
         before += many
-    blocks = -(-size // BLOCK_KEYS)
+    blocks, count = -(-size // BLOCK_KEYS), -(-n // size)
+    tasks = min(count, max(n_tasks, -(-common.size(spark, made) // TASK_BYTES)))
     starts = F.broadcast(spark.createDataFrame(starts, "task long, start long"))  # one row a task
     rank = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     key = F.col(fields[columns.index(link)])
     ranked = ordered.withColumn("task", task).join(starts, "task").withColumn("rank", rank)
     ranked = ranked.select(F.expr(f"rank div {size}").alias("file_no"), "rank", hashed(key).alias("link"), *fields)
-    dealt = ranked.repartitionById(-(-n // size), F.col("file_no").cast("int")).sortWithinPartitions("rank").drop("rank")
+    dealt = ranked.repartitionById(tasks, F.expr(f"int(file_no * {tasks} div {count})")).sortWithinPartitions("rank").drop("rank")
 
     def write(batches):
         out = now = keys = path = None
@@ -232,7 +236,7 @@ def lay_out(spark: SparkSession, folder: str, name: str, rows: DataFrame, column
     found = common.written(common.mapped(dealt, write, WRITTEN), f"files-{name}")
     common.remove(spark, made)
     held = {r[0]: (r[1], r[2]) for r in found.select("file_no", "path", "n_rows").distinct().collect()}  # one row a file
-    return Table(name, link, schema, blocks, held, found.select("file_no", "block", "bits").where("bits IS NOT NULL"))
+    return Table(name, link, schema, blocks, tasks, held, found.select("file_no", "block", "bits").where("bits IS NOT NULL"))
 
 
 def shortlist(table: Table, keys: DataFrame) -> list[int]:
@@ -305,7 +309,7 @@ def rewrite(table: Table, gone: DataFrame, folder: str) -> DataFrame:
             row, place = survivors(int(place[0]), int(place[1]), rest)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file_no", "path", "n_rows", "n_erased"])
 
-    dealt = gone.select("file_no", "position").repartitionById(max(paths) + 1, F.col("file_no").cast("int")).sortWithinPartitions("file_no", "position")
+    dealt = gone.select("file_no", "position").repartitionById(table.tasks, F.expr(f"int(file_no * {table.tasks} div {len(paths)})")).sortWithinPartitions("file_no", "position")
     return common.mapped(dealt, run, REWRITTEN)
 
 
