@@ -39,7 +39,7 @@ BLOCK = 1 << 14
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers >= 0."""
+    """A non-decreasing sequence of integers from 0 to 2^64 - 1."""
 
     HEAD = struct.Struct("<QBxxxIQQ")
 
@@ -104,8 +104,8 @@ class EliasFano:
         end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
         bits = np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little")
         ones = np.flatnonzero(bits[begin % 8 :])[: last - first] + begin
-        high = ones - np.arange(first, last)
-        return (high << self.low_bits) | self._low(first, last).astype(np.int64)
+        high = (ones - np.arange(first, last)).astype(np.uint64)
+        return (high << np.uint64(self.low_bits)) | self._low(first, last)
 
     def __iter__(self):
         """All values in order; never more than one sample's reach of them as integers."""
