@@ -4,7 +4,7 @@ Documents become pieces of at most `capacity` ids. Only the counts of each
 length (at most `capacity` of them) reach the driver, which plans best-fit
 decreasing over counts: a plan row says that pieces rank_from..rank_to of one
 length go, one each, to consecutive sequences at one offset. Pieces then find
-their row by their rank within their length.
+their row by their length and their rank within it, by binary search.
 
 Defined results: null or empty text is one piece with the end id alone; a text
 of exactly `capacity` ids is one piece; null doc_ids are packed like others;
@@ -116,14 +116,32 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     cut = common.written(pieces(docs, tokenizer or tokens.default_path(), capacity, end_id, with_ids), "pieces")
     by_length = [(int(r[0]), int(r[1])) for r in cut.groupBy("length").count().collect()]
     rows = plan(dict(by_length), capacity)
-    schema = "length long, rank_from long, rank_to long, first_sequence long, offset long"
-    table = pa.Table.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=[x.split()[0] for x in schema.split(", ")])
-    slots = spark.createDataFrame(table)
-    # at most a few rows for each pair of length and room: bounded by the capacity alone
-    found = ranked(cut, by_length).join(F.broadcast(slots), "length")
-    found = found.where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
-    sequence = F.col("first_sequence") + F.col("rank") - F.col("rank_from")
-    return found.withColumn("sequence_id", sequence).drop("rank", "rank_from", "rank_to", "first_sequence")
+    return placed(ranked(cut, by_length), rows)
+
+
+#: Bits of a key below the length: more pieces of one length than that can't be ranked.
+RANK_BITS = 44
+
+
+def placed(pieces: DataFrame, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Pieces with a rank by their plan rows, found by binary search over (length, rank_from).
+
+    The plan goes to the tasks: at most a few rows for each pair of length and
+    room, bounded by the capacity alone.
+    """
+    length, rank_from, _, first, offset = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    keys = (length << RANK_BITS) | rank_from
+    columns = [c for c in pieces.columns if c != "rank"]
+
+    def find(batches):
+        for batch in batches:
+            rank = batch.column("rank").to_numpy()
+            at = np.searchsorted(keys, (batch.column("length").to_numpy() << RANK_BITS) | rank, side="right") - 1
+            found = [pa.array(first[at] + rank - rank_from[at]), pa.array(offset[at])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *found], names=[*columns, "sequence_id", "offset"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in pieces.select(columns).dtypes)
+    return common.mapped(pieces, find, f"{schema}, sequence_id long, offset long")
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
