@@ -84,33 +84,63 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, end - back, end
 
 
-#: Cells of the alignment matrices that are computed together, a row of each at a time.
-CELLS = 1 << 16
+#: Cells of the alignment matrices that are computed together, a row of each at a time, and words of their passages.
+CELLS, HELD_WORDS = 1 << 16, 1 << 20
 
 
-def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
-    """Best local score of each passage with its item, as `align` has it."""
-    out = np.zeros(len(items), np.int32)
-    order = sorted(range(len(items)), key=lambda i: len(passages[i]))
-    wide = max(map(len, items), default=0)
-    step = max(1, CELLS // max(wide, 1))
+def windows(n_passage: int, n_item: int) -> list[tuple[int, int]]:
+    """Parts of a passage of which one holds any alignment with a score above 0.
+
+    Such an alignment matches at most n_item words, each worth MATCH, and every
+    other word of the passage within it costs 1 at least, so it spans fewer than
+    (1 + MATCH) * n_item words. Neighbouring parts share so many.
+    """
+    reach = (1 + MATCH) * n_item
+    size = max(2 * reach, 256)
+    if n_passage <= size:
+        return [(0, n_passage)]
+    return [(a, min(a + size, n_passage)) for a in range(0, n_passage - reach, size - reach)]
+
+
+def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Best local score of each passage with its item, as `align` has it, and the first of its windows that has it.
+
+    Windows of about the same length with items of about the same length are
+    computed together, so that little is filled up, and a bounded number of
+    words at a time, however long a passage is.
+    """
+    best, where = np.zeros(len(items), np.int32), np.zeros(len(items), np.int64)
+    alike: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for i, (p, own) in enumerate(zip(passages, items, strict=True)):
+        for a, b in windows(len(p), len(own)):
+            alike.setdefault((len(own).bit_length(), (b - a).bit_length()), []).append((i, a, b))
+    for every in alike.values():
+        wide, long = max(len(items[i]) for i, _, _ in every), max(b - a for _, a, b in every)
+        step = max(1, min(CELLS // max(wide, 1), HELD_WORDS // max(long, 1)))
+        for at in range(0, len(every), step):
+            some = every[at : at + step]
+            for (i, a, _), score in zip(some, _scores([passages[i][a:b] for i, a, b in some], [items[i] for i, _, _ in some]).tolist(), strict=True):
+                if score > best[i]:  # a passage's windows come in order
+                    best[i], where[i] = score, a
+    return best, where
+
+
+def _scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    wide, long = max(map(len, items)), max(map(len, passages))
     ramp = GAP * np.arange(wide + 1, dtype=np.int32)
-    for at in range(0, len(order), step):
-        some = order[at : at + step]
-        # the fill of items (0) and that of passages (1) match nothing
-        own, words = np.zeros((len(some), wide), np.uint64), np.ones((len(passages[some[-1]]), len(some)), np.uint64)
-        for k, i in enumerate(some):
-            own[k, : len(items[i])] = items[i]
-            words[: len(passages[i]), k] = passages[i]
-        last, best = np.zeros((len(some), wide + 1), np.int32), np.zeros(len(some), np.int32)
-        for word in words:
-            now = np.zeros_like(last)
-            now[:, 1:] = np.maximum(last[:, :-1] + np.where(own == word[:, None], np.int32(MATCH), np.int32(MISMATCH)), last[:, 1:] - GAP)
-            np.maximum(now, 0, out=now)
-            last = np.maximum.accumulate(now + ramp, axis=1) - ramp
-            np.maximum(best, last.max(axis=1), out=best)
-        out[some] = best
-    return out
+    # the fill of items (0) and that of passages (1) match nothing
+    own, words = np.zeros((len(items), wide), np.uint64), np.ones((long, len(items)), np.uint64)
+    for k, (p, item) in enumerate(zip(passages, items, strict=True)):
+        own[k, : len(item)] = item
+        words[: len(p), k] = p
+    last, best = np.zeros((len(items), wide + 1), np.int32), np.zeros(len(items), np.int32)
+    for word in words:
+        now = np.zeros_like(last)
+        now[:, 1:] = np.maximum(last[:, :-1] + np.where(own == word[:, None], np.int32(MATCH), np.int32(MISMATCH)), last[:, 1:] - GAP)
+        np.maximum(now, 0, out=now)
+        last = np.maximum.accumulate(now + ramp, axis=1) - ramp
+        np.maximum(best, last.max(axis=1), out=best)
+    return best
 
 
 class Lookup:
@@ -244,10 +274,12 @@ def aligned(held: DataFrame, score: float) -> DataFrame:
                 else:
                     r["passage"] = np.frombuffer(r["passage"], np.uint64)
                     tried.append(r)
-            for r, p in zip(tried, best_scores([r["passage"] for r in tried], [r["words"] for r in tried]).tolist(), strict=True):
+            for r, p, at in zip(tried, *(x.tolist() for x in best_scores([r["passage"] for r in tried], [r["words"] for r in tried])), strict=True):
                 if (share := p / (MATCH * len(r["words"]))) >= score:
-                    _, a, b = align(r["passage"], r["words"])
-                    out.append((r, share, r["first_word"] + a, r["first_word"] + b))
+                    # any better place before would be in a window before
+                    end = next(b for a, b in windows(len(r["passage"]), len(r["words"])) if a == at)
+                    _, a, b = align(r["passage"][at:end], r["words"])
+                    out.append((r, share, r["first_word"] + at + a, r["first_word"] + at + b))
             yield _batch([(r["row"], r["doc_id"], r["text_key"], r["item_key"], share, a, b, r["n_seeds"]) for r, share, a, b in out], FOUND)
 
     return common.mapped(held.select(*[f.split()[0] for f in PASSAGES.split(", ")], "words"), run, FOUND)

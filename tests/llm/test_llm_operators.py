@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +172,7 @@ def test_token_files(spark, small):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 2**40), max_size=400))
+@given(st.one_of(st.lists(st.integers(0, 2**40), max_size=400), st.lists(st.integers(0, 2**64 - 1), max_size=300)))
 def test_elias_fano(values):
     values.sort()
     raw = token_output.EliasFano.build(np.array(values, np.uint64)).dump()
@@ -182,6 +183,16 @@ def test_elias_fano(values):
         assert len(raw) * 8 < len(values) * (3.5 + np.log2(max(values) / len(values) + 2)) + 700
 
 
+def test_ids_at_both_ends_of_the_range(spark):
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 7, 2**63 - 2, 2**63 - 1]
+    assert list(token_output.EliasFano.load(memoryview(token_output.EliasFano.build(np.array([0, 2**63 + 5, 2**64 - 1], np.uint64)).dump()))) == [0, 2**63 + 5, 2**64 - 1]
+    for ids in (ends, ends[::6], [*ends, None]):
+        out = token_output.token_files(spark.createDataFrame([(i, "text") for i in ids], "doc_id long, text string").coalesce(1)).collect()
+        assert {r.doc_id for r in out} == set(ids) and len(out) == len(ids)
+    one = token_output.Shard(token_output.pack_shard(ends, [np.zeros(1, "<u2")] * len(ends), 2))
+    assert [n for n, _, _ in one.docs()] == ends and [one.doc(i)[0] for i in range(len(ends))] == ends
+
+
 def test_shard_round_trip():
     ids = [np.arange(n, dtype="<u2") for n in (1, 300, 2, 1)]
     s = token_output.Shard(token_output.pack_shard([None, 5, 5, 2**40], ids, 2))
@@ -219,6 +230,17 @@ def test_plan(counts):
     assert len(used) == len(room)
 
 
+def test_pieces_find_their_plan_rows(spark):
+    counts = {1: 700, 2: 5, 3: 90, 40: 30, 63: 4, 64: 2}
+    rows = packing.plan(counts, 64)
+    pieces = [(n, r, "x") for n, many in counts.items() for r in range(many)]
+    found = packing.placed(spark.createDataFrame(pieces, "length long, rank long, more string").repartition(3), rows).collect()
+    want = {(n, seq + i, offset) for n, a, b, seq, offset in rows for i in range(b - a)}
+    assert {(r.length, r.sequence_id, r.offset) for r in found} == want and len(found) == len(pieces) == len(want)
+    plan = packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank_from" not in plan  # no join of pieces with plan rows
+
+
 def test_packing(spark, small):
     d = documents(spark, small)
     e = tokens.encoder(tokens.default_path())
@@ -377,7 +399,7 @@ def test_recall_of_lone_edited_copies(spark):
     for share in (0.1, 0.2, 0.3, 0.4):
         own = [r for r in rows if rate[r[0]] == share]
         pairs = [(i, k, hashes(t), hashes(x)) for i, t in own for k, x in items]
-        scores = decontamination.best_scores([p[2] for p in pairs], [p[3] for p in pairs])
+        scores, _ = decontamination.best_scores([p[2] for p in pairs], [p[3] for p in pairs])
         want = {p[:2] for p, s in zip(pairs, scores.tolist(), strict=True) if s >= decontamination.SCORE * decontamination.MATCH * len(p[3])}
         got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(own, "doc_id long, text string"), bench).collect()}
         assert len(want) >= 50 and got <= want and len(got) >= 0.95 * len(want), (share, len(want), len(got))
@@ -440,8 +462,37 @@ def test_best_scores_equal_single_alignments():
     passages = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(1, 60, 300)]
     items = [rng.integers(2, 9, n).astype(np.uint64) for n in rng.integers(8, 30, 300)]
     want = [decontamination.align(p, i)[0] for p, i in zip(passages, items, strict=True)]
-    assert decontamination.best_scores(passages, items).tolist() == want
-    assert decontamination.best_scores([], []).tolist() == []
+    scores, at = decontamination.best_scores(passages, items)
+    assert scores.tolist() == want and not at.any()
+    assert decontamination.best_scores([], [])[0].tolist() == []
+
+
+def test_windows_of_long_passages_lose_no_alignment():
+    rng = np.random.default_rng(4)
+    for n, alphabet in ((700, 6), (3000, 40), (2000, 400)):
+        passages = [rng.integers(2, alphabet, n).astype(np.uint64) for _ in range(6)]
+        items = [rng.integers(2, alphabet, m).astype(np.uint64) for m in (8, 9, 20, 30, 60, 100)]
+        for p, own in zip(passages[3:], items[3:], strict=True):  # an edited copy across the windows' bounds
+            a = int(rng.integers(100, n - 200))
+            copy = np.insert(own, rng.integers(0, len(own), len(own) // 4), 1)
+            p[a : a + len(copy)] = copy
+        scores, at = decontamination.best_scores(passages, items)
+        for p, own, score, first in zip(passages, items, scores.tolist(), at.tolist(), strict=True):
+            want = decontamination.align(p, own)
+            end = next(b for a, b in decontamination.windows(len(p), len(own)) if a == first)
+            got = decontamination.align(p[first:end], own)
+            assert score == want[0] == got[0] and (first + got[1], first + got[2]) == want[1:]
+
+
+def test_a_very_long_passage_takes_bounded_memory():
+    rng = np.random.default_rng(6)
+    items = [rng.integers(2, 10**6, 30).astype(np.uint64) for _ in range(2001)]
+    passages = [np.tile(items[0], 10_000), *[np.roll(i, 3) for i in items[1:]]]
+    tracemalloc.start()
+    scores, _ = decontamination.best_scores(passages, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and scores[0] == 60 and (scores[1:] == 54).all()
 
 
 def test_lines_by_brute_force(spark):
