@@ -282,15 +282,19 @@ def nearest(chunks: DataFrame, queries: DataFrame, fetch: int, measure) -> DataF
     return found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= fetch).drop("at")
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, limit: int, category: str | None = None) -> DataFrame:
+def vector_search(chunks: DataFrame | None, queries: DataFrame, limit: int, category: str | None = None, index=None) -> DataFrame:
     """Best documents of each query: distance, relevance. chunks: doc_id, chunk_index, category, embedding.
 
     Takes min(5 * limit, 100) nearest chunks first, then the best chunk of each
-    document, then the limit.
+    document, then the limit. With a VectorIndex the nearest chunks are those of
+    the lists that it probes, and chunks aren't read.
     """
-    some = chunks if category is None else chunks.where(F.col("category") == category)
     fetch = min(VECTOR_FETCH_FACTOR * limit, VECTOR_FETCH_MAX)
-    near = nearest(some, queries, fetch, cosine_distances).withColumnRenamed("value", "distance")
+    if index is not None:
+        near = index.nearest(queries, fetch, category=category)
+    else:
+        near = nearest(chunks if category is None else chunks.where(F.col("category") == category), queries, fetch, cosine_distances)
+    near = near.withColumnRenamed("value", "distance")
     near = near.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("distance", "chunk_index"))).where("own = 1")
     near = near.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))).where(F.col("position") <= limit)
     return near.select("query_id", "doc_id", "category", "distance", F.round(1 - F.col("distance"), 4).alias("relevance"), "position")
@@ -358,13 +362,13 @@ def within_gap(found: DataFrame, gap: float = GAP) -> DataFrame:
 
 
 def hybrid_search(
-    chunks: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = RELEVANCE_THRESHOLD, category: str | None = None, score=None, texts: DataFrame | None = None
+    chunks: DataFrame, docs: DataFrame, queries: DataFrame, limit: int = 10, threshold: float = RELEVANCE_THRESHOLD, category: str | None = None, score=None, texts: DataFrame | None = None, index=None
 ) -> DataFrame:
-    """Vector and full-text search fused; queries: query_id, query, embedding; score and texts as in reranked.
+    """Vector and full-text search fused; queries: query_id, query, embedding; score and texts as in reranked; index as in vector_search.
 
     Below the threshold rows go, then those more than the gap behind the best.
     """
-    fused = fuse(vector_search(chunks, queries, 50, category), fts_of_texts(docs, queries, category))
+    fused = fuse(vector_search(chunks, queries, 50, category, index), fts_of_texts(docs, queries, category))
     if score is not None:
         fused = reranked(fused, queries, texts, score)
     fused = within_gap(fused.where(F.col("relevance") >= threshold))

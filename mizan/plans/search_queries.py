@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from mizan.functions import text
 from mizan.functions.text import ACCENTS
 from mizan.operators import reading, search, store
+from mizan.operators.vector_index import VectorIndex
 from mizan.plans.registry import query
 from mizan.plans.text_queries import FOLD, STEM
+from mizan.sources.folders import new_folder
 from mizan.sources.tables import DOCS, documents, read
 
 #: The searches that the queries below make: (query_id, text).
@@ -151,6 +153,23 @@ def vector_topk_category(spark, sf_dir):
     return _shown(search.vector_search(*_vectors(spark, sf_dir), limit=20, category="3"))
 
 
+@query()
+def vector_index_topk(spark, sf_dir):
+    """vector_topk by way of a stored index of all rows."""
+    chunks, asked = _vectors(spark, sf_dir)
+    return _shown(search.vector_search(None, asked, limit=10, index=VectorIndex.build(chunks, new_folder(spark, "vector-index"))))
+
+
+@query()
+def vector_index_recall(spark, sf_dir):
+    """How many of each query's ten nearest rows the index finds."""
+    chunks, asked = _vectors(spark, sf_dir)
+    keys = ["query_id", "doc_id", "chunk_index"]
+    found = VectorIndex.build(chunks, new_folder(spark, "vector-index")).nearest(asked, 10).select(*keys, F.lit(1).alias("found"))
+    true = search.nearest(chunks, asked, 10, search.cosine_distances)
+    return true.join(found, keys, "left").groupBy("query_id").agg(F.count("*").alias("n_true"), F.count("found").alias("n_found"))
+
+
 _FUSED = (
     f"{_NEAR.format('true', 100)}, {fts_sql('(SELECT doc_id, text AS x FROM documents)', 'doc_id', _ASKED_EVERY)}, ft AS (SELECT query_id, key AS doc_id, rank, position FROM best WHERE position <= 50), "
     "gv AS (SELECT query_id, doc_id, position, CASE WHEN query_id IN (SELECT query_id FROM ft) THEN relevance ELSE round(relevance * 0.65 + 1e-10, 4) END AS relevance FROM vs WHERE position <= 50), "
