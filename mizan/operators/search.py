@@ -25,6 +25,8 @@ HIGH, MEDIUM = 0.70, 0.50
 COVER_WEIGHT = 0.1
 #: Characters of a snippet, candidates that a model ranks anew.
 SNIPPET_CHARS, RERANK_FIRST = 800, 20
+#: Words of a headline, at least (where the document has so many) and at most.
+FRAGMENT_WORDS = (20, 40)
 #: Distinct terms of all queries together that are looked up and ranked inside the token arrays; more join the tokens.
 INSIDE_TERMS = 256
 #: Query vectors that go to the tasks together, and values of rows with queries that are computed at once.
@@ -91,8 +93,8 @@ def keyword_search(catalog: DataFrame, keywords: str, category: str | None = Non
     return page_of(rows.withColumn("score", score).where(F.col("score").isNotNull()), [F.desc("score"), "document_id"], page, size)
 
 
-def cover_density(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rank by cover density: 0.1 / (1 + noise) for every minimal interval that holds all terms.
+def covers(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Minimal intervals that hold all terms: query_id, key, first and last position, and the numbers of those hits.
 
     hits: query_id, key, pos, term; terms: query_id, term (distinct). One term
     makes each hit a cover. Only windows over one query and document.
@@ -109,8 +111,13 @@ def cover_density(hits: DataFrame, terms: DataFrame) -> DataFrame:
     ends = ends.join(need, "query_id").where(F.col("seen") == F.col("need"))
     ends = ends.withColumn("before", F.lag("begin.pos").over(own))
     minimal = ends.where(F.col("before").isNull() | (F.col("begin.pos") > F.col("before")))
-    noise = (F.col("pos") - F.col("begin.pos")) - (F.col("k") - F.col("begin.k"))
-    return minimal.groupBy("query_id", "key").agg(F.sum(F.lit(COVER_WEIGHT) / (1 + noise)).alias("rank"))
+    return minimal.select("query_id", "key", F.col("begin.pos").alias("first"), F.col("pos").alias("last"), F.col("begin.k").alias("first_k"), F.col("k").alias("last_k"))
+
+
+def cover_density(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rank by cover density: 0.1 / (1 + noise) for every cover; noise are the words in it that aren't hits."""
+    noise = (F.col("last") - F.col("first")) - (F.col("last_k") - F.col("first_k"))
+    return covers(hits, terms).groupBy("query_id", "key").agg(F.sum(F.lit(COVER_WEIGHT) / (1 + noise)).alias("rank"))
 
 
 def cover_rank(hits: Column, terms: Column) -> Column:
@@ -140,17 +147,23 @@ def cover_rank(hits: Column, terms: Column) -> Column:
     return F.aggregate(own, start, step, lambda state: state["rank"])
 
 
+def anchored(terms: DataFrame) -> DataFrame:
+    """query_id, anchor, terms: one term of each query, the longest, by which documents meet it."""
+    found = terms.groupBy("query_id").agg(F.max(F.struct(F.length("term").alias("n"), "term")).alias("a"), F.collect_list("term").alias("terms"))
+    return found.select("query_id", F.col("a.term").alias("anchor"), "terms")
+
+
 def ranked_inside(docs: DataFrame, terms: DataFrame, asked: list[str], key: str) -> DataFrame:
     """query_id, key, rank of the documents that hold all terms of a query; asked: the terms of all queries.
 
-    Hits are found and ranked inside each document's row, so nothing is shuffled.
+    Hits are found and ranked inside each document's row, so nothing of it is shuffled.
     """
     wanted = F.array(*[F.lit(t) for t in sorted(asked)]) if asked else F.array().cast("array<string>")
     found = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: F.array_contains(wanted, x["term"]))
-    queries = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
     # at most INSIDE_TERMS terms; explode_outer, as the inner form would split every text twice, first to test for an empty array
     held = docs.select(F.col(key).alias("key"), F.explode_outer(F.array(found)).alias("hits")).where(F.size("hits") > 0)
-    both = held.crossJoin(F.broadcast(queries))
+    held = held.withColumn("own", F.array_distinct(F.transform("hits", lambda h: h["term"])))
+    both = held.withColumn("anchor", F.explode("own")).join(anchored(terms), "anchor").where(F.size(F.array_except("terms", "own")) == 0)
     return both.select("query_id", "key", cover_rank(F.col("hits"), F.col("terms")).alias("rank")).where("rank > 0")
 
 
@@ -161,9 +174,24 @@ def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
 
 
 def fts_matches(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """query_id, key of the documents that hold all terms of a query; one without terms matches all."""
-    asked = queries.select("query_id", text.tokens(F.col("query")).alias("terms"))
-    return docs.join(asked, F.size(F.array_except("terms", "tokens")) == 0).select("query_id", key)
+    """query_id, key of the documents that hold all terms of a query; one without terms matches all.
+
+    Documents meet a query by its anchor term; those without terms have the empty one, which all documents hold if it is asked.
+    """
+    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
+    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
+    asked = asked.withColumn("anchor", F.coalesce(longest, F.lit("")))
+    every = asked.agg(F.coalesce(F.bool_or(F.col("anchor") == ""), F.lit(False))).first()[0]
+    own = F.array_distinct("tokens")
+    held = docs.select(F.col(key).alias(key), F.explode_outer(F.array(F.array_append(own, F.lit("")) if every else own)).alias("own"))
+    both = held.withColumn("anchor", F.explode("own")).join(asked, "anchor")
+    return both.where(F.size(F.array_except("terms", "own")) == 0).select("query_id", key)
+
+
+def query_terms(queries: DataFrame, clean: bool = True) -> DataFrame:
+    """query_id, term: the distinct terms of each query."""
+    term = text.clean_query(F.col("query")) if clean else F.col("query")
+    return queries.select("query_id", F.explode(F.array_distinct(text.tokens(term))).alias("term"))
 
 
 def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, threshold: float | None = FTS_THRESHOLD, clean: bool = True, category: str | None = None) -> DataFrame:
@@ -171,8 +199,7 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
 
     Rows below the threshold go after the limit, as it may shorten a full list.
     """
-    term = text.clean_query(F.col("query")) if clean else F.col("query")
-    terms = queries.select("query_id", F.explode(F.array_distinct(text.tokens(term))).alias("term"))
+    terms = query_terms(queries, clean)
     some = docs if category is None else docs.where(F.col("category") == category)
     asked = [r["term"] for r in terms.select("term").distinct().limit(INSIDE_TERMS + 1).collect()]
     # a document that lacks a term has no cover, and so no rank
@@ -184,13 +211,47 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
     return best.select("query_id", F.col("key").alias(key), "rank", "position")
 
 
-def headline(tokens: Column, terms: list[str] | Column, before: int = 10, words: int = 30) -> Column:
-    """Words around the first hit, hits between >>> and <<<."""
-    wanted = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms])
-    first = F.array_min(F.filter(F.transform(wanted, lambda t: F.array_position(tokens, t)), lambda p: p > 0))
-    start = F.greatest(F.coalesce(first, F.lit(1)) - before, F.lit(1)).cast("int")
-    cut = F.slice(tokens, start, words)
-    return F.array_join(F.transform(cut, lambda t: F.when(F.array_contains(wanted, t), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t)), " ")
+def best_fragments(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, key, start, stop (words) of the fragment that shows a document best.
+
+    hits: query_id, key, n (words of the document), pos, term. Every cover of all
+    terms is stretched to FRAGMENT_WORDS[0] words, to the right and at the end of
+    the document to the left, or cut to FRAGMENT_WORDS[1]; the one with the most
+    hits is the best, then the first.
+    """
+    least, most = FRAGMENT_WORDS
+    own = Window.partitionBy("query_id", "key").orderBy("pos")
+    whole = Window.partitionBy("query_id", "key")
+    # hits of a fragment that begins at this one, and of the document's last words
+    counted = hits.select(
+        "query_id", "key", "n", F.col("pos").alias("first"),
+        F.count("*").over(own.rangeBetween(0, least - 1)).alias("n_least"), F.count("*").over(own.rangeBetween(0, most - 1)).alias("n_most"),
+        F.count_if(F.col("pos") >= F.col("n") - least).over(whole).alias("n_last"),
+    )
+    found = covers(hits.select("query_id", "key", "pos", "term"), terms).join(counted, ["query_id", "key", "first"])
+    first, words, n = F.col("first"), F.col("last") - F.col("first") + 1, F.col("n")
+    fits = first + least <= n
+    start = F.when((words < least) & ~fits, F.greatest(n - least, F.lit(0))).otherwise(first)
+    stop = F.when(words > most, first + most).when(words >= least, F.col("last") + 1).otherwise(F.least(first + least, n))
+    n_hits = F.when(words > most, F.col("n_most")).when(words >= least, F.col("last_k") - F.col("first_k") + 1).when(fits, F.col("n_least")).otherwise(F.col("n_last"))
+    best = found.groupBy("query_id", "key").agg(F.min(F.struct((-n_hits).alias("hits"), start.alias("start"), stop.alias("stop"))).alias("b"))
+    return best.select("query_id", "key", "b.start", "b.stop")
+
+
+def headlines(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, key, snippet of found documents (query_id, key, tokens): words of the best fragment, hits between >>> and <<<.
+
+    Without a cover of all terms the first FRAGMENT_WORDS[0] words are shown.
+    """
+    wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    rows = found.select("query_id", "key", "tokens").join(wanted, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    hits = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: F.array_contains("terms", x["term"]))
+    hits = rows.select("query_id", "key", F.size("tokens").alias("n"), F.explode(hits).alias("h")).select("query_id", "key", "n", "h.pos", "h.term")
+    shown = rows.join(best_fragments(hits, terms), ["query_id", "key"], "left")
+    start = F.coalesce("start", F.lit(0))
+    cut = F.slice("tokens", start + 1, F.coalesce("stop", F.lit(FRAGMENT_WORDS[0])) - start)
+    marked = F.transform(cut, lambda t: F.when(F.array_contains("terms", t), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t))
+    return shown.select("query_id", "key", F.array_join(marked, " ").alias("snippet"))
 
 
 def norm(a: Column) -> Column:
@@ -398,15 +459,21 @@ def document_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "category", text.tokens(F.concat_ws(" ", *parts)).alias("tokens"))
 
 
-def document_search(docs: DataFrame, tokens: DataFrame, queries: DataFrame, limit: int = FTS_LIMIT, category: str | None = None) -> DataFrame:
+def document_search(docs: DataFrame, tokens: DataFrame | None, queries: DataFrame, limit: int = FTS_LIMIT, category: str | None = None, index=None) -> DataFrame:
     """Best documents of each query with title, date, category and a headline of the content.
 
-    tokens: as document_tokens makes them. Only the found documents' texts are read for headlines.
+    tokens: as document_tokens makes them, or none with a TextIndex of them.
+    Only the found documents' texts are read for headlines.
     """
-    found = fts(tokens, queries, "document_id", limit, category=category)
-    asked = queries.select("query_id", F.array_distinct(text.tokens(text.clean_query(F.col("query")))).alias("terms"))
-    own = docs.select("document_id", "title", "category", "markdown_content").join(found, "document_id").join(asked, "query_id")
-    return own.select("query_id", "document_id", "title", "category", "rank", "position", headline(text.tokens(F.col("markdown_content")), F.col("terms")).alias("snippet"))
+    if index is not None:
+        found = index.search(queries, limit, category=category).withColumnRenamed("key", "document_id")
+    else:
+        found = fts(tokens, queries, "document_id", limit, category=category)
+    terms = query_terms(queries)
+    own = docs.select("document_id", "title", "category", "markdown_content").join(found, "document_id")
+    words = own.select("query_id", F.col("document_id").alias("key"), text.tokens(F.col("markdown_content")).alias("tokens"))
+    own = own.join(headlines(words, terms).withColumnRenamed("key", "document_id"), ["query_id", "document_id"])
+    return own.select("query_id", "document_id", "title", "category", "rank", "position", "snippet")
 
 
 def institutions(rows: DataFrame, keyword: str | None = None, kind: str | None = None, active_only: bool = True, active: str = "Aktif") -> DataFrame:

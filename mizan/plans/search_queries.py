@@ -214,18 +214,31 @@ def rerank_sigmoid(spark, sf_dir):
     return found.select("query_id", "doc_id", "chunk_index", (-F.col("value")).alias("score"))
 
 
-def headline_sql(tokens: str, terms: str) -> str:
-    """SQL of headline over two list expressions."""
-    first = f"coalesce(list_min(list_filter(list_transform({terms}, lambda wanted: list_position({tokens}, wanted)), lambda p: p > 0)), 1)"
-    shown = f"list_transform({tokens}[greatest({first} - 10, 1):greatest({first} - 10, 1) + 29], lambda word: CASE WHEN list_contains({terms}, word) THEN '>>>' || word || '<<<' ELSE word END)"
-    return f"array_to_string({shown}, ' ')"
+def headline_sql(words: str, pairs: str) -> str:
+    """SQL of headlines: tables words (key, tokens), terms (query_id, term) and need, and pairs (query_id, key); makes `shown` (query_id, key, snippet)."""
+    return (
+        f"hh AS (SELECT p.query_id, p.key, u.pos, u.term, row_number() OVER (PARTITION BY p.query_id, p.key ORDER BY u.pos) AS k FROM {pairs} p JOIN (SELECT key, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM {words}) u USING (key) JOIN terms t ON t.query_id = p.query_id AND t.term = u.term), "
+        "hs AS (SELECT hh.query_id, hh.key, hh.pos, max(CASE WHEN hh.term = t.term THEN hh.pos END) OVER w AS lp FROM hh JOIN terms t USING (query_id) WINDOW w AS (PARTITION BY hh.query_id, hh.key, t.term ORDER BY hh.pos)), "
+        "he AS (SELECT query_id, key, pos, min(lp) AS b, count(lp) AS seen FROM hs GROUP BY 1, 2, 3), hc AS (SELECT *, lag(b) OVER (PARTITION BY query_id, key ORDER BY pos) AS pb FROM he JOIN need USING (query_id) WHERE seen = need), "
+        f"hw AS (SELECT DISTINCT query_id, key, CASE WHEN pos - b + 1 < 20 AND b + 20 > len(tokens) THEN greatest(len(tokens) - 20, 0) ELSE b END AS s, CASE WHEN pos - b + 1 > 40 THEN b + 40 WHEN pos - b + 1 >= 20 THEN pos + 1 ELSE least(b + 20, len(tokens)) END AS e FROM hc JOIN {words} USING (key) WHERE pb IS NULL OR b > pb), "
+        "hn AS (SELECT hw.query_id, hw.key, s, e, count(*) AS n FROM hw JOIN hh ON hh.query_id = hw.query_id AND hh.key = hw.key AND hh.pos >= s AND hh.pos < e GROUP BY ALL), hb AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY n DESC, s, e) AS rn FROM hn), "
+        f"shown AS (SELECT p.query_id, p.key, array_to_string(list_transform(tokens[coalesce(s, 0) + 1:coalesce(e, 20)], lambda word: CASE WHEN list_contains(own.terms, word) THEN '>>>' || word || '<<<' ELSE word END), ' ') AS snippet "
+        f"FROM {pairs} p JOIN {words} USING (key) LEFT JOIN (SELECT query_id, list(term) AS terms FROM terms GROUP BY 1) own ON own.query_id = p.query_id LEFT JOIN (SELECT * FROM hb WHERE rn = 1) hb ON hb.query_id = p.query_id AND hb.key = p.key)"
+    )
 
 
-@query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents), q AS (SELECT query_id, list_distinct({_TOKENS.format('query')}) AS terms FROM {_ASKED}) SELECT query_id, doc_id, {headline_sql('tokens', 'terms')} AS snippet FROM t JOIN q ON len(list_filter(terms, lambda x: list_contains(tokens, x))) > 0")
+@query(
+    f"WITH t AS (SELECT doc_id AS key, {_TOKENS.format('text')} AS tokens FROM documents), terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('query')}) AS term FROM {_ASKED}), need AS (SELECT query_id, count(*) AS need FROM terms GROUP BY 1), "
+    f"pairs AS (SELECT DISTINCT query_id, key FROM (SELECT key, unnest(tokens) AS term FROM t) JOIN terms USING (term)), {headline_sql('t', 'pairs')} SELECT query_id, key AS doc_id, snippet FROM shown"
+)
 def fts_headline(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
-    q = _asked(spark).select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
-    return d.join(F.broadcast(q), F.arrays_overlap("terms", "tokens")).select("query_id", "doc_id", search.headline(F.col("tokens"), F.col("terms")).alias("snippet"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.explode_outer(F.array(text.tokens(F.col("text")))).alias("tokens"))
+    terms = search.query_terms(_asked(spark), clean=False)
+    wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    held = d.withColumn("own", F.array_distinct("tokens")).withColumn("term", F.explode("own")).join(wanted.withColumn("term", F.explode("terms")), "term")
+    # a document that has several terms of a query meets it by the first of them
+    found = held.where(F.col("term") == F.get(F.array_intersect("terms", "own"), 0)).select("query_id", "key", "tokens")
+    return search.headlines(found, terms).withColumnRenamed("key", "doc_id")
 
 
 _DOCUMENT_TEXT = "(SELECT document_id, coalesce(title, '') || ' ' || coalesce(markdown_content, '') || ' ' || coalesce(category, '') AS x FROM docs{})"
@@ -236,9 +249,9 @@ _FTS_TEXT = "coalesce(markdown_content, '')"
 
 def document_search_sql(where: str = "") -> str:
     return (
-        f"WITH {DOCS}, {fts_sql(_DOCUMENT_TEXT.format(where), 'document_id')}, q AS (SELECT query_id, list_distinct({_TOKENS.format('query')}) AS terms FROM {_ASKED}), "
-        f"shown AS (SELECT best.*, docs.title, docs.category, {_TOKENS.format(_FTS_TEXT)} AS t, terms FROM best JOIN docs ON docs.document_id = best.key JOIN q USING (query_id) WHERE position <= 50 AND rank >= 0.01) "
-        f"SELECT query_id, key AS document_id, title, category, round(rank, 6) AS rank, position, {headline_sql('t', 'terms')} AS snippet FROM shown"
+        f"WITH {DOCS}, {fts_sql(_DOCUMENT_TEXT.format(where), 'document_id')}, pairs AS (SELECT query_id, key FROM best WHERE position <= 50 AND rank >= 0.01), "
+        f"cw AS (SELECT document_id AS key, {_TOKENS.format(_FTS_TEXT)} AS tokens FROM docs WHERE document_id IN (SELECT key FROM pairs)), {headline_sql('cw', 'pairs')} "
+        "SELECT query_id, key AS document_id, title, category, round(rank, 6) AS rank, position, snippet FROM shown JOIN best USING (query_id, key) JOIN docs ON docs.document_id = key"
     )
 
 

@@ -265,3 +265,49 @@ def test_a_replayed_change_is_archived_once(spark, tmp_path, monkeypatch):
     assert sorted((r.version, r.markdown_content) for r in snapshots.current(spark, f"{folder}/versions").collect()) == [(1, "bir"), (2, "üç"), (3, "bir")]
     held = snapshots.parts(spark, f"{folder}/documents")
     assert len(held) == 2 and len(set(held.values())) == 2  # b's part is that of an older snapshot
+
+
+def best_fragment(tokens, terms):
+    """Every minimal interval with all terms, stretched or cut, by two pointers."""
+    hits = [(p, t) for p, t in enumerate(tokens) if t in terms]
+    last, before, found = {}, -1, []
+    for p, t in hits:
+        last[t] = p
+        if len(last) == len(terms) and (b := min(last.values())) > before:
+            before = b
+            if p - b + 1 > 40:
+                s, e = b, b + 40
+            elif p - b + 1 >= 20:
+                s, e = b, p + 1
+            elif b + 20 <= len(tokens):
+                s, e = b, b + 20
+            else:
+                s, e = max(0, len(tokens) - 20), len(tokens)
+            found.append((-sum(s <= q < e for q, _ in hits), s, e))
+    return min(found)[1:] if found else (0, 20)
+
+
+def test_headlines_show_the_best_fragment(spark):
+    rng = random.Random(8)
+    docs = [(i, [rng.choice("abcd" + "xyz" * rng.randrange(1, 9)) for _ in range(rng.randrange(0, 160))]) for i in range(80)] + [(100, ["x"] * 30 + ["a"] + ["y"] * 60 + ["b"]), (101, ["a"]), (102, [])]
+    asked = {0: ["a"], 1: ["a", "b"], 2: ["a", "b", "c"], 3: ["q"], 4: []}
+    found = spark.createDataFrame([(q, i, t) for i, t in docs for q in asked], "query_id int, key int, tokens array<string>")
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id int, term string")
+    got = {(r.query_id, r.key): r.snippet for r in search.headlines(found, terms).collect()}
+    for i, tokens in docs:
+        for q, ts in asked.items():
+            s, e = best_fragment(tokens, set(ts)) if ts else (0, 20)
+            assert got[q, i] == " ".join(f">>>{t}<<<" if t in ts else t for t in tokens[s:e]), (q, i)
+
+
+def test_matches_meet_queries_by_one_term(spark):
+    rng = random.Random(9)
+    docs = [(i, [rng.choice("abcdef") for _ in range(rng.randrange(0, 6))]) for i in range(60)]
+    asked = [(0, "a"), (1, "b a b"), (2, "f e d"), (3, "zz a"), (4, "a")]
+    d = spark.createDataFrame(docs, "id int, tokens array<string>")
+    for more in ([], [(5, ""), (6, " .")]):
+        found = search.fts_matches(d, spark.createDataFrame(asked + more, "query_id int, query string"), "id")
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r.id) for r in found.collect()) == sorted((q, i) for i, t in docs for q, w in asked + more if all(x in t for x in w.replace(".", "").split()))
+    ranked = search.fts(d, spark.createDataFrame(asked, "query_id int, query string"), "id", threshold=None)
+    assert not any(x in ranked._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
