@@ -48,19 +48,23 @@ def covers(docs: DataFrame, catalog: DataFrame, least: float = 0.9) -> DataFrame
 
 
 def patch_store(spark, folder: str, patches: DataFrame, dry_run: bool = False) -> DataFrame:
-    """Patches documents and their chunks, both kept in parts under the folder; returns the rejected patches.
+    """Patches documents and their chunks, tables of the store in the folder, in one commit; returns the rejected patches.
 
-    Chunks are committed first and follow from the documents, so a run that
-    broke off in between is made whole by running it again. A dry run writes nothing.
+    If another writer changes one of the documents' parts meanwhile, the patch is
+    made again from there. A dry run writes nothing.
     """
-    known = patches.persist()
-    touched = sorted(r[0] for r in known.select(snapshots.part_of("document_id")).distinct().collect())
-    docs, chunks = (snapshots.current(spark, f"{folder}/{t}", only=touched) for t in ("documents", "chunks"))
-    new_docs, new_chunks, rejected = patched(docs, chunks, known)
-    if not dry_run:
-        snapshots.commit_parts(new_chunks, f"{folder}/chunks", "document_id", touched)
-        snapshots.commit_parts(new_docs, f"{folder}/documents", "document_id", touched)
-    return rejected
+    known, held = patches.persist(), snapshots.Store(spark, folder)
+    touched = tuple(sorted(r[0] for r in known.select(snapshots.part_of("document_id")).distinct().collect()))
+    found = []
+
+    def change(state):
+        docs, chunks = (held.read(t, only=touched, state=state) for t in ("documents", "chunks"))
+        new_docs, new_chunks, rejected = patched(docs, chunks, known)
+        found.append(rejected)
+        return None if dry_run else {"documents": snapshots.Change(new_docs, "document_id", touched), "chunks": snapshots.Change(new_chunks, "document_id", touched)}
+
+    held.update(change)
+    return found[-1]
 
 
 def catalog_lookup(ids: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -62,31 +62,34 @@ def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float):
 
     incoming: document_id, title, category, markdown_content, and downloaded_at
     if the last of several rows of a document is to count (else that with the
-    greatest hash). Versions are written first, the documents last: a batch that
-    runs again after a crash in between finds the content that it would archive
-    as the last version, and archives nothing. The tables are kept in parts by
-    document_id, and a batch writes the parts that it touches. Returns the query.
+    greatest hash). The tables are those of a store, kept in parts by document_id;
+    a batch writes the parts that it touches, of all tables in one commit that
+    also says which batch it was: one that runs again after a crash is left out
+    if it was committed. Returns the query.
     """
     schema = "document_id string, title string, category string, markdown_content string, content_hash string"
     chunk_schema = "document_id string, category string, content_hash string, total_chunks int, chunk_index int, chunk_text string"
     version_schema = "document_id string, version int, content_hash string, markdown_content string, synced_at double"
 
-    def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def one(batch: DataFrame, number: int) -> None:
+        held = snapshots.Store(batch.sparkSession, folder)
         clean = batch.withColumn("markdown_content", text.sanitize(F.col("markdown_content"))).where("markdown_content <> ''")
         hashed = clean.withColumn("content_hash", text.content_hash(F.col("markdown_content")))
         columns = [c.split()[0] for c in schema.split(", ")]
         order = [c for c in ("downloaded_at", "content_hash") if c in hashed.columns]
         new = hashed.groupBy("document_id").agg(F.max(F.struct(*order, *[F.col(c).alias(f"new_{c}") for c in columns])).alias("r"))
         new = new.select(*[F.col(f"r.new_{c}").alias(c) for c in columns]).persist()
-        touched = sorted(r[0] for r in new.select(snapshots.part_of("document_id")).distinct().collect())
-        if not touched:
-            return
-        old, versions, chunks = (snapshots.current(spark, f"{folder}/{t}", s, touched) for t, s in (("documents", schema), ("versions", version_schema), ("chunks", chunk_schema)))
-        changed = store.archived(old, new, versions, now)
-        snapshots.commit_parts(versions.unionByName(changed.select(*versions.columns)), f"{folder}/versions", "document_id", touched)
-        snapshots.commit_parts(store.replace_children(chunks, store.chunk_table(new)), f"{folder}/chunks", "document_id", touched)
-        snapshots.commit_parts(store.upsert(old, new), f"{folder}/documents", "document_id", touched)
+        touched = tuple(sorted(r[0] for r in new.select(snapshots.part_of("document_id")).distinct().collect()))
+
+        def change(state):
+            if not touched or state.marks.get(checkpoint, -1) >= number:
+                return None
+            old, versions, chunks = (held.read(t, s, touched, state) for t, s in (("documents", schema), ("versions", version_schema), ("chunks", chunk_schema)))
+            versions = versions.unionByName(store.archived(old, new, versions, now).select(*versions.columns))
+            rows = {"versions": versions, "chunks": store.replace_children(chunks, store.chunk_table(new)), "documents": store.upsert(old, new)}
+            return {t: snapshots.Change(d, "document_id", touched) for t, d in rows.items()}
+
+        held.update(change, {checkpoint: number})
         new.unpersist()
 
     return incoming.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -247,24 +247,98 @@ def test_a_replayed_change_is_archived_once(spark, tmp_path, monkeypatch):
         return jobs.ingest(spark.readStream.schema(schema).parquet(source), folder, ck, 1.0)
 
     assert run(("a", "bir"), ("b", "iki")).awaitTermination(180)
-    commit = snapshots.commit_parts
+    held = snapshots.Store(spark, folder)
+    publish, before = snapshots.Store._publish, held.state()
 
-    def breaks(df, path, *rest):
-        if path.endswith("/documents"):
-            raise OSError("lost")
-        return commit(df, path, *rest)
+    def breaks(self, state):
+        raise OSError("lost")
 
-    monkeypatch.setattr(snapshots, "commit_parts", breaks)
+    monkeypatch.setattr(snapshots.Store, "_publish", breaks)  # all tables are written, and then nothing says so
     with pytest.raises(Exception, match="lost"):
         run(("a", "üç")).awaitTermination(180)
-    monkeypatch.setattr(snapshots, "commit_parts", commit)
-    assert run(("b", "iki")).awaitTermination(180)
-    assert sorted((r.document_id, r.markdown_content) for r in snapshots.current(spark, f"{folder}/documents").collect()) == [("a", "üç"), ("b", "iki")]
-    assert [(r.document_id, r.version, r.markdown_content) for r in snapshots.current(spark, f"{folder}/versions").collect()] == [("a", 1, "bir")]
+    assert held.state() == before and held.read("versions") is None
+
+    def publishes_and_breaks(self, state):
+        assert publish(self, state)
+        raise OSError("after")
+
+    monkeypatch.setattr(snapshots.Store, "_publish", publishes_and_breaks)
+    with pytest.raises(Exception, match="after"):
+        run(("b", "iki")).awaitTermination(180)
+    monkeypatch.setattr(snapshots.Store, "_publish", publish)
+    assert held.state().number == before.number + 1
+    assert run(("b", "iki")).awaitTermination(180)  # the batch that was committed isn't added again
+    assert sorted((r.document_id, r.markdown_content) for r in held.read("documents").collect()) == [("a", "üç"), ("b", "iki")]
+    assert [(r.document_id, r.version, r.markdown_content) for r in held.read("versions").collect()] == [("a", 1, "bir")]
     assert run(("a", "bir")).awaitTermination(180) and run(("a", "üç")).awaitTermination(180)
-    assert sorted((r.version, r.markdown_content) for r in snapshots.current(spark, f"{folder}/versions").collect()) == [(1, "bir"), (2, "üç"), (3, "bir")]
-    held = snapshots.parts(spark, f"{folder}/documents")
-    assert len(held) == 2 and len(set(held.values())) == 2  # b's part is that of an older snapshot
+    assert sorted((r.version, r.markdown_content) for r in held.read("versions").collect()) == [(1, "bir"), (2, "üç"), (3, "bir")]
+    folders = {f for f in held.state().tables["documents"].values() if f}
+    assert len(folders) == 2 and len({f.split("/")[1] for f in folders}) == 2  # b's part is that of an older commit
+
+
+ROWS = "document_id string, n int"
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    held = snapshots.Store(spark, f"file://{tmp_path}/s")
+    part = {k: spark.createDataFrame([(k,)], "k string").select(snapshots.part_of("k")).first()[0] for k in "abcdef"}
+    a, b = "a", next(k for k in "bcdef" if part[k] != part["a"])
+
+    def adding(key, table, before=lambda: None):
+        def change(state):
+            old = held.read(table, ROWS, [part[key]], state)
+            before()
+            return {table: snapshots.Change(old.union(spark.createDataFrame([(key, old.count())], ROWS)), "document_id", (part[key],)), "other": snapshots.Change(old.limit(0), "document_id", (part[key],))}
+
+        return change
+
+    once = []
+
+    def other_writer(key):
+        def run():
+            if not once:
+                once.append(held.update(adding(key, "t")).number)
+
+        return run
+
+    # another part: this writer's state is the later one, and has both
+    assert held.update(adding(a, "t", other_writer(b))).number == 2 and once == [1]
+    assert sorted(r.document_id for r in held.read("t").collect()) == sorted([a, b])
+    # the same part: the change is made again from the other's state
+    once.clear()
+    assert held.update(adding(a, "t", other_writer(a))).number == 4 and once == [3]
+    assert sorted(r.n for r in held.read("t").where(F.col("document_id") == a).collect()) == [0, 1, 2]
+    base = held.state()
+    held.update(adding(a, "t"))
+    with pytest.raises(snapshots.Conflict):
+        held.commit(base, adding(a, "t")(base))
+    # an entry that is there is never replaced, on either kind of file system
+    for scheme in ("file", "other"):
+        assert not _published(held, base, scheme)
+    assert held.state().number == 5 and held.read("t", state=base).count() == 4
+
+
+def _published(held, state, scheme):
+    fs, _ = snapshots.file_system(held.spark, held.folder)
+
+    class Named:
+        def __getattr__(self, name):
+            return (lambda: scheme) if name == "getScheme" else getattr(fs, name)
+
+    file_system, snapshots.file_system = snapshots.file_system, lambda spark, path: (Named(), file_system(spark, path)[1])
+    try:
+        return held._publish(state)
+    finally:
+        snapshots.file_system = file_system
+
+
+def test_old_states_expire(spark, tmp_path):
+    held = snapshots.Store(spark, f"file://{tmp_path}/s")
+    for i in range(4):
+        held.update(lambda _, i=i: {"t": snapshots.Change(spark.createDataFrame([("a", i)], ROWS), "document_id", tuple(range(snapshots.PARTS))), "u": snapshots.Change(spark.range(i))})
+    assert held.expire(keep=2, idle=3600) == 0 and held.expire(keep=2, idle=-1) == 4
+    assert [r.n for r in held.read("t").collect()] == [3] and [r.n for r in held.read("t", state=held.state(3)).collect()] == [2]
+    assert held.read("u").count() == 3 and held._numbers() == [3, 4]
 
 
 def best_fragment(tokens, terms):

@@ -92,9 +92,9 @@ def test_coverage_from_nine_tenths(spark):
 def test_patches_of_a_store_in_parts(spark, tmp_path):
     folder = str(tmp_path)
     docs = spark.createDataFrame([(str(i), "c", f"metin {i}") for i in range(6)], "document_id string, category string, markdown_content string").withColumn("content_hash", text.content_hash(F.col("markdown_content")))
-    parts = list(range(snapshots.PARTS))
-    snapshots.commit_parts(docs, f"{folder}/documents", "document_id", parts)
-    snapshots.commit_parts(store.chunk_table(docs), f"{folder}/chunks", "document_id", parts)
+    parts = tuple(range(snapshots.PARTS))
+    rows = {"documents": docs, "chunks": store.chunk_table(docs)}
+    snapshots.Store(spark, folder).update(lambda _: {t: snapshots.Change(d, "document_id", parts) for t, d in rows.items()})
     patches = spark.createDataFrame([("1", "yeni"), ("2", "$$ açık"), ("77", "kim")], "document_id string, content string")
     for dry in (True, False):
         assert sorted(r.document_id for r in maintenance.patch_store(spark, folder, patches, dry).collect()) == ["2", "77"]
