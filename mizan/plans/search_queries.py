@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mizan.functions import text
 from mizan.functions.text import ACCENTS
 from mizan.operators import reading, search, store
+from mizan.operators.text_index import TextIndex
 from mizan.operators.vector_index import VectorIndex
 from mizan.plans.registry import query
 from mizan.plans.text_queries import FOLD, STEM
@@ -100,6 +101,16 @@ def fts_rank(spark, sf_dir):
     return _ranked(search.fts(d, _asked(spark), "doc_id")).withColumn("position", F.col("position").cast("long"))
 
 
+@query(f"WITH {fts_sql('(SELECT doc_id, text AS x FROM documents)', 'doc_id')} SELECT query_id, key AS doc_id, round(rank, 6) AS rank, position FROM best WHERE position <= 50 AND rank >= 0.01")
+def text_index_rank(spark, sf_dir):
+    """fts_rank by way of a stored index, made in two batches."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("category"), text.tokens(F.col("text")).alias("tokens"))
+    index = TextIndex(spark, new_folder(spark, "text-index"))
+    for batch in (d.where("key % 2 = 0"), d.where("key % 2 <> 0")):
+        index.add(batch)
+    return _ranked(index.search(_asked(spark))).withColumnRenamed("key", "doc_id").withColumn("position", F.col("position").cast("long"))
+
+
 @query(f"WITH tok AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents) SELECT query_id, doc_id FROM tok, {_ASKED} WHERE len(list_filter({_TOKENS.format('query')}, lambda t: NOT list_contains(tokens, t))) = 0")
 def fts_match(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
@@ -271,6 +282,16 @@ def document_search_category(spark, sf_dir):
     return _document_search(spark, sf_dir, "src3")
 
 
+@query(document_search_sql(" WHERE category = 'src3'"))
+def text_index_search(spark, sf_dir):
+    """document_search_category by way of a stored index of titles, contents and categories."""
+    docs = documents(spark, sf_dir)
+    index = TextIndex(spark, new_folder(spark, "text-index"))
+    index.add(search.document_tokens(docs).withColumnRenamed("document_id", "key"))
+    found = search.document_search(docs, None, _asked(spark), category="src3", index=index)
+    return _ranked(found).withColumn("position", F.col("position").cast("long"))
+
+
 _SCOPE = (("src1",), ("xyz",))
 
 

@@ -1,4 +1,4 @@
-"""Streams: new items, counters, the circuit breaker, event-time windows and ingestion.
+"""Streams: new items, counters, event-time windows and ingestion.
 
 Each function takes a streaming DataFrame and returns one, or starts a query
 that ends once it has read what is there.
@@ -6,15 +6,11 @@ that ends once it has read what is there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mizan.functions import text
-from mizan.operators import store
+from mizan.operators import search, store, text_index
 from mizan.sources import snapshots
 
 
@@ -44,20 +40,7 @@ def sessions(events: DataFrame, time: str, gap: str, late: str = "1 hour", key:
     return timed.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, "w.start", "w.end", "n")
 
 
-def circuit_breaker(results: DataFrame, key: str = "tool", order: str = "seq", threshold: int = 10) -> DataFrame:
-    """Failures in a row so far and whether the breaker is open, after each batch of (key, order, success)."""
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        for ok in pd.concat(list(batches)).sort_values(order)["success"]:
-            streak = 0 if ok else streak + 1
-        state.update((streak,))
-        yield pd.DataFrame({key: [name[0]], "streak": [streak], "open": [streak >= threshold]})
-
-    return results.groupBy(key).applyInPandasWithState(step, f"{key} string, streak int, open boolean", "streak int", "update", GroupStateTimeout.NoTimeout)
-
-
-def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float):
+def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float, full_text: bool = False):
     """Upsert documents, archive changed versions and replace chunks, batch by batch.
 
     incoming: document_id, title, category, markdown_content, and downloaded_at
@@ -65,7 +48,8 @@ def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float):
     greatest hash). The tables are those of a store, kept in parts by document_id;
     a batch writes the parts that it touches, of all tables in one commit that
     also says which batch it was: one that runs again after a crash is left out
-    if it was committed. Returns the query.
+    if it was committed. With full_text the same commit keeps a TextIndex of the
+    documents current. Returns the query.
     """
     schema = "document_id string, title string, category string, markdown_content string, content_hash string"
     chunk_schema = "document_id string, category string, content_hash string, total_chunks int, chunk_index int, chunk_text string"
@@ -87,7 +71,11 @@ def ingest(incoming: DataFrame, folder: str, checkpoint: str, now: float):
             old, versions, chunks = (held.read(t, s, touched, state) for t, s in (("documents", schema), ("versions", version_schema), ("chunks", chunk_schema)))
             versions = versions.unionByName(store.archived(old, new, versions, now).select(*versions.columns))
             rows = {"versions": versions, "chunks": store.replace_children(chunks, store.chunk_table(new)), "documents": store.upsert(old, new)}
-            return {t: snapshots.Change(d, "document_id", touched) for t, d in rows.items()}
+            changes = {t: snapshots.Change(d, "document_id", touched) for t, d in rows.items()}
+            if full_text:
+                words = search.document_tokens(new).withColumnRenamed("document_id", "key")
+                changes |= text_index.TextIndex(batch.sparkSession, folder).changes(words, state)
+            return changes
 
         held.update(change, {checkpoint: number})
         new.unpersist()

@@ -198,8 +198,6 @@ def test_streams(spark, tmp_path, small):
     assert sorted(r.url for r in _collect(spark, jobs.new_items(_stream(spark, items, tmp_path / "i", 2)), "items", "append")) == ["u1", "u2"]
     calls = spark.createDataFrame([("a", True, 1.0), ("a", False, 2.0)], "tool string, error boolean, latency double")
     assert [tuple(r) for r in _collect(spark, jobs.tool_metrics(_stream(spark, calls, tmp_path / "c")), "calls", "complete")] == [("a", 2, 1, 3.0)]
-    results = spark.createDataFrame([("t", i, False) for i in range(10)] + [("s", 0, True)], "tool string, seq int, success boolean")
-    assert sorted(tuple(r) for r in _collect(spark, jobs.circuit_breaker(_stream(spark, results, tmp_path / "r")), "breaker", "update")) == [("s", 0, False), ("t", 10, True)]
     events = spark.read.parquet(f"{small}/events.parquet")
     windows = _collect(spark, jobs.windows(_stream(spark, events, tmp_path / "e"), "ts", "1 day"), "windows", "complete")
     assert sum(r.n for r in windows) == events.count()
