@@ -21,7 +21,11 @@ def feed(spark, tmp_path):
         assert query.awaitTermination(120)
         return {r.tool: (r.streak, r.open, r.phase) for r in said}
 
-    return run
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, breaker.PROVIDER)
+    yield run
+    spark.conf.set(name, old)
 
 
 def failures(tool, first, last):
