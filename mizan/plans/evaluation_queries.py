@@ -161,16 +161,16 @@ def parse_conversation_answers(spark, sf_dir):
     return c.select("conv_id", "turn", evaluation.parse_label(F.col("text")).alias("label"), evaluation.parse_letter(F.col("text")).alias("letter"))
 
 
-@query("SELECT * FROM (VALUES (0, 'entailment', ''), (1, 'contradiction', 'B'), (2, 'unknown', 'C'), (3, 'neutral', 'A')) t(id, label, letter)")
-def parse_answers(spark, sf_dir):
-    d = spark.createDataFrame([(0, "Entailment olur"), (1, "b: contradiction"), (2, "cevap yok"), (3, " NEUTRAL")], "id int, x string")
-    return d.select("id", evaluation.parse_label(F.col("x")).alias("label"), F.when(F.col("id") == 0, F.lit("")).otherwise(evaluation.parse_letter(F.col("x"))).alias("letter"))
-
-
-@query("SELECT * FROM (VALUES (0, 'ara', '{\"q\":\"faiz\"}'), (1, 'ara', '{}'), (2, NULL, '{}')) t(id, name, arguments)")
+@query(
+    "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN 'ara' || turn END AS name, CASE WHEN turn % 3 = 0 THEN '{\"q\":' || conv_id || '}' ELSE '{}' END AS arguments FROM conversations"
+)
 def tool_call_extraction(spark, sf_dir):
-    rows = [(0, '{"tool_calls":[{"function":{"name":"ara","arguments":"{\\"q\\":\\"faiz\\"}"}}]}'), (1, '{"tool_calls":[{"function":{"name":"ara","arguments":"{bozuk"}}]}'), (2, '{"content":"yok"}')]
-    return spark.createDataFrame(rows, "id int, m string").select("id", evaluation.tool_call(F.col("m")).alias("c")).select("id", "c.*")
+    """Messages with a tool call, with one whose arguments can't be read, and without one."""
+    c, turn = read(spark, sf_dir, "conversations"), F.col("turn") % 3
+    arguments = F.when(turn == 0, F.format_string('{"q":%d}', F.col("conv_id"))).otherwise("{bozuk")
+    call = F.struct(F.concat(F.lit("ara"), F.col("turn").cast("string")).alias("name"), arguments.alias("arguments"))
+    message = F.when(turn < 2, F.to_json(F.struct(F.array(F.struct(call.alias("function"))).alias("tool_calls")))).otherwise('{"content":"yok"}')
+    return c.select("conv_id", "turn", evaluation.tool_call(message).alias("c")).select("conv_id", "turn", "c.*")
 
 
 @query("SELECT item_id, list_transform(list_sort(list_transform(['a ' || item_id, 'b ' || item_id, 'c ' || item_id], lambda o: struct_pack(k := sha256('7' || o), o := o))), lambda s: s.o) AS options FROM benchmark")

@@ -94,10 +94,14 @@ def snapshot_page(spark, sf_dir):
     return pages.snapshot_rows(_with_pages(spark, sf_dir, [_TABLE])).select("row_number", "name", "metric_id", "tp", "yp")
 
 
-@query("SELECT 'Nakit' AS name, '1,234' AS tp, '5.50' AS yp, '-' AS total")
+@query("SELECT p_name AS name, '1,0' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS tp, p_size || '.50' AS yp, '-' AS total FROM part")
 def monthly_json(spark, sf_dir):
-    body = '{"success":true,"Json":{"data":{"rows":[{"cell":["g","1","Nakit","b","1234","5.5","-"]},{"cell":["x"]}]}}}'
-    return pages.monthly_rows(spark.createDataFrame([(body,)], "payload string")).select("name", "tp", "yp", "total")
+    """A payload for every part: one row of cells, and one that is too short."""
+    size = F.col("p_size").cast("int")
+    cells = F.array(F.lit("g"), F.lit("1"), F.col("p_name"), F.lit("b"), (size + 1000).cast("string"), F.format_string("%d.5", size), F.lit("-"))
+    rows = F.array(F.struct(cells.alias("cell")), F.struct(F.array(F.lit("x")).alias("cell")))
+    body = F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.struct(rows.alias("rows")).alias("data")).alias("Json")))
+    return pages.monthly_rows(read(spark, sf_dir, "part").select(body.alias("payload"))).select("name", "tp", "yp", "total")
 
 
 @query("SELECT * FROM (VALUES (-1, '/frame.htm', NULL), (-2, NULL, repeat('x', 120)), (-3, NULL, NULL)) t(id, src, content) UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE NOT contains(html, '<iframe') AND NOT contains(html, 'icerik')")
@@ -106,15 +110,18 @@ def iframe_layer(spark, sf_dir):
     return _with_pages(spark, sf_dir, [html for _, html in rows]).select(F.col("page_id").alias("id"), pages.iframe_or_content(F.col("html")).alias("f")).select("id", "f.*")
 
 
-@query("WITH r(requested) AS (VALUES ('1'), ('2'), ('x_3'), ('4')) SELECT * FROM (VALUES ('1', '1', 1, 's1'), ('2', 'b_2', 0, 'c2'), ('x_3', 'x_3', 0, 'c3')) t(requested, document_id, source, content)")
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS requested, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'b_' END || doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS source, CASE WHEN doc_id % 3 = 0 THEN 's' ELSE 'c' END || doc_id AS content "
+    "FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0"
+)
 def document_alias_resolution(spark, sf_dir):
+    """Of every document's id, of which some have chunks under a prefix, some a stored text, some both or none."""
     from mizan.operators.search import resolve_aliases
 
-    d = "document_id string, content string"
-    chunks = spark.createDataFrame([("b_2", "c2"), ("x_3", "c3"), ("a_1", "late")], d)
-    docs = spark.createDataFrame([("1", "s1"), ("b_2", "s2")], d)
-    wanted = spark.createDataFrame([("1",), ("2",), ("x_3",), ("4",)], "requested string")
-    return resolve_aliases(wanted, [chunks, docs], ("a_", "b_"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("requested"))
+    chunks = d.where("doc_id % 2 = 0").select(F.concat(F.lit("b_"), "requested").alias("document_id"), F.concat(F.lit("c"), "requested").alias("content"))
+    docs = d.where("doc_id % 3 = 0").select(F.col("requested").alias("document_id"), F.concat(F.lit("s"), "requested").alias("content"))
+    return resolve_aliases(d.select("requested"), [chunks, docs], ("a_", "b_"))
 
 
 _BLANK = "regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g') = ''"

@@ -213,10 +213,14 @@ def hybrid_search(spark, sf_dir):
     return found.select("query_id", "doc_id", "relevance", "rrf_score", F.col("position").cast("long").alias("position"), "confidence")
 
 
-@query("SELECT doc_id, relevance::DOUBLE AS relevance, confidence FROM (VALUES (1, 0.9, 'high'), (2, 0.83, 'high'), (4, 0.65, 'medium')) t(doc_id, relevance, confidence)")
+@query(
+    "WITH s AS (SELECT CAST(p_partkey % 40 AS INT) AS query_id, p_partkey AS doc_id, round(p_size / 50.0::DOUBLE, 4) AS relevance FROM part), t AS (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS top FROM s) "
+    "SELECT query_id, doc_id, relevance, CASE WHEN relevance >= 0.7 THEN 'high' WHEN relevance >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM t WHERE top - relevance <= 0.08::DOUBLE"
+)
 def score_gap(spark, sf_dir):
-    d = spark.createDataFrame([(0, 1, 0.90), (0, 2, 0.83), (0, 3, 0.82), (1, 4, 0.65)], "query_id int, doc_id int, relevance double")
-    return search.within_gap(d).select("doc_id", "relevance", "confidence")
+    p = read(spark, sf_dir, "part")
+    d = p.select((F.col("p_partkey") % 40).cast("int").alias("query_id"), F.col("p_partkey").alias("doc_id"), F.round(F.col("p_size") / F.lit(50.0), 4).alias("relevance"))
+    return search.within_gap(d).select("query_id", "doc_id", "relevance", "confidence")
 
 
 @query(f"WITH {_VECTORS}, s AS (SELECT query_id, doc_id, chunk_index, round(1 / (1 + exp(-list_dot_product(e, q))), 4) AS score FROM ch, qv) SELECT query_id, doc_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rn FROM s) WHERE rn <= 20")

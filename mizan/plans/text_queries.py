@@ -339,7 +339,13 @@ def parameter_validation(spark, sf_dir):
     return p.select("p_partkey", validation.valid_row(F.lit("1.0.2"), F.col("p_size"), F.col("p_size") % 14, F.lit(2024)).alias("ok"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a b'), (1, '## İKİNCİ BÖLÜM Genel'), (2, '## EK-1 Tablo'), (3, 'Ekonomi **kalın** metin')) t(id, line)")
+@query(
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '## EK-' || p_size || ' Tablo' WHEN 1 THEN '## İKİNCİ BÖLÜM ' || p_name WHEN 2 THEN 'a ' || p_name ELSE 'Ekonomi **' || p_size || '** metin' END AS line FROM part"
+)
 def markdown_cleanup(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(["a ​   b", "**İKİNCİ BÖLÜM Genel**", "EK-1 Tablo", "Ekonomi **kalın** metin"])), "id int, x string")
-    return d.select("id", text.promote_heading(text.fix_emphasis(F.col("x"))).alias("line"))
+    """Lines made of each part's name and size: annexes, bold section titles, odd white space and bold words."""
+    size, name = F.col("p_size").cast("int").cast("string"), F.col("p_name")
+    kind = F.col("p_partkey") % 4
+    line = F.when(kind == 0, F.concat(F.lit("EK-"), size, F.lit(" Tablo"))).when(kind == 1, F.concat(F.lit("**İKİNCİ BÖLÜM "), name, F.lit("**")))
+    line = line.when(kind == 2, F.concat(F.lit("a \u200b   "), name)).otherwise(F.concat(F.lit("Ekonomi **"), size, F.lit("** metin")))
+    return read(spark, sf_dir, "part").select("p_partkey", text.promote_heading(text.fix_emphasis(line)).alias("line"))

@@ -51,10 +51,15 @@ def extraction_chain(spark, sf_dir):
     return extraction.choose_backend(d).select("document_id", "method", "error")
 
 
-@query("SELECT * FROM (VALUES ('a', '# Başlık', 'html_parser', NULL, false), ('b', '', 'failed', 'no meaningful content extracted', true), ('c', '', 'failed', 'extracted content is a navigation page', true)) t(document_id, content, method, error, retryable)")
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 3 = 0 THEN '# Başlık ' || source ELSE '' END AS content, CASE WHEN doc_id % 3 = 0 THEN 'html_parser' ELSE 'failed' END AS method, "
+    "CASE doc_id % 3 WHEN 1 THEN 'no meaningful content extracted' WHEN 2 THEN 'extracted content is a navigation page' END AS error, doc_id % 3 <> 0 AS retryable FROM documents"
+)
 def extraction_of_html(spark, sf_dir):
-    rows = [("a", "<h1>Başlık</h1>".encode()), ("b", b"<script>x</script>"), ("c", ("<p>404 - Sayfa Bulunamadı</p>" + " " * 400).encode())]
-    return extraction.extract_html(spark.createDataFrame(rows, "document_id string, content binary"))
+    """Downloads made of each document's source: a heading, a script alone and a page that says it isn't there."""
+    d, kind = read(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    html = F.when(kind == 0, F.concat(F.lit("<h1>Başlık "), "source", F.lit("</h1>"))).when(kind == 1, "<script>x</script>").otherwise("<p>404 - Sayfa Bulunamadı</p>" + " " * 400)
+    return extraction.extract_html(d.select(F.col("doc_id").cast("string").alias("document_id"), html.cast("binary").alias("content")))
 
 
 @query("SELECT * FROM (VALUES (-1, true, false), (-2, false, true), (-3, false, false), (-4, true, false)) t(id, aware, degraded) UNION ALL SELECT doc_id, false, coalesce(lang, '') <> '' FROM documents")
