@@ -35,10 +35,15 @@ def html_to_markdown(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", markdown.html_to_markdown("html").alias("markdown"))
 
 
-def _with_pages(spark, sf_dir, fragments):
-    """The driver's pages, and the fragments under negative ids."""
+#: Pages made of parts have ids from here on.
+_MADE = 1_000_000
+
+
+def _with_pages(spark, sf_dir, fragments, made):
+    """The driver's pages, the fragments under negative ids, and a page for every part; made: its html as a format of SQL's columns."""
     own = read(spark, sf_dir, "pages").select(F.col("page_id").cast("int").alias("page_id"), "html")
-    return own.union(spark.createDataFrame([(-1 - i, html) for i, html in enumerate(fragments)], "page_id int, html string"))
+    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") + _MADE).cast("int").alias("page_id"), F.expr(made).alias("html"))
+    return own.union(spark.createDataFrame([(-1 - i, html) for i, html in enumerate(fragments)], "page_id int, html string")).union(parts)
 
 
 _LIST = [
@@ -48,50 +53,56 @@ _LIST = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('12', 'Karar bir', '07.03.2024', '10823', 'https://host/Mevzuat/DokumanGetir/12'), ('13', 'Tarihsiz karar', '', '', 'https://host/Mevzuat/DokumanGetir/13')) t(document_id, title, decision_date, decision_number, source_url)")
+@query("SELECT * FROM (VALUES ('12', 'Karar bir', '07.03.2024', '10823', 'https://host/Mevzuat/DokumanGetir/12'), ('13', 'Tarihsiz karar', '', '', 'https://host/Mevzuat/DokumanGetir/13')) t(document_id, title, decision_date, decision_number, source_url) UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, CASE WHEN p_partkey % 2 = 0 THEN '07.03.2024' ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END, 'https://host/Mevzuat/DokumanGetir/' || p_partkey FROM part")
 def decision_pages(spark, sf_dir):
-    p = _with_pages(spark, sf_dir, [_LIST[0][1]])
+    p = _with_pages(spark, sf_dir, [_LIST[0][1]], "'<p><a href=\"/Mevzuat/DokumanGetir/' || p_partkey || '\">' || IF(p_partkey % 2 = 0, '(07.03.2024 - ' || p_size || ') ', '') || p_name || '</a><a href=\"/Mevzuat/DokumanGetir/0\"> </a>'")
     return pages.decisions(pages.anchors(p), "Karar", "https://host/Mevzuat/DokumanGetir/{}").select("document_id", "title", "decision_date", "decision_number", "source_url")
 
 
-@query("SELECT * FROM (VALUES (-1, '5', 'Kanun', 'Kanun', 'https://host/Mevzuat/DokumanGetir/5'), (-1, 'mevzuat_5411', 'Dış', 'Kanun', 'https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=5411'), (-2, '6', 'Başka', 'Sayfa -2', 'https://host/Mevzuat/DokumanGetir/6')) t(page_id, document_id, title, category, source_url)")
+@query("SELECT * FROM (VALUES (-1, '5', 'Kanun', 'Kanun', 'https://host/Mevzuat/DokumanGetir/5'), (-1, 'mevzuat_5411', 'Dış', 'Kanun', 'https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=5411'), (-2, '6', 'Başka', 'Sayfa -2', 'https://host/Mevzuat/DokumanGetir/6')) t(page_id, document_id, title, category, source_url) UNION ALL SELECT CAST(p_partkey + 1000000 AS INT), CAST(p_partkey AS VARCHAR), p_name, 'Sayfa ' || (p_partkey + 1000000), 'https://host/Mevzuat/DokumanGetir/' || p_partkey FROM part UNION ALL SELECT CAST(p_partkey + 1000000 AS INT), 'mevzuat_' || p_partkey, p_brand, 'Sayfa ' || (p_partkey + 1000000), 'https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=' || p_partkey FROM part")
 def flat_pages(spark, sf_dir):
-    p = _with_pages(spark, sf_dir, [html for _, html in _LIST[1:]])
+    link = "'<a href=\"/Mevzuat/DokumanGetir/' || p_partkey || '\">' || {} || '</a>'"
+    made = " || ".join([link.format("p_name"), link.format("'Tekrar'"), "'<a href=\"https://www.mevzuat.gov.tr/mevzuat?MevzuatNo=' || p_partkey || '\">' || p_brand || '</a><a href=\"/Mevzuat/Detay/1\">Ayrıntı</a>'"])
+    p = _with_pages(spark, sf_dir, [html for _, html in _LIST[1:]], made)
     return pages.flat_pages(p, "https://host", {-1: "Kanun"}).select("page_id", "document_id", "title", "category", "source_url")
 
 
 _CARDS = '<div class="card"><h5>Tebliğler (2)</h5><div class="card-body"><ul><li><a href="/Mevzuat/DokumanGetir/1">Bir</a><li><a href="/Mevzuat/DokumanGetir/2">İki</a></ul></div></div><div class="card"><h5>Diğer</h5><div class="collapse"><a href="/Mevzuat/DokumanGetir/3">Üç</a></div></div>'
 
 
-@query("SELECT * FROM (VALUES ('1', 'Bir', 'Tebliğ'), ('2', 'İki', 'Tebliğ'), ('3', 'Üç', 'Diğer')) t(document_id, title, category)")
+@query("SELECT * FROM (VALUES ('1', 'Bir', 'Tebliğ'), ('2', 'İki', 'Tebliğ'), ('3', 'Üç', 'Diğer')) t(document_id, title, category) UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, p_brand FROM part UNION ALL SELECT CAST(p_partkey + 5000 AS VARCHAR), p_type, 'Tebliğ' FROM part")
 def accordion_pages(spark, sf_dir):
-    p = _with_pages(spark, sf_dir, [_CARDS])
+    card = "'<div class=\"card\"><h5>' || {} || ' (' || p_size || ')</h5><div class=\"card-body\"><ul><li><a href=\"/Mevzuat/DokumanGetir/' || {} || '\">' || {} || '</a></ul></div></div>'"
+    p = _with_pages(spark, sf_dir, [_CARDS], card.format("p_brand", "p_partkey", "p_name") + " || " + card.format("'Tebliğler'", "(p_partkey + 5000)", "p_type"))
     return pages.accordion_pages(p, "https://host", {"Tebliğler": "Tebliğ"}).select("document_id", "title", "category")
 
 
 _BANKS = '<div class="card"><h5>Mevduat Bankaları (2)</h5><div class="card-body"><ul><li>1. Birinci Banka A.Ş. <a href="https://b.example">web</a> Detay</li><li>2. Yeni Dijital Banka</li></ul></div></div><div class="card"><h5>TMSF Bankaları</h5><div class="card-body"><li>Eski Banka</li></div></div>'
 
 
-@query("SELECT * FROM (VALUES ('Birinci Banka A.Ş.', 'https://b.example', 'Mevduat Bankaları', 'Aktif', false), ('Yeni', '', 'Mevduat Bankaları', 'Aktif', true), ('Eski Banka', '', 'TMSF Bankaları', 'İptal Edilmiş', false)) t(name, website, subcategory, status, digital)")
+@query("SELECT * FROM (VALUES ('Birinci Banka A.Ş.', 'https://b.example', 'Mevduat Bankaları', 'Aktif', false), ('Yeni', '', 'Mevduat Bankaları', 'Aktif', true), ('Eski Banka', '', 'TMSF Bankaları', 'İptal Edilmiş', false)) t(name, website, subcategory, status, digital) UNION ALL SELECT p_name, 'https://b' || p_partkey || '.example', p_type, 'Aktif', false FROM part")
 def institution_pages(spark, sf_dir):
-    p = _with_pages(spark, sf_dir, [_BANKS]).withColumn("kind", F.lit("Banka"))
+    made = "'<div class=\"card\"><h5>' || p_type || ' (1)</h5><div class=\"card-body\"><ul><li>' || p_size || '. ' || p_name || ' <a href=\"https://b' || p_partkey || '.example\">web</a> Detay</li></ul></div></div>'"
+    p = _with_pages(spark, sf_dir, [_BANKS], made).withColumn("kind", F.lit("Banka"))
     return p.select(F.explode(directory.html_institutions("html", "kind")).alias("i")).select("i.*")
 
 
 _NEWS = '<a href="/Duyuru/Detay/1"><span class="gorunenTarih">01.02.2024</span><span class="text">Yeni duyuru 01.02.2024</span></a><a href="/Duyuru/Detay/2">Başlık</a><a href="/x">Yok</a>'
 
 
-@query("SELECT * FROM (VALUES ('Yeni duyuru', '01.02.2024', 'https://host/Duyuru/Detay/1'), ('Başlık', '', 'https://host/Duyuru/Detay/2')) t(title, date, url)")
+@query("SELECT * FROM (VALUES ('Yeni duyuru', '01.02.2024', 'https://host/Duyuru/Detay/1'), ('Başlık', '', 'https://host/Duyuru/Detay/2')) t(title, date, url) UNION ALL SELECT p_name, '01.02.2024', 'https://host/Duyuru/Detay/' || p_partkey FROM part UNION ALL SELECT p_brand, '', 'https://other.example/Duyuru/Detay/' || p_size FROM part")
 def announcement_pages(spark, sf_dir):
-    return pages.announcements(_with_pages(spark, sf_dir, [_NEWS]), "https://host").select("title", "date", "url")
+    made = "'<a href=\"/Duyuru/Detay/' || p_partkey || '\"><span class=\"gorunenTarih\">01.02.2024</span><span class=\"text\">' || p_name || ' 01.02.2024</span></a><a href=\"https://other.example/Duyuru/Detay/' || p_size || '\">' || p_brand || '</a>'"
+    return pages.announcements(_with_pages(spark, sf_dir, [_NEWS], made), "https://host").select("title", "date", "url")
 
 
 _TABLE = "<table><tr><td>1</td><td>Krediler <a onclick=\"ShowModalGraph('1.0.1')\">g</a></td><td>10</td><td>20</td></tr><tr><td>2</td><td>Yok</td><td>1</td><td>2</td></tr></table>"
 
 
-@query("SELECT '1' AS row_number, 'Krediler g' AS name, '1.0.1' AS metric_id, '10' AS tp, '20' AS yp")
+@query("SELECT '1' AS row_number, 'Krediler g' AS name, '1.0.1' AS metric_id, '10' AS tp, '20' AS yp UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name || ' g', '2.' || p_size, CAST(p_size AS VARCHAR), CAST(p_size * 2 AS VARCHAR) FROM part")
 def snapshot_page(spark, sf_dir):
-    return pages.snapshot_rows(_with_pages(spark, sf_dir, [_TABLE])).select("row_number", "name", "metric_id", "tp", "yp")
+    made = "'<table><tr><td>' || p_partkey || '</td><td><b>' || p_name || '</b> <a onclick=\"ShowModalGraph(\\'2.' || p_size || '\\')\">g</a></td><td>' || p_size || '</td><td>' || p_size * 2 || '</td></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td></tr></table>'"
+    return pages.snapshot_rows(_with_pages(spark, sf_dir, [_TABLE], made)).select("row_number", "name", "metric_id", "tp", "yp")
 
 
 @query("SELECT p_name AS name, '1,0' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS tp, p_size || '.50' AS yp, '-' AS total FROM part")
@@ -104,10 +115,11 @@ def monthly_json(spark, sf_dir):
     return pages.monthly_rows(read(spark, sf_dir, "part").select(body.alias("payload"))).select("name", "tp", "yp", "total")
 
 
-@query("SELECT * FROM (VALUES (-1, '/frame.htm', NULL), (-2, NULL, repeat('x', 120)), (-3, NULL, NULL)) t(id, src, content) UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE NOT contains(html, '<iframe') AND NOT contains(html, 'icerik')")
+@query("SELECT * FROM (VALUES (-1, '/frame.htm', NULL), (-2, NULL, repeat('x', 120)), (-3, NULL, NULL)) t(id, src, content) UNION ALL SELECT page_id, NULL, NULL FROM pages WHERE NOT contains(html, '<iframe') AND NOT contains(html, 'icerik') UNION ALL SELECT p_partkey + 1000000, CASE WHEN p_partkey % 2 = 0 THEN '/frame' || p_partkey || '.htm' END, CASE WHEN p_partkey % 2 = 1 AND p_size > 20 THEN repeat('x', CAST(80 + p_size AS INT)) END FROM part")
 def iframe_layer(spark, sf_dir):
     rows = [(0, '<iframe src="/frame.htm"></iframe>'), (1, f'<div id="icerik">{"x" * 120}</div>'), (2, '<div id="icerik">kısa</div>')]
-    return _with_pages(spark, sf_dir, [html for _, html in rows]).select(F.col("page_id").alias("id"), pages.iframe_or_content(F.col("html")).alias("f")).select("id", "f.*")
+    made = "IF(p_partkey % 2 = 0, '<iframe src=\"/frame' || p_partkey || '.htm\"></iframe>', '<div id=\"icerik\">' || repeat('x', int(80 + p_size)) || '</div>')"
+    return _with_pages(spark, sf_dir, [html for _, html in rows], made).select(F.col("page_id").alias("id"), pages.iframe_or_content(F.col("html")).alias("f")).select("id", "f.*")
 
 
 @query(
@@ -151,7 +163,8 @@ def audit_documents(spark, sf_dir):
 _SETTINGS = [(-1, """<form><input type="hidden" name="__RequestVerificationToken" value="abc"/></form><script>x = {"tarih": '27.03.2026'}</script>""")]
 
 
-@query("SELECT page_id, '' AS token, '' AS date FROM pages UNION ALL SELECT -1, 'abc', '27.03.2026'")
+@query("SELECT page_id, '' AS token, '' AS date FROM pages UNION ALL SELECT -1, 'abc', '27.03.2026' UNION ALL SELECT p_partkey + 1000000, CASE WHEN p_size > 10 THEN 't' || p_partkey ELSE '' END, lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') || '.03.2026' FROM part")
 def bulletin_settings(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", "html").union(spark.createDataFrame(_SETTINGS, "page_id long, html string"))
+    made = "'<form><input name=\"' || IF(p_size > 10, '__RequestVerificationToken', 'other') || '\" type=\"hidden\" value=\"t' || p_partkey || '\"/></form><script>x = {\"tarih\": \\'' || lpad(p_size % 28 + 1, 2, '0') || '.03.2026\\'}</script>'"
+    p = _with_pages(spark, sf_dir, [html for _, html in _SETTINGS], made)
     return p.select("page_id", pages.bulletin_settings(F.col("html")).alias("s")).select("page_id", "s.*")

@@ -59,9 +59,9 @@ def keyword_search_filtered(spark, sf_dir):
 TITLES = ["Bankaların Kredi İşlemleri Yönetmeliği", "Kredi Kartları Tebliği", "IŞIK ve İNŞAAT Genelgesi", "Sermaye Yeterliliği Rehberi"]
 
 
-@query("SELECT * FROM (VALUES (-1, 6, NULL), (-2, NULL, 9), (-3, NULL, NULL), (-4, NULL, NULL)) t(id, kredi_banka, kredi_kartlar) UNION ALL SELECT p_partkey, NULL, NULL FROM part")
+@query("SELECT * FROM (VALUES (-1, 6, NULL), (-2, NULL, 9), (-3, NULL, NULL), (-4, NULL, NULL)) t(id, kredi_banka, kredi_kartlar) UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 6 END, CASE WHEN p_partkey % 3 = 0 THEN 9 END FROM part")
 def keyword_scores(spark, sf_dir):
-    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    own = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'Kredi Kartları Tebliği ' WHEN 1 THEN 'Bankaların Kredi İşlemleri ' ELSE '' END || p_name").alias("title"))
     d = own.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(TITLES)], "id long, title string"))
     return d.select("id", search.keyword_score("KREDİ banka", F.col("title")).alias("kredi_banka"), search.keyword_score("kredi kartlar tebliği", F.col("title")).alias("kredi_kartlar"))
 

@@ -232,21 +232,25 @@ ADDRESSES = [
 ]
 
 
+_MADE = "'{}/mevzuat?MevzuatNo=' || p_partkey || '&MevzuatTur=' || CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '7' END || '&MevzuatTertip=' || p_size"
+
+
 def _addresses(spark):
     return spark.createDataFrame([(i, a) for i, a in enumerate(ADDRESSES)], "id int, url string")
 
 
-@query("SELECT * FROM (VALUES (0, 'mevzuat_5411'), (1, 'mevzuat_12345'), (2, NULL), (3, NULL), (4, NULL), (5, 'mevzuat_9')) t(id, document_id) UNION ALL SELECT CAST(page_id + 100 AS INT), CASE WHEN contains(url, 'mevzuat.gov.tr') THEN '?' END FROM pages")
+@query("SELECT * FROM (VALUES (0, 'mevzuat_5411'), (1, 'mevzuat_12345'), (2, NULL), (3, NULL), (4, NULL), (5, 'mevzuat_9')) t(id, document_id) UNION ALL SELECT CAST(page_id + 100 AS INT), CASE WHEN contains(url, 'mevzuat.gov.tr') THEN '?' END FROM pages UNION ALL SELECT CAST(p_partkey + 1000000 AS INT), 'mevzuat_' || p_partkey FROM part")
 def url_ids(spark, sf_dir):
-    more = read(spark, sf_dir, "pages").select((F.col("page_id") + 100).cast("int").alias("id"), "url")
-    return _addresses(spark).union(more).select("id", urls.external_id(F.col("url")).alias("document_id"))
+    return _all_addresses(spark, sf_dir).select("id", urls.external_id(F.col("url")).alias("document_id"))
 
 
 def _all_addresses(spark, sf_dir):
-    return _addresses(spark).union(read(spark, sf_dir, "pages").select((F.col("page_id") + 100).cast("int").alias("id"), "url"))
+    more = read(spark, sf_dir, "pages").select((F.col("page_id") + 100).cast("int").alias("id"), "url")
+    made = read(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000).cast("int").alias("id"), F.expr(_MADE.format("https://www.mevzuat.gov.tr")).alias("url"))
+    return _addresses(spark).union(more).union(made)
 
 
-@query("SELECT * FROM (VALUES (0, '5411', '1', '5'), (1, '12345', '7', '5'), (2, '', '7', '5'), (3, '1', '7', '5'), (4, '', '7', '5'), (5, '9', '77', '5')) t(id, number, type, part) UNION ALL SELECT CAST(page_id + 100 AS INT), '', '7', '5' FROM pages")
+@query("SELECT * FROM (VALUES (0, '5411', '1', '5'), (1, '12345', '7', '5'), (2, '', '7', '5'), (3, '1', '7', '5'), (4, '', '7', '5'), (5, '9', '77', '5')) t(id, number, type, part) UNION ALL SELECT CAST(page_id + 100 AS INT), '', '7', '5' FROM pages UNION ALL SELECT CAST(p_partkey + 1000000 AS INT), CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN '1' ELSE '7' END, CAST(p_size AS VARCHAR) FROM part")
 def url_params(spark, sf_dir):
     return _all_addresses(spark, sf_dir).select("id", urls.parameters(F.col("url")).alias("p")).select("id", "p.*")
 
@@ -258,7 +262,9 @@ _BASE = "https://www.mevzuat.gov.tr"
     f"SELECT * FROM (VALUES (0, '{_BASE}/MevzuatMetin/kanun/1.5.5411.pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=5411&mevzuatTur=Kanun&mevzuatTertip=5', '{_BASE}/MevzuatMetin/kanun/1.5.5411.doc'), "
     f"(1, '{_BASE}/MevzuatMetin/yonetmelik/7.5.12345.pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=12345&mevzuatTur=Yonetmelik&mevzuatTertip=5', '{_BASE}/MevzuatMetin/yonetmelik/7.5.12345.doc'), "
     f"(5, NULL, NULL, '{_BASE}/MevzuatMetin/yonetmelik/77.5.9.doc')) t(id, pdf, generated, doc) "
-    f"UNION ALL SELECT CAST(page_id + 100 AS INT), '{_BASE}/MevzuatMetin/yonetmelik/7.5..pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=&mevzuatTur=Yonetmelik&mevzuatTertip=5', '{_BASE}/MevzuatMetin/yonetmelik/7.5..doc' FROM pages"
+    f"UNION ALL SELECT CAST(page_id + 100 AS INT), '{_BASE}/MevzuatMetin/yonetmelik/7.5..pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=&mevzuatTur=Yonetmelik&mevzuatTertip=5', '{_BASE}/MevzuatMetin/yonetmelik/7.5..doc' FROM pages "
+    f"UNION ALL SELECT CAST(p_partkey + 1000000 AS INT), '{_BASE}/MevzuatMetin/' || s || '.pdf', '{_BASE}/File/GeneratePdf?mevzuatNo=' || p_partkey || '&mevzuatTur=' || CASE WHEN p_partkey % 2 = 0 THEN 'Kanun' ELSE 'Yonetmelik' END || '&mevzuatTertip=' || p_size, '{_BASE}/MevzuatMetin/' || s || '.doc' "
+    "FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'kanun/1.' ELSE 'yonetmelik/7.' END || p_size || '.' || p_partkey AS s FROM part)"
 )
 def url_builders(spark, sf_dir):
     p = urls.parameters(F.col("url"))

@@ -62,10 +62,10 @@ def extraction_of_html(spark, sf_dir):
     return extraction.extract_html(d.select(F.col("doc_id").cast("string").alias("document_id"), html.cast("binary").alias("content")))
 
 
-@query("SELECT * FROM (VALUES (-1, true, false), (-2, false, true), (-3, false, false), (-4, true, false)) t(id, aware, degraded) UNION ALL SELECT doc_id, false, coalesce(lang, '') <> '' FROM documents")
+@query("SELECT * FROM (VALUES (-1, true, false), (-2, false, true), (-3, false, false), (-4, true, false)) t(id, aware, degraded) UNION ALL SELECT doc_id, doc_id % 4 IN (0, 3), doc_id % 4 = 1 FROM documents")
 def formula_methods(spark, sf_dir):
     d = spark.createDataFrame([(-1, "LightOCR-1"), (-2, "markitdown_degraded"), (-3, ""), (-4, "x+manual_latex")], "id long, m string")
-    d = d.union(read(spark, sf_dir, "documents").select("doc_id", "lang"))
+    d = d.union(read(spark, sf_dir, "documents").select("doc_id", F.expr("element_at(array('LightOCR-' || coalesce(lang, ''), 'markitdown_degraded', '', coalesce(lang, '') || '+manual_latex'), int(doc_id % 4) + 1)")))
     return d.select("id", extraction.formula_aware(F.col("m")).alias("aware"), extraction.degraded(F.col("m")).alias("degraded"))
 
 
