@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,16 +168,41 @@ def rescue(candidates: DataFrame, fetch: Callable[[str], str], delay: float = 2.
     return candidates.select("document_id").repartition(1).mapInPandas(run, "document_id string, ok boolean, reason string")
 
 
-def start_up(steps: list[tuple[str, Callable[[], object]]], timeout: float = 300.0, clock=time.monotonic) -> list[tuple[str, str]]:
-    """Phases in order until the time is over; a phase that fails doesn't end the others."""
+def start_up(steps: list[tuple[str, Callable[[], object]]], timeout: float = 300.0, clock=time.monotonic, spark=None, grace: float = 10.0) -> list[tuple[str, str]]:
+    """Phases in order until the time is over; a phase that fails doesn't end the others.
+
+    With a session each phase has its share of the time left. The Spark jobs of
+    one that takes longer are cancelled by their tag, and the next phase begins;
+    what else it does goes on in its own thread.
+    """
     began, out = clock(), []
-    for name, step in steps:
-        if clock() - began >= timeout:
+    for i, (name, step) in enumerate(steps):
+        left = timeout - (clock() - began)
+        if left <= 0:
             out.append((name, "skipped"))
             continue
-        try:
-            step()
-            out.append((name, "done"))
-        except Exception as error:  # noqa: BLE001  a phase may fail in any way
-            out.append((name, f"failed: {error}"))
+        said: list[str] = []
+
+        def run(step=step, said=said, tag=None):
+            if tag:
+                spark.sparkContext.addJobTag(tag)
+            try:
+                step()
+                said.append("done")
+            except Exception as error:  # noqa: BLE001  a phase may fail in any way
+                said.append(f"failed: {error}")
+
+        if spark is None:
+            run()
+        else:
+            tag = f"start-up-{uuid.uuid4().hex}"
+            thread = InheritableThread(target=lambda run=run, tag=tag: run(tag=tag))
+            thread.daemon = True
+            thread.start()
+            thread.join(left / (len(steps) - i))
+            if thread.is_alive():
+                spark.sparkContext.cancelJobsWithTag(tag)
+                thread.join(grace)
+                said[:] = ["timed out"]
+        out.append((name, said[0]))
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mizan.functions import text
-from mizan.operators import search, store, text_index
+from mizan.operators import pages, search, store, text_index
 from mizan.sources import snapshots
 
 
@@ -22,6 +22,22 @@ def new_items(items: DataFrame, key: str = "url", time: str | None = None, late:
     return some.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def new_announcements(polled: DataFrame, base: str) -> DataFrame:
+    """page_id, pos, title, date, url, baseline of announcements that the page seen before didn't have.
+
+    polled: rows of sources.web.ListPageStream. Those of a page that is seen for
+    the first time are its baseline.
+    """
+    as_text = lambda c: F.make_valid_utf8(F.col(c).cast("string"))
+    rows = polled.select(F.struct("page_id", as_text("seen").alias("seen")).alias("k"), as_text("content").alias("html"))
+    found = pages.announcements(rows, base, "k")
+    # the address stands in the old page as it is, or without the host
+    old, own = F.col("k.seen"), F.replace("url", F.lit(base), F.lit(""))
+    quoted = [F.contains(old, F.concat(F.lit(q), a, F.lit(q))) for q in "\"'" for a in (F.col("url"), own)]
+    known = quoted[0] | quoted[1] | quoted[2] | quoted[3]
+    return found.where(old.isNull() | ~known).select("k.page_id", "pos", "title", "date", "url", old.isNull().alias("baseline"))
+
+
 def tool_metrics(calls: DataFrame) -> DataFrame:
     """Requests, errors and total latency by tool; for update or complete mode."""
     return calls.groupBy("tool").agg(F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.sum("latency").alias("latency"))
