@@ -66,9 +66,11 @@ def apart(places: Column, least: int = 40) -> Column:
     return F.aggregate(F.array_sort(places), none, lambda kept, p: F.when((F.size(kept) == 0) | (p - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0)) >= least), F.concat(kept, F.array(p))).otherwise(kept))
 
 
-def places_of(x: Column, part: Column, most: int = 1000) -> Column:
-    """Positions, from 0, of a text's occurrences without overlaps, the first `most`."""
-    pieces = F.slice(F.split(x, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1), 1, most + 1)
+def places_of(x: Column, part: Column, most: int | None = None) -> Column:
+    """Positions, from 0, of a text's occurrences without overlaps: all, or the first `most` if that many are asked for."""
+    pieces = F.split(x, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
+    if most is not None:
+        pieces = F.slice(pieces, 1, most + 1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
     step = lambda s, p: F.struct((s["at"] + F.length(p) + F.length(part)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found"))
     # what follows the last occurrence isn't one

@@ -176,16 +176,16 @@ def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
 def fts_matches(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """query_id, key of the documents that hold all terms of a query; one without terms matches all.
 
-    Documents meet a query by its anchor term; those without terms have the empty one, which all documents hold if it is asked.
+    Documents meet the terms one by one, and a query whose terms they all have;
+    a query without terms asks for the empty one, which all documents hold if it is asked.
     """
     asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
-    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
-    asked = asked.withColumn("anchor", F.coalesce(longest, F.lit("")))
-    every = asked.agg(F.coalesce(F.bool_or(F.col("anchor") == ""), F.lit(False))).first()[0]
+    asked = asked.withColumn("terms", F.when(F.size("terms") == 0, F.array(F.lit(""))).otherwise(F.col("terms")))
+    terms = asked.select("query_id", F.size("terms").alias("need"), F.explode("terms").alias("term"))
+    every = not terms.where("term = ''").isEmpty()
     own = F.array_distinct("tokens")
-    held = docs.select(F.col(key).alias(key), F.explode_outer(F.array(F.array_append(own, F.lit("")) if every else own)).alias("own"))
-    both = held.withColumn("anchor", F.explode("own")).join(asked, "anchor")
-    return both.where(F.size(F.array_except("terms", "own")) == 0).select("query_id", key)
+    held = docs.select(F.col(key).alias(key), F.explode(F.array_append(own, F.lit("")) if every else own).alias("term"))
+    return held.join(terms, "term").groupBy("query_id", "need", key).agg(F.count("*").alias("n")).where("n = need").select("query_id", key)
 
 
 def query_terms(queries: DataFrame, clean: bool = True) -> DataFrame:

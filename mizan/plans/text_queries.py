@@ -334,9 +334,9 @@ def anchor_edits(spark, sf_dir):
     return _texts(spark, sf_dir, _EDITED).select("id", markup.replace_once(F.col("x"), F.lit("b"), F.lit("X")).alias("e")).select("id", "e.*")
 
 
-@query("WITH n AS (SELECT doc_id, list_transform(string_split(text, ' the '), lambda p: length(p)) AS n FROM documents) SELECT doc_id, list_transform(range(1, least(len(n), 101)), lambda i: CAST(list_sum(n[1:i]) + 5 * (i - 1) AS INT)) AS places FROM n")
+@query("WITH n AS (SELECT doc_id, list_transform(string_split(text, ' the '), lambda p: length(p)) AS n FROM documents) SELECT doc_id, list_transform(range(1, len(n)), lambda i: CAST(list_sum(n[1:i]) + 5 * (i - 1) AS INT)) AS places FROM n")
 def anchor_places(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", reports.places_of(F.col("text"), F.lit(" the "), 100).alias("places"))
+    return read(spark, sf_dir, "documents").select("doc_id", reports.places_of(F.col("text"), F.lit(" the ")).alias("places"))
 
 
 @query("SELECT p_partkey, p_size BETWEEN 1 AND 17 AND p_size % 14 BETWEEN 1 AND 12 AS ok FROM part")
