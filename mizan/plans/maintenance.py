@@ -127,7 +127,7 @@ def embedder(embed: Callable[[list[str]], list[list[float]]], prefix: str = "pas
 
 
 def hashed_embedding(texts: list[str], size: int = 64) -> list[list[float]]:
-    """A stand-in for a model: words hashed to signed places, unit length."""
+    """A stand-in for a model: words hashed to signed places, unit length; where they cancel out, or there are none, the text's own hash names the place."""
     import zlib
 
     out = []
@@ -136,7 +136,9 @@ def hashed_embedding(texts: list[str], size: int = 64) -> list[list[float]]:
         for w in t.lower().split():
             h = zlib.crc32(w.encode())
             v[h % size] += 1.0 if h & 0x10000 else -1.0
-        norm = sum(x * x for x in v) ** 0.5 or 1.0
+        if not any(v):
+            v[zlib.crc32(t.encode()) % size] = 1.0
+        norm = sum(x * x for x in v) ** 0.5
         out.append([x / norm for x in v])
     return out
 

@@ -53,6 +53,12 @@ def test_embeddings_fill_only_gaps(spark):
     assert got == {"a": [1.0, 0.0], "b": [10.0, 0.0]}
 
 
+def test_stand_in_embeddings_have_unit_length():
+    # w0 and w179 have one place and opposite signs
+    for v in maintenance.hashed_embedding(["w0 w179", "", "w0", "w0 w0 w1"]):
+        assert abs(sum(x * x for x in v) - 1) < 1e-9
+
+
 def test_html_first_takes_the_frame(spark):
     pdf = b"%PDF-" + b"x" * 600
     rows = [("a", 0, "iframe", 200, b"y" * 300), ("a", 0, "generate_pdf", 200, pdf)]
