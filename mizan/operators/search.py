@@ -103,12 +103,12 @@ def covers(hits: DataFrame, terms: DataFrame) -> DataFrame:
     own = Window.partitionBy("query_id", "key").orderBy("pos")
     hits = hits.withColumn("k", F.row_number().over(own))
     # for every hit and query term, the last hit of that term so far
-    spread = hits.join(terms.withColumnRenamed("term", "q"), "query_id")
+    spread = hits.join(F.broadcast(terms.withColumnRenamed("term", "q")), "query_id")
     last = Window.partitionBy("query_id", "key", "q").orderBy("pos")
     at = F.when(F.col("term") == F.col("q"), F.struct("pos", "k"))
     spread = spread.withColumn("last", F.max(at).over(last))
     ends = spread.groupBy("query_id", "key", "pos", "k").agg(F.min("last").alias("begin"), F.count("last").alias("seen"))
-    ends = ends.join(need, "query_id").where(F.col("seen") == F.col("need"))
+    ends = ends.join(F.broadcast(need), "query_id").where(F.col("seen") == F.col("need"))
     ends = ends.withColumn("before", F.lag("begin.pos").over(own))
     minimal = ends.where(F.col("before").isNull() | (F.col("begin.pos") > F.col("before")))
     return minimal.select("query_id", "key", F.col("begin.pos").alias("first"), F.col("pos").alias("last"), F.col("begin.k").alias("first_k"), F.col("k").alias("last_k"))
@@ -163,14 +163,14 @@ def ranked_inside(docs: DataFrame, terms: DataFrame, asked: list[str], key: str)
     # at most INSIDE_TERMS terms; explode_outer, as the inner form would split every text twice, first to test for an empty array
     held = docs.select(F.col(key).alias("key"), F.explode_outer(F.array(found)).alias("hits")).where(F.size("hits") > 0)
     held = held.withColumn("own", F.array_distinct(F.transform("hits", lambda h: h["term"])))
-    both = held.withColumn("anchor", F.explode("own")).join(anchored(terms), "anchor").where(F.size(F.array_except("terms", "own")) == 0)
+    both = held.withColumn("anchor", F.explode("own")).join(F.broadcast(anchored(terms)), "anchor").where(F.size(F.array_except("terms", "own")) == 0)
     return both.select("query_id", "key", cover_rank(F.col("hits"), F.col("terms")).alias("rank")).where("rank > 0")
 
 
 def hits_of(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """query_id, key, pos, term wherever a query's term stands."""
     at = docs.select(F.col(key).alias("key"), F.posexplode_outer("tokens").alias("pos", "term"))
-    return at.join(terms, "term").select("query_id", "key", "pos", "term")
+    return at.join(F.broadcast(terms), "term").select("query_id", "key", "pos", "term")
 
 
 def fts_matches(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
@@ -185,7 +185,7 @@ def fts_matches(docs: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     every = not terms.where("term = ''").isEmpty()
     own = F.array_distinct("tokens")
     held = docs.select(F.col(key).alias(key), F.explode(F.array_append(own, F.lit("")) if every else own).alias("term"))
-    return held.join(terms, "term").groupBy("query_id", "need", key).agg(F.count("*").alias("n")).where("n = need").select("query_id", key)
+    return held.join(F.broadcast(terms), "term").groupBy("query_id", "need", key).agg(F.count("*").alias("n")).where("n = need").select("query_id", key)
 
 
 def query_terms(queries: DataFrame, clean: bool = True) -> DataFrame:
@@ -211,45 +211,67 @@ def fts(docs: DataFrame, queries: DataFrame, key: str, limit: int = FTS_LIMIT, t
     return best.select("query_id", F.col("key").alias(key), "rank", "position")
 
 
-def best_fragments(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    """query_id, key, start, stop (words) of the fragment that shows a document best.
+def best_fragment(hits: Column, terms: Column, n: Column) -> Column:
+    """Struct of start and stop (words) of the fragment that shows a document of n words best; null without a cover of all terms.
 
-    hits: query_id, key, n (words of the document), pos, term. Every cover of all
-    terms is stretched to FRAGMENT_WORDS[0] words, to the right and at the end of
-    the document to the left, or cut to FRAGMENT_WORDS[1]; the one with the most
-    hits is the best, then the first.
+    hits: (pos, term) of the query's distinct terms, in order. Every cover is
+    stretched to FRAGMENT_WORDS[0] words, to the right and at the end of the
+    document to the left, or cut to FRAGMENT_WORDS[1]; the one with the most hits
+    is the best, then the first. A fragment's hits are counted among the next
+    FRAGMENT_WORDS[1] ones only, so the work follows the hits.
     """
     least, most = FRAGMENT_WORDS
-    own = Window.partitionBy("query_id", "key").orderBy("pos")
-    whole = Window.partitionBy("query_id", "key")
-    # hits of a fragment that begins at this one, and of the document's last words
-    counted = hits.select(
-        "query_id", "key", "n", F.col("pos").alias("first"),
-        F.count("*").over(own.rangeBetween(0, least - 1)).alias("n_least"), F.count("*").over(own.rangeBetween(0, most - 1)).alias("n_most"),
-        F.count_if(F.col("pos") >= F.col("n") - least).over(whole).alias("n_last"),
-    )
-    found = covers(hits.select("query_id", "key", "pos", "term"), terms).join(counted, ["query_id", "key", "first"])
-    first, words, n = F.col("first"), F.col("last") - F.col("first") + 1, F.col("n")
-    fits = first + least <= n
-    start = F.when((words < least) & ~fits, F.greatest(n - least, F.lit(0))).otherwise(first)
-    stop = F.when(words > most, first + most).when(words >= least, F.col("last") + 1).otherwise(F.least(first + least, n))
-    n_hits = F.when(words > most, F.col("n_most")).when(words >= least, F.col("last_k") - F.col("first_k") + 1).when(fits, F.col("n_least")).otherwise(F.col("n_last"))
-    best = found.groupBy("query_id", "key").agg(F.min(F.struct((-n_hits).alias("hits"), start.alias("start"), stop.alias("stop"))).alias("b"))
-    return best.select("query_id", "key", "b.start", "b.stop")
+    own = F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), F.array_position(terms, h["term"]).alias("t")))
+    none = F.transform(terms, lambda t: F.lit(None).cast("struct<pos: int, k: int>"))
+    best = F.lit(None).cast("struct<hits: int, start: int, stop: int>")
+    begin = F.struct(none.alias("last"), F.lit(0).alias("k"), F.lit(-1).alias("before"), best.alias("best"))
+
+    def seen(state: Column, hit: Column) -> Column:
+        """The last hit of each term, and how many hits there are."""
+        here = F.struct(hit["pos"].alias("pos"), (state["k"] + 1).alias("k"))
+        last = F.transform(state["last"], lambda x, i: F.when(i + 1 == hit["t"], here).otherwise(x))
+        return F.struct(last.alias("last"), (state["k"] + 1).alias("k"), state["before"].alias("before"), state["best"].alias("best"), hit["pos"].alias("pos"))
+
+    def shown(first: Column, k: Column, last: Column) -> Column:
+        """The fragment of a cover that begins at the k-th hit."""
+        words = last - first + 1
+        moved = (words < least) & (first + least > n)
+        start = F.when(moved, F.greatest(n - least, F.lit(0))).otherwise(first)
+        stop = F.when(words > most, first + most).when(words >= least, last + 1).otherwise(F.least(first + least, n))
+        ahead = F.size(F.filter(F.slice(hits, k, F.lit(most)), lambda h: h["pos"] < stop))
+        at_end = F.size(F.filter(F.slice(hits, F.greatest(F.size(hits) - least + 1, F.lit(1)), F.lit(least)), lambda h: h["pos"] >= n - least))
+        return F.struct((-F.when(moved, at_end).otherwise(ahead)).alias("hits"), start.alias("start"), stop.alias("stop"))
+
+    def judged(state: Column) -> Column:
+        """Adds the cover that ends here, if every term has been there and it begins after the one before."""
+        first = F.array_min(state["last"])
+        new = F.forall(state["last"], lambda x: x.isNotNull()) & (first["pos"] > state["before"])
+        return F.struct(
+            state["last"].alias("last"), state["k"].alias("k"), F.when(new, first["pos"]).otherwise(state["before"]).alias("before"),
+            F.when(new, F.least(state["best"], shown(first["pos"], first["k"], state["pos"]))).otherwise(state["best"]).alias("best"),
+        )
+
+    # a one-element array gives the state a name, so that it is made once
+    step = lambda state, hit: F.element_at(F.transform(F.array(seen(state, hit)), judged), 1)
+    return F.aggregate(own, begin, step, lambda state: state["best"])
 
 
 def headlines(found: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, key, snippet of found documents (query_id, key, tokens): words of the best fragment, hits between >>> and <<<.
 
-    Without a cover of all terms the first FRAGMENT_WORDS[0] words are shown.
+    Without a cover of all terms the first FRAGMENT_WORDS[0] words are shown. The
+    fragment is found inside each row, so that a task holds one document at a
+    time and nothing is shuffled; only the queries' terms go to all tasks.
     """
-    wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    rows = found.select("query_id", "key", "tokens").join(wanted, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    wanted = F.broadcast(terms.groupBy("query_id").agg(F.collect_list("term").alias("terms")))
+    # explode_outer of one element: made once, and not anew wherever it is used
+    rows = found.select("query_id", "key", F.explode_outer(F.array("tokens")).alias("tokens")).join(wanted, "query_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
     hits = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term"))), lambda x: F.array_contains("terms", x["term"]))
-    hits = rows.select("query_id", "key", F.size("tokens").alias("n"), F.explode(hits).alias("h")).select("query_id", "key", "n", "h.pos", "h.term")
-    shown = rows.join(best_fragments(hits, terms), ["query_id", "key"], "left")
-    start = F.coalesce("start", F.lit(0))
-    cut = F.slice("tokens", start + 1, F.coalesce("stop", F.lit(FRAGMENT_WORDS[0])) - start)
+    rows = rows.select("query_id", "key", "tokens", "terms", F.explode_outer(F.array(hits)).alias("hits"))
+    best = best_fragment(F.col("hits"), F.col("terms"), F.size("tokens"))
+    shown = rows.select("query_id", "key", "tokens", "terms", F.explode_outer(F.array(best)).alias("best"))
+    start = F.coalesce("best.start", F.lit(0))
+    cut = F.slice("tokens", start + 1, F.coalesce("best.stop", F.lit(FRAGMENT_WORDS[0])) - start)
     marked = F.transform(cut, lambda t: F.when(F.array_contains("terms", t), F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t))
     return shown.select("query_id", "key", F.array_join(marked, " ").alias("snippet"))
 

@@ -251,7 +251,7 @@ def fts_headline(spark, sf_dir):
     terms = search.query_terms(_asked(spark), clean=False)
     wanted = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
     asked = F.array(*[F.lit(r["term"]) for r in terms.select("term").distinct().collect()])  # those of ASKED
-    held = d.withColumn("own", F.array_intersect("tokens", asked)).withColumn("term", F.explode("own")).join(wanted.withColumn("term", F.explode("terms")), "term")
+    held = d.withColumn("own", F.array_intersect("tokens", asked)).withColumn("term", F.explode("own")).join(F.broadcast(wanted.withColumn("term", F.explode("terms"))), "term")
     # a document that has several terms of a query meets it by the first of them
     found = held.where(F.col("term") == F.get(F.array_intersect("terms", "own"), 0)).select("query_id", "key", "tokens")
     return search.headlines(found, terms).withColumnRenamed("key", "doc_id")

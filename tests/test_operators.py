@@ -372,6 +372,14 @@ def test_headlines_show_the_best_fragment(spark):
             assert got[q, i] == " ".join(f">>>{t}<<<" if t in ts else t for t in tokens[s:e]), (q, i)
 
 
+def test_headlines_gather_no_query_in_one_task(spark):
+    found = spark.createDataFrame([(0, i, ["a", "x", "b"]) for i in range(9)], "query_id int, key int, tokens array<string>")
+    shown = search.headlines(found, spark.createDataFrame([(0, "a"), (0, "b")], "query_id int, term string"))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("SortMergeJoin", "ShuffledHashJoin", "Window", "NestedLoop"))
+    assert {r.snippet for r in shown.collect()} == {">>>a<<< x >>>b<<<"}
+
+
 def test_matches_meet_queries_by_one_term(spark):
     rng = random.Random(9)
     docs = [(i, [rng.choice("abcdef") for _ in range(rng.randrange(0, 6))]) for i in range(60)]
