@@ -22,6 +22,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +36,45 @@ BLOCK_DOCS, FIRST_BLOCKS = 1024, 8
 PREFIX, OWNERS = "postings-", "postings_owners"
 
 
+def inverted(docs: pa.Table) -> pa.Table:
+    """postings of one block's documents (block, key, category, tokens)."""
+    docs = docs.sort_by("key").combine_chunks()
+    tokens = docs["tokens"].combine_chunks() if docs.num_rows else pa.array([], pa.list_(pa.string()))
+    tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    words = pc.list_flatten(tokens).dictionary_encode()
+    term = pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    place = np.arange(len(doc), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+    # by term; documents and places keep their order
+    order = np.argsort(term, kind="stable")
+    order = order[np.searchsorted(term[order], 0) :]
+    term, doc, place = term[order], doc[order], place[order].astype(np.int32)
+    new_term = np.diff(term, prepend=-1) != 0
+    first = np.flatnonzero(new_term | (np.diff(doc, prepend=-1) != 0))  # of a term in a document
+    hits = np.diff(first, append=len(term))
+    row = np.flatnonzero(new_term[first])  # of a term
+    at = pa.array(doc[first])
+    ends = lambda begin, end: pa.array(np.append(begin, end).astype(np.int32))
+    positions = pa.ListArray.from_arrays(ends(first, len(term)), pa.array(place))
+    each = pa.StructArray.from_arrays([*[docs[c].combine_chunks().take(at) for c in ("key", "category")], positions], names=["key", "category", "positions"])
+    most = np.maximum.reduceat(hits, row).astype(np.int32) if len(row) else np.zeros(0, np.int32)
+    block = np.full(len(row), docs["block"][0].as_py() if docs.num_rows else 0, np.int32)
+    found = [words.dictionary.take(pa.array(term[first][row])), pa.array(block), pa.array(most), pa.ListArray.from_arrays(ends(row, len(first)), each)]
+    return pa.table(found, names=["term", "block", "most", "hits"])
+
+
 def postings(docs: DataFrame, blocks: int) -> DataFrame:
-    """term, block, most (hits in a document), hits (key, category, positions); docs: key, category, tokens; keys are distinct."""
-    at = docs.where("key IS NOT NULL").select("key", "category", F.posexplode("tokens").alias("pos", "term"))
-    # the positions of a document come together before anything is shuffled
-    own = at.groupBy("term", "key", "category").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    held = own.groupBy("term", "block").agg(F.max(F.size("positions")).alias("most"), F.array_sort(F.collect_list(F.struct("key", "category", "positions"))).alias("hits"))
-    # in ranges of terms, so that a filter on them meets few row groups
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return held.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block")
+    """term, block, most (hits in a document), hits (key, category, positions); docs: key, category, tokens; keys are distinct.
+
+    A block's documents come together once and are inverted there, so that no
+    posting is shuffled; a task holds one block, and writes its blocks in the
+    order of their terms, so that a filter on terms meets few pages of each file.
+    """
+    kind, category = (docs.schema[c].dataType.simpleString() for c in ("key", "category"))
+    dealt = docs.where("key IS NOT NULL").select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "category", "tokens")
+    schema = f"term string, block int, most int, hits array<struct<key: {kind}, category: {category}, positions: array<int>>>"
+    return dealt.groupBy("block").applyInArrow(inverted, schema).sortWithinPartitions("term", "block")
 
 
 def ranked(found: DataFrame) -> DataFrame:

@@ -90,3 +90,10 @@ def test_the_index_follows_the_stream(spark, tmp_path):
         assert jobs.ingest(spark.readStream.schema(schema).parquet(source), folder, check, 1.0, full_text=True).awaitTermination(180)
     found = {(r.query_id, r.key) for r in TextIndex(spark, folder).search(queries).collect()}
     assert found == {(0, "a"), (1, "b")}
+
+
+def test_documents_are_inverted_in_their_blocks(spark):
+    docs = [(1, None, ["b", "a", "b", None]), (2, "x", ["a"]), (3, "x", None), (4, "y", []), (None, "x", ["a"])]
+    made = text_index.postings(spark.createDataFrame(docs, SCHEMA), 1)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # documents, and no postings
+    assert [(r.term, r.block, r.most, [(h.key, h.category, h.positions) for h in r.hits]) for r in made.collect()] == [("a", 0, 1, [(1, None, [1]), (2, "x", [0])]), ("b", 0, 2, [(1, None, [0, 2])])]
