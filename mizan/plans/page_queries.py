@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mizan.functions import directory, markdown
 from mizan.operators import pages, reading
 from mizan.plans.registry import query
-from mizan.sources.tables import DOCS, documents, read
+from mizan.sources.tables import DOCS, dealt, documents, read
 
 _INNER = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(i, '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[\\s\\x{A0}]+', ' ', 'g'))"
 _ANCHORS = (
@@ -42,7 +42,8 @@ _MADE = 1_000_000
 def _with_pages(spark, sf_dir, fragments, made):
     """The driver's pages, the fragments under negative ids, and a page for every part; made: its html as a format of SQL's columns."""
     own = read(spark, sf_dir, "pages").select(F.col("page_id").cast("int").alias("page_id"), "html")
-    parts = read(spark, sf_dir, "part").select((F.col("p_partkey") + _MADE).cast("int").alias("page_id"), F.expr(made).alias("html"))
+    # one row group may hold all parts; their pages are dear to read
+    parts = dealt(read(spark, sf_dir, "part")).select((F.col("p_partkey") + _MADE).cast("int").alias("page_id"), F.expr(made).alias("html"))
     return own.union(spark.createDataFrame([(-1 - i, html) for i, html in enumerate(fragments)], "page_id int, html string")).union(parts)
 
 

@@ -16,6 +16,11 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt to all cores whatever its splits are: those without the middle of a row group have no rows."""
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(found) if name in TEXTS else found
