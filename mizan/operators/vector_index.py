@@ -48,6 +48,8 @@ class Fit:
 
 #: Candidates for each row asked for (and at least), queries that meet a shard in one task, and those that are computed at once.
 CANDIDATES, LEAST_CANDIDATES, QUERY_ROWS, AT_ONCE = 4, 64, 4096, 128
+#: Rows of queries with their lists that are made at once.
+PROBED_ROWS = 1 << 13
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -212,9 +214,33 @@ class VectorIndex:
         near = coded.select("doc_id", "chunk_index", "cell").join(near, ["doc_id", "chunk_index"]).join(asked, "query_id").select("embedding", "cell").toArrow()
         q, cell = unit(vectors(near.column("embedding"), model.size)), near.column("cell").to_numpy()
         every = len(model.first) * len(model.second)
-        place = np.concatenate([np.flatnonzero(row == c) for row, c in zip(model.probed(q, every), cell, strict=True)])
+        once, which = np.unique(q, axis=0, return_inverse=True)
+        place, turn = np.zeros(len(q), np.int64), np.zeros(every, np.int64)
+        for i in range(len(once)):  # one order of all lists at a time
+            turn[model.probed(once[i : i + 1], every)[0]] = np.arange(every)
+            own = which.ravel() == i
+            place[own] = turn[cell[own]]
         return int(np.sort(place)[min(len(place) - 1, int(np.ceil(fit.recall * len(place))) - 1)]) + 1
 
+    def prober(self, probes: int):
+        """A function of batches of queries (ask, q): a row for every list that a query meets, PROBED_ROWS at once."""
+        model, size, most = self.model, self.model.size, PROBED_ROWS
+
+        def probe(batches):
+            for batch in batches:
+                # a few queries at once: each becomes a row, with its vector, for every list that it meets
+                step = max(1, most // probes)
+                for begin in range(0, batch.num_rows, step):
+                    part = batch.slice(begin, step)
+                    lists = model.probed(unit(vectors(part.column("q"), size)), probes).ravel()
+                    each = len(lists) // part.num_rows
+                    for i in range(0, len(lists), most):
+                        some = lists[i : i + most]
+                        at = pa.array(np.arange(i, i + len(some)) // each)
+                        yield pa.RecordBatch.from_arrays([*[c.take(at) for c in part.columns], pa.array(some)], names=[*batch.schema.names, "cell"])
+
+        return probe
+
     def nearest(self, queries: DataFrame, fetch: int, probes: int | None = None, category: str | None = None) -> DataFrame:
         """query_id, doc_id, chunk_index, category, value as search.nearest with the cosine distance gives them, from the probed lists."""
         kind = queries.schema["query_id"].dataType.simpleString()
@@ -224,15 +250,7 @@ class VectorIndex:
         asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where((F.size("q") == size) & F.exists("q", lambda v: v != 0))
         once = asked.groupBy("q").agg(F.min("query_id").alias("ask"))
 
-        def probe(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    q = vectors(batch.column("q"), size)
-                    lists = model.probed(unit(q), probes)
-                    at = np.repeat(np.arange(len(q)), lists.shape[1])
-                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(lists.ravel())], names=[*batch.schema.names, "cell"])
-
-        held = once.select("ask", "q").mapInArrow(probe, f"ask {kind}, q array<double>, cell long")
+        held = once.select("ask", "q").mapInArrow(self.prober(probes), f"ask {kind}, q array<double>, cell long")
         rows = self.rows if category is None else self.rows.where(F.col("category") == category)
         # shards of each list, and blocks of the queries of a list with very many
         shards = rows.groupBy("cell").agg((F.max("shard") + 1).alias("shards"))

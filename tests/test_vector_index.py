@@ -62,6 +62,21 @@ def test_few_lists_find_grouped_neighbours(spark, monkeypatch):
     assert len(want) == 1200 and len(want & got) >= 0.9 * len(want)
 
 
+def test_queries_meet_their_lists_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = grouped(rng, 600)
+    chunks, queries = table(spark, x), asked(spark, x[::10])
+    built = index(spark, chunks, list_rows=10)
+    monkeypatch.setattr(vector_index, "PROBED_ROWS", 7)
+    every = len(built.model.first) * len(built.model.second)
+    run = built.prober(5)
+    batch = queries.withColumnRenamed("query_id", "ask").withColumnRenamed("embedding", "q").toArrow().to_batches()
+    made = list(run(batch))
+    assert max(b.num_rows for b in made) <= 7 and sum(b.num_rows for b in made) == 5 * 60
+    assert {b.num_rows for b in built.prober(every)(batch)} <= set(range(1, 8))
+    assert rows(built.nearest(queries, 7, every)) == rows(search.nearest(chunks, queries, 7, search.cosine_distances))
+
+
 def test_more_rows_make_more_lists_and_not_more_work_a_query(spark):
     rng = np.random.default_rng(3)
     met = []
