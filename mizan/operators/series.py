@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 #: Names of the directions, days of the periods.
@@ -83,6 +83,11 @@ def first_per_group(rows: DataFrame, group: str, order: list, n: int) -> DataFra
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= n)
 
 
+def grouped_in_order(rows: DataFrame, keys: list[str], order: list[str]) -> GroupedData:
+    """Groups whose rows are added up in order, however the table is split: in partial sums of doubles the last bits change with the splits. All rows are shuffled; a group is one task's stream."""
+    return rows.repartition(*keys).sortWithinPartitions(*order).groupBy(*keys)
+
+
 def top_categories(rows: DataFrame, n: int = 3) -> DataFrame:
     """Most frequent categories, ties by first appearance; rows: category, pos."""
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mizan.functions import text
 from mizan.operators import search, series
 from mizan.plans.registry import query
-from mizan.sources.tables import WEEKLY, read, weekly
+from mizan.sources.tables import PLACE, WEEKLY, read, table_order, weekly
 
 _TREND = (
     f"WITH {WEEKLY}, r AS (SELECT *, lag(value) OVER w AS before, lag(date) OVER w AS before_date, row_number() OVER (PARTITION BY metric_id ORDER BY pos DESC) AS back FROM series WINDOW w AS (PARTITION BY metric_id ORDER BY pos)), "
@@ -74,8 +74,8 @@ def series_wire_format(spark, sf_dir):
     "SELECT month, name, format('{:,}', CAST(round(tp) AS BIGINT)) AS tp, format('{:,}', CAST(round(yp) AS BIGINT)) AS yp, format('{:,}', CAST(round(total) AS BIGINT)) AS total FROM m"
 )
 def monthly_table(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
-    m = li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_returnflag").alias("name")).agg(
+    li = read(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_returnflag").alias("name"), "l_linestatus", "l_extendedprice", *table_order())
+    m = series.grouped_in_order(li, ["month", "name"], PLACE).agg(
         F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice"))).alias("tp"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice"))).alias("yp"), F.sum("l_extendedprice").alias("total")
     )
     return m.select("month", "name", *[text.format_number(F.round(c)).alias(c) for c in ("tp", "yp", "total")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(found) if name in TEXTS else found
 
 
+#: Columns that say where a row stands in its table.
+PLACE = ("file_path", "row_index")
+
+
+def table_order() -> list[Column]:
+    """The place of each row of a plain Parquet scan."""
+    return [F.col(f"_metadata.{c}").alias(c) for c in PLACE]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as stored documents: title is the first line, category the source, method the language."""
     d = read(spark, sf_dir, "documents")
